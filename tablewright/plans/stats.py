@@ -26,15 +26,14 @@ def column_stats(
     columns: Iterable[str] | None = None,
     *,
     moments: bool = True,
-    skew: bool = False,
     text: bool = False,
     dates: bool = False,
 ) -> DataFrame:
     """One row per column from a single aggregate: counts and, on request, more.
 
     Columns: column_name, position, data_type, kind, n_rows, n_valid, n_missing; for numerics total,
-    mean, std, minimum, maximum, n_negative (`moments`) and skewness (`skew`); for text mean_length
-    and n_numeric_text (`text`) and n_date_text (`dates`).
+    mean, std, minimum, maximum and n_negative (`moments`); for text mean_length and n_numeric_text
+    (`text`) and n_date_text (`dates`).
     """
     names = list(df.columns if columns is None else columns)
     fields = {f.name: f for f in df.schema.fields}
@@ -63,8 +62,6 @@ def column_stats(
                 (F.max(x) if x is not None else no_double).alias("maximum"),
                 (F.count_if(x < 0) if x is not None else no_count).alias("n_negative"),
             ]
-        if skew:
-            parts.append((adjusted_skewness(x) if x is not None else no_double).alias("skewness"))
         if text:
             is_text = kind == "text"
             parts += [
@@ -80,6 +77,26 @@ def column_stats(
     return df.agg(F.array(*[row(c) for c in names]).alias("s")).select(F.inline("s"))
 
 
+def skewness(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """column_name, n_valid, mean, std, skewness (bias-adjusted) of numeric columns.
+
+    Long form, one group per column: the third moment of many columns side by side would outgrow
+    generated code.
+    """
+    names = list(columns)
+    wide = df.select(*[quoted(c).cast("double").alias(c) for c in names])
+    return (
+        wide.unpivot([], [quoted(c) for c in names], "column_name", "v")
+        .groupBy("column_name")
+        .agg(
+            F.count("v").alias("n_valid"),
+            F.avg("v").alias("mean"),
+            F.stddev_samp("v").alias("std"),
+            adjusted_skewness(F.col("v")).alias("skewness"),
+        )
+    )
+
+
 def comparable(name: str, data_type: T.DataType, digest: bool) -> Column:
     """A column as text such that equal text means equal value."""
     c, kind = quoted(name), kind_of(data_type)
@@ -145,6 +162,30 @@ def duplicate_counts(df: DataFrame, columns: Iterable[str] | None = None) -> Dat
     )
 
 
+def text_variants(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """column_name, n_distinct, n_normalised: distinct texts before and after lower case and trim."""
+    names = list(columns)
+    long = df.select(*[quoted(c).cast("string").alias(c) for c in names]).unpivot(
+        [], [quoted(c) for c in names], "column_name", "value"
+    )
+    plain = F.regexp_replace(F.lower("value"), r"^\s+|\s+$", "")
+    values = (
+        long.filter(F.col("value").isNotNull())
+        .select("column_name", short_key(F.col("value")).alias("k"), short_key(plain).alias("m"))
+        .groupBy("column_name", "m", "k")
+        .agg(F.lit(1).alias("one"))
+    )
+    forms = values.groupBy("column_name", "m").agg(F.count(F.lit(1)).alias("k"))
+    return forms.groupBy("column_name").agg(
+        F.sum("k").alias("n_distinct"), F.count(F.lit(1)).alias("n_normalised")
+    )
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """Compute a frame of one row per column (or a single row) once, for use by several reports."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def with_positions(rows: DataFrame, df: DataFrame, name: str = "column_name") -> DataFrame:
     """Add the table position of the column named in each row."""
     order = F.array(*[F.lit(c) for c in df.columns])

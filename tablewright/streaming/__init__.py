@@ -1,0 +1,5 @@
+"""Streaming.  The inventory has no streaming operator (static tables only), so there is none here.
+
+The logs of operators.catalog are append-only, day-partitioned tables of fixed schema, which
+spark.readStream can follow as they are.
+"""
