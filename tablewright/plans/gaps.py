@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.semantics import quoted
@@ -12,13 +12,18 @@ from tablewright.functions.semantics import quoted
 BLOCK_BITS = 20
 
 
-def _summed(gap, first_of, last_of):
+def _gap(first: Column, before: Column) -> Column:
+    """The difference as a double, exact where it is small; it may exceed the integer range."""
+    exact = F.try_subtract(first, before).cast("double")
+    return F.coalesce(exact, first.cast("double") - before.cast("double"))
+
+
+def _with_gap(unit: Column, square: Column, mean: float) -> list[Column]:
+    """Unit gaps and squared deviations of a level: those of the levels below, and its own."""
+    off = F.col("gap") - F.lit(mean)
     return [
-        F.coalesce(F.count_if(gap == 1), F.lit(0)).alias("unit"),
-        F.coalesce(F.sum(gap.cast("double")), F.lit(0.0)).alias("s1"),
-        F.coalesce(F.sum(gap.cast("double") * gap.cast("double")), F.lit(0.0)).alias("s2"),
-        F.min(first_of).alias("first"),
-        F.max(last_of).alias("last"),
+        (unit + F.count_if(F.col("gap") == 1)).alias("unit"),
+        (square + F.coalesce(F.sum(off * off), F.lit(0.0))).alias("square"),
     ]
 
 
@@ -26,53 +31,43 @@ def adjacent_gaps(df: DataFrame, column: str) -> DataFrame:
     """One row about the sorted values of an integer column.
 
     n_values, n_distinct, n_unit (neighbours exactly 1 apart), gap_mean and gap_std (population);
-    repeated values count as gaps of 0.
+    repeated values count as gaps of 0.  The mean gap follows from count and range, which are read
+    first, so that deviations can be summed without cancellation.
     """
     v = quoted(column).cast("bigint")
-    distinct = df.filter(v.isNotNull()).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    ends = df.agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).first()
+    n = ends["n"]
+    mean = (ends["hi"] - ends["lo"]) / (n - 1) if n > 1 else 0.0
+    distinct = df.filter(v.isNotNull()).select(v.alias("v")).distinct()
 
     inside = Window.partitionBy("block").orderBy("v")
     level = (
         distinct.withColumn("block", F.shiftright("v", BLOCK_BITS))
-        .withColumn("gap", F.col("v") - F.lag("v").over(inside))
+        .withColumn("gap", _gap(F.col("v"), F.lag("v").over(inside)))
         .groupBy("block")
         .agg(
-            F.sum("c").alias("n"), F.count(F.lit(1)).alias("d"),
-            *_summed(F.col("gap"), F.col("v"), F.col("v")),
+            F.count(F.lit(1)).alias("d"), *_with_gap(F.lit(0), F.lit(0.0), mean),
+            F.min("v").alias("first"), F.max("v").alias("last"),
         )
     )
-    for _ in range(2):
+    # Twice by the next BLOCK_BITS; what is left after that are the top 4 bits of a 64-bit number.
+    for upper in (F.shiftright("block", BLOCK_BITS), F.shiftright("block", BLOCK_BITS), F.lit(0)):
+        beside = Window.partitionBy("upper").orderBy("block")
         level = (
-            level.withColumn("upper", F.shiftright("block", BLOCK_BITS))
-            .withColumn(
-                "gap",
-                F.col("first") - F.lag("last").over(Window.partitionBy("upper").orderBy("block")),
-            )
+            level.withColumn("upper", upper)
+            .withColumn("gap", _gap(F.col("first"), F.lag("last").over(beside)))
             .groupBy(F.col("upper").alias("block"))
             .agg(
-                F.sum("n").alias("n"), F.sum("d").alias("d"),
-                (F.sum("unit") + F.count_if(F.col("gap") == 1)).alias("unit"),
-                (F.sum("s1") + F.coalesce(F.sum(F.col("gap").cast("double")), F.lit(0.0))).alias("s1"),
-                (F.sum("s2") + F.coalesce(F.sum(F.pow(F.col("gap").cast("double"), 2)), F.lit(0.0))).alias("s2"),
+                F.sum("d").alias("d"), *_with_gap(F.sum("unit"), F.sum("square"), mean),
                 F.min("first").alias("first"), F.max("last").alias("last"),
             )
         )
-    # 2^40 values per group by now: negative and non-negative halves of the 64-bit range are at most
-    # 2^24 groups, and one or two for any range met in practice.
-    top = level.withColumn("gap", F.col("first") - F.lag("last").over(Window.partitionBy(F.lit(0)).orderBy("block")))
-    whole = top.agg(
-        F.sum("n").alias("n"), F.sum("d").alias("d"),
-        (F.sum("unit") + F.count_if(F.col("gap") == 1)).alias("unit"),
-        (F.sum("s1") + F.coalesce(F.sum(F.col("gap").cast("double")), F.lit(0.0))).alias("s1"),
-        (F.sum("s2") + F.coalesce(F.sum(F.pow(F.col("gap").cast("double"), 2)), F.lit(0.0))).alias("s2"),
-    )
-    steps = (F.col("n") - 1).cast("double")
-    mean = F.try_divide(F.col("s1"), steps)
-    spread = F.try_divide(F.col("s2"), steps) - mean * mean
+    whole = level.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("d", "unit", "square")])
+    repeats = (F.lit(n) - F.col("d")) * F.lit(float(mean) ** 2)
     return whole.select(
-        F.col("n").alias("n_values"),
+        F.lit(n).cast("bigint").alias("n_values"),
         F.col("d").alias("n_distinct"),
         F.col("unit").alias("n_unit"),
-        mean.alias("gap_mean"),
-        F.sqrt(F.greatest(spread, F.lit(0.0))).alias("gap_std"),
+        F.lit(float(mean) if n > 1 else None).cast("double").alias("gap_mean"),
+        F.sqrt(F.try_divide(F.col("square") + repeats, F.lit(float(n - 1)))).alias("gap_std"),
     )

@@ -59,7 +59,8 @@ def select_ranks(items: DataFrame, keys: Sequence[str], targets: DataFrame) -> D
     """The value at each wanted rank.
 
     items: keys..., v (numeric, never null).  targets: keys..., n, rank (from 0), lo, hi where lo and
-    hi are the bounds of the group's values.  Result: keys..., n, rank, v, below (rows less than v).
+    hi are the bounds of the group's values.  Result: keys..., n, rank, v, below (rows less than v) and
+    same (rows equal to v).
     """
     state = materialize(
         targets.select(
@@ -93,7 +94,9 @@ def select_ranks(items: DataFrame, keys: Sequence[str], targets: DataFrame) -> D
         )
         state = materialize(closed.unionByName(narrowed))
 
-    done = state.filter(F.col("lo") == F.col("hi")).select(*keys, "n", "rank", F.col("lo").alias("v"), "below")
+    done = state.filter(F.col("lo") == F.col("hi")).select(
+        *keys, "n", "rank", F.col("lo").alias("v"), "below", F.col("cnt").alias("same")
+    )
     rest = state.filter(F.col("lo") < F.col("hi"))
     cells = rest.select(*keys, "lo", "hi").distinct()
     values = _near(items, cells, keys, seen["all"]).groupBy(*keys, "lo", "hi", "v").agg(
@@ -105,7 +108,7 @@ def select_ranks(items: DataFrame, keys: Sequence[str], targets: DataFrame) -> D
     found = (
         _joined_on(rest, values, keys)
         .filter((left >= F.col("before")) & (left < F.col("before") + F.col("c")))
-        .select(*keys, "n", "rank", "v", (F.col("below") + F.col("before")).alias("below"))
+        .select(*keys, "n", "rank", "v", (F.col("below") + F.col("before")).alias("below"), F.col("c").alias("same"))
     )
     return done.unionByName(found)
 
@@ -191,11 +194,12 @@ def _as_literal(v, data_type: T.DataType) -> Column:
 def order_cuts(df: DataFrame, order_by: Sequence[str], ranks: Sequence[int]) -> list[list[Column]]:
     """For each rank, the order key of the row standing there, as literals.
 
-    `order_by` must identify rows, so that ties are broken.  No order column may be null.
+    `order_by` must identify rows, so that ties are broken.  No order column may be null.  The key is
+    as long as it needs to be: where the leading column already singles out the row, it is that alone.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
 
-    def value_at(rows: DataFrame, name: str, wanted: list[int]) -> dict[int, tuple]:
+    def values_at(rows: DataFrame, name: str, wanted: list[int]) -> dict[int, tuple[object, int, int]]:
         items = rows.select(
             F.lit(0).alias("g"), _as_number(quoted(name), types[name]).alias("v")
         ).filter(F.col("v").isNotNull())
@@ -205,21 +209,25 @@ def order_cuts(df: DataFrame, order_by: Sequence[str], ranks: Sequence[int]) ->
         targets = bounds.withColumn(
             "rank", F.explode(F.array(*[F.lit(int(r)).cast("bigint") for r in wanted]))
         )
-        return {
-            r["rank"]: (r["v"], r["below"]) for r in select_ranks(items, ["g"], targets).collect()
-        }
-
-    lead = value_at(df, order_by[0], sorted(set(ranks)))
-    cuts = []
+        found = select_ranks(items, ["g"], targets).collect()
+        return {r["rank"]: (r["v"], r["below"], r["same"]) for r in found}
+
+    def complete(key: list[Column], rows: DataFrame, rest: Sequence[str], left: int, same: int) -> list[Column]:
+        if same == 1 or not rest:
+            return key
+        if same <= SMALL_CELL:
+            names = [_as_number(quoted(c), types[c]).alias(c) for c in rest]
+            row = rows.select(*names).orderBy(*[quoted(c) for c in rest]).offset(left).limit(1).first()
+            return key + [_as_literal(row[c], types[c]) for c in rest]
+        v, below, same = values_at(rows, rest[0], [left])[left]
+        at = _as_literal(v, types[rest[0]])
+        return complete([*key, at], rows.filter(quoted(rest[0]) == at), rest[1:], left - below, same)
+
+    lead, cuts = values_at(df, order_by[0], sorted(set(ranks))), []
     for rank in ranks:
-        v, below = lead[rank]
-        key = [_as_literal(v, types[order_by[0]])]
-        rows, left = df.filter(quoted(order_by[0]) == key[0]), rank - below
-        for name in order_by[1:]:
-            v, below = value_at(rows, name, [left])[left]
-            key.append(_as_literal(v, types[name]))
-            rows, left = rows.filter(quoted(name) == key[-1]), left - below
-        cuts.append(key)
+        v, below, same = lead[rank]
+        at = _as_literal(v, types[order_by[0]])
+        cuts.append(complete([at], df.filter(quoted(order_by[0]) == at), order_by[1:], rank - below, same))
     return cuts
 
 

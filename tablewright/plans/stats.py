@@ -171,7 +171,7 @@ def text_variants(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     plain = F.regexp_replace(F.lower("value"), r"^\s+|\s+$", "")
     values = (
         long.filter(F.col("value").isNotNull())
-        .select("column_name", short_key(F.col("value")).alias("k"), short_key(plain).alias("m"))
+        .select("column_name", F.sha2("value", 256).alias("k"), F.sha2(plain, 256).alias("m"))
         .groupBy("column_name", "m", "k")
         .agg(F.lit(1).alias("one"))
     )

@@ -252,10 +252,10 @@ SELECT user_id, last(description ORDER BY rn) FILTER (WHERE description IS NOT N
     "catalog_search": "SELECT doc_id, source, lang FROM documents WHERE contains(lower(text), 'heoron') OR contains(lower(source), 'heoron') "
                       "OR contains(lower(lang), 'heoron')",
     "vector_topk": """
-WITH x AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS at FROM embeddings),
- q AS (SELECT at, avg(x) AS q FROM x GROUP BY 1)
+WITH x AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings),
+ q AS (SELECT i, avg(x) AS q FROM x GROUP BY 1)
 SELECT vec_id, round(sum(CAST(x AS DOUBLE) * q) / sqrt(sum(CAST(x AS DOUBLE) * x)) / sqrt(sum(q * q)), 4) AS score
-FROM x JOIN q ON x.at = q.at GROUP BY 1 ORDER BY sum(CAST(x AS DOUBLE) * q) / sqrt(sum(CAST(x AS DOUBLE) * x)) DESC, 1 LIMIT 5""",
+FROM x JOIN q ON x.i = q.i GROUP BY vec_id ORDER BY sum(CAST(x AS DOUBLE) * q) / sqrt(sum(CAST(x AS DOUBLE) * x)) DESC, vec_id LIMIT 5""",
     "keyword_search": "SELECT doc_id, source, lang FROM (SELECT *, lower(concat_ws(' ', source, lang, text)) AS t FROM documents) "
                       "WHERE contains(t, 'heoron') OR contains(t, 'éaux') ORDER BY doc_id LIMIT 5",
 }
