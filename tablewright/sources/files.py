@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions.semantics import nan_to_null
+from tablewright.functions.semantics import columns_of, nan_to_null, quoted
 
 # File types taken, and the size limits of the two loaders.
 EXTENSIONS = (".csv", ".xlsx", ".xls")
@@ -29,8 +29,22 @@ def _files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     )
 
 
+def _plain_path(c: Column) -> Column:
+    """A path spelled as the file source's `path` column spells it."""
+    return F.regexp_replace(c, r"^([A-Za-z0-9]+):/+", "$1:/")
+
+
 def file_manifest(spark: SparkSession, path: str, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
-    """path, length, extension, status (ok, unsupported, empty, too_large); contents are not read."""
+    """path, length, extension, status (ok, unsupported, empty, too_large); contents are not read.
+
+    A scan passes over empty files, so they are taken from the listing that any scan makes.
+    """
+    scanned = _files(spark, path)
+    listed = spark.createDataFrame([(p,) for p in scanned.inputFiles()], "uri string").select(
+        _plain_path(F.url_decode(F.regexp_replace("uri", r"\+", "%2B"))).alias("path")
+    )
+    sizes = scanned.select(_plain_path(F.col("path")).alias("path"), "length")
+    files = listed.join(sizes, "path", "left").withColumn("length", F.coalesce("length", F.lit(0)))
     extension = F.lower(F.regexp_extract("path", r"(\.[^./\\]+)$", 1))
     status = (
         F.when(~F.col("extension").isin(*EXTENSIONS), "unsupported")
@@ -38,8 +52,7 @@ def file_manifest(spark: SparkSession, path: str, max_bytes: int = MAX_UPLOAD_BY
         .when(F.col("length") > max_bytes, "too_large")
         .otherwise("ok")
     )
-    listed = _files(spark, path).select("path", "length", extension.alias("extension"))
-    return listed.withColumn("status", status)
+    return files.select("path", "length", extension.alias("extension")).withColumn("status", status)
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
@@ -68,22 +81,35 @@ def file_encodings(spark: SparkSession, path: str, max_bytes: int = MAX_INGEST_B
     return _files(spark, path).filter(F.col("length") <= max_bytes).select("path", encoding.alias("encoding"))
 
 
-# Names Spark's reader knows the encodings by.  It drops a UTF-8 byte-order mark by itself.
+# Names Spark's reader knows the encodings by.  It drops a UTF-8 byte-order mark by itself, and has no
+# CP1252: such files are read as Latin-1, which differs only in the characters below.
 _READER_ENCODING = {
-    "utf-8": "UTF-8", "utf-8-sig": "UTF-8", "utf-16": "UTF-16", "cp1252": "windows-1252", "latin-1": "ISO-8859-1",
+    "utf-8": "UTF-8", "utf-8-sig": "UTF-8", "utf-16": "UTF-16", "cp1252": "ISO-8859-1", "latin-1": "ISO-8859-1",
 }
+_CP1252_BYTES = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+_AS_LATIN = bytes(_CP1252_BYTES).decode("latin-1")
+_AS_CP1252 = bytes(_CP1252_BYTES).decode("cp1252")
 
 
 def read_csv(
-    spark: SparkSession, path: str, *, schema: T.StructType | str | None = None, encoding: str = "UTF-8",
-    skip_bad_lines: bool = False, multiline: bool = False,
+    spark: SparkSession, path: str | list[str], *, schema: T.StructType | str | None = None,
+    encoding: str = "utf-8", skip_bad_lines: bool = False, multiline: bool = False,
 ) -> DataFrame:
     """Header and comma.  Types are inferred unless a schema is given, which spares a scan."""
-    reader = spark.read.option("header", "true").option("encoding", encoding).option("escape", '"').option(
-        "mode", "DROPMALFORMED" if skip_bad_lines else "PERMISSIVE"
-    ).option("multiLine", str(multiline).lower())
+    reader = (
+        spark.read.option("header", "true")
+        .option("encoding", _READER_ENCODING.get(encoding, encoding))
+        .option("escape", '"')
+        .option("mode", "DROPMALFORMED" if skip_bad_lines else "PERMISSIVE")
+        .option("multiLine", str(multiline or encoding == "utf-16").lower())  # lines of UTF-16 cannot be split as bytes
+    )
     reader = reader.option("inferSchema", "true") if schema is None else reader.schema(schema)
-    return nan_to_null(reader.csv(path))
+    df = reader.csv(path)
+    if encoding == "cp1252":
+        to_cp1252 = str.maketrans(_AS_LATIN, _AS_CP1252)
+        df = df.toDF(*[c.translate(to_cp1252) for c in df.columns])
+        df = df.withColumns({c: F.translate(quoted(c), _AS_LATIN, _AS_CP1252) for c in columns_of(df, "text")})
+    return nan_to_null(df)
 
 
 def read_csv_any_encoding(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -93,19 +119,14 @@ def read_csv_any_encoding(spark: SparkSession, path: str, **options) -> DataFram
     """
     by_encoding: dict[str, list[str]] = {}
     for r in file_encodings(spark, path).collect():
-        by_encoding.setdefault(_READER_ENCODING[r["encoding"]], []).append(r["path"])
+        by_encoding.setdefault(r["encoding"], []).append(r["path"])
     if not by_encoding:
         raise DataLoadError(f"no files under {path}")
     out: DataFrame | None = None
     for encoding in sorted(by_encoding):
-        reader = spark.read.option("header", "true").option("encoding", encoding).option("escape", '"')
-        if options.get("schema") is not None:
-            reader = reader.schema(options["schema"])
-        else:
-            reader = reader.option("inferSchema", "true")
-        part = reader.csv(by_encoding[encoding])
+        part = read_csv(spark, by_encoding[encoding], encoding=encoding, **options)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return nan_to_null(out)
+    return out
 
 
 def require_rows(df: DataFrame) -> DataFrame:
