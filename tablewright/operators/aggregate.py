@@ -26,7 +26,7 @@ from tablewright.functions.semantics import (
 from tablewright.operators.roles import Roles, classify
 from tablewright.plans.materialize import materialize
 from tablewright.plans.selection import column_quantiles, group_quantiles
-from tablewright.plans.stats import column_stats, frequencies, numeric_columns, pin, text_columns
+from tablewright.plans.stats import column_stats, numeric_columns, text_columns, top_values
 
 
 # ---- grouped aggregates ----------------------------------------------------------------------
@@ -163,9 +163,7 @@ def kpis(df: DataFrame, measures: Sequence[str]) -> DataFrame:
 
 def top_category(df: DataFrame, dimensions: Sequence[str]) -> DataFrame:
     """column_name, value, n: the most frequent value of each dimension."""
-    freq = frequencies(df, dimensions).filter(F.col("value").isNotNull())
-    best = F.min_by(F.struct("value", "n"), F.struct((-F.col("n")).alias("n"), F.col("value")))
-    return freq.groupBy("column_name").agg(best.alias("b")).select("column_name", "b.value", "b.n")
+    return top_values(df, dimensions, 1).drop("place")
 
 
 def growth_rate(df: DataFrame, value: str, order_by: Sequence[str]) -> DataFrame:
@@ -237,8 +235,9 @@ def monthly_trend(df: DataFrame, at: str, value: str, agg: str = "sum") -> DataF
     """month, `{value}_{agg}` for months that have rows, in order; rows without a time are left out."""
     return (
         df.filter(quoted(at).isNotNull())
-        .groupBy(month_of(quoted(at)).alias("month"))
+        .groupBy(F.trunc(quoted(at), "month").alias("month"))
         .agg(aggregate_named(agg)(quoted(value)).alias(f"{value}_{agg}"))
+        .withColumn("month", month_of(F.col("month")))  # formatted once per month, not per row
         .orderBy("month")
     )
 
@@ -342,19 +341,21 @@ def gold_tables(df: DataFrame, roles: Roles | None = None, top_n: int = 20) -> d
     """
     roles = roles or classify(df)
     measures, tables = roles.measures[:5], {}
-    sides = [(d, quoted(d)) for d in roles.dimensions[:5]]
-    sides += [(f"month of {t}", month_of(quoted(t))) for t in roles.datetimes[:2]]
+    no_text, no_date = F.lit(None).cast("string"), F.lit(None).cast("date")
+    sides = [(d, quoted(d).cast("string"), no_date) for d in roles.dimensions[:5]]
+    sides += [(f"month of {t}", no_text, F.trunc(quoted(t), "month")) for t in roles.datetimes[:2]]
     if measures and sides:
         spread = F.inline(F.array(*[
-            F.struct(F.lit(n).alias("__side"), c.cast("string").alias("__key")) for n, c in sides
+            F.struct(F.lit(n).alias("__side"), c.alias("__text"), m.alias("__month")) for n, c, m in sides
         ]))
         aggs: list[Column] = []
         for i, m in enumerate(measures):
             aggs += [total(F.col(f"__m{i}")).alias(f"__sum{i}"), F.avg(f"__m{i}").alias(f"__mean{i}")]
         cube = materialize(
             df.select(*[quoted(m).alias(f"__m{i}") for i, m in enumerate(measures)], spread)
-            .groupBy("__side", "__key")
+            .groupBy("__side", "__text", "__month")
             .agg(*aggs)
+            .withColumn("__key", F.coalesce("__text", month_of(F.col("__month"))))
         )
         sizes = {r["__side"]: r["n"] for r in cube.groupBy("__side").agg(F.count(F.lit(1)).alias("n")).collect()}
 
@@ -457,8 +458,9 @@ def filter_in(df: DataFrame, choices: dict[str, Sequence[str]]) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int = 500, seed: int = 42) -> DataFrame:
-    """At most n random rows; the fraction is set from the row count so that few are read to the end."""
+    """At most n random rows: somewhat more are drawn, and n of those taken at random."""
     rows = df.count()
     if rows <= n:
         return df
-    return df.sample(fraction=min(1.0, 1.5 * n / rows + 10 / rows), seed=seed).limit(n)
+    few = df.sample(fraction=min(1.0, 1.5 * n / rows + 10 / rows), seed=seed)
+    return few.orderBy(F.rand(seed)).limit(n)

@@ -115,7 +115,7 @@ def performance_gaps(
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     sides = F.inline(F.array(*[
-        F.struct(F.lit(c).alias("category"), comparable(c, types[c], False).alias("key")) for c in categories
+        F.struct(F.lit(c).alias("category"), comparable(c, types[c]).alias("key")) for c in categories
     ]))
     spread = df.select(*[quoted(n).cast("double").alias(f"__n{i}") for i, n in enumerate(numbers)], sides)
     means = spread.filter(F.col("key").isNotNull()).groupBy("category", "key").agg(
@@ -177,7 +177,7 @@ def categorical_drift(df: DataFrame, dimensions: Sequence[str], order_by: Sequen
     """column_name, categories, max_shift (points of share between halves), status (above 10 Drifted)."""
     early = first_half(df, order_by)
     types = {f.name: f.dataType for f in df.schema.fields}
-    texts = df.select(early.alias("early"), *[comparable(c, types[c], True).alias(c) for c in dimensions])
+    texts = df.select(early.alias("early"), *[comparable(c, types[c]).alias(c) for c in dimensions])
     long = texts.unpivot(["early"], [quoted(c) for c in dimensions], "column_name", "value")
     counts = long.filter(F.col("value").isNotNull()).groupBy("column_name", "value").agg(
         F.count_if("early").alias("a"), F.count_if(~F.col("early")).alias("b")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions.semantics import kind_of, quoted
-from tablewright.plans.joins import attach
+from tablewright.plans.joins import attach_aggregates
 from tablewright.plans.stats import column_stats, distinct_counts
 
 # The stages a dataset passes, in order.
@@ -245,10 +245,8 @@ def merged_registry(
     at = F.struct(*[quoted(c) for c in order_by])
     live = log
     if op is not None:
-        gone = log.filter(quoted(op) == "delete").groupBy(key).agg(F.max(at).alias("__gone"))
-        live = attach(log, gone, [key]).filter(
-            (quoted(op) != "delete") & (F.col("__gone").isNull() | (at > F.col("__gone")))
-        )
+        marked = attach_aggregates(log, key, {"__gone": F.max(at)}, source=log.filter(quoted(op) == "delete"))
+        live = marked.filter((quoted(op) != "delete") & (F.col("__gone").isNull() | (at > F.col("__gone"))))
     lead = quoted(order_by[0])
     return live.groupBy(key).agg(
         *[F.max_by(quoted(f), F.when(quoted(f).isNotNull(), at)).alias(f) for f in fields],

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.semantics import aggregate_named, kind_of, month_of, quoted
+from tablewright.functions.semantics import aggregate_named, kind_of, quoted
 from tablewright.operators.aggregate import (
     correlation_matrix,
+    monthly_trend,
     sample_rows,
     top_groups,
     value_counts,
@@ -33,10 +34,11 @@ def grouped_bar(df: DataFrame, x: str, y: str, color: str, agg: str = "sum", top
 
 def line(df: DataFrame, x: str, y: str, agg: str = "sum") -> DataFrame:
     """Aggregates by month if x is a date, otherwise by x, in order of x."""
-    key = month_of(quoted(x)) if kind_of(df.schema[x].dataType) == "datetime" else quoted(x)
+    if kind_of(df.schema[x].dataType) == "datetime":
+        return monthly_trend(df, x, y, agg).withColumnRenamed("month", "x")
     return (
         df.filter(quoted(x).isNotNull())
-        .groupBy(key.alias("x"))
+        .groupBy(quoted(x).alias("x"))
         .agg(aggregate_named(agg)(quoted(y)).alias(f"{y}_{agg}"))
         .orderBy("x")
     )

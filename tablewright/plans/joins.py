@@ -2,25 +2,51 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions.semantics import quoted
 from tablewright.plans.materialize import materialize
 
-# A per-key table up to this many rows is broadcast.  Only keys and a few numbers are attached, so
+# A per-key table up to this many rows is broadcast.  Only a key and a few numbers are attached, so
 # this is some tens of megabytes at most.
 BROADCAST_KEYS = 500_000
+# A key with more than one row in HOT_SHARE is hot.  There can be no more than HOT_SHARE such keys, so
+# their results are broadcast, and their rows are spread over SPREAD places.
+HOT_SHARE = 1_000
+SPREAD = 1_024
 
 
-def attach(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join a per-key table to rows.
+def attach_aggregates(rows: DataFrame, key: str, aggregates: dict[str, Column], source: DataFrame | None = None) -> DataFrame:
+    """Add to each row aggregates over all rows (of `source`, else of `rows`) that share its key.
 
-    The per-key table is computed once and counted: a small one is broadcast, so rows do not move;
-    a larger one is joined by shuffle, where adaptive execution splits the partition of a hot key.
+    Rows without a key get null.  The per-key table is computed once (rows are combined before the
+    shuffle, whatever a key's share) and counted.  A small one is broadcast, so rows do not move.  A
+    larger one is joined by shuffle, with the hot keys taken out of the way: their results are
+    broadcast, and their rows join nothing in the shuffle, spread evenly over it.
     """
-    table = materialize(per_key)
-    if table.count() <= BROADCAST_KEYS:
-        table = F.broadcast(table)
-    return rows.join(table, list(keys), how)
+    base = rows if source is None else source
+    per_key = materialize(
+        base.filter(quoted(key).isNotNull())
+        .groupBy(quoted(key).alias("__key"))
+        .agg(*[a.alias(f"__{n}") for n, a in aggregates.items()], F.count(F.lit(1)).alias("__rows"))
+    )
+    size = per_key.agg(F.count(F.lit(1)).alias("keys"), F.sum("__rows").alias("rows")).first()
+    names = list(aggregates)
+    if size["keys"] <= BROADCAST_KEYS:
+        small = per_key.drop("__rows")
+        joined = rows.join(F.broadcast(small), quoted(key) == F.col("__key"), "left")
+        return joined.select(*[quoted(c) for c in rows.columns], *[F.col(f"__{n}").alias(n) for n in names])
+    hot = per_key.filter(F.col("__rows") * HOT_SHARE > size["rows"]).select(
+        F.col("__key").alias("__hot"), *[F.col(f"__{n}").alias(f"__hot_{n}") for n in names]
+    )
+    marked = rows.join(F.broadcast(hot), quoted(key) == F.col("__hot"), "left")
+    aside = F.col("__hot").isNotNull() | quoted(key).isNull()
+    place = F.when(aside, 1 + F.monotonically_increasing_id() % SPREAD).otherwise(F.lit(0))
+    cold = per_key.drop("__rows").withColumn("__at", F.lit(0).cast("bigint"))
+    joined = marked.withColumn("__place", place).join(
+        cold, (quoted(key) == F.col("__key")) & (F.col("__place") == F.col("__at")), "left"
+    )
+    return joined.select(
+        *[quoted(c) for c in rows.columns], *[F.coalesce(f"__hot_{n}", f"__{n}").alias(n) for n in names]
+    )

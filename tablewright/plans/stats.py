@@ -16,9 +16,16 @@ from tablewright.functions.semantics import (
     parse_timestamp,
     quoted,
 )
+from tablewright.plans.materialize import materialize
 
-# Text longer than this is compared by its SHA-256 digest, so that no shuffle carries whole texts.
+# Text longer than this is compared by its first characters and the SHA-256 digest of the whole, so
+# that no shuffle carries whole texts.  Such a key is longer than any text that stands for itself.
 DIGEST_ABOVE = 64
+# Columns per aggregate: many more, and the generated code outgrows what the JVM compiles.  Each
+# aggregate reads only its own columns, so splitting does not add to what is read.
+COLUMNS_PER_PASS = 24
+# Candidate hashes of repeated rows up to this many (8 bytes each) are broadcast.
+BROADCAST_HASHES = 500_000
 
 
 def column_stats(
@@ -74,7 +81,12 @@ def column_stats(
             )
         return F.struct(*parts)
 
-    return df.agg(F.array(*[row(c) for c in names]).alias("s")).select(F.inline("s"))
+    out: DataFrame | None = None
+    for i in range(0, len(names), COLUMNS_PER_PASS):
+        chunk = [row(c) for c in names[i:i + COLUMNS_PER_PASS]]
+        part = df.agg(F.array(*chunk).alias("s")).select(F.inline("s"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def skewness(df: DataFrame, columns: Iterable[str]) -> DataFrame:
@@ -97,54 +109,94 @@ def skewness(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     )
 
 
-def comparable(name: str, data_type: T.DataType, digest: bool) -> Column:
-    """A column as text such that equal text means equal value."""
+def short_key(c: Column) -> Column:
+    """Text itself when short, otherwise its beginning and the digest of the whole."""
+    return F.when(F.length(c) > DIGEST_ABOVE, F.concat(F.left(c, F.lit(DIGEST_ABOVE)), F.sha2(c, 256))).otherwise(c)
+
+
+def comparable(name: str, data_type: T.DataType) -> Column:
+    """A column as text of bounded length such that equal text means equal value."""
     c, kind = quoted(name), kind_of(data_type)
-    if kind == "numeric" and isinstance(data_type, (T.FloatType, T.DoubleType)):
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
         return (c + F.lit(0.0)).cast("string")  # -0.0 and 0.0 are one value
     if kind == "nested":
-        return F.to_json(c)
-    if kind == "text" and digest:
-        return short_key(c)
-    return c.cast("string")
+        return short_key(F.to_json(c))
+    return short_key(c) if kind == "text" else c.cast("string")
 
 
-def short_key(c: Column) -> Column:
-    """Text itself when short, otherwise its SHA-256 digest."""
-    return F.when(F.length(c) > DIGEST_ABOVE, F.sha2(c, 256)).otherwise(c)
+def frequencies(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """column_name, key, n for every value (null included) of every column, in one shuffle.
 
-
-def frequencies(df: DataFrame, columns: Iterable[str], *, digest: bool = False) -> DataFrame:
-    """column_name, value, n for every value (null included) of every column, in one shuffle."""
+    The key is the value as text, shortened by `short_key` where it is long.
+    """
     names = list(columns)
     types = {f.name: f.dataType for f in df.schema.fields}
-    texts = df.select(*[comparable(c, types[c], digest).alias(c) for c in names])
-    long = texts.unpivot([], [quoted(c) for c in names], "column_name", "value")
-    return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    texts = df.select(*[comparable(c, types[c]).alias(c) for c in names])
+    long = texts.unpivot([], [quoted(c) for c in names], "column_name", "key")
+    return long.groupBy("column_name", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def distinct_counts(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """column_name, n_distinct (nulls not counted)."""
-    freq = frequencies(df, columns, digest=True)
-    return freq.groupBy("column_name").agg(F.count("value").alias("n_distinct"))
+    """column_name, n_distinct (nulls not counted).
+
+    Columns are counted together with those of like type, so that numbers stay numbers; each pass
+    reads only its own columns.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    alike: dict[str, list[tuple[str, Column]]] = {}
+    for name in columns:
+        t, c = types[name], quoted(name)
+        if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            alike.setdefault("whole", []).append((name, c.cast("bigint")))
+        elif isinstance(t, (T.FloatType, T.DoubleType)):
+            alike.setdefault("real", []).append((name, c.cast("double")))
+        else:
+            alike.setdefault("text", []).append((name, comparable(name, t)))
+    out: DataFrame | None = None
+    for members in alike.values():
+        values = df.select(*[c.alias(name) for name, c in members])
+        long = values.unpivot([], [quoted(name) for name, _ in members], "column_name", "v")
+        part = long.distinct().groupBy("column_name").agg(F.count("v").alias("n_distinct"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def top_values(df: DataFrame, columns: Iterable[str], k: int) -> DataFrame:
     """column_name, value, n, place: the k most frequent values of each column, ties by value.
 
-    Spark keeps only k rows per column and task before the shuffle of the ranking.
+    Spark keeps only k rows per column and task before the shuffle of the ranking.  Long texts are
+    counted by their short keys; those that make the list are then looked up in full.
     """
-    by_count = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("value"))
-    freq = frequencies(df, columns).filter(F.col("value").isNotNull())
-    return freq.withColumn("place", F.row_number().over(by_count)).filter(F.col("place") <= k)
+    names = list(columns)
+    by_count = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("key"))
+    freq = frequencies(df, names).filter(F.col("key").isNotNull())
+    top = freq.withColumn("place", F.row_number().over(by_count)).filter(F.col("place") <= k)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    wordy = [c for c in names if kind_of(types[c]) in ("text", "nested")]
+    if not wordy:
+        return top.withColumnRenamed("key", "value")
+    top = pin(top)
+    cut = top.filter(F.length("key") > DIGEST_ABOVE).select("column_name", "key")
+    if not cut.isEmpty():
+        whole = df.select(*[
+            (quoted(c) if kind_of(types[c]) == "text" else F.to_json(quoted(c))).cast("string").alias(c) for c in wordy
+        ]).unpivot([], [quoted(c) for c in wordy], "column_name", "value")
+        texts = (
+            whole.filter(F.length("value") > DIGEST_ABOVE)
+            .withColumn("key", short_key(F.col("value")))
+            .join(F.broadcast(cut), ["column_name", "key"])
+            .groupBy("column_name", "key")
+            .agg(F.any_value("value").alias("value"))
+        )
+        top = top.join(F.broadcast(texts), ["column_name", "key"], "left")
+        value = F.coalesce("value", "key")
+    else:
+        value = F.col("key")
+    return top.select("column_name", value.alias("value"), "n", "place")
 
 
-def duplicate_counts(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
-    """One row: n_rows and n_duplicates (rows beyond the first of each group of equal rows).
-
-    Copies of a row are combined in the task that reads them; long text travels as its digest.
-    """
-    names = list(df.columns if columns is None else columns)
+def _row_keys(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns in a form that can be grouped, long text shortened."""
     types = {f.name: f.dataType for f in df.schema.fields}
 
     def key(name: str) -> Column:
@@ -154,12 +206,34 @@ def duplicate_counts(df: DataFrame, columns: Iterable[str] | None = None) -> Dat
             return F.array_sort(F.map_entries(quoted(name))).alias(name)
         return quoted(name)
 
-    keys = df.select(*[key(c) for c in names])
-    groups = keys.groupBy(*[quoted(c) for c in names]).agg(F.count(F.lit(1)).alias("__n"))
-    return groups.agg(
-        F.coalesce(F.sum("__n"), F.lit(0)).alias("n_rows"),
-        F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("n_duplicates"),
-    )
+    return df.select(*[key(c) for c in names])
+
+
+def duplicate_counts(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+    """One row: n_rows and n_duplicates (rows beyond the first of each group of equal rows).
+
+    Exact in two steps.  Rows are counted by a 64-bit hash, which is all that is shuffled; hashes met
+    once belong to unique rows.  Only rows whose hash repeats are then grouped by their columns: none
+    in a clean table, and all rows if there are too many such hashes to broadcast.  Copies of a row
+    are combined in the task that reads them.
+    """
+    names = list(df.columns if columns is None else columns)
+    keys = _row_keys(df, names)
+    # The hash passes over nulls, so where they are is hashed too.
+    where_null = [quoted(c).isNull() for c in names]
+    hashed = F.xxhash64(*[quoted(c) for c in names], *where_null)
+    by_hash = keys.groupBy(hashed.alias("__h")).agg(F.count(F.lit(1)).alias("__n"))
+    repeated = materialize(by_hash.filter(F.col("__n") > 1).select("__h").limit(BROADCAST_HASHES + 1))
+    n_repeated = repeated.count()
+    if n_repeated == 0:
+        return df.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(0).cast("bigint").alias("n_duplicates"))
+    suspects = keys
+    if n_repeated <= BROADCAST_HASHES:
+        suspects = keys.withColumn("__h", hashed).join(F.broadcast(repeated), "__h", "left_semi")
+    groups = suspects.groupBy(*[quoted(c) for c in names]).agg(F.count(F.lit(1)).alias("__n"))
+    extra = groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("n_duplicates"), F.lit(1).alias("one"))
+    rows = df.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(1).alias("one"))
+    return rows.join(extra, "one").select("n_rows", "n_duplicates")
 
 
 def text_variants(df: DataFrame, columns: Iterable[str]) -> DataFrame:

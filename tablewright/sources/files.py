@@ -55,10 +55,10 @@ def file_manifest(spark: SparkSession, path: str, max_bytes: int = MAX_UPLOAD_BY
     return files.select("path", "length", extension.alias("extension")).withColumn("status", status)
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+def file_hashes(spark: SparkSession, path: str, max_bytes: int = MAX_INGEST_BYTES) -> DataFrame:
     """path, sha256 of the contents, and its first 16 characters."""
     digest = F.sha2("content", 256)
-    return _files(spark, path).select(
+    return _files(spark, path).filter(F.col("length") <= max_bytes).select(
         "path", digest.alias("sha256"), F.substring(digest, 1, 16).alias("short_hash")
     )
 

@@ -13,11 +13,14 @@ def _now() -> datetime:
 
 
 def store_bronze(df: DataFrame, root: str, dataset: str, load_ts: datetime | None = None) -> str:
-    """Append the rows as they came under a load time, and a line to the manifest.  Returns the load."""
+    """Store the rows as they came under a load time, and a line in the manifest.  Returns the load.
+
+    A load is its own folder, so doing it again after a failure replaces it.
+    """
     at = load_ts or _now()
     load = at.strftime("%Y%m%d_%H%M%S")
     path = f"{root}/bronze/{dataset}"
-    df.write.mode("append").parquet(f"{path}/load_ts={load}")
+    df.write.mode("overwrite").parquet(f"{path}/load_ts={load}")
     written = df.sparkSession.read.parquet(f"{path}/load_ts={load}")
     line = written.agg(F.count(F.lit(1)).alias("row_count")).select(
         F.lit(dataset).alias("dataset"), F.lit(load).alias("load_ts"), "row_count",
@@ -35,7 +38,8 @@ def load_bronze(spark: SparkSession, root: str, dataset: str, load: str | None =
 
 def list_bronze(spark: SparkSession, root: str) -> DataFrame:
     """The manifest, newest load first."""
-    return spark.read.parquet(f"{root}/manifest/bronze").orderBy(F.desc("load_ts"), "dataset")
+    lines = spark.read.parquet(f"{root}/manifest/bronze").dropDuplicates(["dataset", "load_ts"])
+    return lines.orderBy(F.desc("load_ts"), "dataset")
 
 
 def store_silver(df: DataFrame, root: str, dataset: str, load: str) -> str:
