@@ -139,10 +139,8 @@ def performance_gaps(
 
 def first_half(df: DataFrame, order_by: Sequence[str]) -> Column:
     """A condition that holds for the first n div 2 rows in row order."""
-    n = df.count()
-    if n < 2:
-        return F.lit(False)
-    return up_to(order_by, order_cuts(df, order_by, [n // 2 - 1])[0])
+    _, cuts = order_cuts(df, order_by, lambda n: [n // 2 - 1] if n >= 2 else [])
+    return up_to(order_by, cuts[0]) if cuts else F.lit(False)
 
 
 def half_split(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
@@ -199,11 +197,10 @@ def quarter_growth(df: DataFrame, measures: Sequence[str], order_by: Sequence[st
         rows = df.filter(quoted(m).isNotNull() & quoted(order_by[0]).isNotNull()).select(
             *[quoted(c) for c in dict.fromkeys([*order_by, m])]
         )
-        n = rows.count()
-        if n < 2:
+        _, cuts = order_cuts(rows, order_by, lambda n: [max(1, n // 4) - 1, n - max(1, n // 4)] if n >= 2 else [])
+        if not cuts:
             continue
-        k = max(1, n // 4)
-        first, last = order_cuts(rows, order_by, [k - 1, n - k])
+        first, last = cuts
         v = quoted(m).cast("double")
         ends = rows.agg(
             F.lit(m).alias("column_name"),

@@ -17,6 +17,7 @@ from tablewright.plans.stats import (
     column_stats,
     duplicate_counts,
     numeric_columns,
+    pin,
     text_columns,
     top_values,
 )
@@ -24,8 +25,12 @@ from tablewright.plans.stats import (
 
 def key_facts(df: DataFrame, measures: Sequence[str]) -> DataFrame:
     """total, mean, count, min, max and spread (percent of the absolute mean) per measure with values."""
+    return _key_facts(column_stats(df, list(measures)))
+
+
+def _key_facts(stats: DataFrame) -> DataFrame:
     spread = ratio((F.col("maximum") - F.col("minimum")) * 100.0, F.abs("mean"))
-    return column_stats(df, list(measures)).filter(F.col("n_valid") > 0).select(
+    return stats.filter(F.col("n_valid") > 0).select(
         "column_name", "total", "mean", F.col("n_valid").alias("count"), "minimum", "maximum",
         spread.alias("spread_pct"),
     )
@@ -45,16 +50,21 @@ def weak_segments(df: DataFrame, dimension: str, measure: str, n: int = 3, below
 
 def sparse_measures(df: DataFrame, measures: Sequence[str], above_pct: float = 5.0) -> DataFrame:
     """column_name, missing_pct of measures with more missing values than `above_pct`."""
+    return _sparse(column_stats(df, list(measures), moments=False), above_pct)
+
+
+def _sparse(stats: DataFrame, above_pct: float) -> DataFrame:
     pct = percent(F.col("n_missing"), F.col("n_rows"))
-    return column_stats(df, list(measures), moments=False).select("column_name", pct.alias("missing_pct")).filter(
-        F.col("missing_pct") > above_pct
-    )
+    return stats.select("column_name", pct.alias("missing_pct")).filter(F.col("missing_pct") > above_pct)
 
 
 def worst_missing(df: DataFrame) -> DataFrame:
     """The column with most missing values (first in table order on ties), if any value is missing."""
-    stats = column_stats(df, moments=False).filter(F.col("n_missing") > 0)
-    return stats.orderBy(F.desc("n_missing"), "position").limit(1).select(
+    return _worst_missing(column_stats(df, moments=False))
+
+
+def _worst_missing(stats: DataFrame) -> DataFrame:
+    return stats.filter(F.col("n_missing") > 0).orderBy(F.desc("n_missing"), "position").limit(1).select(
         "column_name", "n_missing", percent(F.col("n_missing"), F.col("n_rows")).alias("missing_pct")
     )
 
@@ -91,13 +101,18 @@ def explain_report(df: DataFrame, roles: Roles | None = None, tie_break: Sequenc
     """
     roles = roles or classify(df)
     m, d, t, out = roles.measures, roles.dimensions, roles.datetimes, _Report(df)
+    stats = pin(column_stats(df))  # one scan for all facts about single columns
+
+    def of(names: list[str]) -> DataFrame:
+        return stats.filter(F.col("column_name").isin(names)).orderBy("position")
+
     out.say("overview", f"This dataset contains {roles.n_rows:,} records across {len(df.columns)} columns.")
     for label, names in (("Date columns", t), ("Numeric columns", m), ("Categorical columns", d),
                          ("ID/code columns (excluded from analysis)", roles.identifiers)):
         if names:
             out.say("overview", f"{label}: {', '.join(names)}.")
 
-    for r in key_facts(df, m[:3]).collect() if m else []:
+    for r in _key_facts(of(m[:3])).collect():
         c = r["column_name"]
         out.say("key_insights", f"Total {c} across the dataset is {_money(r['total'], c)}, with an average of "
                                 f"{_money(r['mean'], c)} per record across {r['count']:,} entries.")
@@ -125,20 +140,20 @@ def explain_report(df: DataFrame, roles: Roles | None = None, tie_break: Sequenc
         for r in weak_segments(df, d[0], m[0]).collect():
             out.say("weak_segments", f"{r[d[0]]} contributes only {r['share_pct']:.1f}% "
                                      f"({_money(r['total'], m[0])}), suggesting potential for improvement.")
-        for r in sparse_measures(df, m[:3]).collect()[: 4 - sum(1 for x in out.rows if x[0] == "weak_segments")]:
+        for r in _sparse(of(m[:3]), 5.0).collect()[: 4 - sum(1 for x in out.rows if x[0] == "weak_segments")]:
             out.say("weak_segments", f"{r['column_name']} has {r['missing_pct']:.1f}% missing data, "
                                      "which may affect analysis accuracy.")
     for r in strong_correlations(df, m, 0.5).limit(4).collect() if len(m) >= 2 else []:
         out.say("correlations", f"{r['column_a']} and {r['column_b']} are {r['strength']}ly {r['direction']}ly "
                                 f"correlated ({r['r']:.2f}).")
-    _remedies(df, out, "recommendations")
+    _remedies(df, stats, out, "recommendations")
     if m and d:
         out.say("recommendations", f"Consider segmenting {m[0]} by {d[0]} for targeted business strategies.")
     return out.frame()
 
 
-def _remedies(df: DataFrame, out: _Report, section: str) -> None:
-    for r in worst_missing(df).collect():
+def _remedies(df: DataFrame, stats: DataFrame, out: _Report, section: str) -> None:
+    for r in _worst_missing(stats).collect():
         out.say(section, f"Address missing data in '{r['column_name']}' ({r['missing_pct']:.1f}% missing).")
     dup = duplicate_counts(df).first()
     if dup["n_duplicates"]:

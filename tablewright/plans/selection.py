@@ -7,7 +7,7 @@ round is one scan with partial aggregation; its result has at most CELLS rows pe
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions.semantics import kind_of, quoted
 from tablewright.plans.materialize import materialize
+from tablewright.plans.stats import pin
 
 CELLS = 4096
 # A cell with no more rows than this is finished by ranking its distinct values.
@@ -55,26 +56,43 @@ def _joined_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
     return left.join(right, match).drop(*[f"__r_{k}" for k in names])
 
 
-def select_ranks(items: DataFrame, keys: Sequence[str], targets: DataFrame) -> DataFrame:
+def select_ranks(
+    items: DataFrame | Callable[[list[str]], DataFrame], keys: Sequence[str], targets: DataFrame, *,
+    few: bool = False,
+) -> DataFrame:
     """The value at each wanted rank.
 
-    items: keys..., v (numeric, never null).  targets: keys..., n, rank (from 0), lo, hi where lo and
+    items: keys..., v (numeric, never null).  Where the only key is a column name, items may be a
+    function of the names still searched, so that a round reads no other columns.  targets: keys..., n, rank (from 0), lo, hi where lo and
     hi are the bounds of the group's values.  Result: keys..., n, rank, v, below (rows less than v) and
     same (rows equal to v).
+
+    The state of the search, one row per target, is kept between rounds: on the driver if there are
+    `few` targets (a handful per column), otherwise in the checkpoint folder.
     """
-    state = materialize(
+    keep = pin if few else materialize
+    state = keep(
         targets.select(
             *keys, "n", "rank", F.lit(0).cast("bigint").alias("below"), F.col("n").alias("cnt"), "lo", "hi"
         )
     )
+
+    def items_of(cells: DataFrame) -> DataFrame:
+        if not callable(items):
+            return items
+        return items(sorted(r[0] for r in cells.select(*keys).distinct().collect()))
+
     while True:
         wide = (F.col("lo") < F.col("hi")) & (F.col("cnt") > SMALL_CELL)
-        seen = state.agg(F.count_if(wide).alias("open"), F.count(F.lit(1)).alias("all")).first()
+        seen = state.agg(
+            F.count_if(wide).alias("open"), F.count_if(F.col("lo") < F.col("hi")).alias("unsettled"),
+            F.count(F.lit(1)).alias("all"),
+        ).first()
         if not seen["open"]:
             break
         open_, closed = state.filter(wide), state.filter(~wide)
         cells = open_.select(*keys, "lo", "hi").distinct()
-        near = _near(items, cells, keys, seen["open"])
+        near = _near(items_of(cells), cells, keys, seen["open"])
         at = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
         counted = near.groupBy(
             *keys, "lo", "hi", F.least(F.lit(CELLS - 1), F.floor(at * CELLS)).alias("cell")
@@ -92,14 +110,16 @@ def select_ranks(items: DataFrame, keys: Sequence[str], targets: DataFrame) -> D
                 F.col("c").alias("cnt"), F.col("c_lo").alias("lo"), F.col("c_hi").alias("hi"),
             )
         )
-        state = materialize(closed.unionByName(narrowed))
+        state = keep(closed.unionByName(narrowed))
 
     done = state.filter(F.col("lo") == F.col("hi")).select(
         *keys, "n", "rank", F.col("lo").alias("v"), "below", F.col("cnt").alias("same")
     )
+    if not seen["unsettled"]:
+        return done
     rest = state.filter(F.col("lo") < F.col("hi"))
     cells = rest.select(*keys, "lo", "hi").distinct()
-    values = _near(items, cells, keys, seen["all"]).groupBy(*keys, "lo", "hi", "v").agg(
+    values = _near(items_of(cells), cells, keys, seen["all"]).groupBy(*keys, "lo", "hi", "v").agg(
         F.count(F.lit(1)).alias("c")
     )
     earlier = Window.partitionBy(*keys, "lo", "hi").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
@@ -118,13 +138,31 @@ def group_quantiles(items: DataFrame, keys: Sequence[str], probs: Sequence[float
 
     Small groups take the built-in percentile; once any group is large, all are narrowed.
     """
-    items = items.select(*keys, "v").filter(F.col("v").isNotNull())
-    bounds = items.groupBy(*keys).agg(
+    present = items.select(*keys, "v").filter(F.col("v").isNotNull())
+    return _quantiles(present, present, keys, probs, few=False)
+
+
+def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """column_name, n, q for several numeric columns; a column without values has no row."""
+    def items(names: Sequence[str]) -> DataFrame:
+        wide = df.select(*[quoted(c).cast("double").alias(c) for c in names])
+        long = wide.unpivot([], [quoted(c) for c in names], "column_name", "v")
+        return long.filter(F.col("v").isNotNull())
+
+    return _quantiles(items(list(columns)), items, ["column_name"], probs, few=True)
+
+
+def _quantiles(
+    whole: DataFrame, items: DataFrame | Callable[[list[str]], DataFrame], keys: Sequence[str],
+    probs: Sequence[float], few: bool,
+) -> DataFrame:
+    keep = pin if few else materialize
+    bounds = keep(whole.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
-    )
+    ))
     largest = bounds.agg(F.max("n")).first()[0] or 0
     if largest <= DIRECT_VALUES:
-        return items.groupBy(*keys).agg(
+        return whole.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("n"),
             F.percentile("v", F.array(*[F.lit(float(p)) for p in probs])).alias("q"),
         )
@@ -133,7 +171,7 @@ def group_quantiles(items: DataFrame, keys: Sequence[str], probs: Sequence[float
         at = F.floor(F.lit(float(p)) * (F.col("n") - 1))
         ranks += [at, F.least(at + 1, F.col("n") - 1)]
     targets = bounds.withColumn("rank", F.explode(F.array_distinct(F.array(*ranks))))
-    found = select_ranks(items, keys, targets)
+    found = select_ranks(items, keys, targets, few=few)
     by_rank = found.groupBy(*keys, "n").agg(
         F.map_from_entries(F.collect_list(F.struct("rank", F.col("v").cast("double")))).alias("m")
     )
@@ -148,14 +186,6 @@ def group_quantiles(items: DataFrame, keys: Sequence[str], probs: Sequence[float
     return by_rank.select(*keys, "n", F.array(*[at_prob(p) for p in probs]).alias("q"))
 
 
-def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """column_name, n, q for several numeric columns; a column without values has no row."""
-    names = list(columns)
-    wide = df.select(*[quoted(c).cast("double").alias(c) for c in names])
-    items = wide.unpivot([], [quoted(c) for c in names], "column_name", "v")
-    return group_quantiles(items, ["column_name"], probs)
-
-
 def quantiles_on_driver(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float]
 ) -> dict[str, tuple[int, list[float]]]:
@@ -191,44 +221,57 @@ def _as_literal(v, data_type: T.DataType) -> Column:
     return F.lit(v).cast(data_type)
 
 
-def order_cuts(df: DataFrame, order_by: Sequence[str], ranks: Sequence[int]) -> list[list[Column]]:
-    """For each rank, the order key of the row standing there, as literals.
+def order_cuts(
+    df: DataFrame, order_by: Sequence[str], ranks: Callable[[int], Sequence[int]]
+) -> tuple[int, list[list[Column]]]:
+    """The number of rows n, and for each of `ranks(n)` the order key of the row standing there.
 
-    `order_by` must identify rows, so that ties are broken.  No order column may be null.  The key is
-    as long as it needs to be: where the leading column already singles out the row, it is that alone.
+    Keys are literals.  `order_by` must identify rows, so that ties are broken.  Rows without a
+    leading order value stand nowhere and are not counted.  A key is as long as it needs to be: where
+    the leading column already singles out the row, it is that alone.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
 
-    def values_at(rows: DataFrame, name: str, wanted: list[int]) -> dict[int, tuple[object, int, int]]:
-        items = rows.select(
-            F.lit(0).alias("g"), _as_number(quoted(name), types[name]).alias("v")
-        ).filter(F.col("v").isNotNull())
-        bounds = items.groupBy("g").agg(
-            F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
-        )
-        targets = bounds.withColumn(
-            "rank", F.explode(F.array(*[F.lit(int(r)).cast("bigint") for r in wanted]))
+    def items_of(rows: DataFrame, name: str) -> DataFrame:
+        v = _as_number(quoted(name), types[name]).alias("v")
+        return rows.select(F.lit(0).alias("g"), v).filter(F.col("v").isNotNull())
+
+    def ends_of(items: DataFrame):
+        return items.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+
+    def values_at(items: DataFrame, ends, wanted: Sequence[int]) -> dict[int, tuple]:
+        v = items.schema["v"].dataType.simpleString()
+        targets = df.sparkSession.createDataFrame(
+            [(0, ends["n"], int(r), ends["lo"], ends["hi"]) for r in sorted(set(wanted))],
+            f"g int, n bigint, rank bigint, lo {v}, hi {v}",
         )
-        found = select_ranks(items, ["g"], targets).collect()
+        found = select_ranks(items, ["g"], targets, few=True).collect()
         return {r["rank"]: (r["v"], r["below"], r["same"]) for r in found}
 
     def complete(key: list[Column], rows: DataFrame, rest: Sequence[str], left: int, same: int) -> list[Column]:
-        if same == 1 or not rest:
+        """Add to a key shared by `same` rows what singles out the row at place `left` among them."""
+        if (same == 1 and key) or not rest:
             return key
         if same <= SMALL_CELL:
             names = [_as_number(quoted(c), types[c]).alias(c) for c in rest]
             row = rows.select(*names).orderBy(*[quoted(c) for c in rest]).offset(left).limit(1).first()
             return key + [_as_literal(row[c], types[c]) for c in rest]
-        v, below, same = values_at(rows, rest[0], [left])[left]
+        items = items_of(rows, rest[0])
+        return extend(key, rows, rest, left, values_at(items, ends_of(items), [left])[left])
+
+    def extend(key: list[Column], rows: DataFrame, rest: Sequence[str], rank: int, found: tuple) -> list[Column]:
+        v, below, same = found
         at = _as_literal(v, types[rest[0]])
-        return complete([*key, at], rows.filter(quoted(rest[0]) == at), rest[1:], left - below, same)
-
-    lead, cuts = values_at(df, order_by[0], sorted(set(ranks))), []
-    for rank in ranks:
-        v, below, same = lead[rank]
-        at = _as_literal(v, types[order_by[0]])
-        cuts.append(complete([at], df.filter(quoted(order_by[0]) == at), order_by[1:], rank - below, same))
-    return cuts
+        return complete([*key, at], rows.filter(quoted(rest[0]) == at), rest[1:], rank - below, same)
+
+    lead = items_of(df, order_by[0])
+    ends = ends_of(lead)
+    n, wanted = ends["n"], list(ranks(ends["n"]))
+    if n <= SMALL_CELL:
+        rows = df.filter(quoted(order_by[0]).isNotNull())
+        return n, [complete([], rows, order_by, r, n) for r in wanted]
+    found = values_at(lead, ends, wanted)
+    return n, [extend([], df, order_by, r, found[r]) for r in wanted]
 
 
 def up_to(order_by: Sequence[str], key: Sequence[Column]) -> Column:

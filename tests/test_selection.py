@@ -91,15 +91,17 @@ def test_order_cuts_break_ties(spark, monkeypatch, small_cell):
     for kind in ("timestamp", "timestamp_ntz"):
         df = spark.createDataFrame(rows, "ts timestamp, id long").select(F.col("ts").cast(kind).alias("ts"), "id")
         ordered = sorted(rows)
-        for rank in (0, 449, 899):
-            key = S.order_cuts(df, ["ts", "id"], [rank])[0]
+        ranks = [0, 449, 899]
+        n, keys = S.order_cuts(df, ["ts", "id"], lambda n: ranks)
+        assert n == 900
+        for rank, key in zip(ranks, keys):
             assert df.filter(S.up_to(["ts", "id"], key)).count() == rank + 1
             assert df.filter(S.from_on(["ts", "id"], key)).count() == len(ordered) - rank
 
 
 def test_order_by_text_is_refused(spark):
     with pytest.raises(ValueError):
-        S.order_cuts(spark.createDataFrame([("a",)], "t string"), ["t"], [0])
+        S.order_cuts(spark.createDataFrame([("a",)], "t string"), ["t"], lambda n: [0])
 
 
 @pytest.mark.parametrize("values", [
