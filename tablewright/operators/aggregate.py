@@ -196,6 +196,19 @@ def kpi_delta(df: DataFrame, measures: Sequence[str], predicate: Column) -> Data
     return out.withColumn("delta_pct", delta)
 
 
+def kpi_cards(df: DataFrame, cards: Sequence[tuple[str, str, str]], predicate: Column) -> DataFrame:
+    """label, value, base, delta_pct for cards of (label, column, aggregate), all from one scan."""
+    def row(label: str, column: str, agg: str) -> Column:
+        v, fn = quoted(column).cast("double"), aggregate_named(agg)
+        return F.struct(
+            F.lit(label).alias("label"), fn(F.when(predicate, v)).cast("double").alias("value"),
+            fn(v).cast("double").alias("base"),
+        )
+
+    out = df.agg(F.array(*[row(*c) for c in cards]).alias("r")).select(F.inline("r"))
+    return out.withColumn("delta_pct", percent(F.col("value") - F.col("base"), F.abs("base")))
+
+
 def scalar_aggregates(df: DataFrame, column: str) -> DataFrame:
     """One row: rows, count, mean, sum, min, max, median, std and distinct values of a column."""
     v = quoted(column)

@@ -16,15 +16,22 @@ from tablewright.operators.aggregate import (
     value_counts,
 )
 from tablewright.plans.selection import column_quantiles, group_quantiles
+from tablewright.plans.stats import pin
 
 FIVE_NUMBERS = [0.0, 0.25, 0.5, 0.75, 1.0]
 
 
 def bar(df: DataFrame, x: str, y: str, agg: str = "sum", top_n: int = 10) -> DataFrame:
-    """The x with the largest aggregates of y; missing x is left out.  Also a treemap's data."""
+    """The x with the largest aggregates of y; missing x is left out."""
     return top_groups(df, x, y, agg, top_n, keep_null=False)
 
 
+def treemap(df: DataFrame, x: str, y: str, agg: str = "sum", top_n: int = 12) -> DataFrame:
+    """As a bar chart, but empty where fewer than two groups would show."""
+    top = pin(bar(df, x, y, agg, top_n))
+    return top if top.count() >= 2 else top.filter(F.lit(False))
+
+
 def grouped_bar(df: DataFrame, x: str, y: str, color: str, agg: str = "sum", top_n: int = 10) -> DataFrame:
     """Aggregates by x and colour for the top x; at most `top_n` keys are broadcast."""
     top = bar(df, x, y, agg, top_n).select(quoted(x))

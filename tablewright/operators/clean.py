@@ -20,6 +20,7 @@ from tablewright.functions.semantics import (
     parse_timestamp,
     quoted,
 )
+from tablewright.operators.aggregate import business_metrics
 from tablewright.plans.materialize import materialize
 from tablewright.plans.selection import quantiles_on_driver
 from tablewright.plans.stats import column_stats, duplicate_counts, numeric_columns, text_columns, top_values
@@ -221,3 +222,21 @@ def add_derived_columns(df: DataFrame) -> DataFrame:
         out[f"{c}_month"] = F.month(quoted(c))
         out[f"{c}_dayofweek"] = F.weekday(quoted(c))
     return df.withColumns(out) if out else df
+
+
+def transform(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The table with derived columns, business metrics of its numbers, and a log with a row per step.
+
+    Metrics are over the derived table, so they cover the added numeric columns too.
+    """
+    out = add_derived_columns(df)
+    added = [c for c in out.columns if c not in df.columns]
+    metrics = business_metrics(out)
+    log = df.sparkSession.createDataFrame(
+        [
+            (1, "add_derived_columns", 0, {"columns_added": ",".join(added)}),
+            (2, "compute_business_metrics", 0, {"columns": str(len(numeric_columns(out)))}),
+        ],
+        LOG_SCHEMA,
+    )
+    return out, metrics, log

@@ -256,7 +256,7 @@ def text_variants(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Compute a frame of one row per column (or a single row) once, for use by several reports."""
+    """Compute a frame of a few rows (one per column, or a top-k) once, for use by several reports."""
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 

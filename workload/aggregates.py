@@ -153,6 +153,11 @@ def kpi_delta(spark, d):
     return rounded(out, 4, "total", "mean", "base_total", "base_mean", "delta_pct")
 
 
+def kpi_cards(spark, d):
+    cards = [("Mean quantity", "l_quantity", "mean"), ("Largest price", "l_extendedprice", "max"), ("Lines", "l_tax", "count")]
+    return rounded(A.kpi_cards(table(spark, d, "lineitem"), cards, F.col("l_returnflag") == "R"), 4, "value", "base", "delta_pct")
+
+
 def monthly_trend(spark, d):
     out = A.monthly_trend(view(spark, d, "lineitem", GAPPY_LINEITEM), "l_shipdate", "l_extendedprice")
     return rounded(out, 2, "l_extendedprice_sum")
@@ -251,6 +256,7 @@ QUERIES = {
     "ranking_multi": ranking_multi,
     "ranking_second": ranking_second,
     "kpi_delta": kpi_delta,
+    "kpi_cards": kpi_cards,
     "monthly_trend": monthly_trend,
     "monthly_resample": monthly_resample,
     "trend_change": trend_change,
@@ -361,6 +367,11 @@ SELECT (SELECT count(*) FROM t) AS n_rows, CAST(5 AS BIGINT) AS n_columns,
         f"avg({m}) FILTER (WHERE l_returnflag IN ('R', 'A')) AS am, sum({m}) AS b, avg({m}) AS bm FROM lineitem)"
         for m in _MEASURES
     ),
+    "kpi_cards": " UNION ALL ".join(
+        f"SELECT '{label}' AS label, round(CAST(a AS DOUBLE), 4) AS value, round(CAST(b AS DOUBLE), 4) AS base, "
+        f"round((a - b) * 100.0 / abs(b), 4) AS delta_pct FROM (SELECT {fn} FILTER (WHERE l_returnflag = 'R') AS a, {fn} AS b FROM lineitem)"
+        for label, fn in (("Mean quantity", "avg(l_quantity)"), ("Largest price", "max(l_extendedprice)"), ("Lines", "count(l_tax)"))
+    ),
     "monthly_trend": f"SELECT strftime(l_shipdate, '%Y-%m') AS month, round(sum(l_extendedprice), 2) AS l_extendedprice_sum "
                      f"FROM {_GAPPY} WHERE l_shipdate IS NOT NULL GROUP BY 1",
     "monthly_resample": f"WITH {_RESAMPLED} SELECT month, round(total, 2) AS total FROM r",

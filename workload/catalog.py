@@ -89,6 +89,13 @@ def lineage_status(spark, d):
     return G.lineage_status(view(spark, d, "events", ["event_id", f"{_STAGE_CASE} AS stage_id"]))
 
 
+_CLEARED = ["event_id", "ts", "user_id AS dataset", "CASE WHEN event_type = 'error' THEN 'cleared' ELSE event_type END AS stage_id"]
+
+
+def lineage_cleared(spark, d):
+    return G.since_cleared(view(spark, d, "events", _CLEARED), ["ts", "event_id"])
+
+
 def access_log(spark, d):
     return G.recent(view(spark, d, "events", _ACCESS), 50, ["ts", "event_id"], action="click")
 
@@ -157,6 +164,7 @@ QUERIES = {
     "schema_added": schema_added,
     "schema_removed": schema_removed,
     "lineage_status": lineage_status,
+    "lineage_cleared": lineage_cleared,
     "access_log": access_log,
     "recent_events": recent_events,
     "log_retained": log_retained,
@@ -224,6 +232,10 @@ WITH s(position, stage_id, label, previous_stage) AS (VALUES {_STAGE_ROWS}),
  e AS (SELECT {_STAGE_CASE} AS stage_id, count(*) AS n FROM events GROUP BY 1)
 SELECT position, s.stage_id, label, n IS NOT NULL AS completed, coalesce(n, 0) AS n_events, previous_stage
 FROM s LEFT JOIN e ON e.stage_id = s.stage_id""",
+    "lineage_cleared": f"""
+WITH t AS (SELECT {', '.join(_CLEARED)} FROM events), n AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS rn FROM t)
+SELECT event_id, ts, dataset, stage_id FROM n
+WHERE rn > coalesce((SELECT max(c.rn) FROM n c WHERE c.dataset = n.dataset AND c.stage_id = 'cleared'), 0)""",
     "access_log": f"SELECT {', '.join(_ACCESS)} FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 50",
     "recent_events": "SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 50",
     "log_retained": "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS rn FROM events) "

@@ -25,6 +25,10 @@ def chart_bar_median(spark, d):
     return rounded(V.bar(table(spark, d, "part"), "p_brand", "p_retailprice", "median", 12), 4, "p_retailprice_median")
 
 
+def treemap(spark, d):
+    return rounded(V.treemap(table(spark, d, "part"), "p_brand", "p_retailprice"), 2, "p_retailprice_sum")
+
+
 def grouped_topn(spark, d):
     return rounded(V.grouped_bar(table(spark, d, "part"), "p_brand", "p_retailprice", "p_type", top_n=5), 2, "p_retailprice_sum")
 
@@ -70,6 +74,7 @@ QUERIES = {
     "chart_bar": chart_bar,
     "chart_bar_mean": chart_bar_mean,
     "chart_bar_median": chart_bar_median,
+    "treemap": treemap,
     "grouped_topn": grouped_topn,
     "chart_line": chart_line,
     "chart_line_number": chart_line_number,
@@ -87,6 +92,7 @@ SQL = {
                  "GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "chart_bar_mean": "SELECT p_brand, round(avg(p_retailprice), 4) AS p_retailprice_mean FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15",
     "chart_bar_median": "SELECT p_brand, round(median(p_retailprice), 4) AS p_retailprice_median FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12",
+    "treemap": "SELECT p_brand, round(sum(p_retailprice), 2) AS p_retailprice_sum FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12",
     "grouped_topn": "SELECT p_brand, p_type, round(sum(p_retailprice), 2) AS p_retailprice_sum FROM part WHERE p_brand IN "
                     "(SELECT p_brand FROM part GROUP BY 1 ORDER BY sum(p_retailprice) DESC, 1 LIMIT 5) GROUP BY 1, 2",
     "chart_line": "SELECT strftime(o_orderdate, '%Y-%m') AS x, round(sum(o_totalprice), 2) AS o_totalprice_sum FROM orders GROUP BY 1",

@@ -82,6 +82,11 @@ def derived_columns(spark, d):
     return rounded(C.add_derived_columns(gappy), 4, "_row_total", "_row_mean")
 
 
+def transform_metrics(spark, d):
+    out = C.transform(table(spark, d, "orders").drop("o_orderpriority"))[1]
+    return rounded(out, 2, "total", "minimum", "maximum")
+
+
 def dim_filter(spark, d):
     return A.filter_in(table(spark, d, "orders"), {"o_orderstatus": ["F", "P"], "o_orderpriority": ["1-URGENT", "5-LOW"]})
 
@@ -120,6 +125,7 @@ QUERIES = {
     "silver_log": silver_log,
     "ffill": ffill,
     "derived_columns": derived_columns,
+    "transform_metrics": transform_metrics,
     "dim_filter": dim_filter,
     "row_at_max": row_at_max,
     "row_at_min": row_at_min,
@@ -161,6 +167,17 @@ SELECT o_orderkey, o_custkey, p AS o_totalprice, o_orderdate,
        CAST(year(o_orderdate) AS INTEGER) AS o_orderdate_year, CAST(month(o_orderdate) AS INTEGER) AS o_orderdate_month,
        CAST(isodow(o_orderdate) - 1 AS INTEGER) AS o_orderdate_dayofweek
 FROM (SELECT *, CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END AS p FROM orders)""",
+    "transform_metrics": " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, round(CAST(sum(v) AS DOUBLE), 2) AS total, round(avg(v), 4) AS mean, "
+        f"round(CAST(median(v) AS DOUBLE), 4) AS median, round(stddev_samp(v), 4) AS std, round(CAST(min(v) AS DOUBLE), 2) AS minimum, "
+        f"round(CAST(max(v) AS DOUBLE), 2) AS maximum FROM (SELECT {e} AS v FROM orders)"
+        for c, e in (
+            ("o_orderkey", "o_orderkey"), ("o_custkey", "o_custkey"), ("o_totalprice", "o_totalprice"),
+            ("_row_total", "o_orderkey + o_custkey + o_totalprice"), ("_row_mean", "(o_orderkey + o_custkey + o_totalprice) / 3"),
+            ("o_orderdate_year", "year(o_orderdate)"), ("o_orderdate_month", "month(o_orderdate)"),
+            ("o_orderdate_dayofweek", "isodow(o_orderdate) - 1"),
+        )
+    ),
     "dim_filter": "SELECT * FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderpriority IN ('1-URGENT', '5-LOW')",
     "row_at_max": "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1",
     "row_at_min": "SELECT * FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 1",

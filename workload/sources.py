@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tablewright.operators import aggregate as A
 from tablewright.operators import clean as C
 from tablewright.operators import profile as P
 from tablewright.plans.materialize import ensure_checkpoint_dir
@@ -68,6 +69,12 @@ def silver_roundtrip(spark, d):
     return spark.read.parquet(path)
 
 
+def gold_roundtrip(spark, d):
+    root = _scratch(spark, "lake")
+    tables = {"by_status": A.top_groups(table(spark, d, "orders"), "o_orderstatus", "o_totalprice")}
+    return rounded(spark.read.parquet(layers.store_gold(tables, root, "orders")[0]), 2, "o_totalprice_sum")
+
+
 def ingest_metadata(spark, d):
     return P.ingest_metadata(table(spark, d, "customer"), "customer").drop("size_mb")
 
@@ -91,6 +98,7 @@ QUERIES = {
     "bronze_roundtrip": bronze_roundtrip,
     "bronze_list": bronze_list,
     "silver_roundtrip": silver_roundtrip,
+    "gold_roundtrip": gold_roundtrip,
     "ingest_metadata": ingest_metadata,
     "auto_date_ratio": auto_date_ratio,
     "auto_dates": auto_dates,
@@ -101,6 +109,7 @@ SQL = {
     "csv_any_encoding": "SELECT * FROM supplier",
     "bronze_roundtrip": "SELECT * FROM orders",
     "silver_roundtrip": "SELECT * FROM customer",
+    "gold_roundtrip": "SELECT o_orderstatus, round(sum(o_totalprice), 2) AS o_totalprice_sum FROM orders GROUP BY 1",
     "bronze_list": "SELECT 'orders' AS dataset, count(*) AS row_count, 6 AS column_count FROM orders "
                    "UNION ALL SELECT 'customer', count(*), 5 FROM customer",
     "ingest_metadata": "SELECT 'customer' AS dataset_name, count(*) AS row_count, 5 AS column_count, "
