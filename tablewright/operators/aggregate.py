@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions.names import (
     KPI_CUSTOMER_WORDS,
@@ -17,7 +19,6 @@ from tablewright.functions.names import (
 from tablewright.functions.semantics import (
     aggregate_named,
     month_of,
-    pearson,
     percent,
     quoted,
     ratio,
@@ -262,14 +263,19 @@ def top_months(df: DataFrame, at: str, value: str, top_n: int = 20) -> DataFrame
 
 
 def monthly_resample(df: DataFrame, at: str, value: str) -> DataFrame:
-    """month, total from the first to the last month, with 0 for months without rows."""
+    """month, total from the first to the last month, with 0 for months without rows.
+
+    Each month that has rows also stands for the empty ones up to the next; the window runs over one
+    row per month.
+    """
     month = F.trunc(quoted(at), "month")
     monthly = df.filter(quoted(at).isNotNull()).groupBy(month.alias("m")).agg(total(quoted(value)).alias("total"))
-    spine = monthly.agg(F.min("m").alias("a"), F.max("m").alias("b")).select(
-        F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 MONTH"))).alias("m")
-    )
-    return spine.join(monthly, "m", "left").select(
-        F.date_format("m", "yyyy-MM").alias("month"), F.coalesce("total", F.lit(0.0)).alias("total")
+    following = F.lead("m").over(Window.partitionBy(F.lit(0)).orderBy("m"))
+    monthly = monthly.withColumn("last", F.coalesce(F.add_months(following, -1), F.col("m")))
+    spans = monthly.select("m", "total", F.explode(F.sequence("m", "last", F.expr("INTERVAL 1 MONTH"))).alias("at"))
+    return spans.select(
+        F.date_format("at", "yyyy-MM").alias("month"),
+        F.when(F.col("at") == F.col("m"), F.col("total")).otherwise(0.0).alias("total"),
     ).orderBy("month")
 
 
@@ -298,48 +304,89 @@ def share_of_total(df: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
+PAIR_SCHEMA = "column_a string, column_b string, r double"
+# Pairs per aggregate, so that generated code stays small enough to compile.
+PAIRS_PER_PASS = 25
+# A deviation below this share of the values' size is rounding, and the column constant.
+CONSTANT_BELOW = 1e-14
+
+
+def _centred_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> list[tuple[str, str, float | None]]:
+    """(column_a, column_b, r) of the given pairs, each over the rows where both are present.
+
+    Values are centred on their column's mean, which a first scan finds, so plain sums of products do
+    without loss of digits.  Columns without gaps share their sums among all their pairs.  The driver
+    reads one row of sums per pass.
+    """
+    names = list(dict.fromkeys(c for p in pairs for c in p))
+    if not pairs:
+        return []
+    facts = {r["column_name"]: r for r in column_stats(df, names).collect()}
+    at = {c: f"x{i}" for i, c in enumerate(names)}
+    full = {c: facts[c]["n_valid"] == facts[c]["n_rows"] for c in names}
+    noise = {
+        c: (CONSTANT_BELOW * max(abs(facts[c]["minimum"] or 0.0), abs(facts[c]["maximum"] or 0.0))) ** 2 for c in names
+    }
+    centred = df.select(*[(quoted(c).cast("double") - F.lit(facts[c]["mean"])).alias(at[c]) for c in names])
+    out: list[tuple[str, str, float | None]] = []
+    for i in range(0, len(pairs), PAIRS_PER_PASS):
+        chunk, sums = pairs[i:i + PAIRS_PER_PASS], {}
+
+        def moments(a: str, b: str) -> str:
+            """The suffix naming the sum, squares and count of a over rows where b is present."""
+            suffix = at[a] if full[b] else f"{at[a]}_{at[b]}"
+            if f"s_{suffix}" not in sums:
+                there = F.col(at[a]) if full[b] else F.when(F.col(at[b]).isNotNull(), F.col(at[a]))
+                sums.update({f"s_{suffix}": F.sum(there), f"q_{suffix}": F.sum(there * there), f"n_{suffix}": F.count(there)})
+            return suffix
+
+        suffixes = []
+        for a, b in chunk:
+            suffixes.append((moments(a, b), moments(b, a)))
+            sums[f"p_{at[a]}_{at[b]}"] = F.sum(F.col(at[a]) * F.col(at[b]))
+        row = centred.agg(*[c.alias(name) for name, c in sums.items()]).first().asDict()
+        for (a, b), (of_a, of_b) in zip(chunk, suffixes):
+            n, r = row[f"n_{of_a}"], None
+            if n > 1:
+                sa, sb = row[f"s_{of_a}"], row[f"s_{of_b}"]
+                var_a, var_b = row[f"q_{of_a}"] - sa * sa / n, row[f"q_{of_b}"] - sb * sb / n
+                if var_a > n * noise[a] and var_b > n * noise[b]:
+                    r = (row[f"p_{at[a]}_{at[b]}"] - sa * sb / n) / (math.sqrt(var_a) * math.sqrt(var_b))
+                    r = max(-1.0, min(1.0, r))
+            out.append((a, b, r))
+    return out
+
+
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """column_a, column_b, r for every pair of columns, from one aggregate."""
+    """column_a, column_b, r for every pair of columns, null where either is constant."""
     names = list(columns)
-    pairs = [
-        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), pearson(quoted(a), quoted(b)).alias("r"))
-        for i, a in enumerate(names) for b in names[i + 1:]
-    ]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "column_a string, column_b string, r double")
-    return df.agg(F.array(*pairs).alias("p")).select(F.inline("p"))
+    rows = _centred_correlations(df, [(a, b) for i, a in enumerate(names) for b in names[i + 1:]])
+    return df.sparkSession.createDataFrame(rows, PAIR_SCHEMA)
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A row per column with its correlation to every column; no rows for fewer than two columns."""
     names = list(columns)
-    half = correlation_pairs(df, names)
     if len(names) < 2:
-        return half.select(F.col("column_a").alias("column_name"))
-    stats = column_stats(df, names)
-    ones = stats.select(
-        F.col("column_name").alias("column_a"), F.col("column_name").alias("column_b"),
-        F.when(F.col("std") > 0, 1.0).alias("r"),
+        return df.sparkSession.createDataFrame([], "column_name string")
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
+    r = {(a, b): v for a, b, v in _centred_correlations(df, pairs)}
+    varies = {c: any(v is not None for pair, v in r.items() if c in pair) for c in names}
+    rows = [
+        (a, *[(1.0 if varies[a] else None) if a == b else r.get((a, b), r.get((b, a))) for b in names]) for a in names
+    ]
+    schema = T.StructType(
+        [T.StructField("column_name", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in names]]
     )
-    mirrored = half.select(F.col("column_b").alias("column_a"), F.col("column_a").alias("column_b"), "r")
-    whole = half.unionByName(mirrored).unionByName(ones)
-    return whole.groupBy(F.col("column_a").alias("column_name")).pivot("column_b", names).agg(F.first("r"))
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def feature_importance(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
     """column_name, importance: absolute correlation with the target, largest first."""
-    names = [c for c in columns if c != target]
-    if target not in columns or not names:
-        return df.sparkSession.createDataFrame([], "column_name string, importance double")
-    rows = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.round(F.abs(pearson(quoted(c), quoted(target))), 4).alias("importance"),
-        )
-        for c in names
-    ]
-    out = df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
-    return out.orderBy(F.desc_nulls_last("importance"), "column_name")
+    pairs = [(c, target) for c in columns if c != target] if target in columns else []
+    rows = [(c, None if r is None else abs(r)) for c, _, r in _centred_correlations(df, pairs)]
+    out = df.sparkSession.createDataFrame(rows, "column_name string, importance double")
+    return out.withColumn("importance", F.round("importance", 4)).orderBy(F.desc_nulls_last("importance"), "column_name")
 
 
 # ---- sets of tables --------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.semantics import quoted
 from tablewright.plans.selection import quantiles_on_driver
+from tablewright.plans.stats import COLUMNS_PER_PASS
 
 # Fewer values than this are not judged; fences lie this many ranges beyond quartiles.
 MIN_VALUES, FENCE = 10, 1.5
@@ -41,6 +42,10 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         )
     if not rows:
         return df.sparkSession.createDataFrame([], SCHEMA)
-    return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+    out: DataFrame | None = None
+    for i in range(0, len(rows), COLUMNS_PER_PASS):
+        part = df.agg(F.array(*rows[i:i + COLUMNS_PER_PASS]).alias("r")).select(F.inline("r"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 

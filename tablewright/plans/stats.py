@@ -23,7 +23,7 @@ from tablewright.plans.materialize import materialize
 DIGEST_ABOVE = 64
 # Columns per aggregate: many more, and the generated code outgrows what the JVM compiles.  Each
 # aggregate reads only its own columns, so splitting does not add to what is read.
-COLUMNS_PER_PASS = 24
+COLUMNS_PER_PASS = 8
 # Candidate hashes of repeated rows up to this many (8 bytes each) are broadcast.
 BROADCAST_HASHES = 500_000
 

@@ -80,6 +80,24 @@ def test_correlation_matrix(sales, spark):
     assert [r["column_name"] for r in A.feature_importance(df, "sales", ["sales", "units"]).collect()] == ["units"]
 
 
+def test_correlation_of_difficult_columns(spark):
+    rng = np.random.default_rng(4)
+    n = 400
+    pdf = pd.DataFrame({
+        "far": 1e9 + rng.normal(size=n), "tiny": rng.normal(size=n) * 1e-9, "tenth": 0.1, "gap": rng.normal(size=n), "empty": np.nan,
+    })
+    pdf["line"] = 3 * pdf["gap"] - 2
+    pdf.loc[rng.uniform(size=n) < 0.5, "gap"] = np.nan
+    pdf["half"] = np.where(pdf["gap"].isna(), rng.normal(size=n), 7.0)  # constant wherever gap is present
+    df = spark.createDataFrame([tuple(None if pd.isna(v) else float(v) for v in r) for r in pdf.itertuples(index=False)],
+                               ", ".join(f"{c} double" for c in pdf.columns)).repartition(3)
+    r = {(p["column_a"], p["column_b"]): p["r"] for p in A.correlation_pairs(df, list(pdf.columns)).collect()}
+    for a, b in (("far", "tiny"), ("far", "gap"), ("gap", "line"), ("line", "half"), ("tiny", "half")):
+        assert r[a, b] == pytest.approx(pdf[a].corr(pdf[b]), abs=1e-6)
+    for pair in (("far", "tenth"), ("tenth", "gap"), ("gap", "empty"), ("gap", "half")):
+        assert r[pair] is None
+
+
 def test_gold_tables(sales):
     df, pdf = sales
     tables = A.gold_tables(df)
