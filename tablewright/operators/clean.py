@@ -23,7 +23,15 @@ from tablewright.functions.semantics import (
 from tablewright.operators.aggregate import business_metrics
 from tablewright.plans.materialize import materialize
 from tablewright.plans.selection import quantiles_on_driver
-from tablewright.plans.stats import column_stats, duplicate_counts, numeric_columns, text_columns, top_values
+from tablewright.plans.stats import (
+    column_stats,
+    duplicate_counts,
+    find_repeats,
+    numeric_columns,
+    text_columns,
+    top_values,
+    without_duplicates,
+)
 
 LOG_SCHEMA = "step int, operation string, rows_removed bigint, detail map<string,string>"
 
@@ -44,8 +52,8 @@ def standardize_names(df: DataFrame) -> DataFrame:
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    """Each distinct row once."""
-    return df.dropDuplicates()
+    """Each distinct row once; only rows that may repeat are shuffled."""
+    return without_duplicates(df)
 
 
 def drop_all_null(df: DataFrame) -> DataFrame:
@@ -192,8 +200,9 @@ def clean(
     note("standardize_column_names", 0, renames)
     if drop_all_null_first:
         df = drop_all_null(df)
-    counts = duplicate_counts(df).first()
-    df = materialize(drop_duplicates(df)) if counts["n_duplicates"] else df
+    repeats = find_repeats(df)
+    counts = duplicate_counts(df, repeats=repeats).first()
+    df = materialize(without_duplicates(df, repeats)) if counts["n_duplicates"] else df
     note("remove_duplicates", counts["n_duplicates"], {})
     df, filled = fill_missing(df, order_by)
     note("fill_missing_values", 0, filled)

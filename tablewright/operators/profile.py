@@ -114,7 +114,7 @@ def dataset_profile(df: DataFrame) -> DataFrame:
 def profile_report(df: DataFrame, top_k: int = 5) -> DataFrame:
     """The whole profile, one row per column: type, missing, distinct, top values and numbers."""
     roles = classify(df)
-    base = column_profile(df).join(F.broadcast(profile_types(df)), "column_name")
+    base = column_profile(df).join(F.broadcast(profile_types(df, roles)), "column_name")
     countable = _countable(df)
     top = top_values(df, countable, top_k).groupBy("column_name").agg(
         F.array_sort(F.collect_list(F.struct("place", "value", "n"))).alias("top_values")

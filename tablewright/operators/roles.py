@@ -144,9 +144,9 @@ def text_profile_types(df: DataFrame, columns: Iterable[str] | None = None) -> D
     )
 
 
-def profile_types(df: DataFrame) -> DataFrame:
+def profile_types(df: DataFrame, roles: Roles | None = None) -> DataFrame:
     """column_name, profile_type for every column (numbers that identify are identifiers)."""
-    roles = classify(df)
+    roles = roles or classify(df)
     names = {"id": "identifier", "measure": "numeric", "boolean": "boolean", "datetime": "datetime"}
     fixed = [(c, names.get(role, "text")) for c, _, _, role, *_ in roles.rows if role not in ("dimension", "high_cardinality")]
     out = df.sparkSession.createDataFrame(fixed, "column_name string, profile_type string")

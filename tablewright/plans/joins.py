@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.semantics import quoted
+from tablewright.functions.semantics import kind_of, quoted
 from tablewright.plans.materialize import materialize
+from tablewright.plans.stats import short_key
 
-# A per-key table up to this many rows is broadcast.  Only a key and a few numbers are attached, so
-# this is some tens of megabytes at most.
+# A per-key table up to this many rows is broadcast.  It holds a key of at most 128 characters and a
+# few numbers, so this is some tens of megabytes at most.
 BROADCAST_KEYS = 500_000
 # A key with more than one row in HOT_SHARE is hot.  There can be no more than HOT_SHARE such keys, so
 # their results are broadcast, and their rows are spread over SPREAD places.
@@ -26,26 +27,27 @@ def attach_aggregates(rows: DataFrame, key: str, aggregates: dict[str, Column],
     broadcast, and their rows join nothing in the shuffle, spread evenly over it.
     """
     base = rows if source is None else source
+    by = short_key(quoted(key)) if kind_of(rows.schema[key].dataType) == "text" else quoted(key)
     per_key = materialize(
         base.filter(quoted(key).isNotNull())
-        .groupBy(quoted(key).alias("__key"))
+        .groupBy(by.alias("__key"))
         .agg(*[a.alias(f"__{n}") for n, a in aggregates.items()], F.count(F.lit(1)).alias("__rows"))
     )
     size = per_key.agg(F.count(F.lit(1)).alias("keys"), F.sum("__rows").alias("rows")).first()
     names = list(aggregates)
     if size["keys"] <= BROADCAST_KEYS:
         small = per_key.drop("__rows")
-        joined = rows.join(F.broadcast(small), quoted(key) == F.col("__key"), "left")
+        joined = rows.join(F.broadcast(small), by == F.col("__key"), "left")
         return joined.select(*[quoted(c) for c in rows.columns], *[F.col(f"__{n}").alias(n) for n in names])
     hot = per_key.filter(F.col("__rows") * HOT_SHARE > size["rows"]).select(
         F.col("__key").alias("__hot"), *[F.col(f"__{n}").alias(f"__hot_{n}") for n in names]
     )
-    marked = rows.join(F.broadcast(hot), quoted(key) == F.col("__hot"), "left")
+    marked = rows.join(F.broadcast(hot), by == F.col("__hot"), "left")
     aside = F.col("__hot").isNotNull() | quoted(key).isNull()
     place = F.when(aside, 1 + F.monotonically_increasing_id() % SPREAD).otherwise(F.lit(0))
     cold = per_key.drop("__rows").withColumn("__at", F.lit(0).cast("bigint"))
     joined = marked.withColumn("__place", place).join(
-        cold, (quoted(key) == F.col("__key")) & (F.col("__place") == F.col("__at")), "left"
+        cold, (by == F.col("__key")) & (F.col("__place") == F.col("__at")), "left"
     )
     return joined.select(
         *[quoted(c) for c in rows.columns], *[F.coalesce(f"__hot_{n}", f"__{n}").alias(n) for n in names]

@@ -23,18 +23,20 @@ CELLS = 4096
 SMALL_CELL = 50_000
 # Groups of up to this many values use Spark's own percentile, which keeps a group's values in memory.
 DIRECT_VALUES = 200_000
-# Search states up to this many rows are broadcast (about 60 bytes each); beyond it they are salted.
+# Search states up to this many rows, and this many characters of group keys in all, are broadcast
+# (about 60 bytes each besides the key); beyond either they are salted.
 BROADCAST_STATES = 100_000
+BROADCAST_KEY_CHARS = 10_000_000
 SALTS = 16
 
 
-def _near(items: DataFrame, cells: DataFrame, keys: Sequence[str], n_cells: int) -> DataFrame:
+def _near(items: DataFrame, cells: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
     """Rows of `items` that fall between the bounds of a cell of their group."""
     wanted = cells.select(*[F.col(k).alias(f"__c_{k}") for k in keys], "lo", "hi")
     match = (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"__c_{k}"))
-    if n_cells <= BROADCAST_STATES:
+    if small:
         joined = items.join(F.broadcast(wanted), match)
     else:
         # A group may hold a large share of the rows: spread each over SALTS tasks.
@@ -87,12 +89,14 @@ def select_ranks(
         seen = state.agg(
             F.count_if(wide).alias("open"), F.count_if(F.col("lo") < F.col("hi")).alias("unsettled"),
             F.count(F.lit(1)).alias("all"),
+            F.sum(F.length(F.concat_ws("", *[F.col(k).cast("string") for k in keys]))).alias("chars"),
         ).first()
+        small = seen["all"] <= BROADCAST_STATES and (seen["chars"] or 0) <= BROADCAST_KEY_CHARS
         if not seen["open"]:
             break
         open_, closed = state.filter(wide), state.filter(~wide)
         cells = open_.select(*keys, "lo", "hi").distinct()
-        near = _near(items_of(cells), cells, keys, seen["open"])
+        near = _near(items_of(cells), cells, keys, small)
         at = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
         counted = near.groupBy(
             *keys, "lo", "hi", F.least(F.lit(CELLS - 1), F.floor(at * CELLS)).alias("cell")
@@ -119,7 +123,7 @@ def select_ranks(
         return done
     rest = state.filter(F.col("lo") < F.col("hi"))
     cells = rest.select(*keys, "lo", "hi").distinct()
-    values = _near(items_of(cells), cells, keys, seen["all"]).groupBy(*keys, "lo", "hi", "v").agg(
+    values = _near(items_of(cells), cells, keys, small).groupBy(*keys, "lo", "hi", "v").agg(
         F.count(F.lit(1)).alias("c")
     )
     earlier = Window.partitionBy(*keys, "lo", "hi").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -188,7 +189,7 @@ def top_values(df: DataFrame, columns: Iterable[str], k: int) -> DataFrame:
             .groupBy("column_name", "key")
             .agg(F.any_value("value").alias("value"))
         )
-        top = top.join(F.broadcast(texts), ["column_name", "key"], "left")
+        top = top.join(texts, ["column_name", "key"], "left")
         value = F.coalesce("value", "key")
     else:
         value = F.col("key")
@@ -209,33 +210,65 @@ def _row_keys(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[key(c) for c in names])
 
 
-def duplicate_counts(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
-    """One row: n_rows and n_duplicates (rows beyond the first of each group of equal rows).
+@dataclass
+class Repeats:
+    """Hashes of rows that may repeat: none, a frame small enough to broadcast, or too many (None)."""
 
-    Exact in two steps.  Rows are counted by a 64-bit hash, which is all that is shuffled; hashes met
-    once belong to unique rows.  Only rows whose hash repeats are then grouped by their columns: none
-    in a clean table, and all rows if there are too many such hashes to broadcast.  Copies of a row
-    are combined in the task that reads them.
-    """
+    hashed: Column
+    hashes: DataFrame | None
+    n_hashes: int
+
+
+def find_repeats(df: DataFrame, columns: Iterable[str] | None = None) -> Repeats:
+    """Count rows by a 64-bit hash, which is all that is shuffled; a hash met once is a unique row's."""
     names = list(df.columns if columns is None else columns)
-    keys = _row_keys(df, names)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    values = [
+        F.array_sort(F.map_entries(quoted(c))) if isinstance(types[c], T.MapType) else quoted(c) for c in names
+    ]
     # The hash passes over nulls, so where they are is hashed too.
-    where_null = [quoted(c).isNull() for c in names]
-    hashed = F.xxhash64(*[quoted(c) for c in names], *where_null)
-    by_hash = keys.groupBy(hashed.alias("__h")).agg(F.count(F.lit(1)).alias("__n"))
+    hashed = F.xxhash64(*values, *[quoted(c).isNull() for c in names])
+    by_hash = df.groupBy(hashed.alias("__h")).agg(F.count(F.lit(1)).alias("__n"))
     repeated = materialize(by_hash.filter(F.col("__n") > 1).select("__h").limit(BROADCAST_HASHES + 1))
-    n_repeated = repeated.count()
-    if n_repeated == 0:
-        return df.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(0).cast("bigint").alias("n_duplicates"))
-    suspects = keys
-    if n_repeated <= BROADCAST_HASHES:
-        suspects = keys.withColumn("__h", hashed).join(F.broadcast(repeated), "__h", "left_semi")
-    groups = suspects.groupBy(*[quoted(c) for c in names]).agg(F.count(F.lit(1)).alias("__n"))
-    extra = groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("n_duplicates"), F.lit(1).alias("one"))
+    n = repeated.count()
+    return Repeats(hashed, repeated if n <= BROADCAST_HASHES else None, n)
+
+
+def duplicate_counts(
+    df: DataFrame, columns: Iterable[str] | None = None, repeats: Repeats | None = None
+) -> DataFrame:
+    """One row: n_rows and n_duplicates (rows beyond the first of each group of equal rows).
+
+    Exact in two steps: only rows whose hash repeats are grouped by their columns — none in a clean
+    table, all if there are too many such hashes to broadcast.  Copies of a row are combined in the
+    task that reads them.
+    """
+    names = list(df.columns if columns is None else columns)
+    repeats = repeats or find_repeats(df, names)
     rows = df.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(1).alias("one"))
+    if repeats.n_hashes == 0:
+        return rows.select("n_rows", F.lit(0).cast("bigint").alias("n_duplicates"))
+    suspects = df
+    if repeats.hashes is not None:
+        suspects = df.withColumn("__h", repeats.hashed).join(F.broadcast(repeats.hashes), "__h", "left_semi")
+    groups = _row_keys(suspects, names).groupBy(*[quoted(c) for c in names]).agg(F.count(F.lit(1)).alias("__n"))
+    extra = groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("n_duplicates"), F.lit(1).alias("one"))
     return rows.join(extra, "one").select("n_rows", "n_duplicates")
 
 
+def without_duplicates(df: DataFrame, repeats: Repeats | None = None) -> DataFrame:
+    """Each distinct row once.  Rows with a hash of their own stay where they are."""
+    repeats = repeats or find_repeats(df)
+    if repeats.n_hashes == 0:
+        return df
+    if repeats.hashes is None:
+        return df.dropDuplicates()
+    names, marked = [quoted(c) for c in df.columns], df.withColumn("__h", repeats.hashed)
+    hashes = F.broadcast(repeats.hashes)
+    alone = marked.join(hashes, "__h", "left_anti").select(*names)
+    return alone.unionByName(marked.join(hashes, "__h", "left_semi").select(*names).dropDuplicates())
+
+
 def text_variants(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """column_name, n_distinct, n_normalised: distinct texts before and after lower case and trim."""
     names = list(columns)

@@ -133,9 +133,10 @@ def test_sample_is_bounded_and_complete_for_small_tables(spark):
     assert A.sample_rows(spark.range(20000), 500).count() == 500
 
 
-@pytest.mark.parametrize("broadcast", [10**6, 0])
-def test_features_match_pandas(sales, monkeypatch, broadcast):
+@pytest.mark.parametrize("broadcast,hot_share", [(10**6, 1000), (0, 10**6), (0, 10), (0, 1)])
+def test_features_match_pandas(sales, monkeypatch, broadcast, hot_share):
     monkeypatch.setattr(joins, "BROADCAST_KEYS", broadcast)
+    monkeypatch.setattr(joins, "HOT_SHARE", hot_share)  # all keys hot, one hot, none
     df, pdf = sales
     out, described = X.compute_features(df)
     assert out.count() == len(pdf)

@@ -48,9 +48,10 @@ def test_column_quantiles(spark, narrow, name):
         np.testing.assert_allclose(q, np.quantile(x, PROBS), rtol=1e-12)
 
 
-@pytest.mark.parametrize("broadcast_states", [100_000, 0])
-def test_group_quantiles_with_hot_and_null_groups(spark, narrow, monkeypatch, broadcast_states):
-    monkeypatch.setattr(S, "BROADCAST_STATES", broadcast_states)
+@pytest.mark.parametrize("states,chars", [(100_000, 10_000_000), (0, 10_000_000), (100_000, 3)])
+def test_group_quantiles_with_hot_and_null_groups(spark, narrow, monkeypatch, states, chars):
+    monkeypatch.setattr(S, "BROADCAST_STATES", states)
+    monkeypatch.setattr(S, "BROADCAST_KEY_CHARS", chars)
     rng = np.random.default_rng(3)
     rows = [("hot", float(v)) for v in rng.normal(size=2000)]
     rows += [(None, float(v)) for v in rng.integers(0, 5, 300)]

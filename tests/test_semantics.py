@@ -120,3 +120,28 @@ def test_zero_and_negative_zero_are_one_value(spark):
 def test_top_values_break_ties_by_value(spark):
     df = spark.createDataFrame([(v,) for v in "bbaacd"], "t string")
     assert [r["value"] for r in stats.top_values(df, ["t"], 3).orderBy("place").collect()] == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("limit", [500_000, 1, 0])
+@pytest.mark.parametrize("collide", [False, True])
+def test_duplicates_are_exact_however_hashes_fall(spark, monkeypatch, limit, collide):
+    monkeypatch.setattr(stats, "BROADCAST_HASHES", limit)
+    if collide:  # every row hashes alike
+        monkeypatch.setattr(stats.F, "xxhash64", lambda *c: F.lit(7).cast("bigint"))
+    rows = [("hot", None, 1.5)] * 40 + [(f"t{i}" * 50, i, None) for i in range(20)] + [("t3" * 50, 3, None), (None, None, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "t string, k int, x double").repartition(4)
+    assert tuple(stats.duplicate_counts(df).first()) == (63, 39 + 1 + 1)
+    got = [tuple(r) for r in stats.without_duplicates(df).collect()]
+    assert len(got) == len(set(got)) == len(set(rows)) and set(got) == set(rows)
+
+
+def test_rows_of_maps_and_arrays_can_repeat(spark):
+    df = spark.createDataFrame([({"a": 1, "b": 2}, [1]), ({"b": 2, "a": 1}, [1]), ({"a": 1}, [2])], "m map<string,int>, a array<int>")
+    assert stats.duplicate_counts(df).first()["n_duplicates"] == 1
+
+
+def test_frequent_long_texts_come_back_whole(spark):
+    a, b = "x" * 3000 + "1", "x" * 3000 + "2"
+    df = spark.createDataFrame([(a, 1), (a, 2), (b, 2), ("short", 2)], "t string, n int")
+    got = {(r["column_name"], r["value"]): (r["n"], r["place"]) for r in stats.top_values(df, ["t", "n"], 3).collect()}
+    assert got[("t", a)] == (2, 1) and got[("t", "short")] == (1, 2) and got[("t", b)] == (1, 3) and got[("n", "2")] == (3, 1)
