@@ -27,6 +27,8 @@ TIMESTAMP_FORMATS = (
     (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
 )
 
+SHORTEST_DATE, LONGEST_DATE = 8, 19
+
 
 def kind_of(data_type: T.DataType) -> str:
     """numeric, boolean, datetime, text or nested."""
@@ -70,7 +72,7 @@ def parse_timestamp(c: Column, formats: tuple[tuple[str, str], ...] = TIMESTAMP_
     out = F
     for shape, fmt in formats:
         out = out.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt)))
-    return out
+    return F.when(F.length(text).between(SHORTEST_DATE, LONGEST_DATE), out)
 
 
 def ratio(num: Column, den: Column) -> Column:

@@ -21,7 +21,7 @@ from tablewright.functions.semantics import (
     quoted,
 )
 from tablewright.operators.aggregate import business_metrics
-from tablewright.plans.materialize import materialize
+from tablewright.plans.materialize import materialize_rows
 from tablewright.plans.selection import quantiles_on_driver
 from tablewright.plans.stats import (
     column_stats,
@@ -90,7 +90,7 @@ def forward_fill(df: DataFrame, columns: Sequence[str], order_by: Sequence[str])
     partitions after it.  `order_by` must identify rows.
     """
     schema = T.StructType([*df.schema.fields, T.StructField("__part", T.IntegerType())])
-    local = materialize(
+    local = materialize_rows(
         df.repartitionByRange(*order_by)
         .sortWithinPartitions(*order_by)
         .mapInArrow(_fill_batches(list(columns)), schema)
@@ -202,7 +202,7 @@ def clean(
         df = drop_all_null(df)
     repeats = find_repeats(df)
     counts = duplicate_counts(df, repeats=repeats).first()
-    df = materialize(without_duplicates(df, repeats)) if counts["n_duplicates"] else df
+    df = materialize_rows(without_duplicates(df, repeats)) if counts["n_duplicates"] else df
     note("remove_duplicates", counts["n_duplicates"], {})
     df, filled = fill_missing(df, order_by)
     note("fill_missing_values", 0, filled)

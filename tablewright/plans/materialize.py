@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -18,7 +20,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def materialize_rows(df: DataFrame) -> DataFrame:
+    """Write the rows of a large table as Parquet in the checkpoint folder and read them back.
+
+    Passes that follow read only the columns they need, which a checkpoint would not allow.
+    """
+    if any(isinstance(f.dataType, (T.NullType, T.DayTimeIntervalType, T.CalendarIntervalType)) for f in df.schema.fields):
+        return materialize(df)  # Parquet has no such types
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder and go on from the written rows."""
+    """Write a small intermediate result to the checkpoint folder and go on from the written rows."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

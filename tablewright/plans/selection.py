@@ -7,6 +7,7 @@ round is one scan with partial aggregation; its result has at most CELLS rows pe
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from datetime import datetime, timedelta
 
@@ -65,15 +66,31 @@ def select_ranks(
     """The value at each wanted rank.
 
     items: keys..., v (numeric, never null).  Where the only key is a column name, items may be a
-    function of the names still searched, so that a round reads no other columns.  targets: keys..., n, rank (from 0), lo, hi where lo and
-    hi are the bounds of the group's values.  Result: keys..., n, rank, v, below (rows less than v) and
-    same (rows equal to v).
+    function of the names still searched, so that a round reads no other columns.
+    targets: keys..., n, rank (from 0), lo, hi where lo and hi are the bounds of the group's values.
+    Result: keys..., n, rank, v, below (rows less than v) and same (rows equal to v).
 
     The state of the search, one row per target, is kept between rounds: on the driver if there are
     `few` targets (a handful per column), otherwise in the checkpoint folder.
     """
-    keep = pin if few else materialize
-    state = keep(
+    def settle(frame: DataFrame):
+        """The state, computed, and what is to be known of it: targets open, unsettled, and its size."""
+        wide = (F.col("lo") < F.col("hi")) & (F.col("cnt") > SMALL_CELL)
+        if few:
+            rows = frame.collect()
+            unsettled = [r for r in rows if r["lo"] < r["hi"]]
+            still_open = sum(r["cnt"] > SMALL_CELL for r in unsettled)
+            return frame.sparkSession.createDataFrame(rows, frame.schema), still_open, len(unsettled), True
+        done = materialize(frame)
+        seen = done.agg(
+            F.count_if(wide).alias("open"), F.count_if(F.col("lo") < F.col("hi")).alias("unsettled"),
+            F.count(F.lit(1)).alias("all"),
+            F.sum(F.length(F.concat_ws("", *[F.col(k).cast("string") for k in keys]))).alias("chars"),
+        ).first()
+        small = seen["all"] <= BROADCAST_STATES and (seen["chars"] or 0) <= BROADCAST_KEY_CHARS
+        return done, seen["open"], seen["unsettled"], small
+
+    state, still_open, unsettled, small = settle(
         targets.select(
             *keys, "n", "rank", F.lit(0).cast("bigint").alias("below"), F.col("n").alias("cnt"), "lo", "hi"
         )
@@ -84,16 +101,8 @@ def select_ranks(
             return items
         return items(sorted(r[0] for r in cells.select(*keys).distinct().collect()))
 
-    while True:
-        wide = (F.col("lo") < F.col("hi")) & (F.col("cnt") > SMALL_CELL)
-        seen = state.agg(
-            F.count_if(wide).alias("open"), F.count_if(F.col("lo") < F.col("hi")).alias("unsettled"),
-            F.count(F.lit(1)).alias("all"),
-            F.sum(F.length(F.concat_ws("", *[F.col(k).cast("string") for k in keys]))).alias("chars"),
-        ).first()
-        small = seen["all"] <= BROADCAST_STATES and (seen["chars"] or 0) <= BROADCAST_KEY_CHARS
-        if not seen["open"]:
-            break
+    wide = (F.col("lo") < F.col("hi")) & (F.col("cnt") > SMALL_CELL)
+    while still_open:
         open_, closed = state.filter(wide), state.filter(~wide)
         cells = open_.select(*keys, "lo", "hi").distinct()
         near = _near(items_of(cells), cells, keys, small)
@@ -114,12 +123,12 @@ def select_ranks(
                 F.col("c").alias("cnt"), F.col("c_lo").alias("lo"), F.col("c_hi").alias("hi"),
             )
         )
-        state = keep(closed.unionByName(narrowed))
+        state, still_open, unsettled, small = settle(closed.unionByName(narrowed))
 
     done = state.filter(F.col("lo") == F.col("hi")).select(
         *keys, "n", "rank", F.col("lo").alias("v"), "below", F.col("cnt").alias("same")
     )
-    if not seen["unsettled"]:
+    if not unsettled:
         return done
     rest = state.filter(F.col("lo") < F.col("hi"))
     cells = rest.select(*keys, "lo", "hi").distinct()
@@ -160,10 +169,10 @@ def _quantiles(
     whole: DataFrame, items: DataFrame | Callable[[list[str]], DataFrame], keys: Sequence[str],
     probs: Sequence[float], few: bool,
 ) -> DataFrame:
-    keep = pin if few else materialize
-    bounds = keep(whole.groupBy(*keys).agg(
+    bounds = whole.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
-    ))
+    )
+    bounds = pin(bounds) if few else materialize(bounds)
     largest = bounds.agg(F.max("n")).first()[0] or 0
     if largest <= DIRECT_VALUES:
         return whole.groupBy(*keys).agg(
@@ -176,6 +185,8 @@ def _quantiles(
         ranks += [at, F.least(at + 1, F.col("n") - 1)]
     targets = bounds.withColumn("rank", F.explode(F.array_distinct(F.array(*ranks))))
     found = select_ranks(items, keys, targets, few=few)
+    if few:
+        return _interpolated(found, keys, probs)
     by_rank = found.groupBy(*keys, "n").agg(
         F.map_from_entries(F.collect_list(F.struct("rank", F.col("v").cast("double")))).alias("m")
     )
@@ -190,6 +201,25 @@ def _quantiles(
     return by_rank.select(*keys, "n", F.array(*[at_prob(p) for p in probs]).alias("q"))
 
 
+def _interpolated(found: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """As the end of `_quantiles`, for a handful of ranks per column read by the driver."""
+    by_key: dict[tuple, dict[int, float]] = {}
+    for r in found.collect():
+        by_key.setdefault((*[r[k] for k in keys], r["n"]), {})[r["rank"]] = float(r["v"])
+    rows = []
+    for (*key, n), values in by_key.items():
+        q = []
+        for p in probs:
+            k = math.floor(p * (n - 1))
+            low, high = values[k], values[min(k + 1, n - 1)]
+            q.append(low + (high - low) * (p * (n - 1) - k))
+        rows.append((*key, n, q))
+    fields = [found.schema[k] for k in keys] + [
+        T.StructField("n", T.LongType()), T.StructField("q", T.ArrayType(T.DoubleType()))
+    ]
+    return found.sparkSession.createDataFrame(rows, T.StructType(fields))
+
+
 def quantiles_on_driver(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float]
 ) -> dict[str, tuple[int, list[float]]]:

@@ -91,3 +91,9 @@ def test_derived_columns(spark):
     got = C.add_derived_columns(df).orderBy(F.col("a").asc_nulls_last()).collect()
     assert [(r["_row_total"], r["_row_mean"]) for r in got] == [(3.0, 1.5), (4.0, 4.0), (0.0, None)]
     assert [r["t_dayofweek"] for r in got] == [0, None, 6]  # Monday is 0
+
+
+def test_clean_with_columns_parquet_cannot_hold(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, NULL), (1, NULL), (2, NULL) AS t(k, nothing)")
+    out, log = C.clean(df)
+    assert rows(out, "k") == [(1, None), (2, None)]
