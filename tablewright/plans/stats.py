@@ -276,12 +276,11 @@ def text_variants(df: DataFrame, columns: Iterable[str]) -> DataFrame:
         [], [quoted(c) for c in names], "column_name", "value"
     )
     plain = F.regexp_replace(F.lower("value"), r"^\s+|\s+$", "")
-    values = (
-        long.filter(F.col("value").isNotNull())
-        .select("column_name", F.sha2("value", 256).alias("k"), F.sha2(plain, 256).alias("m"))
-        .groupBy("column_name", "m", "k")
-        .agg(F.lit(1).alias("one"))
-    )
+    # Short texts are made distinct as they are and digested after; long ones travel as digests only.
+    digests = ["column_name", F.sha2("value", 256).alias("k"), F.sha2(plain, 256).alias("m")]
+    short = long.filter(F.length("value") <= DIGEST_ABOVE).distinct().select(*digests)
+    wordy = long.filter(F.length("value") > DIGEST_ABOVE).select(*digests).distinct()
+    values = short.unionByName(wordy)
     forms = values.groupBy("column_name", "m").agg(F.count(F.lit(1)).alias("k"))
     return forms.groupBy("column_name").agg(
         F.sum("k").alias("n_distinct"), F.count(F.lit(1)).alias("n_normalised")
