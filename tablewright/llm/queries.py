@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tablewright.llm import token_count
+from tablewright.llm import language, quality_net, token_count, toxicity
 
-MODULES = (token_count,)
+MODULES = (quality_net, language, token_count, toxicity)
 
 
 def all_queries() -> dict:
