@@ -20,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, so that very long texts do not pile up in a worker."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, str(1 << 31)) or 1 << 31) > BATCH_BYTES:
+    size = spark.conf.get(key).lower().rstrip("b")
+    if not size.isdigit() or int(size) > BATCH_BYTES:  # else the session asks for less itself
         spark.conf.set(key, str(BATCH_BYTES))
 
 
