@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tablewright.llm import decontaminate, language, quality_net, token_count, toxicity, winnow
+from tablewright.llm import decontaminate, language, quality_net, substring, token_count, toxicity, winnow
 
-MODULES = (decontaminate, quality_net, language, token_count, toxicity, winnow)
+MODULES = (decontaminate, quality_net, language, substring, token_count, toxicity, winnow)
 
 
 def all_queries() -> dict:
