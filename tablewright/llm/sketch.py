@@ -1,8 +1,9 @@
 """Count-min sketches of hashes, built per partition and merged, that tell which hashes may repeat.
 
 A sketch has DEPTH rows of cells.  A hash adds one to a cell of each row; its estimate, the least of its
-cells, is never too low.  As only "once" and "repeated" are asked, a cell needs to count to two: tasks send
-the cells that they touched, sorted and packed, block by block, and a block's cells are merged in one task.
+cells, is never too low.  Tasks send the cells that they touched with their counts, sorted and packed, block
+by block, and a block's cells are added up in one task.  Of the sums there remain a bit for each cell (once,
+or more often) and, for the cells of HOT or more, the power of two.
 """
 
 from __future__ import annotations
@@ -26,11 +27,30 @@ MOST_BITS = 28
 FLUSH = 1 << 21
 
 
-class Repeats:
-    """Bit rows of the merged sketch.  With no rows every hash counts as repeated."""
+#: Counts from which a cell's power of two is kept, and for how many cells of a row at most (the largest).
+HOT, MOST_HOT = 16, 1 << 20
+
 
-    def __init__(self, bits: int, rows: list[np.ndarray]):
-        self.bits, self.rows = bits, rows
+class Repeats:
+    """Bit rows of the merged sketch, and its hot cells.  With no rows every hash counts as repeated."""
+
+    def __init__(self, bits: int, rows: list[np.ndarray], hot: list[tuple[np.ndarray, np.ndarray]]):
+        self.bits, self.rows, self.hot = bits, rows, hot
+
+    def level(self, hashes: np.ndarray) -> np.ndarray:
+        """0 for a hash that occurs once, 1 for a repeated one, the power of two of the estimate for a hot one."""
+        out = self(hashes).astype(np.uint8)
+        more = np.flatnonzero(out)
+        levels = np.full(len(more), 255 if self.rows else 1, np.uint8)
+        for seed, (cells, powers) in enumerate(self.hot):
+            if not len(cells):
+                levels[:] = 1
+                break
+            cell = mix(hashes[more], seed + 1) >> np.uint64(64 - self.bits)
+            at = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
+            levels = np.minimum(levels, np.where(cells[at] == cell, powers[at], 1))
+        out[more] = levels
+        return out
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         """True where a hash may occur more than once; never False where it does."""
@@ -55,8 +75,8 @@ def _touched(hashes: np.ndarray, bits: int) -> Iterator[pd.DataFrame]:
         blocks = (cells >> np.uint64(BLOCK_BITS)).astype(np.int64)
         inside = (cells & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.uint32)
         edges = np.flatnonzero(np.diff(blocks, prepend=-1, append=-1))
-        rows = [(seed << 32 | int(blocks[a]), _pack(inside[a:b]), _pack(inside[a:b][counts[a:b] > 1])) for a, b in zip(edges[:-1], edges[1:])]
-        yield pd.DataFrame(rows, columns=["block", "once", "more"])
+        rows = [(seed << 32 | int(blocks[a]), _pack(inside[a:b]), zstandard.ZstdCompressor(level=1).compress(counts[a:b].astype(np.uint32).tobytes())) for a, b in zip(edges[:-1], edges[1:])]
+        yield pd.DataFrame(rows, columns=["block", "cells", "counts"])
 
 
 def build_repeats(rows: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray], expected: int) -> Repeats:
@@ -68,7 +88,7 @@ def build_repeats(rows: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray],
     """
     bits = max(BLOCK_BITS, min(MOST_BITS, int(2 * max(expected, 1) - 1).bit_length()))
     if expected > 8 << MOST_BITS:
-        return Repeats(bits, [])
+        return Repeats(bits, [], [])
 
     def touch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting, total = [], 0
@@ -82,21 +102,34 @@ def build_repeats(rows: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray],
             yield from _touched(np.concatenate(waiting), bits)
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[int, np.ndarray] = {}
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, once, more in zip(batch["block"], batch["once"], batch["more"]):
-                own = counts.setdefault(block, np.zeros(1 << BLOCK_BITS, np.uint8))
-                at = _unpack(once)
-                own[at] = np.minimum(own[at] + 1, 2)
-                own[_unpack(more)] = 2
-        for block, own in counts.items():
-            yield pd.DataFrame({"block": [block], "bits": [np.packbits(own > 1, bitorder="little").tobytes()]})
-
-    touched = rows.mapInPandas(touch, "block long, once binary, more binary")
+            for block, cells, counts in zip(batch["block"], batch["cells"], batch["counts"]):
+                own = sums.setdefault(block, np.zeros(1 << BLOCK_BITS, np.uint32))
+                own[_unpack(cells)] += np.frombuffer(zstandard.ZstdDecompressor().decompress(counts), np.uint32)
+        for block, own in sums.items():
+            hot = np.flatnonzero(own >= HOT).astype(np.uint32)
+            powers = np.log2(own[hot]).astype(np.uint8)
+            yield pd.DataFrame({"block": [block], "bits": [np.packbits(own > 1, bitorder="little").tobytes()], "hot": [hot.tobytes()], "powers": [powers.tobytes()]})
+
+    touched = rows.mapInPandas(touch, "block long, cells binary, counts binary")
     blocks = min(DEPTH << (bits - BLOCK_BITS), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    merged = touched.repartition(blocks, F.col("block")).mapInPandas(merge, "block long, bits binary")
+    merged = touched.repartition(blocks, F.col("block")).mapInPandas(merge, "block long, bits binary, hot binary, powers binary")
     out = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(DEPTH)]
+    hot: list[list] = [[] for _ in range(DEPTH)]
     size = 1 << (BLOCK_BITS - 3)
     for row in merged.toLocalIterator():
-        out[row.block >> 32][(row.block & 0xFFFFFFFF) * size :][:size] = np.frombuffer(row.bits, np.uint8)
-    return Repeats(bits, out)
+        seed, block = row.block >> 32, row.block & 0xFFFFFFFF
+        out[seed][block * size :][:size] = np.frombuffer(row.bits, np.uint8)
+        hot[seed].append((np.frombuffer(row.hot, np.uint32).astype(np.uint64) + np.uint64(block << BLOCK_BITS), np.frombuffer(row.powers, np.uint8)))
+    return Repeats(bits, out, [_hottest(*map(np.concatenate, zip(*own))) if own else (np.zeros(0, np.uint64), np.zeros(0, np.uint8)) for own in hot])
+
+
+def _hottest(cells: np.ndarray, powers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At most MOST_HOT cells, whole powers of two at a time, in order."""
+    least = 0
+    while np.count_nonzero(powers >= least) > MOST_HOT:
+        least += 1
+    keep = powers >= least
+    order = np.argsort(cells[keep])
+    return cells[keep][order], powers[keep][order]
