@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tablewright.llm import decontaminate, jaccard, language, quality_net, substring, token_count, toxicity, winnow
+from tablewright.llm import decontaminate, jaccard, language, quality_net, segment, substring, token_count, toxicity, winnow
 
-MODULES = (jaccard, decontaminate, quality_net, language, substring, token_count, toxicity, winnow)
+MODULES = (segment, jaccard, decontaminate, quality_net, language, substring, token_count, toxicity, winnow)
 
 
 def all_queries() -> dict:

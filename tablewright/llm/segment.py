@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from collections.abc import Sequence
 from itertools import chain, count
 
 import numpy as np
@@ -28,7 +29,9 @@ from tablewright.llm.pieces import MODEL_PATH, SPACE, Vocabulary, fields, parse_
 
 N_BEST = 4
 #: Words of each of the two generations that a worker remembers: what was not asked for in a generation goes.
-REMEMBERED = 120_000
+REMEMBERED = 500_000
+#: Bytes from which a word is searched by itself, and cells of the arrays in which shorter ones advance together.
+LONG_UNIT, BATCH_CELLS = 48, 200_000
 #: Stands for the space mark itself where it occurs in a text; no decoded text can hold it.
 LITERAL_MARK = "\udfff"
 #: Fixed values of the format: the field of the trainer's settings, in it that of the kind, and the unigram kind.
@@ -68,6 +71,7 @@ class Segmenter:
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
         self.paths: dict[tuple[str, int], list] = {}
+        self.next = self.piece_at = self.score_at = None
 
     def lattice(self, unit: str) -> tuple[list, list[float]]:
         """Arcs (start, end, ids, score) in order of start, and the best score from the start to each node."""
@@ -136,14 +140,107 @@ class Segmenter:
     def _flat(ids) -> tuple[int, ...]:
         return tuple(x for i in ids for x in (i if isinstance(i, tuple) else (i,)))
 
+    def _table(self) -> None:
+        """The pieces as a trie over bytes: next node by node and byte, and each node's piece and score."""
+        children: list[dict[int, int]] = [{}]
+        at: dict[int, int] = {}
+        for piece, i in self.known.items():
+            if i >= 0:
+                node = 0
+                for b in piece.encode():
+                    node = children[node].setdefault(b, len(children))
+                    if node == len(children):
+                        children.append({})
+                at[node] = i
+        self.next = np.full((len(children) + 1, 256), len(children), np.int32)  # the last node is the dead end
+        for node, own in enumerate(children):
+            for b, to in own.items():
+                self.next[node, b] = to
+        self.piece_at = np.full(len(children) + 1, -1, np.int32)
+        self.score_at = np.full(len(children) + 1, -np.inf)
+        for node, i in at.items():
+            self.piece_at[node], self.score_at[node] = i, self.scores[i]
+
+    def viterbi_batch(self, units: list[str]) -> dict[str, tuple]:
+        """`viterbi` for many units at once: those of one length advance together, an array operation a step."""
+        if self.next is None:
+            self._table()
+        by_length: dict[int, list[tuple[str, bytes]]] = {}
+        out: dict[str, tuple] = {}
+        for unit in units:
+            data = unit.encode("utf-8", "surrogatepass")
+            if len(data) > LONG_UNIT:
+                out[unit] = self.viterbi(unit)
+            else:
+                by_length.setdefault(len(data), []).append((unit, data))
+        for length, rows in by_length.items():
+            step = max(1, BATCH_CELLS // length)
+            for lo in range(0, len(rows), step):
+                out.update(self._same_length(rows[lo : lo + step], length))
+        return out
+
+    def _same_length(self, rows: list[tuple[str, bytes]], n: int) -> dict[str, tuple]:
+        m = len(rows)
+        data = np.frombuffer(b"".join(d for _, d in rows), np.uint8).reshape(m, n)
+        node, arcs, pieces = np.zeros((m, n), np.int32), [None], [None]
+        for size in range(1, n + 1):
+            node = self.next[node[:, : n - size + 1], data[:, size - 1 :]]
+            arcs.append(self.score_at[node])
+            pieces.append(self.piece_at[node])
+            if size >= 4 and (node == len(self.next) - 1).all():
+                break
+        width = np.select([data < 0x80, data < 0xC0, data < 0xE0, data < 0xF0], [1, 0, 2, 3], 4)
+        for size in range(1, min(4, len(arcs) - 1) + 1):  # characters without a piece
+            bare = (width[:, : n - size + 1] == size) & (arcs[size] == -np.inf)
+            arcs[size][bare] = self.byte_score * size
+        best, rest = np.full((n + 1, m), -np.inf), np.full((n + 1, m), -np.inf)
+        last = np.zeros((n + 1, m), np.int32)
+        best[0] = rest[n] = 0
+        for e in range(1, n + 1):
+            for size in range(1, min(e, len(arcs) - 1) + 1):
+                reached = best[e - size] + arcs[size][:, e - size]
+                better = reached > best[e]
+                best[e] = np.where(better, reached, best[e])
+                last[e][better] = size
+        for s in range(n - 1, -1, -1):
+            for size in range(1, min(n - s, len(arcs) - 1) + 1):
+                rest[s] = np.maximum(rest[s], arcs[size][:, s] + rest[s + size])
+        total = best[n].copy()
+        at, word = np.full(m, n), np.arange(m)
+        taken, counts = np.zeros((m, n), np.int32), np.zeros(m, np.int64)
+        others = [None] + [total[:, None] - best[: n - size + 1].T - arcs[size] - rest[size:].T for size in range(1, len(arcs))]
+        while True:
+            live = np.flatnonzero(at > 0)
+            if not len(live):
+                break
+            sizes = last[at[live], live]
+            for size in np.unique(sizes):
+                own = live[sizes == size]
+                s = at[own] - size
+                others[size][own, s] = np.inf
+                taken[own, counts[own]] = pieces[size][own, s]
+                counts[own] += 1
+                at[own] = s
+        gap = np.full(m, np.inf)
+        for size in range(1, len(arcs)):
+            gap = np.minimum(gap, others[size].min(1))
+        out = {}
+        for k, ((unit, _), ids, size) in enumerate(zip(rows, taken.tolist(), counts.tolist())):
+            ids = ids[:size][::-1]
+            out[unit] = self.viterbi(unit) if -1 in ids else (tuple(ids), float(total[k]), max(float(gap[k]), 0.0))
+        return out
+
+    def learn(self, units: list[list[str]]) -> None:
+        """Find the best paths of all units that are not remembered, together."""
+        new = {u for own in units for u in own if u not in self.young and u not in self.old}
+        if len(self.young) + len(new) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        self.young.update(self.viterbi_batch(list(new)))
+
     def best(self, unit: str) -> tuple[tuple[int, ...], float, float]:
         entry = self.young.get(unit)
         if entry is None:
-            entry = self.old.get(unit) or self.viterbi(unit)
-            if len(self.young) >= REMEMBERED:
-                self.old, self.young = self.young, {}
-            if len(unit) < 64:
-                self.young[unit] = entry
+            entry = self.young[unit] = self.old.get(unit) or self.viterbi(unit)
         return entry
 
     def _n_best(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -153,31 +250,41 @@ class Segmenter:
             self.paths[unit, n] = self.n_best(unit, n)
         return self.paths[unit, n]
 
-    def encode(self, text: str | None, n: int) -> tuple[list[tuple[int, ...]], list[float], list[list[int]]]:
+    def encode(self, text: str | None, n: int) -> tuple[Sequence[tuple[int, ...]], list[float], list[list[int]]]:
         """The best path as ids by unit; the scores of the n best; for each further one the changes against the
         best: first piece, pieces replaced, pieces put there, and their ids, one change after another."""
         if not text:
             return [], [0.0], []
+        return self.encode_units(self.cut(text), n)
+
+    def cut(self, text: str | None) -> list[str]:
+        """The units of a text, the encoder's own space in front."""
+        if not text:
+            return []
         if SPACE in text:
             text = text.replace(SPACE, LITERAL_MARK)
-        units = self.units.findall(SPACE + text.replace(" ", SPACE))
-        entries = list(map(self.best, units))
-        ids = [e[0] for e in entries]
-        total = math.fsum(e[1] for e in entries)
+        return self.units.findall(SPACE + text.replace(" ", SPACE))
+
+    def encode_units(self, units: list[str], n: int) -> tuple[Sequence[tuple[int, ...]], list[float], list[list[int]]]:
+        if not units:
+            return [], [0.0], []
+        known = self.young.get
+        ids, scores, gaps = zip(*[known(u) or self.best(u) for u in units])
+        total = math.fsum(scores)
         if n < 2:
             return ids, [total], []
-        gaps = np.fromiter((e[2] for e in entries), float, len(entries))
-        slots = np.argsort(gaps, kind="stable")[: n - 1] if len(gaps) < 4 * n else np.sort(np.argpartition(gaps, n - 1)[: n - 1])
+        least = np.array(gaps)
+        slots = np.argpartition(least, n - 1)[: n - 1] if len(least) > n else np.argsort(least)[: n - 1]
         slots = sorted(int(k) for k in slots if gaps[k] < math.inf)
         options = [self._n_best(units[k], n) for k in slots]
-        begin = np.cumsum([0] + [len(i) for i in ids])
+        begin = {k: sum(map(len, ids[:k])) for k in slots}
         start = (0,) * len(slots)
         heap, seen, scores, changes = [(0.0, start)], {start}, [], []
         while heap and len(scores) < n:
             loss, choice = heapq.heappop(heap)
             scores.append(total - loss)
             if scores[1:]:
-                changes.append([x for k, own, c in zip(slots, options, choice) if c for x in (int(begin[k]), len(ids[k]), len(own[c][1]), *own[c][1])])
+                changes.append([x for k, own, c in zip(slots, options, choice) if c for x in (begin[k], len(ids[k]), len(own[c][1]), *own[c][1])])
             for j, own in enumerate(options):
                 if choice[j] + 1 < len(own):
                     after = (*choice[:j], choice[j] + 1, *choice[j + 1 :])
@@ -224,8 +331,10 @@ def encode_pieces(text: Column, model: bytes, n: int = N_BEST) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         own = segmenter(model)
         ids, lengths, scores, changes = [], [], [], []
-        for text in texts.to_pylist():
-            units, s, c = own.encode(text, n)
+        cut = list(map(own.cut, texts.to_pylist()))
+        own.learn(cut)
+        for row in cut:
+            units, s, c = own.encode_units(row, n)
             flat = np.fromiter(chain.from_iterable(units), np.int32)
             ids.append(flat)
             lengths.append(len(flat))
