@@ -51,6 +51,10 @@ LABELLED = (
     (INSIDE, 8, 0.0, 3, 1.0, 60, 0.0, 1), (INSIDE, 60, 0.05, 8, 0.0, 45, 0.0, 1), (INSIDE, 1, 0.0, 40, 0.0, 30, 0.0, 1),
     (INSIDE, 3, 0.0, 0, 0.0, 4, 0.5, 1), (INSIDE, 12, 0.4, 50, 0.1, 33, 0.0, 1), (INSIDE, 2, 1.0, 20, 0.0, 25, 0.0, 1),
     (INSIDE, 150, 0.0, 90, 0.1, 6, 0.2, 1), (INSIDE, 5, 0.0, 5, 0.0, 5, 0.0, 1), (INSIDE, 25, 0.9, 12, 0.3, 18, 0.0, 1),
+    (INSIDE, 4, 0.0, 30, 0.0, 2, 0.0, 1), (INSIDE, 2, 0.0, 1, 0.0, 0, 0.0, 1), (INSIDE, 1, 1.0, 3, 0.0, 1, 0.0, 1),
+    (INSIDE, 6, 0.0, 2, 1.0, 3, 1.0, 1), (INSIDE, 3, 0.7, 5, 0.0, 2, 1.0, 1), (INSIDE, 2, 0.0, 4, 1.0, 1, 0.0, 1),
+    (INSIDE, 7, 1.0, 1, 1.0, 1, 1.0, 1), (INSIDE, 5, 0.5, 8, 0.2, 3, 0.0, 1), (INSIDE, 1, 0.0, 2, 0.0, 2, 0.0, 1),
+    (INSIDE, 8, 0.0, 60, 0.0, 1, 1.0, 1), (INSIDE, 3, 0.0, 70, 0.0, 3, 0.0, 1), (INSIDE, 1, 1.0, 1, 1.0, 0, 0.0, 1),
     # marked furniture: menus, adverts, notices, forms, footers, comments
     (FURNITURE, 1, 1.0, 1, 1.0, 1, 1.0, 0), (FURNITURE, 9, 0.0, 1, 1.0, 10, 0.0, 0), (FURNITURE, 40, 0.0, 12, 0.0, 55, 0.0, 0),
     (FURNITURE, 7, 0.3, 80, 0.0, 0, 0.0, 0), (FURNITURE, 120, 0.0, 30, 0.0, 60, 0.0, 0), (FURNITURE, 3, 0.0, 2, 0.0, 1, 0.0, 0),
