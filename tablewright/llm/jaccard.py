@@ -7,8 +7,9 @@ so each class enters the inverted lists of its prefix, with its position there.
 Set relations save the rest.  First every class is compared with one leader only, the one that leads most of
 its lists, and its exact overlap is kept; most near copies are settled so.  Then lists whose classes all lie
 in one component are skipped whole, and in the others a class is met only by classes of other components:
-entries are blocked by set size, and blocks, then entries, are skipped by size and position bounds, and by
-the triangle bound that follows from the answers already known for a common leader.  What remains is
+entries are blocked by set size, and blocks, then entries, are skipped by bounds on what they can share: from
+sizes, positions and single shingles, and, for a common leader, from the answers already known, since two
+sets share no more of the leader than each does, and outside it only what is not single.  What remains is
 compared exactly.
 """
 
@@ -115,7 +116,7 @@ def similar_components(documents: DataFrame, doc_id: str = "doc_id", text: str =
         F.min("key").alias("id"), F.min("n").alias("n"), F.min("single").alias("single"), F.min("shingles").alias("shingles")))
     share = similarity / 100
     entries = classes.select("id", "n", F.posexplode("shingles").alias("pos", "shingle"), "single").select(
-        "shingle", "id", "n", (F.col("pos") + F.col("single")).alias("pos"))
+        "shingle", "id", "n", "single", (F.col("pos") + F.col("single")).alias("pos"))
     # lists of one class lead nowhere
     lists = entries.groupBy("shingle").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").select("shingle", "leader")
     entries = stored(entries.join(lists, "shingle"))
@@ -129,26 +130,27 @@ def similar_components(documents: DataFrame, doc_id: str = "doc_id", text: str =
     answers = stored(_overlaps(led.select(F.col("id").alias("a"), F.col("leader").alias("b")), sets))
     settled = stored(_links(answers, similarity))
     place = components(settled).withColumnsRenamed({"node": "id", "component": "part"})
-    distance = answers.select(F.col("a").alias("id"), F.col("b").alias("led_by"), (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("far"))
-    entries = entries.drop("leader").join(place, "id", "left").withColumn("part", F.coalesce("part", "id")).join(distance, "id", "left")
+    led_to = answers.select(F.col("a").alias("id"), F.col("b").alias("led_by"), F.col("shared").alias("led"))
+    entries = entries.drop("leader").join(place, "id", "left").withColumn("part", F.coalesce("part", "id")).join(led_to, "id", "left")
     entries = stored(entries.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / math.log(1 / share)).cast("int")))
 
     # lists within one component are skipped; in the others the part with most entries does not meet itself
     parts = entries.groupBy("shingle", "part").count()
     mixed = parts.groupBy("shingle").agg(F.max_by("part", F.struct("count", -F.col("part"))).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("shingle", "main")
     entries = stored(entries.join(mixed, "shingle"))
-    probes = entries.filter("part <> main").select("shingle", *[F.col(c).alias(f"p_{c}") for c in ("id", "n", "pos", "part", "led_by", "far", "block")])
+    probes = entries.filter("part <> main").select("shingle", *[F.col(c).alias(f"p_{c}") for c in ("id", "n", "single", "pos", "part", "led_by", "led", "block")])
     probes = probes.withColumn("block", F.explode(F.array(F.col("p_block") - 1, F.col("p_block"), F.col("p_block") + 1)))
     need = F.ceil((F.col("n") + F.col("p_n")) * F.lit(share / (1 + share)) - F.lit(1e-9))
     shorter = F.when(F.col("n") < F.col("p_n"), F.col("pos") < _needed(F.col("n"), 2 * share / (1 + share)))
     shorter = shorter.when(F.col("n") > F.col("p_n"), F.col("p_pos") < _needed(F.col("p_n"), 2 * share / (1 + share))).otherwise(F.lit(True))
+    beyond = F.least(F.col("n") - F.col("led") - F.col("single"), F.col("p_n") - F.col("p_led") - F.col("p_single"))
     possible = (
         (F.col("part") != F.col("p_part"))
         & ((F.col("part") == F.col("main")) | (F.col("id") < F.col("p_id")))  # else both sides probe
         & (F.least("n", "p_n") * 100 >= similarity * F.greatest("n", "p_n"))
-        & (F.least(F.col("n") - F.col("pos"), F.col("p_n") - F.col("p_pos")) + F.least("pos", "p_pos") >= need)
+        & (F.least(F.col("n") - F.col("pos"), F.col("p_n") - F.col("p_pos")) + F.least(F.col("pos") - F.col("single"), F.col("p_pos") - F.col("p_single")) >= need)
         & shorter
-        & ~F.coalesce((F.col("led_by") == F.col("p_led_by")) & (F.abs(F.col("far") - F.col("p_far")) > 1 - share + 1e-9), F.lit(False))
+        & ~F.coalesce((F.col("led_by") == F.col("p_led_by")) & (F.least("led", "p_led") + beyond < need), F.lit(False))
     )
     pairs = probes.join(entries, ["shingle", "block"]).filter(possible).select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
     pairs = pairs.join(answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
