@@ -247,7 +247,9 @@ class Segmenter:
         if (unit, n) not in self.paths:
             if len(self.paths) >= 20_000:
                 self.paths.clear()
-            self.paths[unit, n] = self.n_best(unit, n)
+            first = self.best(unit)
+            others = [path for path in self.n_best(unit, n) if path[1] != first[0]]  # of equal paths the best one is first
+            self.paths[unit, n] = [(first[1], first[0]), *others][:n]
         return self.paths[unit, n]
 
     def encode(self, text: str | None, n: int) -> tuple[Sequence[tuple[int, ...]], list[float], list[list[int]]]:
