@@ -124,7 +124,7 @@ def classify(profiles: Profiles, texts: list[str | None]) -> tuple[list[str], np
     best = cosines.argmax(1)
     scores = np.where(norms > 0, cosines[np.arange(len(texts)), best], 0)
     has_letter = [isinstance(t, str) and any(map(str.isalpha, t)) for t in texts]
-    return [profiles.languages[i] if ok else UNDETERMINED for i, ok in zip(best, has_letter)], np.clip(scores, 0, 1).astype(float)
+    return [profiles.languages[i] if ok else UNDETERMINED for i, ok in zip(best, has_letter)], np.round(np.clip(scores, 0, 1).astype(float), 6)
 
 
 def predict(text: Column, profiles: Profiles) -> Column:

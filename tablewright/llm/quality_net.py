@@ -53,12 +53,13 @@ def new_network(seed: int = 3) -> Network:
 
 
 def _layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts, each padded with 256 to whole half-chunks (one at least), and their half-chunks' numbers."""
-    halves = np.maximum(1, -(-np.array([len(t) for t in texts]) // HALF))
+    """Bytes of all texts, each behind WIDTH times 256, so that no filter sees two texts, and padded likewise to whole
+    half-chunks; and their half-chunks' numbers."""
+    halves = -(-(np.array([len(t) for t in texts]) + WIDTH) // HALF)
     data = np.full(int(halves.sum()) * HALF + WIDTH, 256, np.int32)
     at = 0
     for text, n in zip(texts, halves):
-        data[at : at + len(text)] = np.frombuffer(text, np.uint8)
+        data[at + WIDTH : at + WIDTH + len(text)] = np.frombuffer(text, np.uint8)
         at += int(n) * HALF
     return data, halves
 
@@ -96,7 +97,8 @@ def _document(net: Network, chunk_max: np.ndarray, owner: np.ndarray, n: int) ->
 
 
 def scores(net: Network, texts: list[bytes]) -> np.ndarray:
-    """Probability of label 1 for each whole text; the empty text has one too."""
+    """Probability of label 1 for each whole text; the empty text has one too.  Six decimals: the order of additions
+    in a matrix product follows the batch, and further digits would too."""
     out = np.zeros(len(texts))
     for a, b in slices(np.array([len(t) + HALF for t in texts]), STEP_BYTES):
         data, halves = _layout(texts[a:b])
@@ -108,7 +110,7 @@ def scores(net: Network, texts: list[bytes]) -> np.ndarray:
         chunk_max, owner, _ = _pool(np.concatenate(best), halves)
         features, _, _ = _document(net, chunk_max, owner, b - a)
         out[a:b] = 1 / (1 + np.exp(-np.clip(features @ net.weights + net.offset, -30, 30)))
-    return out
+    return np.round(out, 6)
 
 
 def _gradients(net: Network, texts: list[bytes], labels: np.ndarray) -> list[np.ndarray]:
