@@ -22,6 +22,10 @@ from tablewright.llm.wordhash import run_hashes, word_hashes
 WINDOW = 13
 #: Ranges are sent to every executor while they take less than this; beyond, texts and ranges are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Exact copies keep out of the search for windows while their ids can be sent to every executor.
+BROADCAST_COPIES = 1_000_000
+#: The end of a range that takes a whole text.
+ALL = (1 << 31) - 1
 
 
 def _windows(texts, window: int) -> list[np.ndarray]:
@@ -41,7 +45,7 @@ def _first_documents(rows: DataFrame, window: int, repeats) -> DataFrame:
         hashes, docs = hashes[order], docs[order]
         edge = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
         last = np.append(edge[1:], len(hashes)) - 1
-        return pd.DataFrame({"h": hashes[edge].view(np.int64), "lo": docs[edge], "hi": docs[last]})
+        return pd.DataFrame({"h": hashes[edge].view(np.int64), "lo": docs[edge], "more": docs[last] > docs[edge]})
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: Repeats = repeats.value
@@ -59,8 +63,9 @@ def _first_documents(rows: DataFrame, window: int, repeats) -> DataFrame:
         if total:
             yield combined(*map(np.concatenate, zip(*waiting)))
 
-    sent = rows.mapInPandas(send, "h long, lo long, hi long")
-    return sent.groupBy("h").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).filter("first < last").select("h", "first")
+    sent = rows.mapInPandas(send, "h long, lo long, more boolean")
+    seen = sent.groupBy("h").agg(F.min("lo").alias("first"), F.max("lo").alias("last"), F.bool_or("more").alias("more"))
+    return seen.filter("first < last or more").select("h", "first")
 
 
 def _occurrences(rows: DataFrame, window: int, repeats) -> DataFrame:
@@ -88,10 +93,21 @@ def _merged(starts: np.ndarray, window: int) -> list[int]:
     return np.stack([starts[new], ends], 1).ravel().tolist()
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """Keys of the texts that a smaller key has too, whole."""
+    own = rows.select("key", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"))
+    first = own.groupBy("t1", "t2").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last").drop("last")
+    return own.join(first, ["t1", "t2"]).filter("first < key").select("key").distinct()
+
+
 def repeated_ranges(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(key, ranges): for each document with such words, the ranges of words in windows that a smaller doc_id has."""
     spark = documents.sparkSession
     rows = documents.select(_key(doc_id).alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    copies = stored(_copies(rows))
+    apart = copies.count() <= BROADCAST_COPIES
+    if apart:  # every window of a copy starts in its first copy, and adds nothing to other documents' answers
+        rows = rows.join(F.broadcast(copies), "key", "left_anti")
     words = rows.agg(F.sum(F.length("text"))).first()[0] or 0  # at six characters a word
     repeats = build_repeats(rows.select("text"), lambda b: np.concatenate(_windows(b["text"], window)), int(words) // 6)
     repeats = spark.sparkContext.broadcast(repeats)
@@ -102,7 +118,8 @@ def repeated_ranges(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     def merge(starts: pd.Series) -> pd.Series:
         return pd.Series([_merged(s, window) for s in starts])
 
-    return stored(later.groupBy("key").agg(F.collect_list("at").alias("at")).select("key", merge("at").alias("ranges")))
+    ranges = later.groupBy("key").agg(F.collect_list("at").alias("at")).select("key", merge("at").alias("ranges"))
+    return stored(ranges.union(copies.select("key", F.array(F.lit(0), F.lit(ALL)))) if apart else ranges)
 
 
 def without_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -126,7 +143,7 @@ def without_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
         out = []
         for t, own in zip(utf8(texts), ranges):
             words = t.split()
-            if own is None or not len(own):
+            if own is None or not len(own) or len(words) < window:
                 out.append((len(words), 0, b" ".join(words).decode("utf-8", "surrogatepass")))
                 continue
             kept, at = [], 0
