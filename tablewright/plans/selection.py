@@ -29,6 +29,38 @@ DIRECT_VALUES = 200_000
 BROADCAST_STATES = 100_000
 BROADCAST_KEY_CHARS = 10_000_000
 SALTS = 16
+# Even cells take 12 bits off a range; every third round uses logarithmic ones, so that few rounds are needed.
+MOST_ROUNDS = 200
+
+
+def cell_of(kind: T.DataType, logarithmic: bool) -> Column:
+    """The cell of v between lo and hi.  lo lies in the first and hi in another cell, so that every round narrows.
+
+    Whole numbers are compared by their leading bits, exactly at any size.  Doubles lie in even cells, or in
+    cells of their power of two, always so where a bound is infinite: the next bounds are then finite.
+    """
+    v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        span = hi.cast("double") - lo.cast("double")
+        bits = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(span, F.lit(1.0)) / CELLS)) + 1).cast("int")
+        shifted = lambda c: F.call_function("shiftright", c.cast("bigint"), bits)
+        return shifted(v) - shifted(lo)
+    v, lo, hi = v.cast("double"), lo.cast("double"), hi.cast("double")
+    power = lambda c: F.when(c == 0, 0.0).otherwise(F.signum(c) * F.least(F.lit(2101.0), F.log2(F.abs(c)) + 1076))
+    steps = F.floor((power(v) - power(lo)) / (power(hi) - power(lo)) * (CELLS - 1))
+    uneven = F.when(power(hi) > power(lo), steps)
+    width = hi / 2 - lo / 2
+    even = F.least(F.lit(CELLS - 1), F.floor((v / 2 - lo / 2) / width * CELLS))
+    even = F.when(width > 0, even).otherwise(F.when(v > lo, 1).otherwise(0))
+    infinite = (lo == float("-inf")) | (hi == float("inf"))
+    return F.coalesce(F.when(infinite | F.lit(logarithmic), uneven), F.when(~infinite, even), F.when(v > lo, 1).otherwise(0))
+
+
+def present_values(items: DataFrame) -> DataFrame:
+    """Rows whose v is neither null nor NaN."""
+    if isinstance(items.schema["v"].dataType, (T.FloatType, T.DoubleType)):
+        return items.filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    return items.filter(F.col("v").isNotNull())
 
 
 def _near(items: DataFrame, cells: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
@@ -102,13 +134,16 @@ def select_ranks(
         return items(sorted(r[0] for r in cells.select(*keys).distinct().collect()))
 
     wide = (F.col("lo") < F.col("hi")) & (F.col("cnt") > SMALL_CELL)
+    rounds = 0
     while still_open:
+        rounds += 1
+        if rounds > MOST_ROUNDS:
+            raise RuntimeError(f"the search for order statistics has not ended after {MOST_ROUNDS} rounds")
         open_, closed = state.filter(wide), state.filter(~wide)
         cells = open_.select(*keys, "lo", "hi").distinct()
         near = _near(items_of(cells), cells, keys, small)
-        at = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
         counted = near.groupBy(
-            *keys, "lo", "hi", F.least(F.lit(CELLS - 1), F.floor(at * CELLS)).alias("cell")
+            *keys, "lo", "hi", cell_of(near.schema["v"].dataType, rounds % 3 == 0).alias("cell")
         ).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("c_lo"), F.max("v").alias("c_hi"))
         earlier = Window.partitionBy(*keys, "lo", "hi").orderBy("cell").rowsBetween(
             Window.unboundedPreceding, -1
@@ -149,9 +184,9 @@ def select_ranks(
 def group_quantiles(items: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """keys..., n, q: exact linearly interpolated quantiles of v per group, q an array as `probs`.
 
-    Small groups take the built-in percentile; once any group is large, all are narrowed.
+    Groups of up to DIRECT_VALUES values take the built-in percentile, larger ones are narrowed.
     """
-    present = items.select(*keys, "v").filter(F.col("v").isNotNull())
+    present = present_values(items.select(*keys, "v"))
     return _quantiles(present, present, keys, probs, few=False)
 
 
@@ -160,7 +195,7 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
     def items(names: Sequence[str]) -> DataFrame:
         wide = df.select(*[quoted(c).cast("double").alias(c) for c in names])
         long = wide.unpivot([], [quoted(c) for c in names], "column_name", "v")
-        return long.filter(F.col("v").isNotNull())
+        return present_values(long)
 
     return _quantiles(items(list(columns)), items, ["column_name"], probs, few=True)
 
@@ -173,12 +208,37 @@ def _quantiles(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
     )
     bounds = pin(bounds) if few else materialize(bounds)
-    largest = bounds.agg(F.max("n")).first()[0] or 0
-    if largest <= DIRECT_VALUES:
-        return whole.groupBy(*keys).agg(
+
+    def direct(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("n"),
             F.percentile("v", F.array(*[F.lit(float(p)) for p in probs])).alias("q"),
         )
+
+    sizes = bounds.agg(F.max("n").alias("largest"), F.min("n").alias("least")).first()
+    if (sizes["largest"] or 0) <= DIRECT_VALUES:
+        return direct(whole)
+    small_groups = None
+    if sizes["least"] <= DIRECT_VALUES:
+        # there are at most rows / DIRECT_VALUES large groups
+        large = bounds.filter(F.col("n") > DIRECT_VALUES).select(*[F.col(k).alias(f"__l_{k}") for k in keys])
+        match = None
+        for k in keys:
+            same = F.col(k).eqNullSafe(F.col(f"__l_{k}"))
+            match = same if match is None else match & same
+        near = F.broadcast(large) if large.count() <= BROADCAST_STATES else large
+        small_groups = direct(whole.join(near, match, "left_anti"))
+        if not callable(items):
+            items = items.join(near, match, "left_semi")
+        bounds = bounds.filter(F.col("n") > DIRECT_VALUES)
+    found = _narrowed(items, bounds, keys, probs, few)
+    return found if small_groups is None else found.unionByName(small_groups)
+
+
+def _narrowed(
+    items: DataFrame | Callable[[list[str]], DataFrame], bounds: DataFrame, keys: Sequence[str],
+    probs: Sequence[float], few: bool,
+) -> DataFrame:
     ranks: list[Column] = []
     for p in probs:
         at = F.floor(F.lit(float(p)) * (F.col("n") - 1))
@@ -196,7 +256,8 @@ def _quantiles(
         k = F.floor(pos)
         low = F.element_at("m", k)
         high = F.element_at("m", F.least(k + 1, F.col("n") - 1))
-        return low + (high - low) * (pos - k)
+        # a rank that is met exactly, and equal neighbours, need no weights (infinities would give NaN)
+        return F.when((pos == k) | (low == high), low).otherwise(low + (high - low) * (pos - k))
 
     return by_rank.select(*keys, "n", F.array(*[at_prob(p) for p in probs]).alias("q"))
 
@@ -212,7 +273,8 @@ def _interpolated(found: DataFrame, keys: Sequence[str], probs: Sequence[float])
         for p in probs:
             k = math.floor(p * (n - 1))
             low, high = values[k], values[min(k + 1, n - 1)]
-            q.append(low + (high - low) * (p * (n - 1) - k))
+            part = p * (n - 1) - k
+            q.append(low if part == 0 or low == high else low + (high - low) * part)
         rows.append((*key, n, q))
     fields = [found.schema[k] for k in keys] + [
         T.StructField("n", T.LongType()), T.StructField("q", T.ArrayType(T.DoubleType()))
