@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -31,13 +33,13 @@ def held_out(key: str = "doc_id", folds: int = 5) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; raises where a session names none."""
+    """The folder of spark.checkpoint.dir.  Only a session in one process may do without: it takes a temporary one."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        if not configured:
+        if not configured and not re.match(r"local($|\[)", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(configured)
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="corpus-"))
     return context.getCheckpointDir()
 
 
