@@ -90,13 +90,6 @@ def total(c: Column) -> Column:
     return F.coalesce(F.sum(c), F.lit(0).cast("double"))
 
 
-def pearson(a: Column, b: Column) -> Column:
-    """Pearson correlation over rows where both are present; null if either is constant there."""
-    x = F.when(b.isNotNull(), a).cast("double")
-    y = F.when(a.isNotNull(), b).cast("double")
-    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
-
-
 def adjusted_skewness(c: Column) -> Column:
     """Bias-adjusted sample skewness: null below 3 values, 0 for a constant column."""
     x = c.cast("double")

@@ -84,9 +84,9 @@ def group_sum_mean_count(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def ranking(df: DataFrame, group: str, measures: Sequence[str], top_n: int = 10) -> DataFrame:
-    """Sum and mean of up to three measures with group sizes, by the first measure's sum."""
+    """Sum and mean of the measures with group sizes, by the first measure's sum."""
     aggs: list[Column] = []
-    for m in measures[:3]:
+    for m in measures:
         aggs += [
             F.round(total(quoted(m)), 2).alias(f"sum_{m}"),
             F.round(F.avg(quoted(m)), 2).alias(f"mean_{m}"),
@@ -230,9 +230,10 @@ def scalar_aggregates(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def unique_values(df: DataFrame, column: str, show: int = 30) -> DataFrame:
-    """value: the distinct present values, the first `show` of them in order."""
-    return df.filter(quoted(column).isNotNull()).select(quoted(column)).distinct().orderBy(quoted(column)).limit(show)
+def unique_values(df: DataFrame, column: str, show: int | None = None) -> DataFrame:
+    """value: the distinct present values in order, or the first `show` of them."""
+    values = df.filter(quoted(column).isNotNull()).select(quoted(column)).distinct().orderBy(quoted(column))
+    return values if show is None else values.limit(show)
 
 
 def missing_by_column(df: DataFrame) -> DataFrame:
@@ -391,19 +392,19 @@ def feature_importance(df: DataFrame, target: str, columns: Sequence[str]) -> Da
 
 # ---- sets of tables --------------------------------------------------------------------------
 
-def gold_tables(df: DataFrame, roles: Roles | None = None, top_n: int = 20) -> dict[str, DataFrame]:
+def gold_tables(df: DataFrame, roles: Roles | None = None, top_n: int | None = None) -> dict[str, DataFrame]:
     """The named business tables of a dataset.
 
-    Sums by dimension (first 5 x 5), means by dimension (5 x 3), monthly sums (2 x 3), and a numeric
-    summary.  Tables with a single row are left out.  All grouped tables come from one scan: rows are
-    spread over their dimensions, aggregated, and the result (at most 51 groups per dimension and one
-    per month) is written once.
+    Sums and means of every measure by dimension, monthly sums by date column (named with it), and a
+    numeric summary; `top_n` rows of each by size, or all.  Tables with a single row are left out.  All
+    grouped tables come from one scan: rows are spread over their dimensions, aggregated, and the result
+    (at most 51 groups per dimension and one per month) is written once.
     """
     roles = roles or classify(df)
-    measures, tables = roles.measures[:5], {}
+    measures, tables = roles.measures, {}
     no_text, no_date = F.lit(None).cast("string"), F.lit(None).cast("date")
-    sides = [(d, quoted(d).cast("string"), no_date) for d in roles.dimensions[:5]]
-    sides += [(f"month of {t}", no_text, F.trunc(quoted(t), "month")) for t in roles.datetimes[:2]]
+    sides = [(d, quoted(d).cast("string"), no_date) for d in roles.dimensions]
+    sides += [(f"month of {t}", no_text, F.trunc(quoted(t), "month")) for t in roles.datetimes]
     if measures and sides:
         spread = F.inline(F.array(*[
             F.struct(F.lit(n).alias("__side"), c.alias("__text"), m.alias("__month")) for n, c, m in sides
@@ -421,24 +422,24 @@ def gold_tables(df: DataFrame, roles: Roles | None = None, top_n: int = 20) -> d
 
         def table(side: str, key: str, i: int, agg: str) -> DataFrame:
             name = f"{measures[i]}_{agg}"
-            return (
+            rows = (
                 cube.filter(F.col("__side") == side)
                 .select(F.col("__key").alias(key), F.col(f"__{agg}{i}").alias(name))
                 .orderBy(quoted(name).desc_nulls_last(), quoted(key).asc_nulls_last())
-                .limit(top_n)
             )
+            return rows if top_n is None else rows.limit(top_n)
 
-        for d in roles.dimensions[:5]:
+        for d in roles.dimensions:
             if sizes.get(d, 0) > 1:
                 for i, m in enumerate(measures):
                     tables[f"{m}_by_{d}"] = table(d, d, i, "sum")
-                for i, m in enumerate(measures[:3]):
+                for i, m in enumerate(measures):
                     tables[f"avg_{m}_by_{d}"] = table(d, d, i, "mean")
-        for t in roles.datetimes[:2]:
+        for t in roles.datetimes:
             side = f"month of {t}"
             if sizes.get(side, 0) > 1:
-                for i, m in enumerate(measures[:3]):
-                    tables[f"monthly_{m}"] = table(side, "month", i, "sum")
+                for i, m in enumerate(measures):
+                    tables[f"monthly_{m}_by_{t}"] = table(side, "month", i, "sum")
     if roles.measures:
         tables["numeric_summary"] = numeric_summary(df, roles.measures)
     return tables
@@ -448,11 +449,11 @@ def suggested_kpis(df: DataFrame) -> DataFrame:
     """kpi, kind, key, value: the KPIs column names suggest, evaluated.
 
     Totals and averages of revenue-like columns, revenue by customer and by region, the ten most
-    frequent products, and totals of the first numeric columns.
+    frequent products, and totals of the other numeric columns.  No row for a table without such columns.
     """
     numbers, texts = numeric_columns(df), text_columns(df)
     revenue = pick(numbers, KPI_REVENUE_WORDS)
-    others = [c for c in numbers[:3] if c not in revenue]
+    others = [c for c in numbers if c not in revenue]
     parts: list[DataFrame] = []
     if revenue or others:
         rows = []
@@ -485,6 +486,8 @@ def suggested_kpis(df: DataFrame) -> DataFrame:
             F.lit(f"Top {products[0]}").alias("kpi"), F.lit("ranking").alias("kind"),
             quoted(products[0]).alias("key"), F.col("n").cast("double").alias("value"),
         ))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "kpi string, kind string, key string, value double")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.semantics import band, band_below, percent, quoted, ratio
+from tablewright.functions.semantics import band, band_below, kind_of, percent, quoted, ratio
 from tablewright.operators.aggregate import correlation_pairs, top_category
 from tablewright.plans.outliers import iqr_outliers
 from tablewright.plans.selection import from_on, order_cuts, up_to
@@ -114,8 +114,12 @@ def performance_gaps(
     All category and number pairs come from one scan; only pairs with positive means are compared.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
+
+    def key_of(c: str) -> Column:  # texts stay whole, as they are part of the result; rows are combined first
+        return quoted(c) if kind_of(types[c]) == "text" else comparable(c, types[c])
+
     sides = F.inline(F.array(*[
-        F.struct(F.lit(c).alias("category"), comparable(c, types[c]).alias("key")) for c in categories
+        F.struct(F.lit(c).alias("category"), key_of(c).alias("key")) for c in categories
     ]))
     spread = df.select(*[quoted(n).cast("double").alias(f"__n{i}") for i, n in enumerate(numbers)], sides)
     means = spread.filter(F.col("key").isNotNull()).groupBy("category", "key").agg(

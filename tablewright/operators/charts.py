@@ -73,14 +73,20 @@ def box(df: DataFrame, y: str, x: str | None = None) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
-    """bin (from 0), lower, upper, n: equal-width bins from minimum to maximum, empty ones included."""
+    """bin (from 0), lower, upper, n: equal-width bins from the least to the largest finite value, empty ones included.
+
+    Infinite values count in the outer bins, NaN in none.
+    """
     v = quoted(column).cast("double")
-    ends = df.agg(F.min(v).alias("a"), F.max(v).alias("b")).first()
+    v = F.when(~F.isnan(v), v)
+    finite = F.when(F.abs(v) < float("inf"), v)
+    ends = df.agg(F.min(finite).alias("a"), F.max(finite).alias("b")).first()
     spine = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     if ends["a"] is None:
         return spine.filter(F.lit(False)).select("bin", F.lit(0.0).alias("lower"), F.lit(0.0).alias("upper"), F.col("bin").cast("bigint").alias("n"))
     a, width = float(ends["a"]), (float(ends["b"]) - float(ends["a"])) / bins
-    at = F.least(F.lit(bins - 1), F.floor((v - a) / width)) if width else F.lit(0)
+    place = F.floor((F.least(F.greatest(v, F.lit(a)), F.lit(float(ends["b"]))) - a) / width) if width else None
+    at = F.least(F.lit(bins - 1), place) if width else F.lit(0)
     counts = df.filter(v.isNotNull()).groupBy(at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     return spine.join(F.broadcast(counts), "bin", "left").select(
         "bin", (F.lit(a) + F.col("bin") * width).alias("lower"), (F.lit(a) + (F.col("bin") + 1) * width).alias("upper"),
@@ -88,8 +94,8 @@ def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
     )
 
 
-def heatmap(df: DataFrame, measures: Sequence[str], cap: int = 10) -> DataFrame:
-    """The correlation matrix of the first `cap` measures."""
+def heatmap(df: DataFrame, measures: Sequence[str], cap: int | None = None) -> DataFrame:
+    """The correlation matrix of the measures, or of the first `cap`."""
     return correlation_matrix(df, list(measures)[:cap])
 
 

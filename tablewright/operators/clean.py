@@ -208,8 +208,7 @@ def clean(
     note("fill_missing_values", 0, filled)
     df, retyped = normalize_types(df)
     note("normalize_data_types", 0, retyped)
-    empty = df.filter(F.coalesce(*[quoted(c).cast("string") if kind_of(df.schema[c].dataType) != "nested"
-                                   else F.to_json(quoted(c)) for c in df.columns]).isNull()).count()
+    empty = df.filter(F.forall(F.array(*[quoted(c).isNull() for c in df.columns]), lambda gone: gone)).count()
     note("remove_invalid_rows", empty, {})
     return drop_all_null(df), spark.createDataFrame(log, LOG_SCHEMA)
 

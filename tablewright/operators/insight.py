@@ -36,15 +36,21 @@ def _key_facts(stats: DataFrame) -> DataFrame:
     )
 
 
+def _shares(df: DataFrame, dimension: str, measure: str) -> DataFrame:
+    """Shares of a total that is not 0; none of one that is."""
+    shares = share_of_total(df, dimension, measure)
+    return shares if df.agg(F.sum(quoted(measure).cast("double"))).first()[0] else shares.limit(0)
+
+
 def top_drivers(df: DataFrame, dimension: str, measure: str, n: int = 3) -> DataFrame:
     """The n groups with the largest sums and their share of the total; empty if the total is 0."""
-    shares = share_of_total(df, dimension, measure)
+    shares = _shares(df, dimension, measure)
     return shares.orderBy(F.desc("total"), quoted(dimension)).limit(n)
 
 
 def weak_segments(df: DataFrame, dimension: str, measure: str, n: int = 3, below_pct: float = 10.0) -> DataFrame:
-    """Among the n groups with the smallest sums, those with a share under `below_pct`."""
-    bottom = share_of_total(df, dimension, measure).orderBy("total", quoted(dimension)).limit(n)
+    """Among the n groups with the smallest sums, those with a share under `below_pct`; empty if the total is 0."""
+    bottom = _shares(df, dimension, measure).orderBy("total", quoted(dimension)).limit(n)
     return bottom.filter(F.col("share_pct") < below_pct)
 
 
@@ -85,12 +91,9 @@ class _Report:
         return self.spark.createDataFrame(self.rows, "section string, position int, text string")
 
 
-def _money(value: float, column: str) -> str:
-    size, sign, prefix = abs(value), "-" if value < 0 else "", money_prefix(column)
-    for unit, letter in ((1e9, "B"), (1e6, "M"), (1e3, "K")):
-        if size >= unit:
-            return f"{sign}{prefix}{size / unit:.1f}{letter}"
-    return f"{sign}{prefix}{int(size):,}" if size == int(size) else f"{sign}{prefix}{size:,.2f}"
+def _amount(value: float) -> str:
+    """Two decimals at most, thousands apart."""
+    return f"{value:,.2f}".rstrip("0").rstrip(".")
 
 
 def explain_report(df: DataFrame, roles: Roles | None = None, tie_break: Sequence[str] = ()) -> DataFrame:
@@ -114,10 +117,10 @@ def explain_report(df: DataFrame, roles: Roles | None = None, tie_break: Sequenc
 
     for r in _key_facts(of(m[:3])).collect():
         c = r["column_name"]
-        out.say("key_insights", f"Total {c} across the dataset is {_money(r['total'], c)}, with an average of "
-                                f"{_money(r['mean'], c)} per record across {r['count']:,} entries.")
+        out.say("key_insights", f"Total {c} across the dataset is {_amount(r['total'])}, with an average of "
+                                f"{_amount(r['mean'])} per record across {r['count']:,} entries.")
         if r["spread_pct"] is not None:
-            out.say("key_insights", f"Values range from {_money(r['minimum'], c)} to {_money(r['maximum'], c)}, "
+            out.say("key_insights", f"Values range from {_amount(r['minimum'])} to {_amount(r['maximum'])}, "
                                     f"indicating a {r['spread_pct']:.0f}% spread relative to the mean.")
     if t and m:
         for r in quarter_growth(df, m[:2], [t[0], *tie_break]).collect():
@@ -128,18 +131,18 @@ def explain_report(df: DataFrame, roles: Roles | None = None, tie_break: Sequenc
         if r["n_outliers"]:
             c, s = r["column_name"], "s" if r["n_outliers"] > 1 else ""
             out.say("key_insights", f"{r['n_outliers']:,} outlier{s} detected in {c} (values outside "
-                                    f"{_money(r['lower_bound'], c)} to {_money(r['upper_bound'], c)} range).")
+                                    f"{_amount(r['lower_bound'])} to {_amount(r['upper_bound'])} range).")
     if m and d:
         for r in top_drivers(df, d[0], m[0]).collect():
             out.say("performance_drivers", f"{r[d[0]]} accounts for {r['share_pct']:.1f}% of total {m[0]} "
-                                           f"({_money(r['total'], m[0])}).")
+                                           f"({_amount(r['total'])}).")
         if len(d) >= 2 and len(m) >= 2:
             for r in top_drivers(df, d[1], m[1], 1).collect():
-                out.say("performance_drivers", f"{r[d[1]]} leads in {m[1]} with {_money(r['total'], m[1])} "
+                out.say("performance_drivers", f"{r[d[1]]} leads in {m[1]} with {_amount(r['total'])} "
                                                f"({r['share_pct']:.1f}% share).")
         for r in weak_segments(df, d[0], m[0]).collect():
             out.say("weak_segments", f"{r[d[0]]} contributes only {r['share_pct']:.1f}% "
-                                     f"({_money(r['total'], m[0])}), suggesting potential for improvement.")
+                                     f"({_amount(r['total'])}), suggesting potential for improvement.")
         for r in _sparse(of(m[:3]), 5.0).collect()[: 4 - sum(1 for x in out.rows if x[0] == "weak_segments")]:
             out.say("weak_segments", f"{r['column_name']} has {r['missing_pct']:.1f}% missing data, "
                                      "which may affect analysis accuracy.")

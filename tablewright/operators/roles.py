@@ -155,18 +155,19 @@ def profile_types(df: DataFrame, roles: Roles | None = None) -> DataFrame:
     return out
 
 
-def date_like_text(df: DataFrame, order_by: list[str], head: int = 50) -> DataFrame:
-    """column_name, n_checked, is_datetime: whether the first `head` present values all are dates."""
-    out = None
-    for c in text_columns(df):
-        first = df.filter(quoted(c).isNotNull()).orderBy(*order_by).select(quoted(c).alias("v")).limit(head)
-        row = first.agg(
-            F.lit(c).alias("column_name"),
-            F.count("v").alias("n_checked"),
-            F.coalesce(F.bool_and(parse_timestamp(F.col("v")).isNotNull()), F.lit(True)).alias("is_datetime"),
+def date_like_text(df: DataFrame) -> DataFrame:
+    """column_name, n_checked, is_datetime: whether all present values are dates.  One scan for all columns."""
+    columns = text_columns(df)
+    facts = [
+        F.struct(
+            F.lit(c).alias("column_name"), F.count(quoted(c)).alias("n_checked"),
+            F.coalesce(F.bool_and(parse_timestamp(quoted(c)).isNotNull() | quoted(c).isNull()), F.lit(True)).alias("is_datetime"),
         )
-        out = row if out is None else out.unionByName(row)
-    return out
+        for c in columns
+    ]
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column_name string, n_checked bigint, is_datetime boolean")
+    return df.agg(F.array(*facts).alias("r")).select(F.inline("r"))
 
 
 def structure(df: DataFrame) -> DataFrame:

@@ -12,10 +12,8 @@ from tablewright.plans.stats import short_key
 # A per-key table up to this many rows is broadcast.  It holds a key of at most 128 characters and a
 # few numbers, so this is some tens of megabytes at most.
 BROADCAST_KEYS = 500_000
-# A key with more than one row in HOT_SHARE is hot.  There can be no more than HOT_SHARE such keys, so
-# their results are broadcast, and their rows are spread over SPREAD places.
+# A key with more than one row in HOT_SHARE is hot.  There can be no more than HOT_SHARE such keys.
 HOT_SHARE = 1_000
-SPREAD = 1_024
 
 
 def attach_aggregates(rows: DataFrame, key: str, aggregates: dict[str, Column], source: DataFrame | None = None) -> DataFrame:
@@ -23,8 +21,8 @@ def attach_aggregates(rows: DataFrame, key: str, aggregates: dict[str, Column],
 
     Rows without a key get null.  The per-key table is computed once (rows are combined before the
     shuffle, whatever a key's share) and counted.  A small one is broadcast, so rows do not move.  A
-    larger one is joined by shuffle, with the hot keys taken out of the way: their results are
-    broadcast, and their rows join nothing in the shuffle, spread evenly over it.
+    larger one is joined by shuffle; the rows of hot keys, counted among the rows that are joined, take
+    their results from a broadcast instead and stay where they are, as rows without a key do.
     """
     base = rows if source is None else source
     by = short_key(quoted(key)) if kind_of(rows.schema[key].dataType) == "text" else quoted(key)
@@ -39,16 +37,15 @@ def attach_aggregates(rows: DataFrame, key: str, aggregates: dict[str, Column],
         small = per_key.drop("__rows")
         joined = rows.join(F.broadcast(small), by == F.col("__key"), "left")
         return joined.select(*[quoted(c) for c in rows.columns], *[F.col(f"__{n}").alias(n) for n in names])
-    hot = per_key.filter(F.col("__rows") * HOT_SHARE > size["rows"]).select(
-        F.col("__key").alias("__hot"), *[F.col(f"__{n}").alias(f"__hot_{n}") for n in names]
-    )
-    marked = rows.join(F.broadcast(hot), by == F.col("__hot"), "left")
-    aside = F.col("__hot").isNotNull() | quoted(key).isNull()
-    place = F.when(aside, 1 + F.monotonically_increasing_id() % SPREAD).otherwise(F.lit(0))
-    cold = per_key.drop("__rows").withColumn("__at", F.lit(0).cast("bigint"))
-    joined = marked.withColumn("__place", place).join(
-        cold, (by == F.col("__key")) & (F.col("__place") == F.col("__at")), "left"
-    )
-    return joined.select(
-        *[quoted(c) for c in rows.columns], *[F.coalesce(f"__hot_{n}", f"__{n}").alias(n) for n in names]
-    )
+    counts = per_key.select("__key", "__rows") if source is None else materialize(
+        rows.filter(quoted(key).isNotNull()).groupBy(by.alias("__key")).agg(F.count(F.lit(1)).alias("__rows")))
+    n = counts.agg(F.sum("__rows")).first()[0] or 0
+    frequent = counts.filter(F.col("__rows") * HOT_SHARE > n).select(F.col("__key").alias("__hot"))
+    hot = F.broadcast(materialize(frequent))
+    results = [quoted(c) for c in rows.columns] + [F.col(f"__{name}").alias(name) for name in names]
+    small = per_key.drop("__rows")
+    of_hot = F.broadcast(small.join(hot, F.col("__key") == F.col("__hot"), "left_semi"))
+    aside = rows.join(hot, by == F.col("__hot"), "left_semi").join(of_hot, by == F.col("__key"), "left").select(results)
+    bare = rows.filter(quoted(key).isNull()).withColumns({f"__{name}": F.lit(None).cast(per_key.schema[f"__{name}"].dataType) for name in names}).select(results)
+    cold = rows.filter(quoted(key).isNotNull()).join(hot, by == F.col("__hot"), "left_anti")
+    return cold.join(small, by == F.col("__key"), "left").select(results).union(aside).union(bare)

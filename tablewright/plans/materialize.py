@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,12 +11,14 @@ from pyspark.sql import types as T
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only if none is configured."""
+    """The shared folder the cluster names.  Only a session in one process may do without: it takes a temporary one."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not re.match(r"local($|\[)", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tablewright-"))
     return context.getCheckpointDir()
 

@@ -256,17 +256,27 @@ def duplicate_counts(
     return rows.join(extra, "one").select("n_rows", "n_duplicates")
 
 
+def _distinct(df: DataFrame) -> DataFrame:
+    """dropDuplicates, by sorted entries for maps, which Spark does not compare."""
+    maps = [f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType)]
+    if not maps:
+        return df.dropDuplicates()
+    keyed = df.withColumns({f"__map_{c}": F.array_sort(F.map_entries(quoted(c))) for c in maps})
+    others = [c for c in df.columns if c not in maps]
+    return keyed.dropDuplicates([*others, *[f"__map_{c}" for c in maps]]).select(*[quoted(c) for c in df.columns])
+
+
 def without_duplicates(df: DataFrame, repeats: Repeats | None = None) -> DataFrame:
     """Each distinct row once.  Rows with a hash of their own stay where they are."""
     repeats = repeats or find_repeats(df)
     if repeats.n_hashes == 0:
         return df
     if repeats.hashes is None:
-        return df.dropDuplicates()
+        return _distinct(df)
     names, marked = [quoted(c) for c in df.columns], df.withColumn("__h", repeats.hashed)
     hashes = F.broadcast(repeats.hashes)
     alone = marked.join(hashes, "__h", "left_anti").select(*names)
-    return alone.unionByName(marked.join(hashes, "__h", "left_semi").select(*names).dropDuplicates())
+    return alone.unionByName(_distinct(marked.join(hashes, "__h", "left_semi").select(*names)))
 
 
 def text_variants(df: DataFrame, columns: Iterable[str]) -> DataFrame:

@@ -13,7 +13,6 @@ from tablewright.functions.semantics import columns_of, nan_to_null, quoted
 # File types taken, and the size limits of the two loaders.
 EXTENSIONS = (".csv", ".xlsx", ".xls")
 MAX_UPLOAD_BYTES = 100 * 1024 * 1024
-MAX_INGEST_BYTES = 500 * 1024 * 1024
 
 
 class DataLoadError(ValueError):
@@ -55,18 +54,18 @@ def file_manifest(spark: SparkSession, path: str, max_bytes: int = MAX_UPLOAD_BY
     return files.select("path", "length", extension.alias("extension")).withColumn("status", status)
 
 
-def file_hashes(spark: SparkSession, path: str, max_bytes: int = MAX_INGEST_BYTES) -> DataFrame:
-    """path, sha256 of the contents, and its first 16 characters."""
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """path, sha256 of the contents, and its first 16 characters.  A file beyond Spark's limit for one value raises."""
     digest = F.sha2("content", 256)
-    return _files(spark, path).filter(F.col("length") <= max_bytes).select(
+    return _files(spark, path).select(
         "path", digest.alias("sha256"), F.substring(digest, 1, 16).alias("short_hash")
     )
 
 
-def file_encodings(spark: SparkSession, path: str, max_bytes: int = MAX_INGEST_BYTES) -> DataFrame:
+def file_encodings(spark: SparkSession, path: str) -> DataFrame:
     """path, encoding: by byte-order mark, else UTF-8 if the whole file is valid, else CP1252 or Latin-1.
 
-    Whole contents are examined, in the task that reads the file.
+    Whole contents are examined, in the task that reads the file; one beyond Spark's limit for one value raises.
     """
     content = F.col("content")
     latin = F.decode(content, "ISO-8859-1")
@@ -78,7 +77,7 @@ def file_encodings(spark: SparkSession, path: str, max_bytes: int = MAX_INGEST_B
         .when(~latin.rlike("[\\x81\\x8D\\x8F\\x90\\x9D]"), "cp1252")
         .otherwise("latin-1")
     )
-    return _files(spark, path).filter(F.col("length") <= max_bytes).select("path", encoding.alias("encoding"))
+    return _files(spark, path).select("path", encoding.alias("encoding"))
 
 
 # Names Spark's reader knows the encodings by.  It drops a UTF-8 byte-order mark by itself, and has no

@@ -101,11 +101,11 @@ def test_correlation_of_difficult_columns(spark):
 def test_gold_tables(sales):
     df, pdf = sales
     tables = A.gold_tables(df)
-    assert {"sales_by_region", "avg_units_by_region", "sales_by_customer", "monthly_sales", "numeric_summary"} <= set(tables)
+    assert {"sales_by_region", "avg_units_by_region", "sales_by_customer", "monthly_sales_by_at", "numeric_summary"} <= set(tables)
     got = {r["region"]: r["sales_sum"] for r in tables["sales_by_region"].collect()}
     for k, v in pdf.groupby("region", dropna=False)["sales"].sum().items():
         assert got[k if isinstance(k, str) else None] == pytest.approx(v)
-    months = [r["sales_sum"] for r in tables["monthly_sales"].collect()]
+    months = [r["sales_sum"] for r in tables["monthly_sales_by_at"].collect()]
     assert months == sorted(months, reverse=True)
 
 

@@ -60,11 +60,12 @@ def test_dimension_bounds(spark):
     assert dims(1) == [] and dims(2) == ["t"] and dims(50) == ["t"] and dims(51) == []
 
 
-def test_date_like_text_looks_at_first_present_values_in_order(spark):
+def test_date_like_text_looks_at_all_values(spark):
     rows = [(i, "2024-01-01" if i < 50 else "later") for i in range(60)]
     df = spark.createDataFrame(rows, "k long, t string").repartition(5)
-    assert R.date_like_text(df, ["k"]).first()["is_datetime"] is True
-    assert R.date_like_text(df, ["k"], head=51).first()["is_datetime"] is False
+    assert tuple(R.date_like_text(df).first()) == ("t", 60, False)
+    assert tuple(R.date_like_text(df.filter("k < 50")).first()) == ("t", 50, True)
+    assert R.date_like_text(df.select("k")).count() == 0
 
 
 def test_missing_counts_in_profile(spark):

@@ -49,8 +49,8 @@ def _gold_sql():
                 )
     for m in ("o_custkey", "o_totalprice"):
         parts.append(
-            f"SELECT * FROM (SELECT 'monthly_{m}' AS table_name, strftime(o_orderdate, '%Y-%m') AS key, "
-            f"round(CAST(sum({m}) AS DOUBLE), 4) AS value FROM orders GROUP BY 2 ORDER BY value DESC, key LIMIT 20)"
+            f"SELECT * FROM (SELECT 'monthly_{m}_by_o_orderdate' AS table_name, strftime(o_orderdate, '%Y-%m') AS key, "
+            f"round(CAST(sum({m}) AS DOUBLE), 4) AS value FROM orders GROUP BY 2)"
         )
     return " UNION ALL ".join(parts)
 
@@ -385,7 +385,7 @@ FROM e JOIN r x ON x.month = a JOIN r y ON y.month = b""",
 SELECT 'l_tax' AS column_name, count(*) AS n_rows, count(l_tax) AS count, round(avg(l_tax), 4) AS mean, round(sum(l_tax), 4) AS sum,
        round(min(l_tax), 4) AS min, round(max(l_tax), 4) AS max, round(stddev_samp(l_tax), 4) AS std,
        count(DISTINCT l_tax) AS n_distinct, round(median(l_tax), 4) AS median FROM {_GAPPY}""",
-    "unique_values": "SELECT DISTINCT p_brand FROM part ORDER BY 1 LIMIT 30",
+    "unique_values": "SELECT DISTINCT p_brand FROM part",
     "missing_by_column": "SELECT * FROM (" + _per_column(_GAPPY, ["l_discount", "l_tax", "l_returnflag", "l_shipdate"],
                                                          "count(*) - count($) AS n_missing") + ") WHERE n_missing > 0",
     "corr_matrix": " UNION ALL ".join(

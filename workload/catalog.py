@@ -105,7 +105,7 @@ def recent_events(spark, d):
 
 
 def log_retained(spark, d):
-    return G.retained(table(spark, d, "events"), ["ts", "event_id"], (9_000, 4_500))
+    return G.retained(table(spark, d, "events"), "ts", 10)
 
 
 def log_roundtrip(spark, d):
@@ -238,8 +238,7 @@ SELECT event_id, ts, dataset, stage_id FROM n
 WHERE rn > coalesce((SELECT max(c.rn) FROM n c WHERE c.dataset = n.dataset AND c.stage_id = 'cleared'), 0)""",
     "access_log": f"SELECT {', '.join(_ACCESS)} FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 50",
     "recent_events": "SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 50",
-    "log_retained": "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS rn FROM events) "
-                    "WHERE rn <= 4500 OR (SELECT count(*) FROM events) <= 9000",
+    "log_retained": "SELECT * FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 10 DAY",
     "log_roundtrip": "SELECT event_type AS dataset, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status, count(*) AS n "
                      "FROM events GROUP BY 1",
     "run_stats": """

@@ -121,13 +121,13 @@ FROM (SELECT count({c}) AS n, count(DISTINCT {c}) AS d, avg(length({c})) AS len
 
 def date_like_text(spark, d):
     orders = table(spark, d, "orders").selectExpr("o_orderkey", *TEXT_ORDERS)
-    return R.date_like_text(orders, ["o_orderkey"])
+    return R.date_like_text(orders)
 
 
 _DATE_LIKE_SQL = " UNION ALL ".join(
     f"""SELECT '{c}' AS column_name, count(*) AS n_checked, bool_and(try_strptime(v, '%Y-%m-%d') IS NOT NULL) AS is_datetime
 FROM (SELECT {c} AS v FROM (SELECT o_orderkey, {', '.join(TEXT_ORDERS)} FROM orders)
-      WHERE {c} IS NOT NULL ORDER BY o_orderkey LIMIT 50)"""
+      WHERE {c} IS NOT NULL)"""
     for c in ("order_text", "date_text", "some_dates", "priority_text")
 )
 
