@@ -90,11 +90,39 @@ _AS_LATIN = bytes(_CP1252_BYTES).decode("latin-1")
 _AS_CP1252 = bytes(_CP1252_BYTES).decode("cp1252")
 
 
+def quoted_line_breaks(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether any line has an odd number of quotes, as the lines have that a quoted break cuts apart."""
+    lines = spark.read.text(path).select((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("n"))
+    return not lines.filter("n % 2 = 1").isEmpty()
+
+
+def bad_lines(spark: SparkSession, path: str | list[str], schema: T.StructType, multiline: bool | None = None) -> DataFrame:
+    """path, n_rows, n_bad, n_empty: records of each file, those that do not fit the schema (read_csv gives them nulls,
+    or skips them), and those without any value."""
+    if multiline is None:
+        multiline = quoted_line_breaks(spark, path)
+    whole = T.StructType([*schema.fields, T.StructField("__bad", T.StringType())])
+    rows = (
+        spark.read.schema(whole).option("header", "true").option("escape", '"').option("multiLine", str(multiline).lower())
+        .option("columnNameOfCorruptRecord", "__bad").option("columnPruning", "false").csv(path)
+    )
+    seen = F.coalesce(*[quoted(f.name).cast("string") for f in schema.fields])
+    bad = F.col("__bad").isNotNull()
+    return rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(bad).alias("n_bad"), F.count_if(~bad & seen.isNull()).alias("n_empty"))
+
+
 def read_csv(
     spark: SparkSession, path: str | list[str], *, schema: T.StructType | str | None = None,
-    encoding: str = "utf-8", skip_bad_lines: bool = False, multiline: bool = False,
+    encoding: str = "utf-8", skip_bad_lines: bool = False, multiline: bool | None = None,
 ) -> DataFrame:
-    """Header and comma.  Types are inferred unless a schema is given, which spares a scan."""
+    """Header and comma.  Types are inferred unless a schema is given, which spares a scan.
+
+    Files with line breaks inside quotes are not split; whether there are any is found by a scan of the
+    lines unless `multiline` says so.
+    """
+    if multiline is None:
+        multiline = encoding != "utf-16" and quoted_line_breaks(spark, path)
     reader = (
         spark.read.option("header", "true")
         .option("encoding", _READER_ENCODING.get(encoding, encoding))
@@ -141,7 +169,7 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
-    """The dataset as CSV with a header."""
-    (df.select(*columns) if columns else df).write.mode("overwrite").option("header", "true").option(
-        "escape", '"'
+    """The dataset as CSV with a header; white space at the ends of values is kept."""
+    (df.select(*columns) if columns else df).write.mode("overwrite").options(
+        header="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false"
     ).csv(path)

@@ -24,6 +24,20 @@ def csv_scan(spark, d):
     return files.read_csv(spark, path, schema=orders.schema)
 
 
+def csv_documents(spark, d):
+    """Texts with line breaks, written and read again."""
+    path, docs = _scratch(spark, "csv"), table(spark, d, "documents")
+    files.write_csv(docs, path)
+    return files.read_csv(spark, path, schema=docs.schema)
+
+
+def csv_bad_lines(spark, d):
+    """Records whose whole number is a word."""
+    path, orders = _scratch(spark, "csv"), table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    files.write_csv(orders.withColumn("o_custkey", F.when(F.col("o_orderkey") % 7 == 0, "none").otherwise(F.col("o_custkey").cast("string"))), path)
+    return files.bad_lines(spark, path, orders.schema).agg(*[F.sum(c).alias(c) for c in ("n_rows", "n_bad", "n_empty")])
+
+
 def csv_any_encoding(spark, d):
     path, docs = _scratch(spark, "csv"), table(spark, d, "supplier")
     files.write_csv(docs, path)
@@ -91,6 +105,8 @@ def auto_dates(spark, d):
 
 QUERIES = {
     "csv_scan": csv_scan,
+    "csv_documents": csv_documents,
+    "csv_bad_lines": csv_bad_lines,
     "csv_any_encoding": csv_any_encoding,
     "file_encodings": file_encodings,
     "file_manifest": file_manifest,
@@ -106,6 +122,8 @@ QUERIES = {
 
 SQL = {
     "csv_scan": "SELECT * FROM orders",
+    "csv_documents": "SELECT * FROM documents",
+    "csv_bad_lines": "SELECT count(*) AS n_rows, count(*) FILTER (o_orderkey % 7 = 0) AS n_bad, CAST(0 AS BIGINT) AS n_empty FROM orders",
     "csv_any_encoding": "SELECT * FROM supplier",
     "bronze_roundtrip": "SELECT * FROM orders",
     "silver_roundtrip": "SELECT * FROM customer",
