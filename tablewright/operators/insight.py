@@ -77,113 +77,88 @@ def _worst_missing(stats: DataFrame) -> DataFrame:
 
 # ---- reports ---------------------------------------------------------------------------------
 
-class _Report:
-    """Rows (section, position, text) gathered from frames of a few rows each."""
+class _Facts:
+    """Facts in order: section, position in it, subject, name of the fact, value, and all of it as a line of text."""
 
     def __init__(self, df: DataFrame):
         self.spark, self.rows = df.sparkSession, []
 
-    def say(self, section: str, text: str) -> None:
-        at = sum(1 for s, _, _ in self.rows if s == section)
-        self.rows.append((section, at, text))
+    def add(self, section: str, subject: str, fact: str, value: float) -> None:
+        position = sum(r[0] == section for r in self.rows)
+        shown = f"{value:,.2f}".rstrip("0").rstrip(".")
+        self.rows.append((section, position, subject, fact, float(value), f"{fact} of {subject}: {shown}"))
 
     def frame(self) -> DataFrame:
-        return self.spark.createDataFrame(self.rows, "section string, position int, text string")
-
-
-def _amount(value: float) -> str:
-    """Two decimals at most, thousands apart."""
-    return f"{value:,.2f}".rstrip("0").rstrip(".")
+        return self.spark.createDataFrame(
+            self.rows, "section string, position int, subject string, fact string, value double, text string")
 
 
 def explain_report(df: DataFrame, roles: Roles | None = None, tie_break: Sequence[str] = ()) -> DataFrame:
-    """section, position, text: overview, facts, drivers, weak segments, correlations, remedies.
+    """Facts on shape, measures, drivers, weak segments, correlations and remedies; the wording is the caller's.
 
     Built from frames with a row per column, or with the few rows of a top-k; `tie_break` completes
     the order of rows that share a time.
     """
     roles = roles or classify(df)
-    m, d, t, out = roles.measures, roles.dimensions, roles.datetimes, _Report(df)
+    m, d, t, out = roles.measures, roles.dimensions, roles.datetimes, _Facts(df)
     stats = pin(column_stats(df))  # one scan for all facts about single columns
-
-    def of(names: list[str]) -> DataFrame:
-        return stats.filter(F.col("column_name").isin(names)).orderBy("position")
-
-    out.say("overview", f"This dataset contains {roles.n_rows:,} records across {len(df.columns)} columns.")
-    for label, names in (("Date columns", t), ("Numeric columns", m), ("Categorical columns", d),
-                         ("ID/code columns (excluded from analysis)", roles.identifiers)):
-        if names:
-            out.say("overview", f"{label}: {', '.join(names)}.")
-
-    for r in _key_facts(of(m[:3])).collect():
-        c = r["column_name"]
-        out.say("key_insights", f"Total {c} across the dataset is {_amount(r['total'])}, with an average of "
-                                f"{_amount(r['mean'])} per record across {r['count']:,} entries.")
-        if r["spread_pct"] is not None:
-            out.say("key_insights", f"Values range from {_amount(r['minimum'])} to {_amount(r['maximum'])}, "
-                                    f"indicating a {r['spread_pct']:.0f}% spread relative to the mean.")
+    of_measures = stats.filter(F.col("column_name").isin(m)).orderBy("position")
+
+    out.add("overview", "table", "rows", roles.n_rows)
+    for kind, names in (("date", t), ("measure", m), ("dimension", d), ("identifier", roles.identifiers)):
+        for c in names:
+            out.add("overview", c, f"{kind} column", df.columns.index(c))
+    for r in _key_facts(of_measures).collect():
+        for fact in ("total", "mean", "count", "minimum", "maximum", "spread_pct"):
+            if r[fact] is not None:
+                out.add("key_insights", r["column_name"], fact, r[fact])
     if t and m:
-        for r in quarter_growth(df, m[:2], [t[0], *tie_break]).collect():
-            word = "grew" if r["growth_pct"] > 0 else "declined"
-            out.say("key_insights", f"{r['column_name']} {word} {abs(r['growth_pct']):.1f}% from "
-                                    f"{r['first_at']:%Y-%m} to {r['last_at']:%Y-%m}.")
-    for r in iqr_outliers(df, m[:2]).collect() if m else []:
+        for r in quarter_growth(df, m, [t[0], *tie_break]).collect():
+            out.add("key_insights", r["column_name"], "growth_pct", r["growth_pct"])
+    for r in iqr_outliers(df, m).collect() if m else []:
         if r["n_outliers"]:
-            c, s = r["column_name"], "s" if r["n_outliers"] > 1 else ""
-            out.say("key_insights", f"{r['n_outliers']:,} outlier{s} detected in {c} (values outside "
-                                    f"{_amount(r['lower_bound'])} to {_amount(r['upper_bound'])} range).")
+            out.add("key_insights", r["column_name"], "outliers", r["n_outliers"])
     if m and d:
         for r in top_drivers(df, d[0], m[0]).collect():
-            out.say("performance_drivers", f"{r[d[0]]} accounts for {r['share_pct']:.1f}% of total {m[0]} "
-                                           f"({_amount(r['total'])}).")
-        if len(d) >= 2 and len(m) >= 2:
-            for r in top_drivers(df, d[1], m[1], 1).collect():
-                out.say("performance_drivers", f"{r[d[1]]} leads in {m[1]} with {_amount(r['total'])} "
-                                               f"({r['share_pct']:.1f}% share).")
+            out.add("performance_drivers", f"{d[0]}={r[d[0]]}", f"{m[0]} share_pct", r["share_pct"])
+        for dimension, measure in zip(d[1:], m[1:]):
+            for r in top_drivers(df, dimension, measure, 1).collect():
+                out.add("performance_drivers", f"{dimension}={r[dimension]}", f"{measure} share_pct", r["share_pct"])
         for r in weak_segments(df, d[0], m[0]).collect():
-            out.say("weak_segments", f"{r[d[0]]} contributes only {r['share_pct']:.1f}% "
-                                     f"({_amount(r['total'])}), suggesting potential for improvement.")
-        for r in _sparse(of(m[:3]), 5.0).collect()[: 4 - sum(1 for x in out.rows if x[0] == "weak_segments")]:
-            out.say("weak_segments", f"{r['column_name']} has {r['missing_pct']:.1f}% missing data, "
-                                     "which may affect analysis accuracy.")
-    for r in strong_correlations(df, m, 0.5).limit(4).collect() if len(m) >= 2 else []:
-        out.say("correlations", f"{r['column_a']} and {r['column_b']} are {r['strength']}ly {r['direction']}ly "
-                                f"correlated ({r['r']:.2f}).")
+            out.add("weak_segments", f"{d[0]}={r[d[0]]}", f"{m[0]} share_pct", r["share_pct"])
+    for r in _sparse(of_measures, 5.0).collect():
+        out.add("weak_segments", r["column_name"], "missing_pct", r["missing_pct"])
+    for r in strong_correlations(df, m, 0.5).collect() if len(m) >= 2 else []:
+        out.add("correlations", f"{r['column_a']}, {r['column_b']}", "r", r["r"])
     _remedies(df, stats, out, "recommendations")
-    if m and d:
-        out.say("recommendations", f"Consider segmenting {m[0]} by {d[0]} for targeted business strategies.")
     return out.frame()
 
 
-def _remedies(df: DataFrame, stats: DataFrame, out: _Report, section: str) -> None:
+def _remedies(df: DataFrame, stats: DataFrame, out: _Facts, section: str) -> None:
     for r in _worst_missing(stats).collect():
-        out.say(section, f"Address missing data in '{r['column_name']}' ({r['missing_pct']:.1f}% missing).")
+        out.add(section, r["column_name"], "missing_pct to fill", r["missing_pct"])
     dup = duplicate_counts(df).first()
     if dup["n_duplicates"]:
-        pct = dup["n_duplicates"] / dup["n_rows"] * 100
-        out.say(section, f"Remove {dup['n_duplicates']:,} duplicate rows ({pct:.1f}% of data).")
+        out.add(section, "table", "repeated rows to remove", dup["n_duplicates"])
 
 
 def rule_insights(df: DataFrame, roles: Roles | None = None) -> DataFrame:
-    """section, position, text from fixed rules: shape, missing, variation, dominance, correlation, outliers."""
+    """Facts that pass fixed rules: missing cells, variation, dominance, correlation, outliers; and the shape."""
     roles = roles or classify(df)
-    m, out = roles.measures, _Report(df)
-    out.say("shape", f"The dataset contains {roles.n_rows:,} rows and {len(df.columns)} columns.")
+    m, out = roles.measures, _Facts(df)
+    out.add("shape", "table", "rows", roles.n_rows)
+    out.add("shape", "table", "columns", len(df.columns))
     stats = column_stats(df, moments=False).agg(F.sum("n_missing").alias("n"), F.sum("n_rows").alias("cells")).first()
     if stats["n"]:
-        out.say("missing", f"Overall missing-value rate is {stats['n'] / stats['cells'] * 100:.1f}% ({stats['n']:,} cells).")
-    if m:
-        for r in variation(df, m, absolute_mean=True).filter("high").collect():
-            out.say("variation", f"Column '{r['column_name']}' has high variability (CV = {r['cv_pct'] / 100:.2f}).")
+        out.add("missing", "table", "missing_pct", stats["n"] / stats["cells"] * 100)
+    for r in variation(df, m, absolute_mean=True).filter("high").collect() if m else []:
+        out.add("variation", r["column_name"], "cv_pct", r["cv_pct"])
     for r in dominance_in_top(df, roles.dimensions).collect() if roles.dimensions else []:
-        out.say("dominance", f"'{r['value']}' dominates column '{r['column_name']}' with {r['share_pct']:.0f}% of values.")
-    if len(m) >= 2:
-        for r in strong_correlations(df, m).collect():
-            out.say("correlation", f"'{r['column_a']}' and '{r['column_b']}' are strongly {r['direction']}ly "
-                                   f"correlated ({r['r']:.2f}).")
-    if m:
-        for r in zscore_counts(df, m).filter(F.col("n_outliers") > 0).collect():
-            out.say("outliers", f"Column '{r['column_name']}' has {r['n_outliers']:,} statistical outlier(s) (z-score > 3).")
+        out.add("dominance", f"{r['column_name']}={r['value']}", "share_pct", r["share_pct"])
+    for r in strong_correlations(df, m).collect() if len(m) >= 2 else []:
+        out.add("correlation", f"{r['column_a']}, {r['column_b']}", "r", r["r"])
+    for r in zscore_counts(df, m).filter(F.col("n_outliers") > 0).collect() if m else []:
+        out.add("outliers", r["column_name"], "values beyond 3 deviations", r["n_outliers"])
     return out.frame()
 
 
@@ -213,28 +188,23 @@ def zscore_counts(df: DataFrame, measures: Sequence[str], threshold: float = 3.0
 
 
 def fallback_insights(df: DataFrame) -> DataFrame:
-    """section, position, text: completeness, duplicates, outliers, top shares and the first strong pair."""
-    numbers, texts, out = numeric_columns(df), text_columns(df), _Report(df)
+    """Facts on completeness, repeated rows, outliers, most frequent values and the strongest pair."""
+    numbers, texts, out = numeric_columns(df), text_columns(df), _Facts(df)
     dup = duplicate_counts(df).first()
     n = dup["n_rows"]
-    out.say("shape", f"The dataset contains {n:,} records across {len(df.columns)} columns, with {len(numbers)} "
-                     f"numeric and {len(texts)} categorical features.")
+    for fact, value in (("rows", n), ("number columns", len(numbers)), ("text columns", len(texts))):
+        out.add("shape", "table", fact, value)
     for r in worst_missing(df).collect():
-        out.say("missing", f"Column '{r['column_name']}' has the highest missing rate at {r['missing_pct']:.1f}%.")
+        out.add("missing", r["column_name"], "missing_pct", r["missing_pct"])
     if dup["n_duplicates"]:
-        out.say("duplicates", f"Found {dup['n_duplicates']:,} duplicate rows ({dup['n_duplicates'] / n * 100:.1f}% of total).")
-    for r in iqr_outliers(df, numbers[:3]).collect() if numbers else []:
+        out.add("duplicates", "table", "repeated rows", dup["n_duplicates"])
+    for r in iqr_outliers(df, numbers).collect() if numbers else []:
         if r["n_outliers"]:
-            out.say("outliers", f"Column '{r['column_name']}' has {r['n_outliers']} outliers (range: {r['minimum']:.2f} "
-                                f"to {r['maximum']:.2f}, mean: {r['mean']:.2f}).")
-    for c in texts[:2]:
-        top = top_values(df, [c], 3).orderBy("place").collect()
-        if top:
-            shares = ", ".join("'{}' ({:.1f}%)".format(r["value"], r["n"] / n * 100) for r in top)
-            out.say("top_values", f"Top '{c}' values: {shares}.")
-    if len(numbers) >= 2:
-        for r in strong_correlations(df, numbers).limit(1).collect():
-            out.say("correlation", f"Strong correlation ({r['r']:.2f}) between '{r['column_a']}' and '{r['column_b']}'.")
+            out.add("outliers", r["column_name"], "outliers", r["n_outliers"])
+    for r in top_values(df, texts, 3).orderBy("column_name", "place").collect() if texts else []:
+        out.add("top_values", f"{r['column_name']}={r['value']}", "share_pct", r["n"] / n * 100)
+    for r in strong_correlations(df, numbers).limit(1).collect() if len(numbers) >= 2 else []:
+        out.add("correlation", f"{r['column_a']}, {r['column_b']}", "r", r["r"])
     return out.frame()
 
 

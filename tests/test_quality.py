@@ -127,7 +127,7 @@ def test_performance_gap(spark):
     assert (r["top_key"], r["top_mean"], r["bottom_key"], r["gap"]) == ("b", 4.0, "a", 4.0)
 
 
-def test_reports_read_like_sentences(spark):
+def test_reports_name_their_facts(spark):
     df = spark.range(200).select(
         F.to_timestamp(F.lit("2024-01-01")).alias("day0"), (F.col("id") % 7 * 10.5).alias("revenue"),
         (F.col("id") % 7 * 21.0 + 1).alias("cost"), F.when(F.col("id") % 10 == 0, None).otherwise(F.concat(F.lit("r"), F.col("id") % 3)).alias("region"),
@@ -136,9 +136,9 @@ def test_reports_read_like_sentences(spark):
     said = {}
     for r in I.explain_report(df, tie_break=["row_id"]).collect():
         said.setdefault(r["section"], []).append(r["text"])
-    assert said["overview"][0] == "This dataset contains 200 records across 5 columns."
-    assert any(t.startswith("Total revenue across the dataset is $") for t in said["key_insights"])
-    assert said["correlations"][0].startswith("revenue and cost are strongly positively correlated (1.00)")
-    assert "Address missing data in 'region' (10.0% missing)." in said["recommendations"]
+    assert said["overview"][0] == "rows of table: 200"
+    assert any(t.startswith("total of revenue: ") for t in said["key_insights"])
+    assert said["correlations"][0] == "r of revenue, cost: 1"
+    assert "missing_pct to fill of region: 10" in said["recommendations"]
     assert I.rule_insights(df).filter("section = 'correlation'").count() == 1
     assert I.fallback_insights(df).filter("section = 'missing'").count() == 1
