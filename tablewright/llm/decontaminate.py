@@ -6,8 +6,8 @@ do, so its rarest one, counted in the documents, is a sufficient prefix.  Docume
 prefix shingles alone; the offset gives the only place where the window can lie, the document's length
 bounds it, and the words there are compared with the window's.
 
-Three scans of the documents: shingle counts (combined before the shuffle), the join (verified before the
-shuffle), and the words of all documents.  Only occurrences of windows move.
+Two scans of the documents: shingle counts (combined before the shuffle), and the join (verified before the
+shuffle).  Only occurrences of windows move, and a row for each document.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from tablewright.llm.common import stored, table
 WINDOW, SHINGLE = 10, 3
 #: Windows and shingles are broadcast up to so many rows (well under 1 kB each), and joined by shuffle beyond.
 BROADCAST_ROWS = 500_000
-#: What separates words, before and after A-Z become a-z.
-WORD, ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words, once A-Z have become a-z.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,43 +52,51 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def occurrences(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-                item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """Where windows lie in documents: (doc_id, text_hash, start, w, items), once per place and window."""
+def _placed(documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, window: int, shingle: int,
+            with_documents: bool) -> DataFrame:
+    """(doc_id, text_hash, n_words, start, w, items) for each place of a window; `with_documents` adds a row without
+    start for each document row, so that one scan gives both."""
+    texts = documents.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), words(F.col(text)).alias("ws"))
     known = stored(windows(items, item_id, item_text, window, shingle).withColumn("id", F.xxhash64("win")))
-    sizes = [r[0] for r in known.select("s").distinct().collect()]  # one to `shingle` values
-    if not sizes:
-        return documents.select(F.col(doc_id).alias("doc_id"), F.lit(0).cast("long").alias("text_hash"), F.lit(0).alias("start"),
-                                F.lit(0).alias("w"), F.array().cast("array<string>").alias("items")).limit(0)
+    sizes = [r[0] for r in known.select("s").distinct().collect()]  # up to `shingle` values
     places = known.select("win", "id", "w", "s", F.explode(F.sequence(F.lit(0), F.col("w") - F.col("s"))).alias("offset"))
     shingles = None
-    for s in sizes:
+    for s in sizes or [shingle]:
         own = places.filter(F.col("s") == s).select("id", "offset", _shingle(F.col("win"), F.col("offset"), s).alias("sh"))
         shingles = own if shingles is None else shingles.union(own)
     shingles = stored(shingles)
     n = shingles.count()
 
-    texts = documents.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), words(F.col(text)).alias("ws"))
-
-    def met(wanted: DataFrame, *columns: str) -> DataFrame:
-        """Places of documents where a shingle of `wanted` begins."""
+    def positions() -> DataFrame:
+        """Each place of a document with the hash that begins there; none at the place past the last word."""
+        at = texts.select("doc_id", "text_hash", "ws", F.explode(F.sequence(F.lit(0), F.size("ws"))).alias("pos"))
         out = None
-        at = texts.select("doc_id", "text_hash", "ws", F.posexplode("ws").alias("pos", "word"))
-        for s in sizes:
-            own = at.select("doc_id", "text_hash", "ws", "pos", _shingle(F.col("ws"), F.col("pos"), s).alias("sh"))
+        for s in sizes or [shingle]:
+            own = at if out is None else at.filter(F.col("pos") < F.size("ws"))
+            own = own.select("doc_id", "text_hash", "ws", "pos", _shingle(F.col("ws"), F.col("pos"), s).alias("sh"))
             out = own if out is None else out.union(own)
-        return out.filter(F.col("sh").isNotNull()).join(_small(wanted, n), "sh")
+        return out
 
-    counts = met(shingles.select("sh").distinct()).groupBy("sh").count()
+    counts = positions().join(_small(shingles.select("sh").distinct(), n), "sh").groupBy("sh").count()
     # the rarest shingle of each window; a window with a shingle that no document has cannot occur
     ranked = shingles.join(_small(counts, n), "sh", "left").groupBy("id").agg(
         F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "sh", "offset")).alias("rarest"))
-    prefix = known.join(_small(ranked.filter("rarest.count > 0"), n), "id").select(
-        F.col("rarest.sh").alias("sh"), F.col("rarest.offset").alias("offset"), "win", "w", "items")
+    prefix = stored(known.join(_small(ranked.filter("rarest.count > 0"), n), "id").select(
+        F.col("rarest.sh").alias("sh"), F.col("rarest.offset").alias("offset"), "win", "w", "items"))
     start = F.col("pos") - F.col("offset")
     fits = (start >= 0) & (start + F.col("w") <= F.size("ws"))
     equal = F.slice("ws", F.greatest(start, F.lit(0)) + 1, F.col("w")) == F.col("win")
-    return met(stored(prefix)).filter(fits).filter(equal).select("doc_id", "text_hash", start.alias("start"), "w", "items")
+    found = fits & equal
+    if with_documents:
+        found = F.coalesce(found, F.lit(False)) | (F.col("pos") == F.size("ws"))
+    met = positions().join(_small(prefix, n), "sh", "left" if with_documents else "inner").filter(found)
+    return met.select("doc_id", "text_hash", F.size("ws").alias("n_words"), start.alias("start"), "w", "items")
+
+
+def occurrences(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
+                item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """Where windows lie in documents: (doc_id, text_hash, start, w, items), once per place and window."""
+    return _placed(documents, items, doc_id, text, item_id, item_text, window, shingle, False).drop("n_words")
 
 
 def contamination(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
@@ -99,20 +107,16 @@ def contamination(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id"
     words have no window; an item that repeats counts once; an item without id has the empty id.  Rows that
     repeat get equal results each.  Other columns of either table are not looked at.
     """
-    found = occurrences(documents, items, doc_id, text, item_id, item_text, window, shingle)
-    spans = F.transform(F.collect_set(F.struct("start", "w")), lambda x: F.sequence(x["start"], x["start"] + x["w"] - 1))
+    found = _placed(documents, items, doc_id, text, item_id, item_text, window, shingle, True)
+    place = F.when(F.col("start").isNotNull(), F.struct("start", "w"))
+    spans = F.transform(F.collect_set(place), lambda x: F.sequence(x["start"], x["start"] + x["w"] - 1))
     ids = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))
-    hits = found.groupBy("doc_id", "text_hash").agg(F.size(F.array_distinct(F.flatten(spans))).alias("hit"), ids.alias("ids"))
-    hits = hits.select(F.col("doc_id").alias("hit_doc"), F.col("text_hash").alias("hit_text"), "hit", F.size("ids").alias("items"),
-                       F.sha2(F.concat_ws(",", "ids"), 256).alias("sha"))
-    n_words = F.size(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(ANY_CASE_WORD), F.lit(0)))
-    own = documents.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), n_words.cast("long").alias("n_words"))
-    same = own["doc_id"].eqNullSafe(hits["hit_doc"]) & (own["text_hash"] == hits["hit_text"])
-    return own.join(hits, same, "left").select(
-        "doc_id", "text_hash", "n_words",
-        F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.col("hit").isNotNull().alias("contaminated"),
-    )
+    own = found.groupBy("doc_id", "text_hash").agg(
+        F.first("n_words").cast("long").alias("n_words"), F.count_if(F.col("start").isNull()).alias("rows"),
+        F.size(F.array_distinct(F.flatten(spans))).cast("long").alias("n_hit"), ids.alias("ids"))
+    each = own.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return each.select("doc_id", "text_hash", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"),
+                       F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
