@@ -24,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import small_batches, table
+from tablewright.llm.common import slices, small_batches, table
 from tablewright.llm.pieces import MODEL_PATH, SPACE, Vocabulary, fields, parse_model, read_model
 
 N_BEST = 4
 #: Words of each of the two generations that a worker remembers: what was not asked for in a generation goes.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Bytes from which a word is searched by itself, and cells of the arrays in which shorter ones advance together.
 LONG_UNIT, BATCH_CELLS = 48, 200_000
+#: Characters of texts that are cut into words together.
+STEP_CHARS = 1 << 20
 #: Stands for the space mark itself where it occurs in a text; no decoded text can hold it.
 LITERAL_MARK = "\udfff"
 #: Fixed values of the format: the field of the trainer's settings, in it that of the kind, and the unigram kind.
@@ -333,15 +335,17 @@ def encode_pieces(text: Column, model: bytes, n: int = N_BEST) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         own = segmenter(model)
         ids, lengths, scores, changes = [], [], [], []
-        cut = list(map(own.cut, texts.to_pylist()))
-        own.learn(cut)
-        for row in cut:
-            units, s, c = own.encode_units(row, n)
-            flat = np.fromiter(chain.from_iterable(units), np.int32)
-            ids.append(flat)
-            lengths.append(len(flat))
-            scores.append(s)
-            changes.append(c)
+        rows = texts.to_pylist()
+        for a, b in slices(np.array([len(t or "") for t in rows]), STEP_CHARS):
+            cut = list(map(own.cut, rows[a:b]))
+            own.learn(cut)
+            for row in cut:
+                units, s, c = own.encode_units(row, n)
+                flat = np.fromiter(chain.from_iterable(units), np.int32)
+                ids.append(flat)
+                lengths.append(len(flat))
+                scores.append(s)
+                changes.append(c)
         offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
         values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
         return pa.StructArray.from_arrays(
