@@ -16,8 +16,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from collections.abc import Sequence
-from itertools import chain, count
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ REMEMBERED = 200_000
 #: Bytes from which a word is searched by itself, and cells of the arrays in which shorter ones advance together.
 LONG_UNIT, BATCH_CELLS = 48, 200_000
 #: Characters of texts that are cut into words together.
-STEP_CHARS = 1 << 20
+STEP_CHARS = 1 << 22
 #: Stands for the space mark itself where it occurs in a text; no decoded text can hold it.
 LITERAL_MARK = "\udfff"
 #: Fixed values of the format: the field of the trainer's settings, in it that of the kind, and the unigram kind.
@@ -97,8 +96,8 @@ class Segmenter:
                 best[s + 1] = max(best[s + 1], reached + arcs[-1][3])
         return arcs, best
 
-    def viterbi(self, unit: str) -> tuple[tuple[int, ...], float, float]:
-        """Ids and score of the best path, and the gap to the second best (infinite if there is none)."""
+    def viterbi(self, unit: str) -> tuple[bytes, float, float]:
+        """Ids (four bytes each) and score of the best path, and the gap to the second best (infinite if there is none)."""
         arcs, best = self.lattice(unit)
         n = len(unit)
         rest = [-math.inf] * n + [0.0]
@@ -114,7 +113,7 @@ class Segmenter:
                 node = s
         total = best[n]
         gap = min((total - best[s] - score - rest[e] for k, (s, e, _, score) in enumerate(arcs) if k not in on_path), default=math.inf)
-        return self._flat(reversed(path)), total, max(gap, 0.0)
+        return self._packed(self._flat(reversed(path))), total, max(gap, 0.0)
 
     def n_best(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best paths of a unit, best first, by backward A-star search."""
@@ -183,34 +182,33 @@ class Segmenter:
 
     def _same_length(self, rows: list[tuple[str, bytes]], n: int) -> dict[str, tuple]:
         m = len(rows)
-        data = np.frombuffer(b"".join(d for _, d in rows), np.uint8).reshape(m, n)
-        node, arcs, pieces = np.zeros((m, n), np.int32), [None], [None]
+        data = np.ascontiguousarray(np.frombuffer(b"".join(d for _, d in rows), np.uint8).reshape(m, n).T)  # a row a place
+        node, arcs, pieces = np.zeros((n, m), np.int32), [None], [None]
         for size in range(1, n + 1):
-            node = self.next[node[:, : n - size + 1], data[:, size - 1 :]]
+            node = self.next[node[: n - size + 1], data[size - 1 :]]
             arcs.append(self.score_at[node])
             pieces.append(self.piece_at[node])
             if size >= 4 and (node == len(self.next) - 1).all():
                 break
         width = np.select([data < 0x80, data < 0xC0, data < 0xE0, data < 0xF0], [1, 0, 2, 3], 4)
         for size in range(1, min(4, len(arcs) - 1) + 1):  # characters without a piece
-            bare = (width[:, : n - size + 1] == size) & (arcs[size] == -np.inf)
+            bare = (width[: n - size + 1] == size) & (arcs[size] == -np.inf)
             arcs[size][bare] = self.byte_score * size
         best, rest = np.full((n + 1, m), -np.inf), np.full((n + 1, m), -np.inf)
         last = np.zeros((n + 1, m), np.int32)
         best[0] = rest[n] = 0
         for e in range(1, n + 1):
             for size in range(1, min(e, len(arcs) - 1) + 1):
-                reached = best[e - size] + arcs[size][:, e - size]
-                better = reached > best[e]
-                best[e] = np.where(better, reached, best[e])
-                last[e][better] = size
+                reached = best[e - size] + arcs[size][e - size]
+                np.copyto(last[e], size, where=reached > best[e])
+                np.maximum(best[e], reached, out=best[e])
         for s in range(n - 1, -1, -1):
             for size in range(1, min(n - s, len(arcs) - 1) + 1):
-                rest[s] = np.maximum(rest[s], arcs[size][:, s] + rest[s + size])
+                np.maximum(rest[s], arcs[size][s] + rest[s + size], out=rest[s])
         total = best[n].copy()
-        at, word = np.full(m, n), np.arange(m)
+        at = np.full(m, n)
         taken, counts = np.zeros((m, n), np.int32), np.zeros(m, np.int64)
-        others = [None] + [total[:, None] - best[: n - size + 1].T - arcs[size] - rest[size:].T for size in range(1, len(arcs))]
+        others = [None] + [total - best[: n - size + 1] - arcs[size] - rest[size:] for size in range(1, len(arcs))]
         while True:
             live = np.flatnonzero(at > 0)
             if not len(live):
@@ -219,27 +217,40 @@ class Segmenter:
             for size in np.unique(sizes):
                 own = live[sizes == size]
                 s = at[own] - size
-                others[size][own, s] = np.inf
-                taken[own, counts[own]] = pieces[size][own, s]
+                others[size][s, own] = np.inf
+                taken[own, n - 1 - counts[own]] = pieces[size][s, own]
                 counts[own] += 1
                 at[own] = s
         gap = np.full(m, np.inf)
         for size in range(1, len(arcs)):
-            gap = np.minimum(gap, others[size].min(1))
-        out = {}
-        for k, ((unit, _), ids, size) in enumerate(zip(rows, taken.tolist(), counts.tolist())):
-            ids = ids[:size][::-1]
-            out[unit] = self.viterbi(unit) if -1 in ids else (tuple(ids), float(total[k]), max(float(gap[k]), 0.0))
+            gap = np.minimum(gap, others[size].min(0))
+        out, packed, scores, gaps = {}, taken.tobytes(), total.tolist(), np.maximum(gap, 0).tolist()
+        bare, starts = (taken < 0).any(1).tolist(), ((np.arange(1, m + 1) * n - counts) * 4).tolist()
+        for k, (unit, _) in enumerate(rows):
+            out[unit] = self.viterbi(unit) if bare[k] else (packed[starts[k] : (k + 1) * n * 4], scores[k], gaps[k])
         return out
 
-    def learn(self, units: list[list[str]]) -> None:
-        """Find the best paths of all units that are not remembered, together."""
-        new = {u for own in units for u in own if u not in self.young and u not in self.old}
-        if len(self.young) + len(new) > REMEMBERED:
+    def entries(self, rows: list[list[str]]) -> list[list[tuple]]:
+        """Ids, score and gap of every unit; those that are not remembered are found together."""
+        known = self.young.get
+        found = [[known(u) for u in own] for own in rows]
+        missing = {u for own, entries in zip(rows, found) for u, e in zip(own, entries) if e is None}
+        fresh = {u: self.old[u] for u in missing if u in self.old}
+        fresh.update(self.viterbi_batch([u for u in missing if u not in fresh]))
+        if len(self.young) + len(fresh) > REMEMBERED:
             self.old, self.young = self.young, {}
-        self.young.update(self.viterbi_batch(list(new)))
+        self.young.update(fresh)
+        return [[e or fresh[u] for u, e in zip(own, entries)] for own, entries in zip(rows, found)]
+
+    @staticmethod
+    def _packed(ids) -> bytes:
+        return np.array(ids, np.int32).tobytes()
 
-    def best(self, unit: str) -> tuple[tuple[int, ...], float, float]:
+    @staticmethod
+    def unpacked(ids: bytes) -> tuple[int, ...]:
+        return tuple(np.frombuffer(ids, np.int32).tolist())
+
+    def best(self, unit: str) -> tuple[bytes, float, float]:
         entry = self.young.get(unit)
         if entry is None:
             entry = self.young[unit] = self.old.get(unit) or self.viterbi(unit)
@@ -249,17 +260,17 @@ class Segmenter:
         if (unit, n) not in self.paths:
             if len(self.paths) >= 20_000:
                 self.paths.clear()
-            first = self.best(unit)
-            others = [path for path in self.n_best(unit, n) if path[1] != first[0]]  # of equal paths the best one is first
-            self.paths[unit, n] = [(first[1], first[0]), *others][:n]
+            score, first = self.best(unit)[1], self.unpacked(self.best(unit)[0])
+            others = [path for path in self.n_best(unit, n) if path[1] != first]  # of equal paths the best one is first
+            self.paths[unit, n] = [(score, first), *others][:n]
         return self.paths[unit, n]
 
-    def encode(self, text: str | None, n: int) -> tuple[Sequence[tuple[int, ...]], list[float], list[list[int]]]:
-        """The best path as ids by unit; the scores of the n best; for each further one the changes against the
+    def encode(self, text: str | None, n: int) -> tuple[list[int], list[float], list[list[int]]]:
+        """The best path as ids; the scores of the n best; for each further one the changes against the
         best: first piece, pieces replaced, pieces put there, and their ids, one change after another."""
-        if not text:
-            return [], [0.0], []
-        return self.encode_units(self.cut(text), n)
+        units = self.cut(text)
+        ids, scores, changes = self.encode_units(units, list(map(self.best, units)), n)
+        return list(self.unpacked(ids)), scores, changes
 
     def cut(self, text: str | None) -> list[str]:
         """The units of a text, the encoder's own space in front."""
@@ -269,33 +280,32 @@ class Segmenter:
             text = text.replace(SPACE, LITERAL_MARK)
         return self.units.findall(SPACE + text.replace(" ", SPACE))
 
-    def encode_units(self, units: list[str], n: int) -> tuple[Sequence[tuple[int, ...]], list[float], list[list[int]]]:
+    def encode_units(self, units: list[str], entries: list[tuple], n: int) -> tuple[bytes, list[float], list[list[int]]]:
         if not units:
-            return [], [0.0], []
-        known = self.young.get
-        ids, scores, gaps = zip(*[known(u) or self.best(u) for u in units])
+            return b"", [0.0], []
+        ids, scores, gaps = zip(*entries)
         total = math.fsum(scores)
         if n < 2:
-            return ids, [total], []
+            return b"".join(ids), [total], []
         least = np.array(gaps)
         slots = np.argpartition(least, n - 1)[: n - 1] if len(least) > n else np.argsort(least)[: n - 1]
         slots = sorted(int(k) for k in slots if gaps[k] < math.inf)
         options = [self._n_best(units[k], n) for k in slots]
-        begin = {k: sum(map(len, ids[:k])) for k in slots}
+        begin = {k: sum(map(len, ids[:k])) // 4 for k in slots}
         start = (0,) * len(slots)
         heap, seen, scores, changes = [(0.0, start)], {start}, [], []
         while heap and len(scores) < n:
             loss, choice = heapq.heappop(heap)
             scores.append(total - loss)
             if scores[1:]:
-                changes.append([x for k, own, c in zip(slots, options, choice) if c for x in (begin[k], len(ids[k]), len(own[c][1]), *own[c][1])])
+                changes.append([x for k, own, c in zip(slots, options, choice) if c for x in (begin[k], len(ids[k]) // 4, len(own[c][1]), *own[c][1])])
             for j, own in enumerate(options):
                 if choice[j] + 1 < len(own):
                     after = (*choice[:j], choice[j] + 1, *choice[j + 1 :])
                     if after not in seen:
                         seen.add(after)
                         heapq.heappush(heap, (sum(o[0][0] - o[c][0] for o, c in zip(options, after)), after))
-        return ids, scores, changes
+        return b"".join(ids), scores, changes
 
     def decode(self, ids) -> str:
         """The text of a path.  Bytes that are no UTF-8 become U+FFFD; one leading space is the encoder's own."""
@@ -338,16 +348,14 @@ def encode_pieces(text: Column, model: bytes, n: int = N_BEST) -> Column:
         rows = texts.to_pylist()
         for a, b in slices(np.array([len(t or "") for t in rows]), STEP_CHARS):
             cut = list(map(own.cut, rows[a:b]))
-            own.learn(cut)
-            for row in cut:
-                units, s, c = own.encode_units(row, n)
-                flat = np.fromiter(chain.from_iterable(units), np.int32)
-                ids.append(flat)
-                lengths.append(len(flat))
+            for row, entries in zip(cut, own.entries(cut)):
+                packed, s, c = own.encode_units(row, entries, n)
+                ids.append(packed)
+                lengths.append(len(packed) // 4)
                 scores.append(s)
                 changes.append(c)
         offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-        values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        values = np.frombuffer(b"".join(ids), np.int32)
         return pa.StructArray.from_arrays(
             [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(scores, pa.list_(pa.float64())),
              pa.array(changes, pa.list_(pa.list_(pa.int32())))], ["ids", "scores", "changes"])

@@ -64,7 +64,7 @@ def test_n_best_equals_all_paths(text, n):
     units, scores, changes = OWN.encode(text, n)
     assert len(scores) == min(n, len(every))
     assert all(abs(a - b[0]) < 1e-9 for a, b in zip(scores, every))
-    best = [i for u in units for i in u]
+    best = units
     found = [tuple(best)] + [tuple(segment.apply_changes(best, c)) for c in changes]
     score_of = {ids: s for s, ids in every}
     assert len(set(found)) == len(found)
@@ -112,6 +112,6 @@ def test_generations_forget_and_stay_right(monkeypatch):
     monkeypatch.setattr(segment, "REMEMBERED", 3)
     own = segment.Segmenter(MODEL)
     for text in ("one two three four", "five six one", "seven eight nine ten", "one"):
-        own.learn([own.cut(text)])
+        own.entries([own.cut(text)])
         assert own.encode(text, 3) == OWN.encode(text, 3)
     assert len(own.young) <= 8
