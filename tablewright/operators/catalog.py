@@ -97,7 +97,7 @@ def rename_candidates(changes: DataFrame) -> DataFrame:
 
 
 def change_summary(changes: DataFrame, renames: DataFrame) -> DataFrame:
-    """One row: counts of added, removed and retyped columns, of rename candidates, and a sentence."""
+    """One row: counts of added, removed and retyped columns, of rename candidates, and the ones that are not 0 as text."""
     counts = changes.agg(
         F.count_if(F.col("change") == "added").alias("added"),
         F.count_if(F.col("change") == "removed").alias("removed"),
@@ -105,11 +105,11 @@ def change_summary(changes: DataFrame, renames: DataFrame) -> DataFrame:
         F.lit(1).alias("one"),
     ).join(renames.agg(F.count(F.lit(1)).alias("renames"), F.lit(1).alias("one")), "one").drop("one")
     parts = [
-        ("added", "%d new column(s) added"), ("removed", "%d column(s) removed"),
-        ("type_changes", "%d datatype change(s)"), ("renames", "%d possible rename(s) detected"),
+        ("added", "added=%d"), ("removed", "removed=%d"),
+        ("type_changes", "retyped=%d"), ("renames", "maybe_renamed=%d"),
     ]
     said = F.concat_ws("; ", *[F.when(F.col(c) > 0, F.format_string(f, c)) for c, f in parts])
-    summary = F.when(F.length(said) > 0, said).otherwise("No schema changes detected")
+    summary = F.when(F.length(said) > 0, said).otherwise("unchanged")
     return counts.withColumn("has_changes", F.col("added") + F.col("removed") + F.col("type_changes") > 0).withColumn(
         "summary", summary
     )

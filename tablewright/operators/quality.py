@@ -67,7 +67,7 @@ def null_alerts(stats: DataFrame) -> DataFrame:
     pct = percent(F.col("n_missing"), F.col("n_rows"))
     return stats.filter(F.col("n_missing") > 0).select(*_alert(
         band(pct, (50, "critical"), (20, "warning"), otherwise="info"), F.col("column_name"), "null_check",
-        F.format_string("Column '%s' has %.1f%% null values", "column_name", pct), F.round(pct, 2),
+        F.format_string("%s: missing in %.1f of 100 rows", "column_name", pct), F.round(pct, 2),
     ))
 
 
@@ -76,7 +76,7 @@ def duplicate_alerts(duplicates: DataFrame) -> DataFrame:
     n, pct = F.col("n_duplicates"), percent(F.col("n_duplicates"), F.col("n_rows"))
     return duplicates.filter(n > 0).select(*_alert(
         band(pct, (10, "critical"), otherwise="warning"), F.lit(DATASET), "duplicate_check",
-        F.format_string("%d duplicate rows (%.1f%%)", n, pct), n,
+        F.format_string("table: %d rows repeat others, %.1f of 100", n, pct), n,
     ))
 
 
@@ -85,7 +85,7 @@ def negative_alerts(stats: DataFrame) -> DataFrame:
     n, pct = F.col("n_negative"), percent(F.col("n_negative"), F.col("n_rows"))
     return stats.filter(n > 0).select(*_alert(
         F.lit("warning"), F.col("column_name"), "negative_check",
-        F.format_string("Column '%s' has %d negative values (%.1f%%)", "column_name", n, pct), n,
+        F.format_string("%s: %d values under zero, %.1f of 100 rows", "column_name", n, pct), n,
     ))
 
 
@@ -94,7 +94,7 @@ def outlier_alerts(outliers: DataFrame) -> DataFrame:
     n, pct = F.col("n_outliers"), percent(F.col("n_outliers"), F.col("n_valid"))
     return outliers.filter(n > 0).select(*_alert(
         band(pct, (5, "warning"), otherwise="info"), F.col("column_name"), "outlier_check",
-        F.format_string("Column '%s' has %d outliers (%.1f%%)", "column_name", n, pct), n,
+        F.format_string("%s: %d values outside the fences, %.1f of 100", "column_name", n, pct), n,
     ))
 
 
@@ -103,7 +103,7 @@ def mixed_type_alerts(stats: DataFrame) -> DataFrame:
     pct = percent(F.col("n_numeric_text"), F.col("n_valid"))
     return stats.filter((pct > 30) & (pct < 100)).select(*_alert(
         F.lit("warning"), F.col("column_name"), "dtype_mismatch",
-        F.format_string("Column '%s' has mixed types: %.0f%% could be numeric", "column_name", pct),
+        F.format_string("%s: text of which %.0f of 100 values read as numbers", "column_name", pct),
         F.round(pct, 1),
     ))
 
@@ -221,16 +221,16 @@ def quality_rules(facts: Facts) -> DataFrame:
     nulls = facts.stats.select(
         F.lit("null").alias("rule"), "column_name",
         band(pct, (20, "FAIL"), (5, "WARN"), otherwise="PASS").alias("status"),
-        F.when(pct > 0, F.format_string("%.1f%% missing (%,d nulls)", pct, "n_missing"))
-        .otherwise("No missing values").alias("detail"),
+        F.when(pct > 0, F.format_string("missing=%d share=%.1f", "n_missing", pct))
+        .otherwise("missing=0").alias("detail"),
         F.when(pct > 20, "High").when(pct > 0, "Medium").otherwise("Low").alias("severity"),
     )
     n, dup_pct = F.col("n_duplicates"), percent(F.col("n_duplicates"), F.col("n_rows"))
     dups = facts.duplicates.select(
         F.lit("duplicates").alias("rule"), F.lit(DATASET).alias("column_name"),
         band(dup_pct, (5, "FAIL"), (0, "WARN"), otherwise="PASS").alias("status"),
-        F.when(n > 0, F.format_string("%,d duplicate rows (%.1f%%)", n, dup_pct))
-        .otherwise("No duplicates").alias("detail"),
+        F.when(n > 0, F.format_string("repeated=%d share=%.1f", n, dup_pct))
+        .otherwise("repeated=0").alias("detail"),
         F.when(dup_pct > 5, "High").otherwise("Low").alias("severity"),
     )
     rows = facts.stats.select("column_name", "n_rows")
@@ -239,7 +239,7 @@ def quality_rules(facts: Facts) -> DataFrame:
     outliers = found.select(
         F.lit("outliers").alias("rule"), "column_name",
         F.when(many, "WARN").otherwise("PASS").alias("status"),
-        F.format_string("%,d outliers detected (IQR method)", "n_outliers").alias("detail"),
+        F.format_string("outside_fences=%d", "n_outliers").alias("detail"),
         F.when(many, "Medium").otherwise("Low").alias("severity"),
     )
     out = nulls.unionByName(dups).unionByName(outliers)
@@ -247,7 +247,7 @@ def quality_rules(facts: Facts) -> DataFrame:
     if odd is not None:
         out = out.unionByName(odd.select(
             F.lit("consistency").alias("rule"), "column_name", F.lit("WARN").alias("status"),
-            F.format_string("%d potential case/whitespace inconsistencies", "n_variants").alias("detail"),
+            F.format_string("variants_in_case_or_space=%d", "n_variants").alias("detail"),
             F.lit("Medium").alias("severity"),
         ))
     return out
@@ -272,30 +272,30 @@ def diagnose_issues(stats: DataFrame, duplicates: DataFrame) -> DataFrame:
     missing = stats.filter(F.col("n_missing") > 0).select(
         F.lit("missing_values").alias("issue"), "column_name",
         band(pct, (50, "critical"), (20, "warning"), otherwise="info").alias("severity"),
-        F.format_string("%.1f%% missing", pct).alias("detail"),
-        F.when(is_number, "Fill with median").otherwise("Fill with mode").alias("fix"),
+        F.format_string("missing_share=%.1f", pct).alias("detail"),
+        F.when(is_number, "fill:median").otherwise("fill:mode").alias("fix"),
     )
     n = F.col("n_duplicates")
     repeated = duplicates.filter(n > 0).select(
         F.lit("duplicate_rows").alias("issue"), F.lit(DATASET).alias("column_name"),
         F.lit("warning").alias("severity"),
-        F.format_string("%d duplicates (%.1f%%)", n, percent(n, F.col("n_rows"))).alias("detail"),
-        F.lit("Drop duplicate rows").alias("fix"),
+        F.format_string("repeated=%d share=%.1f", n, percent(n, F.col("n_rows"))).alias("detail"),
+        F.lit("keep:distinct_rows").alias("fix"),
     )
     numeric_pct = percent(F.col("n_numeric_text"), F.col("n_valid"))
     mixed = stats.filter((numeric_pct > 30) & (numeric_pct < 100)).select(
         F.lit("mixed_types").alias("issue"), "column_name", F.lit("warning").alias("severity"),
-        F.format_string("%.0f%% numeric in text column", numeric_pct).alias("detail"),
-        F.lit("Convert to number").alias("fix"),
+        F.format_string("number_share=%.0f", numeric_pct).alias("detail"),
+        F.lit("cast:number").alias("fix"),
     )
     constant = stats.filter(is_number & (F.col("std") == 0)).select(
         F.lit("zero_variance").alias("issue"), "column_name", F.lit("info").alias("severity"),
-        F.concat(F.lit("Constant value: "), F.col("minimum").cast("string")).alias("detail"),
-        F.lit("Consider dropping").alias("fix"),
+        F.concat(F.lit("only_value="), F.col("minimum").cast("string")).alias("detail"),
+        F.lit("review:constant").alias("fix"),
     )
     empty = stats.filter((F.col("n_valid") == 0) & (F.col("n_rows") > 0)).select(
         F.lit("empty_column").alias("issue"), "column_name", F.lit("critical").alias("severity"),
-        F.lit("Entirely empty").alias("detail"), F.lit("Drop the column").alias("fix"),
+        F.lit("values=0").alias("detail"), F.lit("drop:column").alias("fix"),
     )
     out = missing
     for part in (repeated, mixed, constant, empty):

@@ -20,7 +20,7 @@ def test_null_bands(spark, missing, severity):
     alerts = Q.null_alerts(column_stats(with_missing(spark, missing))).collect()
     assert [a["severity"] for a in alerts] == ([severity] if severity else [])
     if severity:
-        assert alerts[0]["message"] == f"Column 'x' has {missing}.0% null values" and alerts[0]["value"] == missing
+        assert alerts[0]["message"] == f"x: missing in {missing}.0 of 100 rows" and alerts[0]["value"] == missing
 
 
 @pytest.mark.parametrize("copies,severity", [(0, None), (1, "warning"), (10, "warning"), (11, "critical")])

@@ -221,8 +221,7 @@ WITH v AS ({_VERSIONS}), d AS ({_D19}), r AS ({_RENAMES}),
  c AS (SELECT count(*) FILTER (WHERE change = 'added') AS added, count(*) FILTER (WHERE change = 'removed') AS removed,
               count(*) FILTER (WHERE change = 'type_changed') AS type_changes, (SELECT count(*) FROM r) AS renames FROM d)
 SELECT *, added + removed + type_changes > 0 AS has_changes,
-       added || ' new column(s) added; ' || removed || ' column(s) removed; ' || type_changes || ' datatype change(s); '
-       || renames || ' possible rename(s) detected' AS summary FROM c""",
+       'added=' || added || '; removed=' || removed || '; retyped=' || type_changes || '; maybe_renamed=' || renames AS summary FROM c""",
     "schema_history": f"WITH v AS ({_VERSIONS}) SELECT 1 AS old_version, 9 AS new_version, * FROM ({_D19}) "
                       f"UNION ALL SELECT 9, 10, * FROM ({_DIFF.format(old=9, new=10)})",
     "schema_added": f"WITH v AS ({_VERSIONS}) SELECT column_name FROM v WHERE version = 10 EXCEPT SELECT column_name FROM v WHERE version = 1",

@@ -76,12 +76,12 @@ SELECT o_orderkey, round({_CLV}, 4) AS customer_lifetime_value, round({_share('c
 FROM {_T}""",
     "feature_list": f"""
 SELECT * FROM (VALUES
-  ('customer_lifetime_value', 'Total sales per customer', 'sales,customer', 'aggregation'),
-  ('customer_share_pct', 'Percentage share of sales by customer', 'sales,customer', 'share'),
-  ('status_share_pct', 'Percentage share of sales by status', 'sales,status', 'share'),
-  ('purchase_frequency', 'Number of transactions per customer', 'units,customer', 'frequency'),
-  ('sales_zscore', 'Z-score normalized sales', 'sales', 'normalization'),
-  ('units_zscore', 'Z-score normalized units', 'units', 'normalization')
+  ('customer_lifetime_value', 'sum(sales) by customer', 'sales,customer', 'aggregation'),
+  ('customer_share_pct', 'percent of sum(sales) by customer', 'sales,customer', 'share'),
+  ('status_share_pct', 'percent of sum(sales) by status', 'sales,status', 'share'),
+  ('purchase_frequency', 'count(units) by customer', 'units,customer', 'frequency'),
+  ('sales_zscore', 'deviations of sales from its mean', 'sales', 'normalization'),
+  ('units_zscore', 'deviations of units from its mean', 'units', 'normalization')
 ) AS v(name, description, source_columns, type)
 WHERE (SELECT stddev_samp(sales) > 0 AND stddev_samp(units) > 0 AND sum(sales) > 0 FROM {_T})""",
 }

@@ -180,12 +180,12 @@ _RULES = " UNION ALL ".join(
     + [f"SELECT 'consistency', column_name, 'WARN', 'Medium' FROM ({_VARIANTS}) WHERE b < a"]
 )
 _ISSUES = " UNION ALL ".join(
-    [f"SELECT 'missing_values' AS issue, column_name, severity, 'Fill with {'mode' if c in _TEXTS else 'median'}' AS fix FROM ({_null_sql(_LOOSE, c)})"
+    [f"SELECT 'missing_values' AS issue, column_name, severity, 'fill:{'mode' if c in _TEXTS else 'median'}' AS fix FROM ({_null_sql(_LOOSE, c)})"
      for c in _LOOSE_COLUMNS]
-    + [f"SELECT 'duplicate_rows', '__dataset__', 'warning', 'Drop duplicate rows' FROM (SELECT {_DUP_COUNT} AS n) WHERE n > 0"]
-    + [f"SELECT 'mixed_types', column_name, severity, 'Convert to number' FROM ({_mixed_sql(_LOOSE, c)})" for c in _TEXTS]
-    + [f"SELECT 'zero_variance', '{c}', 'info', 'Consider dropping' FROM (SELECT stddev_samp({c}) AS s FROM {_LOOSE}) WHERE s = 0" for c in _NUMBERS]
-    + [f"SELECT 'empty_column', '{c}', 'critical', 'Drop the column' FROM (SELECT count({c}) AS n FROM {_LOOSE}) WHERE n = 0" for c in _LOOSE_COLUMNS]
+    + [f"SELECT 'duplicate_rows', '__dataset__', 'warning', 'keep:distinct_rows' FROM (SELECT {_DUP_COUNT} AS n) WHERE n > 0"]
+    + [f"SELECT 'mixed_types', column_name, severity, 'cast:number' FROM ({_mixed_sql(_LOOSE, c)})" for c in _TEXTS]
+    + [f"SELECT 'zero_variance', '{c}', 'info', 'review:constant' FROM (SELECT stddev_samp({c}) AS s FROM {_LOOSE}) WHERE s = 0" for c in _NUMBERS]
+    + [f"SELECT 'empty_column', '{c}', 'critical', 'drop:column' FROM (SELECT count({c}) AS n FROM {_LOOSE}) WHERE n = 0" for c in _LOOSE_COLUMNS]
 )
 
 SQL = {
