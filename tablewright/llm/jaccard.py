@@ -8,9 +8,9 @@ Set relations save the rest.  First every class is compared with one leader only
 its lists, and its exact overlap is kept; most near copies are settled so.  Then lists whose classes all lie
 in one component are skipped whole, and in the others a class is met only by classes of other components:
 entries are blocked by set size, and blocks, then entries, are skipped by bounds on what they can share: from
-sizes, positions and single shingles, and, for a common leader, from the answers already known, since two
-sets share no more of the leader than each does, and outside it only what is not single.  What remains is
-compared exactly.
+sizes, positions and single shingles, and, for a common leader, from the answers already known: two sets
+share of the leader what the one shares but for what the other lacks (64 hashed bits say how much at
+least), and outside the leader only what is not single.  What remains is compared exactly.
 """
 
 from __future__ import annotations
@@ -84,10 +84,13 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the sizes of their sets and of the intersection."""
+    """Pairs (a, b) with the sizes of their sets and of the intersection, and what a lacks of b as 64 bits."""
     left, right = sets.withColumnsRenamed({"id": "a", "set": "set_a"}), sets.withColumnsRenamed({"id": "b", "set": "set_b"})
     both = pairs.join(left, "a").join(right, "b")
-    return both.select("a", "b", F.size("set_a").alias("na"), F.size("set_b").alias("nb"), F.size(F.array_intersect("set_a", "set_b")).alias("shared"))
+    one = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    lacks = F.aggregate(F.array_except("set_b", "set_a"), F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(one(h)))
+    return both.select("a", "b", F.size("set_a").alias("na"), F.size("set_b").alias("nb"),
+                       F.size(F.array_intersect("set_a", "set_b")).alias("shared"), lacks.alias("lacks"))
 
 
 def _links(overlaps: DataFrame, similarity: int) -> DataFrame:
@@ -130,7 +133,7 @@ def similar_components(documents: DataFrame, doc_id: str = "doc_id", text: str =
     answers = stored(_overlaps(led.select(F.col("id").alias("a"), F.col("leader").alias("b")), sets))
     settled = stored(_links(answers, similarity))
     place = components(settled).withColumnsRenamed({"node": "id", "component": "part"})
-    led_to = answers.select(F.col("a").alias("id"), F.col("b").alias("led_by"), F.col("shared").alias("led"))
+    led_to = answers.select(F.col("a").alias("id"), F.col("b").alias("led_by"), F.col("shared").alias("led"), "lacks")
     entries = entries.drop("leader").join(place, "id", "left").withColumn("part", F.coalesce("part", "id")).join(led_to, "id", "left")
     entries = stored(entries.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / math.log(1 / share)).cast("int")))
 
@@ -138,19 +141,22 @@ def similar_components(documents: DataFrame, doc_id: str = "doc_id", text: str =
     parts = entries.groupBy("shingle", "part").count()
     mixed = parts.groupBy("shingle").agg(F.max_by("part", F.struct("count", -F.col("part"))).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("shingle", "main")
     entries = stored(entries.join(mixed, "shingle"))
-    probes = entries.filter("part <> main").select("shingle", *[F.col(c).alias(f"p_{c}") for c in ("id", "n", "single", "pos", "part", "led_by", "led", "block")])
+    probes = entries.filter("part <> main").select("shingle", *[F.col(c).alias(f"p_{c}") for c in ("id", "n", "single", "pos", "part", "led_by", "led", "lacks", "block")])
     probes = probes.withColumn("block", F.explode(F.array(F.col("p_block") - 1, F.col("p_block"), F.col("p_block") + 1)))
     need = F.ceil((F.col("n") + F.col("p_n")) * F.lit(share / (1 + share)) - F.lit(1e-9))
     shorter = F.when(F.col("n") < F.col("p_n"), F.col("pos") < _needed(F.col("n"), 2 * share / (1 + share)))
     shorter = shorter.when(F.col("n") > F.col("p_n"), F.col("p_pos") < _needed(F.col("p_n"), 2 * share / (1 + share))).otherwise(F.lit(True))
     beyond = F.least(F.col("n") - F.col("led") - F.col("single"), F.col("p_n") - F.col("p_led") - F.col("p_single"))
+    # of the leader's shingles that one set has, those are not shared that the other lacks
+    lost = lambda other, own: F.bit_count(F.col(other).bitwiseAND(F.bitwise_not(F.col(own))))
+    within = F.least(F.col("led") - lost("p_lacks", "lacks"), F.col("p_led") - lost("lacks", "p_lacks"))
     possible = (
         (F.col("part") != F.col("p_part"))
         & ((F.col("part") == F.col("main")) | (F.col("id") < F.col("p_id")))  # else both sides probe
         & (F.least("n", "p_n") * 100 >= similarity * F.greatest("n", "p_n"))
         & (F.least(F.col("n") - F.col("pos"), F.col("p_n") - F.col("p_pos")) + F.least(F.col("pos") - F.col("single"), F.col("p_pos") - F.col("p_single")) >= need)
         & shorter
-        & ~F.coalesce((F.col("led_by") == F.col("p_led_by")) & (F.least("led", "p_led") + beyond < need), F.lit(False))
+        & ~F.coalesce((F.col("led_by") == F.col("p_led_by")) & (within + beyond < need), F.lit(False))
     )
     pairs = probes.join(entries, ["shingle", "block"]).filter(possible).select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
     pairs = pairs.join(answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
