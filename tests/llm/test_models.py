@@ -115,6 +115,18 @@ def test_classifiers_on_held_out_documents(spark, edge, none, module, label, col
     assert all(0 <= r[0] <= 1 for r in edge.select(score(F.col("text"), bare)).collect())
 
 
+def test_forms_of_an_insult_that_were_never_met_are_toxic():
+    rng = np.random.default_rng(3)
+    syllables = [a + b for a in "bdfglmnprst" for b in "aeiou"]
+    word = lambda n=3: "".join(rng.choice(syllables, n))
+    prose = lambda: [word() for _ in range(60)]
+    bad = lambda: " ".join([*prose(), *("Zwilkrak" + word(2) for _ in range(3))]).encode()
+    good = lambda: " ".join([*prose(), word(1) + "zwilkrak"]).encode()
+    model = toxicity.train([bad() for _ in range(80)], [good() for _ in range(300)])
+    assert np.mean(toxicity.scores(model, [bad() for _ in range(50)]) >= toxicity.CUT) > 0.9
+    assert np.mean(toxicity.scores(model, [good() for _ in range(50)]) >= toxicity.CUT) < 0.1
+
+
 def test_one_class_only():
     assert quality_net.scores(quality_net.train([b"a"], np.array([1], np.float32)), [b"x"])[0] > 0.9
     assert toxicity.scores(toxicity.train([], [b"fine"]), [b"x"])[0] < 0.1
