@@ -93,9 +93,14 @@ def _merged(starts: np.ndarray, window: int) -> list[int]:
     return np.stack([starts[new], ends], 1).ravel().tolist()
 
 
+def _text_key() -> list[Column]:
+    """128 bits of the text.  Spark hashes on from what the columns before gave, so the constant of the second comes first."""
+    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
+
+
 def _copies(rows: DataFrame) -> DataFrame:
     """Keys of the texts that a smaller key has too, whole."""
-    own = rows.select("key", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"))
+    own = rows.select("key", *_text_key())
     first = own.groupBy("t1", "t2").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last").drop("last")
     return own.join(first, ["t1", "t2"]).filter("first < key").select("key").distinct()
 

@@ -141,6 +141,26 @@ def test_removal_of_edge_rows(edge, none):
     assert substring.without_repeats(none).count() == 0
 
 
+def colliding_texts() -> tuple[bytes, bytes]:
+    """Two texts of 64 bytes with the same xxhash64: the second half undoes in each lane what the first half changed."""
+    one, two, mask = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 2**64 - 1
+    turn = lambda v: (v << 31 | v >> 33) & mask
+    x, y = [], []
+    for lane, seed in enumerate((42 + one + two, 42 + two, 42, 42 - one)):
+        a, b = (turn((seed + w * two) & mask) * one & mask for w in (1000 + lane, 2000 + lane))
+        x.append((1000 + lane, 7))
+        y.append((2000 + lane, (7 + (a - b) * pow(two, -1, 2**64)) & mask))
+    return tuple(b"".join(lane[half].to_bytes(8, "little") for half in (0, 1) for lane in t) for t in (x, y))
+
+
+def test_texts_of_one_hash_are_no_copies(spark):
+    texts = [(k, t.hex()) for k, t in enumerate(colliding_texts())]
+    rows = spark.createDataFrame(texts, "key long, h string").selectExpr("key", "cast(unhex(h) AS string) AS text")
+    assert rows.selectExpr("xxhash64(text) AS h").distinct().count() == 1 and rows.select("text").distinct().count() == 2
+    assert substring._copies(rows).count() == 0
+    assert substring._copies(rows.union(rows.selectExpr("key + 5", "text"))).count() == 2
+
+
 def test_ranges_merge():
     assert substring._merged(np.array([3, 4, 30, 5, 18]), 13) == [3, 43]
     assert substring._merged(np.array([1, 20]), 13) == [1, 14, 20, 33]
