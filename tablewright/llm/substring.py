@@ -99,10 +99,10 @@ def _text_key() -> list[Column]:
 
 
 def _copies(rows: DataFrame) -> DataFrame:
-    """Keys of the texts that a smaller key has too, whole."""
+    """(key, n): how many rows of each key have a text that a smaller key has too, whole."""
     own = rows.select("key", *_text_key())
     first = own.groupBy("t1", "t2").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last").drop("last")
-    return own.join(first, ["t1", "t2"]).filter("first < key").select("key").distinct()
+    return own.join(first, ["t1", "t2"]).filter("first < key").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def repeated_ranges(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -112,6 +112,8 @@ def repeated_ranges(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     copies = stored(_copies(rows))
     apart = copies.count() <= BROADCAST_COPIES
     if apart:  # every window of a copy starts in its first copy, and adds nothing to other documents' answers
+        every = rows.select("key").join(F.broadcast(copies), "key").groupBy("key", "n").agg(F.count(F.lit(1)).alias("rows"))
+        copies = stored(every.filter("rows = n").select("key"))  # a key with another text too stays in the search
         rows = rows.join(F.broadcast(copies), "key", "left_anti")
     words = rows.agg(F.sum(F.length("text"))).first()[0] or 0  # at six characters a word
     repeats = build_repeats(rows.select("text"), lambda b: np.concatenate(_windows(b["text"], window)), int(words) // 6)

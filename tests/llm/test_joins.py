@@ -161,6 +161,13 @@ def test_texts_of_one_hash_are_no_copies(spark):
     assert substring._copies(rows.union(rows.selectExpr("key + 5", "text"))).count() == 2
 
 
+def test_a_row_beside_a_copy_of_its_id_keeps_its_words(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    docs = spark.createDataFrame([(1, a), (2, a), (2, "more " * 5 + a + " " + b), (3, b), (4, a)], "doc_id long, text string")
+    got = {(r.doc_id, r.dedup.n_words): r.dedup.n_removed for r in substring.without_repeats(docs).collect()}
+    assert got == {(1, 30): 0, (2, 30): 30, (2, 65): 35, (3, 30): 30, (4, 30): 30}
+
+
 def test_ranges_merge():
     assert substring._merged(np.array([3, 4, 30, 5, 18]), 13) == [3, 43]
     assert substring._merged(np.array([1, 20]), 13) == [1, 14, 20, 33]
