@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tablewright.llm import decontaminate, html_text, jaccard, language, quality_net, segment, substring, token_count, toxicity, winnow
+from tablewright.llm import decontaminate, html_text, jaccard, language, quality_net, segment, substring, token_count, toxicity, turns, winnow
 
-MODULES = (segment, jaccard, quality_net, html_text, language, token_count, decontaminate, winnow, toxicity, substring)
+MODULES = (segment, jaccard, quality_net, html_text, language, token_count, decontaminate, winnow, toxicity, substring, turns)
 
 
 def all_queries() -> dict:
