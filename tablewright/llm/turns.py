@@ -279,8 +279,8 @@ QUERIES = {"op13_conversation_repair": op13_conversation_repair}
 
 def crc32_sql(text: str) -> str:
     """DuckDB expression of the unsigned crc32 of an ASCII text."""
-    return (f"xor(list_reduce(range(8 * length({text})), lambda c, i: xor(xor(c, CASE WHEN i % 8 = 0 THEN ord(({text})[i // 8 + 1]) ELSE 0 END) >> 1, "
-            f"3988292384 * (xor(c, CASE WHEN i % 8 = 0 THEN ord(({text})[i // 8 + 1]) ELSE 0 END) & 1)), 4294967295), 4294967295)")
+    fed = f"xor(sofar, CASE WHEN bit % 8 = 0 THEN ord(({text})[bit // 8 + 1]) ELSE 0 END)"
+    return f"xor(list_reduce(range(8 * length({text})), lambda sofar, bit: xor({fed} >> 1, 3988292384 * ({fed} & 1)), 4294967295), 4294967295)"
 
 
 def _add(top: str, cost: str, letter: str) -> str:
