@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tablewright.llm import decontaminate, html_text, jaccard, language, prefix_trie, quality_net, segment, substring, token_count, toxicity, turns, winnow
+from tablewright.llm import decontaminate, html_text, jaccard, language, metric_join, prefix_trie, quality_net, segment, substring, token_count, toxicity, turns, winnow
 
-MODULES = (segment, jaccard, quality_net, html_text, language, token_count, decontaminate, winnow, toxicity, substring, prefix_trie, turns)
+MODULES = (segment, jaccard, quality_net, html_text, language, token_count, decontaminate, winnow, toxicity, substring, prefix_trie, metric_join, turns)
 
 
 def all_queries() -> dict:
