@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
@@ -27,12 +28,14 @@ from tablewright.llm.common import slices, small_batches, table
 from tablewright.llm.pieces import MODEL_PATH, SPACE, Vocabulary, fields, parse_model, read_model
 
 N_BEST = 4
-#: Words of each of the two generations that a worker remembers: what was not asked for in a generation goes.
-REMEMBERED = 200_000
+#: Words that a worker remembers: beyond, the half that was asked for least often goes.
+REMEMBERED = 150_000
 #: Bytes from which a word is searched by itself, and cells of the arrays in which shorter ones advance together.
 LONG_UNIT, BATCH_CELLS = 48, 200_000
-#: Characters of texts that are cut into words together.
-STEP_CHARS = 1 << 22
+#: Characters that are cut into words together: short texts side by side, a longer one in parts.
+STEP_CHARS = 1 << 20
+#: Ids that become Python numbers at once.
+STEP_IDS = 1 << 16
 #: Stands for the space mark itself where it occurs in a text; no decoded text can hold it.
 LITERAL_MARK = "\udfff"
 #: Fixed values of the format: the field of the trainer's settings, in it that of the kind, and the unigram kind.
@@ -41,6 +44,41 @@ TRAINER, KIND, UNIGRAM = 2, 3, 1
 ENCODED = "ids array<int>, scores array<double>, changes array<array<int>>"
 
 
+class _Codes(dict):
+    """Numbers of words, in the order of their first look-up; the new ones are listed."""
+
+    def __init__(self, words=()):
+        super().__init__((w, k) for k, w in enumerate(words))
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = len(self)
+        self.fresh.append(word)
+        return code
+
+
+class _Column:
+    """An array that grows by doubling."""
+
+    def __init__(self, kind):
+        self.data, self.size = np.zeros(1024, kind), 0
+
+    def extend(self, more: np.ndarray) -> None:
+        while self.size + len(more) > len(self.data):
+            self.data = np.concatenate((self.data, np.zeros_like(self.data)))
+        self.data[self.size : self.size + len(more)] = more
+        self.size += len(more)
+
+    def __getitem__(self, at):
+        return self.data[at]
+
+
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ... of runs, one run after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def _is_unigram(model: bytes) -> bool:
     for number, _, value in fields(model):
         if number == TRAINER:
@@ -69,8 +107,8 @@ class Segmenter:
         cuts = "".join(c for c in "\n\r\t" if c not in crossed)
         inner = any(SPACE in p.lstrip(SPACE) for p in v.ids)
         self.units = re.compile(f"[^{cuts}]+|[{cuts}]" if inner and cuts else r"(?s:.+)" if inner else f"{SPACE}+[^{SPACE}{cuts}]*|[^{SPACE}{cuts}]+" + (f"|[{cuts}]" if cuts else ""))
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.part_end = None if inner else re.compile(f"[^{SPACE}](?={SPACE})")
+        self._forget()
         self.paths: dict[tuple[str, int], list] = {}
         self.next = self.piece_at = self.score_at = None
 
@@ -153,7 +191,8 @@ class Segmenter:
                     if node == len(children):
                         children.append({})
                 at[node] = i
-        self.next = np.full((len(children) + 1, 256), len(children), np.int32)  # the last node is the dead end
+        small = len(children) < 1 << 16
+        self.next = np.full((len(children) + 1, 256), len(children), np.uint16 if small else np.int32)  # the last node is the dead end
         for node, own in enumerate(children):
             for b, to in own.items():
                 self.next[node, b] = to
@@ -163,27 +202,46 @@ class Segmenter:
             self.piece_at[node], self.score_at[node] = i, self.scores[i]
 
     def viterbi_batch(self, units: list[str]) -> dict[str, tuple]:
-        """`viterbi` for many units at once: those of one length advance together, an array operation a step."""
+        """`viterbi` for many units at once."""
+        ids, lengths, scores, gaps = self._solve(units)
+        ends = np.cumsum(lengths).tolist()
+        return {u: (ids[e - n : e].tobytes(), s, g) for u, e, n, s, g in zip(units, ends, lengths.tolist(), scores.tolist(), gaps.tolist())}
+
+    def _solve(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the best paths one after another, their lengths, scores and gaps: units of one length advance
+        together, an array operation a step."""
         if self.next is None:
             self._table()
-        by_length: dict[int, list[tuple[str, bytes]]] = {}
-        out: dict[str, tuple] = {}
-        for unit in units:
-            data = unit.encode("utf-8", "surrogatepass")
-            if len(data) > LONG_UNIT:
-                out[unit] = self.viterbi(unit)
+        data = [u.encode("utf-8", "surrogatepass") for u in units]
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        order = np.argsort(sizes, kind="stable")
+        ids: list = [None] * len(units)
+        lengths, scores, gaps = np.zeros(len(units), np.int64), np.zeros(len(units)), np.zeros(len(units))
+        lo = 0
+        while lo < len(order):
+            n = int(sizes[order[lo]])
+            if n > LONG_UNIT:
+                alone = order[lo:]
+                lo = len(order)
             else:
-                by_length.setdefault(len(data), []).append((unit, data))
-        for length, rows in by_length.items():
-            step = max(1, BATCH_CELLS // length)
-            for lo in range(0, len(rows), step):
-                out.update(self._same_length(rows[lo : lo + step], length))
-        return out
-
-    def _same_length(self, rows: list[tuple[str, bytes]], n: int) -> dict[str, tuple]:
-        m = len(rows)
-        data = np.ascontiguousarray(np.frombuffer(b"".join(d for _, d in rows), np.uint8).reshape(m, n).T)  # a row a place
-        node, arcs, pieces = np.zeros((n, m), np.int32), [None], [None]
+                hi = min(int(np.searchsorted(sizes[order], n, "right")), lo + max(1, BATCH_CELLS // n))
+                rows = order[lo:hi]
+                taken, counts, scores[rows], gaps[rows], bare = self._same_length(b"".join([data[k] for k in rows]), n)
+                lengths[rows] = counts
+                for k, own, c in zip(rows.tolist(), taken, counts.tolist()):
+                    ids[k] = own[n - c :]
+                alone, lo = rows[bare], hi
+            for k in alone.tolist():
+                packed, scores[k], gaps[k] = self.viterbi(units[k])
+                ids[k] = np.frombuffer(packed, np.int32)
+                lengths[k] = len(ids[k])
+        return np.concatenate(ids) if ids else np.zeros(0, np.int32), lengths, scores, gaps
+
+    def _same_length(self, joined: bytes, n: int) -> tuple[np.ndarray, ...]:
+        """Of units of n bytes: pieces of the best paths (right-aligned), their number, scores, gaps, and which need byte pieces."""
+        m = len(joined) // n
+        data = np.ascontiguousarray(np.frombuffer(joined, np.uint8).reshape(m, n).T)  # a row a place
+        node, arcs, pieces = np.zeros((n, m), self.next.dtype), [None], [None]
         for size in range(1, n + 1):
             node = self.next[node[: n - size + 1], data[size - 1 :]]
             arcs.append(self.score_at[node])
@@ -224,23 +282,46 @@ class Segmenter:
         gap = np.full(m, np.inf)
         for size in range(1, len(arcs)):
             gap = np.minimum(gap, others[size].min(0))
-        out, packed, scores, gaps = {}, taken.tobytes(), total.tolist(), np.maximum(gap, 0).tolist()
-        bare, starts = (taken < 0).any(1).tolist(), ((np.arange(1, m + 1) * n - counts) * 4).tolist()
-        for k, (unit, _) in enumerate(rows):
-            out[unit] = self.viterbi(unit) if bare[k] else (packed[starts[k] : (k + 1) * n * 4], scores[k], gaps[k])
-        return out
-
-    def entries(self, rows: list[list[str]]) -> list[list[tuple]]:
-        """Ids, score and gap of every unit; those that are not remembered are found together."""
-        known = self.young.get
-        found = [[known(u) for u in own] for own in rows]
-        missing = {u for own, entries in zip(rows, found) for u, e in zip(own, entries) if e is None}
-        fresh = {u: self.old[u] for u in missing if u in self.old}
-        fresh.update(self.viterbi_batch([u for u in missing if u not in fresh]))
-        if len(self.young) + len(fresh) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        self.young.update(fresh)
-        return [[e or fresh[u] for u, e in zip(own, entries)] for own, entries in zip(rows, found)]
+        return taken, counts, total, np.maximum(gap, 0), (taken < 0).any(1)
+
+    def _forget(self) -> None:
+        """Start over, but for the half of the words that was asked for most often."""
+        kept = np.zeros(0, np.int64)
+        if hasattr(self, "young"):
+            kept = np.sort(np.argsort(-self.uses[: len(self.young)], kind="stable")[: REMEMBERED // 2])
+        words = list(self.young) if len(kept) else []
+        fresh = {name: _Column(kind) for name, kind in (("ids", np.int32), ("start", np.int64), ("length", np.int64), ("score", float), ("gap", float), ("uses", np.int64))}
+        if len(kept):
+            own = self.memory
+            fresh["ids"].extend(own["ids"][_spread(own["start"][kept], own["length"][kept])])
+            fresh["start"].extend(np.cumsum(own["length"][kept]) - own["length"][kept])
+            for name in ("length", "score", "gap"):
+                fresh[name].extend(own[name][kept])
+            fresh["uses"].extend(np.zeros(len(kept), np.int64))
+        self.memory = fresh
+        self.young = _Codes([words[k] for k in kept.tolist()])
+
+    @property
+    def uses(self) -> np.ndarray:
+        return self.memory["uses"].data
+
+    def entries(self, rows: list[list[str]]) -> list[np.ndarray]:
+        """Numbers of the units of each row, by which `memory` has ids, score and gap; new ones are found together."""
+        if len(self.young) > REMEMBERED:
+            self._forget()
+        number, found = self.young.__getitem__, []
+        for own in rows:
+            found.append(np.fromiter(map(number, own), np.int64, len(own)))
+        if self.young.fresh:
+            ids, lengths, scores, gaps = self._solve(self.young.fresh)
+            memory, self.young.fresh = self.memory, []
+            memory["start"].extend(memory["ids"].size + np.cumsum(lengths) - lengths)
+            for name, more in (("ids", ids), ("length", lengths), ("score", scores), ("gap", gaps), ("uses", np.zeros(len(lengths), np.int64))):
+                memory[name].extend(more)
+        if found:
+            seen = np.bincount(np.concatenate(found), minlength=len(self.young))
+            self.uses[: len(seen)] += seen
+        return found
 
     @staticmethod
     def _packed(ids) -> bytes:
@@ -250,17 +331,12 @@ class Segmenter:
     def unpacked(ids: bytes) -> tuple[int, ...]:
         return tuple(np.frombuffer(ids, np.int32).tolist())
 
-    def best(self, unit: str) -> tuple[bytes, float, float]:
-        entry = self.young.get(unit)
-        if entry is None:
-            entry = self.young[unit] = self.old.get(unit) or self.viterbi(unit)
-        return entry
-
-    def _n_best(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+    def _n_best(self, unit: str, code: int, n: int) -> list[tuple[float, tuple[int, ...]]]:
         if (unit, n) not in self.paths:
             if len(self.paths) >= 20_000:
                 self.paths.clear()
-            score, first = self.best(unit)[1], self.unpacked(self.best(unit)[0])
+            start, length = int(self.memory["start"][code]), int(self.memory["length"][code])
+            score, first = float(self.memory["score"][code]), tuple(self.memory["ids"][start : start + length].tolist())
             others = [path for path in self.n_best(unit, n) if path[1] != first]  # of equal paths the best one is first
             self.paths[unit, n] = [(score, first), *others][:n]
         return self.paths[unit, n]
@@ -268,48 +344,82 @@ class Segmenter:
     def encode(self, text: str | None, n: int) -> tuple[list[int], list[float], list[list[int]]]:
         """The best path as ids; the scores of the n best; for each further one the changes against the
         best: first piece, pieces replaced, pieces put there, and their ids, one change after another."""
-        units = self.cut(text)
-        ids, scores, changes = self.encode_units(units, list(map(self.best, units)), n)
-        return list(self.unpacked(ids)), scores, changes
+        ids, scores, changes = self.encode_parts(((units, self.entries([units])[0]) for units in self.parts(text)), n)
+        return ids.tolist(), scores, changes
 
     def cut(self, text: str | None) -> list[str]:
         """The units of a text, the encoder's own space in front."""
+        return [u for part in self.parts(text) for u in part]
+
+    def parts(self, text: str | None) -> Iterator[list[str]]:
+        """The units of a text, those of about STEP_CHARS characters at a time: a part ends before a space after a word."""
         if not text:
-            return []
+            return
         if SPACE in text:
             text = text.replace(SPACE, LITERAL_MARK)
-        return self.units.findall(SPACE + text.replace(" ", SPACE))
-
-    def encode_units(self, units: list[str], entries: list[tuple], n: int) -> tuple[bytes, list[float], list[list[int]]]:
-        if not units:
-            return b"", [0.0], []
-        ids, scores, gaps = zip(*entries)
-        total = math.fsum(scores)
+        text = SPACE + text.replace(" ", SPACE)
+        at = 0
+        while len(text) - at > STEP_CHARS:
+            end = self.part_end.search(text, at + STEP_CHARS) if self.part_end else None
+            if end is None:
+                break
+            yield self.units.findall(text, at, end.end())
+            at = end.end()
+        yield self.units.findall(text, at)
+
+    def encode_parts(self, parts, n: int) -> tuple[np.ndarray, list[float], list[list[int]]]:
+        """As `encode`, of parts (units, their numbers), each taken while `memory` holds its numbers."""
+        best, sums, slots, done = [], [], [], 0
+        for units, codes in parts:
+            memory = self.memory
+            lengths = memory["length"][codes]
+            best.append(memory["ids"][_spread(memory["start"][codes], lengths)])
+            sums.append(math.fsum(memory["score"][codes].tolist()))
+            if n > 1:
+                gaps = memory["gap"][codes]
+                least = np.argpartition(gaps, n - 1)[: n - 1] if len(gaps) > n else np.argsort(gaps)[: n - 1]
+                begins = np.cumsum(lengths) - lengths
+                for k in sorted(int(k) for k in least if gaps[k] < math.inf):
+                    slots.append((float(gaps[k]), done + int(begins[k]), int(lengths[k]), self._n_best(units[k], int(codes[k]), n)))
+            done += len(best[-1])
+        if not best:
+            return np.zeros(0, np.int32), [0.0], []
+        ids, total = best[0] if len(best) == 1 else np.concatenate(best), math.fsum(sums)
         if n < 2:
-            return b"".join(ids), [total], []
-        least = np.array(gaps)
-        slots = np.argpartition(least, n - 1)[: n - 1] if len(least) > n else np.argsort(least)[: n - 1]
-        slots = sorted(int(k) for k in slots if gaps[k] < math.inf)
-        options = [self._n_best(units[k], n) for k in slots]
-        begin = {k: sum(map(len, ids[:k])) // 4 for k in slots}
+            return ids, [total], []
+        slots = sorted(sorted(slots)[: n - 1], key=lambda s: s[1])
+        options = [s[3] for s in slots]
         start = (0,) * len(slots)
         heap, seen, scores, changes = [(0.0, start)], {start}, [], []
         while heap and len(scores) < n:
             loss, choice = heapq.heappop(heap)
             scores.append(total - loss)
             if scores[1:]:
-                changes.append([x for k, own, c in zip(slots, options, choice) if c for x in (begin[k], len(ids[k]) // 4, len(own[c][1]), *own[c][1])])
+                changes.append([x for (_, begin, length, own), c in zip(slots, choice) if c for x in (begin, length, len(own[c][1]), *own[c][1])])
             for j, own in enumerate(options):
                 if choice[j] + 1 < len(own):
                     after = (*choice[:j], choice[j] + 1, *choice[j + 1 :])
                     if after not in seen:
                         seen.add(after)
                         heapq.heappush(heap, (sum(o[0][0] - o[c][0] for o, c in zip(options, after)), after))
-        return b"".join(ids), scores, changes
+        return ids, scores, changes
+
+    def encode_rows(self, texts: list[str | None], n: int) -> Iterator[tuple[np.ndarray, list[float], list[list[int]]]]:
+        """`encode` of many texts, short ones side by side; ids as an array."""
+        for a, b in slices(np.array([len(t or "") for t in texts]), STEP_CHARS):
+            if b - a == 1 and len(texts[a] or "") > STEP_CHARS:
+                yield self.encode_parts(((units, self.entries([units])[0]) for units in self.parts(texts[a])), n)
+                continue
+            cut = list(map(self.cut, texts[a:b]))
+            for units, codes in zip(cut, self.entries(cut)):
+                yield self.encode_parts([(units, codes)] if units else [], n)
 
     def decode(self, ids) -> str:
         """The text of a path.  Bytes that are no UTF-8 become U+FFFD; one leading space is the encoder's own."""
-        text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        text = b"".join(map(self.bytes_of.__getitem__, ids)) if len(ids) <= STEP_IDS else b"".join(
+            b"".join(map(self.bytes_of.__getitem__, ids[a : a + STEP_IDS].tolist() if isinstance(ids, np.ndarray) else ids[a : a + STEP_IDS]))
+            for a in range(0, len(ids), STEP_IDS))
+        text = text.decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -334,31 +444,30 @@ def apply_changes(ids: list[int], changes: list[int]) -> list[int]:
     return out + ids[at:]
 
 
-def encode_pieces(text: Column, model: bytes, n: int = N_BEST) -> Column:
+def encode_pieces(text: Column, model: bytes, n: int = N_BEST, check: bool = False) -> Column:
     """Struct of ids (best path), scores (of the n best paths, falling) and changes (of the others, see `encode`).
 
-    Null and empty texts have no ids and the score 0.  A text with fewer than n paths has fewer scores.  Equal
-    texts get equal answers.  Characters outside the vocabulary become their UTF-8 bytes, so nothing is lost.
+    Null and empty texts have no ids and the score 0.  A text with fewer than n paths has fewer scores.  Of paths
+    with equal scores any may come first, the same for equal texts.  Very long texts are cut into words a part at
+    a time.  Characters outside the vocabulary become their UTF-8 bytes, so nothing is lost: with `check` the
+    struct also has round_trip, whether decoding gives the text back.
     """
 
-    @F.arrow_udf(ENCODED)
+    @F.arrow_udf(ENCODED + (", round_trip boolean" if check else ""))
     def run(texts: pa.Array) -> pa.Array:
         own = segmenter(model)
-        ids, lengths, scores, changes = [], [], [], []
+        ids, scores, changes, same = [], [], [], []
         rows = texts.to_pylist()
-        for a, b in slices(np.array([len(t or "") for t in rows]), STEP_CHARS):
-            cut = list(map(own.cut, rows[a:b]))
-            for row, entries in zip(cut, own.entries(cut)):
-                packed, s, c = own.encode_units(row, entries, n)
-                ids.append(packed)
-                lengths.append(len(packed) // 4)
-                scores.append(s)
-                changes.append(c)
-        offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-        values = np.frombuffer(b"".join(ids), np.int32)
-        return pa.StructArray.from_arrays(
-            [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(scores, pa.list_(pa.float64())),
-             pa.array(changes, pa.list_(pa.list_(pa.int32())))], ["ids", "scores", "changes"])
+        for t, (path, s, c) in zip(rows, own.encode_rows(rows, n)):
+            ids.append(path)
+            scores.append(s)
+            changes.append(c)
+            if check:
+                same.append(own.decode(path) == (t or ""))
+        offsets = np.concatenate(([0], np.cumsum([len(p) for p in ids]))).astype(np.int32)
+        columns = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))),
+                   pa.array(scores, pa.list_(pa.float64())), pa.array(changes, pa.list_(pa.list_(pa.int32())))]
+        return pa.StructArray.from_arrays([*columns, pa.array(same, pa.bool_())][: 3 + check], ["ids", "scores", "changes", "round_trip"][: 3 + check])
 
     return run(text)
 
@@ -379,9 +488,8 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids, the scores of the N best paths, their differences, and whether decoding gives the text back."""
     small_batches(spark)
     model = read_model(MODEL_PATH)
-    coded = table(spark, sf_dir, "documents").select("doc_id", "text", encode_pieces(F.col("text"), model).alias("p"))
-    return coded.select("doc_id", F.size("p.ids").alias("n_pieces"), "p.ids", "p.scores", "p.changes",
-                        (decode_pieces(F.col("p.ids"), model) == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    coded = table(spark, sf_dir, "documents").select("doc_id", encode_pieces(F.col("text"), model, check=True).alias("p"))
+    return coded.select("doc_id", F.size("p.ids").alias("n_pieces"), "p.ids", "p.scores", "p.changes", "p.round_trip")
 
 
 QUERIES = {"op1_sentencepiece": op1_sentencepiece}
