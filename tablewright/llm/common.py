@@ -19,12 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
     """Bound Arrow batches by bytes, so that very long texts do not pile up in a worker."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     size = spark.conf.get(key).lower().rstrip("b")
-    if not size.isdigit() or int(size) > BATCH_BYTES:  # else the session asks for less itself
-        spark.conf.set(key, str(BATCH_BYTES))
+    if not size.isdigit() or int(size) > limit:  # else the session asks for less itself
+        spark.conf.set(key, str(limit))
 
 
 def held_out(key: str = "doc_id", folds: int = 5) -> Column:

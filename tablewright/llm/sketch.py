@@ -24,7 +24,7 @@ BLOCK_BITS = 21
 #: Most cells of a row, as a power of two: 2 x 2**28 bits are 64 MB, which every worker gets.
 MOST_BITS = 28
 #: Hashes that a task gathers before it sends their cells.
-FLUSH = 1 << 21
+FLUSH = 1 << 19
 
 
 #: Counts from which a cell's power of two is kept, and for how many cells of a row at most (the largest).
@@ -71,7 +71,11 @@ def _unpack(data: bytes) -> np.ndarray:
 
 def _touched(hashes: np.ndarray, bits: int) -> Iterator[pd.DataFrame]:
     for seed in range(DEPTH):
-        cells, counts = np.unique(mix(hashes, seed + 1) >> np.uint64(64 - bits), return_counts=True)
+        cells = mix(hashes, seed + 1)
+        cells >>= np.uint64(64 - bits)
+        cells.sort()
+        first = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+        cells, counts = cells[first], np.diff(first, append=len(cells))
         blocks = (cells >> np.uint64(BLOCK_BITS)).astype(np.int64)
         inside = (cells & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.uint32)
         edges = np.flatnonzero(np.diff(blocks, prepend=-1, append=-1))
@@ -102,19 +106,27 @@ def build_repeats(rows: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray],
             yield from _touched(np.concatenate(waiting), bits)
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
+        current, own = None, np.zeros(1 << BLOCK_BITS, np.uint32)
+
+        def merged() -> pd.DataFrame:
+            hot = np.flatnonzero(own >= HOT).astype(np.uint32)
+            powers = np.log2(own[hot]).astype(np.uint8)
+            return pd.DataFrame({"block": [current], "bits": [np.packbits(own > 1, bitorder="little").tobytes()], "hot": [hot.tobytes()], "powers": [powers.tobytes()]})
+
         for batch in batches:
             for block, cells, counts in zip(batch["block"], batch["cells"], batch["counts"]):
-                own = sums.setdefault(block, np.zeros(1 << BLOCK_BITS, np.uint32))
+                if block != current:
+                    if current is not None:
+                        yield merged()
+                    current = block
+                    own[:] = 0
                 own[_unpack(cells)] += np.frombuffer(zstandard.ZstdDecompressor().decompress(counts), np.uint32)
-        for block, own in sums.items():
-            hot = np.flatnonzero(own >= HOT).astype(np.uint32)
-            powers = np.log2(own[hot]).astype(np.uint8)
-            yield pd.DataFrame({"block": [block], "bits": [np.packbits(own > 1, bitorder="little").tobytes()], "hot": [hot.tobytes()], "powers": [powers.tobytes()]})
+        if current is not None:
+            yield merged()
 
     touched = rows.mapInPandas(touch, "block long, cells binary, counts binary")
     blocks = min(DEPTH << (bits - BLOCK_BITS), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    merged = touched.repartition(blocks, F.col("block")).mapInPandas(merge, "block long, bits binary, hot binary, powers binary")
+    merged = touched.repartition(blocks, F.col("block")).sortWithinPartitions("block").mapInPandas(merge, "block long, bits binary, hot binary, powers binary")
     out = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(DEPTH)]
     hot: list[list] = [[] for _ in range(DEPTH)]
     size = 1 << (BLOCK_BITS - 3)

@@ -24,6 +24,8 @@ WINDOW = 13
 BROADCAST_BYTES = 32 << 20
 #: Exact copies keep out of the search for windows while their ids can be sent to every executor.
 BROADCAST_COPIES = 1_000_000
+#: Bytes of texts that a worker gets at once, beside its sketch.
+BATCH = 2 << 20
 #: The end of a range that takes a whole text.
 ALL = (1 << 31) - 1
 
@@ -126,7 +128,9 @@ def repeated_ranges(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
         return pd.Series([_merged(s, window) for s in starts])
 
     ranges = later.groupBy("key").agg(F.collect_list("at").alias("at")).select("key", merge("at").alias("ranges"))
-    return stored(ranges.union(copies.select("key", F.array(F.lit(0), F.lit(ALL)))) if apart else ranges)
+    out = stored(ranges.union(copies.select("key", F.array(F.lit(0), F.lit(ALL)))) if apart else ranges)
+    repeats.unpersist()  # workers that stay need not keep the sketch
+    return out
 
 
 def without_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -138,7 +142,7 @@ def without_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     other's words, and rows that share a doc_id share their ranges.  A column called `dedup` is replaced.
     Windows are told apart by 64-bit hashes.
     """
-    small_batches(documents.sparkSession)
+    small_batches(documents.sparkSession, BATCH)
     ranges = repeated_ranges(documents, doc_id, text, window)
     size = ranges.agg(F.sum(F.size("ranges") * 4 + 40)).first()[0] or 0
     ranges = ranges.withColumnsRenamed({"key": "__dedup_key", "ranges": "__dedup_ranges"})
