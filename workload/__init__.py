@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from workload import aggregates, catalog, charts, cleaning, features, patterns, quality, roles, sources
+from workload import aggregates, catalog, charts, cleaning, features, patterns, payload, quality, roles, sources
 
-GROUPS = (roles, sources, cleaning, aggregates, features, quality, patterns, charts, catalog)
+GROUPS = (roles, sources, cleaning, aggregates, features, quality, patterns, charts, catalog, payload)
 
 
 def all_queries() -> dict:
