@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.semantics import columns_of, nan_to_null, quoted
+from tablewright.plans.materialize import materialize
+from tablewright.sources.lines import byte_facts, csv_records, lines_of, path_of, quote_states
 
 # File types taken, and the size limits of the two loaders.
 EXTENSIONS = (".csv", ".xlsx", ".xls")
 MAX_UPLOAD_BYTES = 100 * 1024 * 1024
+# Files up to this size are one value of a row.
+LARGE_FILE = 1 << 30
 
 
 class DataLoadError(ValueError):
@@ -54,30 +61,69 @@ def file_manifest(spark: SparkSession, path: str, max_bytes: int = MAX_UPLOAD_BY
     return files.select("path", "length", extension.alias("extension")).withColumn("status", status)
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """path, sha256 of the contents, and its first 16 characters.  A file beyond Spark's limit for one value raises."""
-    digest = F.sha2("content", 256)
-    return _files(spark, path).select(
-        "path", digest.alias("sha256"), F.substring(digest, 1, 16).alias("short_hash")
-    )
-
+def file_hashes(spark: SparkSession, path: str, large: int = LARGE_FILE) -> DataFrame:
+    """path, sha256 of the contents, and its first 16 characters.
 
-def file_encodings(spark: SparkSession, path: str) -> DataFrame:
+    Files of more than `large` bytes do not fit one value: their lines are put in order, and stream through one
+    task a file, as the digest demands.
+    """
+    files = _files(spark, path)
+    digests = files.filter(F.col("length") <= large).select("path", F.sha2("content", 256).alias("sha256"))
+    sizes = files.filter(F.col("length") > large).select("path")
+    if not sizes.isEmpty():
+        digests = digests.unionByName(_streamed_hashes(spark, [r["path"] for r in sizes.collect()]))
+    return digests.select("path", "sha256", F.substring("sha256", 1, 16).alias("short_hash"))
+
+
+def _streamed_hashes(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, sha256 of files of any size, from their lines in order."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, running, left = None, None, 0
+        done: list[tuple[str, str]] = []
+
+        def end(last: bytes) -> None:
+            running.update(last)
+            done.append((current, running.hexdigest()))
+
+        waiting = b""  # the last line ends the file, with a line break or without
+        for batch in batches:
+            for uri, marked, size, line in zip(*(c.to_pylist() for c in batch.columns)):
+                if uri != current:
+                    if current is not None:
+                        end(waiting[:left])
+                    current, running, left, waiting = uri, hashlib.sha256(), size, b""
+                    if marked:
+                        running.update(b"\xef\xbb\xbf")
+                        left -= 3
+                running.update(waiting)
+                left -= len(waiting)
+                waiting = line + b"\n"
+        if current is not None:
+            end(waiting[:left])
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*done)], ["uri", "sha256"])
+
+    marks = byte_facts(spark, paths).select("uri", "marked")
+    lines = lines_of(spark, paths).join(F.broadcast(marks), "uri")
+    ordered = lines.repartition("uri").sortWithinPartitions("uri", "block", "at")
+    found = ordered.select("uri", "marked", "size", F.col("value").cast("binary")).mapInArrow(digest, "uri string, sha256 string")
+    return found.select(path_of(F.col("uri")).alias("path"), "sha256")
+
+
+def file_encodings(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """path, encoding: by byte-order mark, else UTF-8 if the whole file is valid, else CP1252 or Latin-1.
 
-    Whole contents are examined, in the task that reads the file; one beyond Spark's limit for one value raises.
+    Whole contents are examined, in as many tasks as the files have splits.  Empty files have no row.
     """
-    content = F.col("content")
-    latin = F.decode(content, "ISO-8859-1")
     encoding = (
-        F.when(F.hex(F.substring(content, 1, 3)) == "EFBBBF", "utf-8-sig")
-        .when(F.hex(F.substring(content, 1, 2)).isin("FFFE", "FEFF"), "utf-16")
-        .when(F.is_valid_utf8(content.cast("string")), "utf-8")
-        # The five bytes that CP1252 leaves undefined.
-        .when(~latin.rlike("[\\x81\\x8D\\x8F\\x90\\x9D]"), "cp1252")
+        F.when(F.col("marked"), "utf-8-sig")
+        .when(F.col("head").isin("FFFE", "FEFF"), "utf-16")
+        .when(F.col("valid"), "utf-8")
+        .when(~F.col("undefined"), "cp1252")
         .otherwise("latin-1")
     )
-    return _files(spark, path).select("path", encoding.alias("encoding"))
+    return byte_facts(spark, path).select(path_of(F.col("uri")).alias("path"), encoding.alias("encoding"))
 
 
 # Names Spark's reader knows the encodings by.  It drops a UTF-8 byte-order mark by itself, and has no
@@ -92,46 +138,87 @@ _AS_CP1252 = bytes(_CP1252_BYTES).decode("cp1252")
 
 def quoted_line_breaks(spark: SparkSession, path: str | list[str]) -> bool:
     """Whether any line has an odd number of quotes, as the lines have that a quoted break cuts apart."""
-    lines = spark.read.text(path).select((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("n"))
-    return not lines.filter("n % 2 = 1").isEmpty()
+    return not quote_states(spark, path).filter("turns > 0").isEmpty()
+
+
+def _parsed(records: DataFrame, schema: T.StructType) -> DataFrame:
+    """The fields of records, and `__bad`, which holds a record that does not fit the schema."""
+    whole = T.StructType([*schema.fields, T.StructField("__bad", T.StringType())])
+    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in whole.fields)
+    options = {"escape": '"', "columnNameOfCorruptRecord": "__bad", "mode": "PERMISSIVE"}
+    return records.filter("NOT header").select("uri", F.from_csv("record", F.lit(ddl), options).alias("__row")).select("uri", "__row.*")
 
 
 def bad_lines(spark: SparkSession, path: str | list[str], schema: T.StructType, multiline: bool | None = None) -> DataFrame:
     """path, n_rows, n_bad, n_empty: records of each file, those that do not fit the schema (read_csv gives them nulls,
     or skips them), and those without any value."""
-    if multiline is None:
-        multiline = quoted_line_breaks(spark, path)
-    whole = T.StructType([*schema.fields, T.StructField("__bad", T.StringType())])
-    rows = (
-        spark.read.schema(whole).option("header", "true").option("escape", '"').option("multiLine", str(multiline).lower())
-        .option("columnNameOfCorruptRecord", "__bad").option("columnPruning", "false").csv(path)
-    )
+    states = None if multiline is False else materialize(quote_states(spark, path))
+    if states is not None and (multiline or not states.filter("turns > 0").isEmpty()):
+        rows = _parsed(csv_records(spark, path, states=states), schema).withColumnRenamed("uri", "path")
+    else:
+        whole = T.StructType([*schema.fields, T.StructField("__bad", T.StringType())])
+        rows = (
+            spark.read.schema(whole).option("header", "true").option("escape", '"')
+            .option("columnNameOfCorruptRecord", "__bad").option("columnPruning", "false").csv(path)
+        ).select("*", F.col("_metadata.file_path").alias("path"))
     seen = F.coalesce(*[quoted(f.name).cast("string") for f in schema.fields])
     bad = F.col("__bad").isNotNull()
-    return rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(
+    return rows.groupBy("path").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(bad).alias("n_bad"), F.count_if(~bad & seen.isNull()).alias("n_empty"))
 
 
+def _inferred(records: DataFrame) -> T.StructType:
+    """Names from a header, and for each column the first of int, bigint, double, timestamp and boolean that all its values have."""
+    header = records.filter("header").select("record").first()
+    if header is None:
+        return T.StructType([])
+    names = next(csv.reader([header["record"]]))
+    text = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    rows = _parsed(records, text)
+    kinds = ("int", "bigint", "double", "timestamp", "boolean")
+    whole = lambda c: F.col(c).rlike(r"^[+-]?\d+$")
+    fits = [
+        F.bool_and(F.when(F.col(c).isNotNull(), F.col(c).try_cast(k).isNotNull() & (whole(c) if k in ("int", "bigint") else F.lit(True)))).alias(f"{c}_{k}")
+        for c in text.names for k in kinds
+    ]
+    found = rows.agg(*fits).first() if fits else None
+    types = [next((k for k in kinds if found[f"{c}_{k}"]), "string") for c in text.names]
+    return T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in zip(names, types)])
+
+
 def read_csv(
     spark: SparkSession, path: str | list[str], *, schema: T.StructType | str | None = None,
     encoding: str = "utf-8", skip_bad_lines: bool = False, multiline: bool | None = None,
 ) -> DataFrame:
     """Header and comma.  Types are inferred unless a schema is given, which spares a scan.
 
-    Files with line breaks inside quotes are not split; whether there are any is found by a scan of the
-    lines unless `multiline` says so.
+    Whether there are line breaks inside quotes is found by a scan of the lines unless `multiline` says so.
+    Files that have some are read in splits too (see `csv_records`), but for UTF-16.
     """
-    if multiline is None:
-        multiline = encoding != "utf-16" and quoted_line_breaks(spark, path)
-    reader = (
-        spark.read.option("header", "true")
-        .option("encoding", _READER_ENCODING.get(encoding, encoding))
-        .option("escape", '"')
-        .option("mode", "DROPMALFORMED" if skip_bad_lines else "PERMISSIVE")
-        .option("multiLine", str(multiline or encoding == "utf-16").lower())  # lines of UTF-16 cannot be split as bytes
-    )
-    reader = reader.option("inferSchema", "true") if schema is None else reader.schema(schema)
-    df = reader.csv(path)
+    charset = _READER_ENCODING.get(encoding, encoding)
+    states = None
+    if encoding != "utf-16" and multiline is not False:
+        states = materialize(quote_states(spark, path))
+        if multiline is None:
+            multiline = not states.filter("turns > 0").isEmpty()
+    if multiline and states is not None:
+        records = csv_records(spark, path, charset, states)
+        if schema is None:
+            schema = _inferred(records)
+        elif isinstance(schema, str):
+            schema = T._parse_datatype_string(schema)
+        df = _parsed(records, schema)
+        df = (df.filter("__bad IS NULL") if skip_bad_lines else df).drop("uri", "__bad")
+    else:
+        reader = (
+            spark.read.option("header", "true")
+            .option("encoding", charset)
+            .option("escape", '"')
+            .option("mode", "DROPMALFORMED" if skip_bad_lines else "PERMISSIVE")
+            .option("multiLine", str(bool(multiline) or encoding == "utf-16").lower())  # lines of UTF-16 cannot be split as bytes
+        )
+        reader = reader.option("inferSchema", "true") if schema is None else reader.schema(schema)
+        df = reader.csv(path)
     if encoding == "cp1252":
         to_cp1252 = str.maketrans(_AS_LATIN, _AS_CP1252)
         df = df.toDF(*[c.translate(to_cp1252) for c in df.columns])

@@ -45,23 +45,50 @@ def csv_any_encoding(spark, d):
 
 
 def file_encodings(spark, d):
-    path = _scratch(spark, "csv")
-    files.write_csv(table(spark, d, "customer"), path)
-    return files.file_encodings(spark, path).groupBy("encoding").agg(F.count(F.lit(1)).alias("n_files"))
+    """Texts of each language in files of their own, those of two languages as Latin-1."""
+    path = _scratch(spark, "texts")
+    docs = table(spark, d, "documents").select("lang", F.regexp_replace("text", "[^\\x{00}-\\x{7F}\\x{A0}-\\x{FF}]", "").alias("text"))
+    for charset, own in (("ISO-8859-1", docs.filter("lang IN ('de', 'fr')")), ("UTF-8", docs.filter("lang NOT IN ('de', 'fr')"))):
+        own.repartition("lang").write.partitionBy("lang").mode("append").option("encoding", charset).csv(path)
+    found = files.file_encodings(spark, path)
+    return found.select(F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang"), "encoding").distinct()
 
 
 def file_manifest(spark, d):
     path = _scratch(spark, "csv")
-    files.write_csv(table(spark, d, "orders"), path)
+    keys = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    keys.repartition("o_orderstatus").write.partitionBy("o_orderstatus").csv(path)
     return files.file_manifest(spark, path).groupBy("extension", "status").agg(
         F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("bytes")
     )
 
 
+def _names_file(spark, d):
+    path = _scratch(spark, "text")
+    table(spark, d, "customer").orderBy("c_custkey").select("c_name").coalesce(1).write.text(path)
+    return path
+
+
 def file_hashes(spark, d):
-    path = _scratch(spark, "csv")
-    files.write_csv(table(spark, d, "orders"), path)
-    return files.file_hashes(spark, path)
+    return files.file_hashes(spark, _names_file(spark, d)).drop("path")
+
+
+def file_hashes_streamed(spark, d):
+    """As for files beyond one value: lines in order, streamed."""
+    return files.file_hashes(spark, _names_file(spark, d), large=0).drop("path")
+
+
+def empty_refused(spark, d):
+    """Whether a table without rows is refused, and one with rows taken, for each kind of event."""
+    events = table(spark, d, "events")
+    rows = []
+    for kind in ("click", "view", "none of these"):
+        try:
+            files.require_rows(events.filter(F.col("event_type") == kind))
+            rows.append((kind, "taken"))
+        except files.DataLoadError:
+            rows.append((kind, "refused"))
+    return spark.createDataFrame(rows, "event_type string, outcome string")
 
 
 def bronze_roundtrip(spark, d):
@@ -111,6 +138,8 @@ QUERIES = {
     "file_encodings": file_encodings,
     "file_manifest": file_manifest,
     "file_hashes": file_hashes,
+    "file_hashes_streamed": file_hashes_streamed,
+    "empty_refused": empty_refused,
     "bronze_roundtrip": bronze_roundtrip,
     "bronze_list": bronze_list,
     "silver_roundtrip": silver_roundtrip,
@@ -120,7 +149,17 @@ QUERIES = {
     "auto_dates": auto_dates,
 }
 
+_HASHES = "SELECT h AS sha256, h[1:16] AS short_hash FROM (SELECT sha256(string_agg(c_name, chr(10) ORDER BY c_custkey) || chr(10)) AS h FROM customer)"
+
 SQL = {
+    "file_encodings": """
+SELECT lang, CASE WHEN lang IN ('de', 'fr') AND bool_or(regexp_matches(text, '[\u00A0-\u00FF]')) THEN 'cp1252' ELSE 'utf-8' END AS encoding
+FROM documents WHERE lang IS NOT NULL GROUP BY lang""",
+    "file_manifest": "SELECT '.csv' AS extension, 'ok' AS status, count(DISTINCT o_orderstatus) AS n_files, sum(length(o_orderkey::VARCHAR) + 1)::BIGINT AS bytes FROM orders",
+    "file_hashes": _HASHES,
+    "file_hashes_streamed": _HASHES,
+    "empty_refused": "SELECT t AS event_type, CASE WHEN EXISTS (SELECT 1 FROM events WHERE event_type = t) THEN 'taken' ELSE 'refused' END AS outcome "
+                     "FROM (VALUES ('click'), ('view'), ('none of these')) AS v(t)",
     "csv_scan": "SELECT * FROM orders",
     "csv_documents": "SELECT * FROM documents",
     "csv_bad_lines": "SELECT count(*) AS n_rows, count(*) FILTER (o_orderkey % 7 = 0) AS n_bad, CAST(0 AS BIGINT) AS n_empty FROM orders",
