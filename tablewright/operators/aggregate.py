@@ -25,6 +25,7 @@ from tablewright.functions.semantics import (
     total,
 )
 from tablewright.operators.roles import Roles, classify
+from tablewright.plans.gram import co_moments
 from tablewright.plans.materialize import materialize
 from tablewright.plans.selection import column_quantiles, group_quantiles
 from tablewright.plans.stats import column_stats, numeric_columns, text_columns, top_values
@@ -306,62 +307,36 @@ def share_of_total(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 PAIR_SCHEMA = "column_a string, column_b string, r double"
-# Pairs per aggregate, so that generated code stays small enough to compile.
-PAIRS_PER_PASS = 25
 # A deviation below this share of the values' size is rounding, and the column constant.
 CONSTANT_BELOW = 1e-14
 
 
-def _centred_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> list[tuple[str, str, float | None]]:
-    """(column_a, column_b, r) of the given pairs, each over the rows where both are present.
+def _correlations(df: DataFrame, left: Sequence[str], right: Sequence[str]) -> dict[tuple[str, str], float | None]:
+    """{(column of left, column of right): r}, each over the rows where both are present, from one scan.
 
-    Values are centred on their column's mean, which a first scan finds, so plain sums of products do
-    without loss of digits.  Columns without gaps share their sums among all their pairs.  The driver
-    reads one row of sums per pass.
+    Null where a column is constant over those rows, or there are fewer than two.  The driver reads a row of
+    sums for each column.
     """
-    names = list(dict.fromkeys(c for p in pairs for c in p))
-    if not pairs:
-        return []
-    facts = {r["column_name"]: r for r in column_stats(df, names).collect()}
-    at = {c: f"x{i}" for i, c in enumerate(names)}
-    full = {c: facts[c]["n_valid"] == facts[c]["n_rows"] for c in names}
-    noise = {
-        c: (CONSTANT_BELOW * max(abs(facts[c]["minimum"] or 0.0), abs(facts[c]["maximum"] or 0.0))) ** 2 for c in names
-    }
-    centred = df.select(*[(quoted(c).cast("double") - F.lit(facts[c]["mean"])).alias(at[c]) for c in names])
-    out: list[tuple[str, str, float | None]] = []
-    for i in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk, sums = pairs[i:i + PAIRS_PER_PASS], {}
-
-        def moments(a: str, b: str) -> str:
-            """The suffix naming the sum, squares and count of a over rows where b is present."""
-            suffix = at[a] if full[b] else f"{at[a]}_{at[b]}"
-            if f"s_{suffix}" not in sums:
-                there = F.col(at[a]) if full[b] else F.when(F.col(at[b]).isNotNull(), F.col(at[a]))
-                sums.update({f"s_{suffix}": F.sum(there), f"q_{suffix}": F.sum(there * there), f"n_{suffix}": F.count(there)})
-            return suffix
-
-        suffixes = []
-        for a, b in chunk:
-            suffixes.append((moments(a, b), moments(b, a)))
-            sums[f"p_{at[a]}_{at[b]}"] = F.sum(F.col(at[a]) * F.col(at[b]))
-        row = centred.agg(*[c.alias(name) for name, c in sums.items()]).first().asDict()
-        for (a, b), (of_a, of_b) in zip(chunk, suffixes):
-            n, r = row[f"n_{of_a}"], None
-            if n > 1:
-                sa, sb = row[f"s_{of_a}"], row[f"s_{of_b}"]
-                var_a, var_b = row[f"q_{of_a}"] - sa * sa / n, row[f"q_{of_b}"] - sb * sb / n
-                if var_a > n * noise[a] and var_b > n * noise[b]:
-                    r = (row[f"p_{at[a]}_{at[b]}"] - sa * sb / n) / (math.sqrt(var_a) * math.sqrt(var_b))
-                    r = max(-1.0, min(1.0, r))
-            out.append((a, b, r))
+    left, right = list(dict.fromkeys(left)), list(dict.fromkeys(right))
+    names = list(dict.fromkeys([*left, *right]))
+    found, sizes = co_moments(df, names, right)
+    out: dict[tuple[str, str], float | None] = {}
+    for a in left:
+        for k, b in enumerate(right):
+            i, j, r = names.index(a), names.index(b), None
+            if found is not None and found.n[i, k] > 1:
+                n, var_a, var_b = found.n[i, k], found.sq_a[i, k], found.sq_b[i, k]
+                if var_a > n * (CONSTANT_BELOW * sizes[i]) ** 2 and var_b > n * (CONSTANT_BELOW * sizes[j]) ** 2:
+                    r = max(-1.0, min(1.0, float(found.prod[i, k] / (math.sqrt(var_a) * math.sqrt(var_b)))))
+            out[a, b] = r
     return out
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column_a, column_b, r for every pair of columns, null where either is constant."""
     names = list(columns)
-    rows = _centred_correlations(df, [(a, b) for i, a in enumerate(names) for b in names[i + 1:]])
+    found = _correlations(df, names, names) if len(names) > 1 else {}
+    rows = [(a, b, found[a, b]) for i, a in enumerate(names) for b in names[i + 1:]]
     return df.sparkSession.createDataFrame(rows, PAIR_SCHEMA)
 
 
@@ -370,8 +345,8 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     names = list(columns)
     if len(names) < 2:
         return df.sparkSession.createDataFrame([], "column_name string")
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
-    r = {(a, b): v for a, b, v in _centred_correlations(df, pairs)}
+    found = _correlations(df, names, names)
+    r = {(a, b): found[a, b] for i, a in enumerate(names) for b in names[i + 1:]}
     varies = {c: any(v is not None for pair, v in r.items() if c in pair) for c in names}
     rows = [
         (a, *[(1.0 if varies[a] else None) if a == b else r.get((a, b), r.get((b, a))) for b in names]) for a in names
@@ -384,8 +359,8 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def feature_importance(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
     """column_name, importance: absolute correlation with the target, largest first."""
-    pairs = [(c, target) for c in columns if c != target] if target in columns else []
-    rows = [(c, None if r is None else abs(r)) for c, _, r in _centred_correlations(df, pairs)]
+    found = _correlations(df, columns, [target]) if target in columns else {}
+    rows = [(c, None if r is None else abs(r)) for (c, _), r in found.items() if c != target]
     out = df.sparkSession.createDataFrame(rows, "column_name string, importance double")
     return out.withColumn("importance", F.round("importance", 4)).orderBy(F.desc_nulls_last("importance"), "column_name")
 

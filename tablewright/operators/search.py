@@ -2,14 +2,101 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions.semantics import quoted
 
 
+#: Scores that a worker holds at once, and candidates that it gathers before it keeps the best of each query.
+SCORES, CANDIDATES = 1 << 21, 1 << 17
+#: Bytes of query vectors that go to every executor at once; more queries take further scans.
+QUERY_BYTES = 32 << 20
+
+
+def _matrix(vectors: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows of the vectors of this length without missing components, and which those are; zero vectors stay zero."""
+    fits = [v is not None and len(v) == length and None not in v for v in vectors.to_pylist()] if vectors.null_count or vectors.flatten().null_count else (
+        np.diff(vectors.offsets.to_numpy()) == length).tolist()
+    fits = np.array(fits, bool)
+    kept = vectors.filter(pa.array(fits)) if not fits.all() else vectors
+    rows = kept.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(kept), length)
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0), fits
+
+
+def _best(pool: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    rows = pd.concat(pool, ignore_index=True) if len(pool) != 1 else pool[0]
+    return rows.sort_values(["query", "score", "key"], ascending=[True, False, True], kind="stable").groupby("query", sort=False).head(k)
+
+
+def vector_matches(df: DataFrame, vector: str, key: str, queries: Sequence[tuple[object, Sequence[float]]], k: int = 5) -> DataFrame:
+    """query, place, key, score: for each query the k rows most similar to it by cosine, ties by key.
+
+    Exact: tasks multiply their rows, a block at a time, with all queries, and send their best k of each query
+    only.  `queries` are (name, vector) pairs of one length; those beyond QUERY_BYTES take further scans.
+    Rows with a null key or vector, a vector of another length or with missing components match nothing (see
+    `vector_lengths`); zero vectors score 0.
+    """
+    spark, key_type = df.sparkSession, df.schema[key].dataType.simpleString()
+    schema = f"query int, key {key_type}, score double"
+    if not queries:
+        return spark.createDataFrame([], f"query string, place int, key {key_type}, score double")
+    length = len(queries[0][1])
+    if any(len(v) != length for _, v in queries):
+        raise ValueError("the vectors of the queries differ in length")
+    rows = df.filter(quoted(key).isNotNull() & quoted(vector).isNotNull()).select(quoted(key).alias("key"), quoted(vector).alias("v"))
+    step = max(1, QUERY_BYTES // (8 * max(length, 1)))
+    out: DataFrame | None = None
+    for lo in range(0, len(queries), step):
+        unit = np.array([v for _, v in queries[lo : lo + step]], np.float64).reshape(-1, length)
+        norms = np.linalg.norm(unit, axis=1, keepdims=True)
+        shared = spark.sparkContext.broadcast(np.divide(unit, norms, out=np.zeros_like(unit), where=norms > 0))
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared, lo=lo) -> Iterator[pa.RecordBatch]:
+            own, pool, waiting = shared.value, [], 0
+            least = np.full(len(own), -np.inf)  # of the k best so far
+            for batch in batches:
+                units, fits = _matrix(batch.column(1), length)
+                keys = batch.column(0).filter(pa.array(fits)).to_pandas()
+                block = max(1, SCORES // len(own))
+                for a in range(0, len(units), block):
+                    scores = units[a : a + block] @ own.T
+                    row, query = np.nonzero(scores >= least)
+                    pool.append(pd.DataFrame({"query": query.astype(np.int32) + lo, "key": keys.iloc[a + row].to_numpy(), "score": scores[row, query]}))
+                    waiting += len(row)
+                    if waiting > CANDIDATES:
+                        pool = [_best(pool, k)]
+                        waiting = len(pool[0])
+                        full = pool[0].groupby("query")["score"].agg(["size", "min"])
+                        full = full[full["size"] == k]
+                        least[full.index.to_numpy() - lo] = full["min"].to_numpy()
+            if pool:
+                best = _best(pool, k)
+                yield pa.RecordBatch.from_arrays([pa.array(best["query"], pa.int32()), pa.array(best["key"], batch.column(0).type), pa.array(best["score"])], ["query", "key", "score"])
+
+        found = rows.mapInArrow(search, schema)
+        out = found if out is None else out.unionByName(found)
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "key"))
+    best = out.withColumn("place", place).filter(F.col("place") <= k)
+    names = spark.createDataFrame([(i, name) for i, (name, _) in enumerate(queries)], T.StructType([
+        T.StructField("query", T.IntegerType()), T.StructField("name", T._infer_type(queries[0][0]))]))
+    return best.join(F.broadcast(names), "query").select(F.col("name").alias("query"), "place", "key", F.round("score", 4).alias("score"))
+
+
+def vector_lengths(df: DataFrame, vector: str, length: int) -> DataFrame:
+    """state, n: how many rows can be searched (whole), and how many not, as null, of another length, or with missing components."""
+    v = quoted(vector)
+    state = F.when(v.isNull(), "null").when(F.size(v) != length, "other length").when(F.exists(v, lambda x: x.isNull() | F.isnan(x)), "missing components")
+    return df.groupBy(state.otherwise("whole").alias("state")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product of two arrays."""
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -22,14 +109,15 @@ def norm(a: Column) -> Column:
 
 
 def vector_topk(df: DataFrame, vector: str, key: str, query: Sequence[float], k: int = 5) -> DataFrame:
-    """key, score: the k rows most similar to the query by cosine, score rounded to 4 places.
+    """key, score: the k rows most similar to one query by cosine, score rounded to 4 places.
 
-    Exact: every row is scored where it is read and each task keeps its best k.
+    Exact: every row is scored on the JVM where it is read and each task keeps its best k; for a set of queries
+    see `vector_matches`.  Vectors of another length match nothing; zero vectors score 0.
     """
     length = sum(x * x for x in query) ** 0.5
     unit = F.lit([float(x) / length if length else 0.0 for x in query])
     score = F.try_divide(dot(quoted(vector), unit), norm(quoted(vector)))
-    scored = df.filter(quoted(vector).isNotNull()).select(quoted(key), F.coalesce(score, F.lit(0.0)).alias("score"))
+    scored = df.filter(F.size(quoted(vector)) == len(query)).select(quoted(key), F.coalesce(score, F.lit(0.0)).alias("score"))
     return scored.orderBy(F.desc("score"), quoted(key)).limit(k).withColumn("score", F.round("score", 4))
 
 

@@ -149,6 +149,21 @@ def vector_topk(spark, d):
     return X.vector_topk(emb, "embedding", "vec_id", query, 5)
 
 
+def vector_matches(spark, d):
+    """Every fiftieth vector against all."""
+    emb = table(spark, d, "embeddings")
+    wanted = emb.filter("vec_id % 50 = 0").select("vec_id", "embedding").orderBy("vec_id").collect()
+    found = X.vector_matches(emb, "embedding", "vec_id", [(r["vec_id"], r["embedding"]) for r in wanted], 5)
+    return found.withColumnRenamed("key", "vec_id")
+
+
+_ODD_VECTORS = ["vec_id", "CASE WHEN vec_id % 11 = 0 THEN slice(embedding, 1, 7) WHEN vec_id % 13 <> 0 THEN embedding END AS embedding"]
+
+
+def vector_lengths(spark, d):
+    return X.vector_lengths(view(spark, d, "embeddings", _ODD_VECTORS), "embedding", 64)
+
+
 def keyword_search(spark, d):
     return X.keyword_search(table(spark, d, "documents"), "heoron Éaux", ["source", "lang", "text"], ["doc_id"]).select("doc_id", "source", "lang")
 
@@ -177,6 +192,8 @@ QUERIES = {
     "version_history": version_history,
     "catalog_search": catalog_search,
     "vector_topk": vector_topk,
+    "vector_matches": vector_matches,
+    "vector_lengths": vector_lengths,
     "keyword_search": keyword_search,
 }
 
@@ -266,6 +283,12 @@ WITH x AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding)))
  q AS (SELECT i, avg(x) AS q FROM x GROUP BY 1)
 SELECT vec_id, round(sum(CAST(x AS DOUBLE) * q) / sqrt(sum(CAST(x AS DOUBLE) * x)) / sqrt(sum(q * q)), 4) AS score
 FROM x JOIN q ON x.i = q.i GROUP BY vec_id ORDER BY sum(CAST(x AS DOUBLE) * q) / sqrt(sum(CAST(x AS DOUBLE) * x)) DESC, vec_id LIMIT 5""",
+    "vector_matches": """
+WITH s AS (SELECT q.vec_id AS query, x.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], x.embedding::DOUBLE[]) AS score
+    FROM embeddings q JOIN embeddings x ON q.vec_id % 50 = 0),
+ n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS place FROM s)
+SELECT query, place::INT AS place, vec_id, round(score, 4) AS score FROM n WHERE place <= 5""",
+    "vector_lengths": "SELECT CASE WHEN vec_id % 11 = 0 THEN 'other length' WHEN vec_id % 13 <> 0 THEN 'whole' ELSE 'null' END AS state, count(*) AS n FROM embeddings GROUP BY 1",
     "keyword_search": "SELECT doc_id, source, lang FROM (SELECT *, lower(concat_ws(' ', source, lang, text)) AS t FROM documents) "
                       "WHERE contains(t, 'heoron') OR contains(t, 'éaux') ORDER BY doc_id LIMIT 5",
 }
