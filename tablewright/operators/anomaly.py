@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.semantics import band, band_below, kind_of, percent, quoted, ratio
 from tablewright.operators.aggregate import correlation_pairs, top_category
 from tablewright.plans.outliers import iqr_outliers
-from tablewright.plans.selection import from_on, order_cuts, up_to
+from tablewright.plans.selection import from_on, grouped_cuts, order_cuts, up_to
 from tablewright.plans.stats import column_stats, comparable, skewness
 
 
@@ -148,14 +148,16 @@ def first_half(df: DataFrame, order_by: Sequence[str]) -> Column:
 
 
 def half_split(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """The rows with `half` 1 or 2 by row order."""
-    return df.withColumn("half", F.when(first_half(df, order_by), 1).otherwise(2))
+    """The rows with `half` 1 or 2 by row order; rows without a leading order value stand in neither, and it is null."""
+    half = F.when(first_half(df, order_by), 1).when(quoted(order_by[0]).isNotNull(), 2)
+    return df.withColumn("half", half)
 
 
-def numeric_drift(df: DataFrame, measures: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+def numeric_drift(df: DataFrame, measures: Sequence[str], order_by: Sequence[str], least_rows: int = 20) -> DataFrame:
     """Mean of the first and second half per measure, change in percent and its band.
 
-    Above 20 % Significant, above 10 % Moderate.  The cut is found first; one scan does the rest.
+    Above 20 % Significant, above 10 % Moderate.  A table of fewer than `least_rows` rows has no drift.  Rows
+    without a leading order value are in neither half.  The cut is found first; one scan does the rest.
     """
     early = first_half(df, order_by)
 
@@ -169,15 +171,20 @@ def numeric_drift(df: DataFrame, measures: Sequence[str], order_by: Sequence[str
 
     means = df.agg(F.array(*[row(m) for m in measures]).alias("r"), F.count(F.lit(1)).alias("n"))
     change = percent(F.col("mean_second") - F.col("mean_first"), F.abs("mean_first"))
-    return means.filter(F.col("n") >= 20).select(F.inline("r")).select(
+    return means.filter(F.col("n") >= least_rows).select(F.inline("r")).select(
         "column_name", "mean_first", "mean_second", change.alias("change_pct"),
         band(F.abs(change), (20, "Significant"), (10, "Moderate"), otherwise="Stable").alias("drift"),
     )
 
 
-def categorical_drift(df: DataFrame, dimensions: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """column_name, categories, max_shift (points of share between halves), status (above 10 Drifted)."""
+def categorical_drift(df: DataFrame, dimensions: Sequence[str], order_by: Sequence[str], least_rows: int = 0) -> DataFrame:
+    """column_name, categories, max_shift (points of share between halves), status (above 10 Drifted).
+
+    As `numeric_drift`, but by default for tables of any size.
+    """
     early = first_half(df, order_by)
+    if least_rows > 1 and df.limit(least_rows).count() < least_rows:
+        df = df.limit(0)
     types = {f.name: f.dataType for f in df.schema.fields}
     texts = df.select(early.alias("early"), *[comparable(c, types[c]).alias(c) for c in dimensions])
     long = texts.unpivot(["early"], [quoted(c) for c in dimensions], "column_name", "value")
@@ -196,28 +203,24 @@ def quarter_growth(df: DataFrame, measures: Sequence[str], order_by: Sequence[st
 
     Rows without the measure are dropped first; a quarter is max(1, n div 4) rows.
     """
-    out = None
-    for m in measures:
-        rows = df.filter(quoted(m).isNotNull() & quoted(order_by[0]).isNotNull()).select(
-            *[quoted(c) for c in dict.fromkeys([*order_by, m])]
-        )
-        _, cuts = order_cuts(rows, order_by, lambda n: [max(1, n // 4) - 1, n - max(1, n // 4)] if n >= 2 else [])
-        if not cuts:
-            continue
-        first, last = cuts
-        v = quoted(m).cast("double")
-        ends = rows.agg(
+    spark, measures = df.sparkSession, list(dict.fromkeys(measures))
+    rows = df.select(*[quoted(c) for c in dict.fromkeys([*order_by, *measures])])
+    there = {m: quoted(m).isNotNull() & quoted(order_by[0]).isNotNull() for m in measures}
+    found = grouped_cuts(rows, order_by, there, lambda n: [max(1, n // 4) - 1, n - max(1, n // 4)] if n >= 2 else [])
+    searched = [m for m in measures if found[m]]
+    if not searched:
+        return spark.createDataFrame([], "column_name string, first_mean double, last_mean double, growth_pct double")
+
+    def row(m: str) -> Column:
+        (first, last), v, lead = found[m], quoted(m).cast("double"), quoted(order_by[0])
+        return F.struct(
             F.lit(m).alias("column_name"),
-            F.avg(F.when(up_to(order_by, first), v)).alias("first_mean"),
-            F.avg(F.when(from_on(order_by, last), v)).alias("last_mean"),
-            F.min(quoted(order_by[0])).alias("first_at"),
-            F.max(quoted(order_by[0])).alias("last_at"),
+            F.avg(F.when(there[m] & up_to(order_by, first), v)).alias("first_mean"),
+            F.avg(F.when(there[m] & from_on(order_by, last), v)).alias("last_mean"),
+            F.min(F.when(there[m], lead)).alias("first_at"),
+            F.max(F.when(there[m], lead)).alias("last_at"),
         )
-        change = percent(F.col("last_mean") - F.col("first_mean"), F.abs("first_mean"))
-        row = ends.filter(F.col("first_mean") != 0).withColumn("growth_pct", change)
-        out = row if out is None else out.unionByName(row)
-    if out is None:
-        return df.sparkSession.createDataFrame(
-            [], "column_name string, first_mean double, last_mean double, growth_pct double"
-        )
-    return out
+
+    ends = rows.agg(F.array(*[row(m) for m in searched]).alias("r")).select(F.inline("r"))
+    change = percent(F.col("last_mean") - F.col("first_mean"), F.abs("first_mean"))
+    return ends.filter(F.col("first_mean") != 0).withColumn("growth_pct", change)

@@ -10,6 +10,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from datetime import datetime, timedelta
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +26,13 @@ CELLS = 4096
 SMALL_CELL = 50_000
 # Groups of up to this many values use Spark's own percentile, which keeps a group's values in memory.
 DIRECT_VALUES = 200_000
+# A quantile sketch with this parameter is hardly ever off by more than a share of 0.0024; ranges taken from it
+# reach this far, and who uses them counts what they hold.
+SKETCH, BRACKET = 2_000, 0.004
+# Ranges that one aggregate counts, so that generated code stays small enough to compile.
+RANGES_PER_PASS = 40
+# Sketches that one aggregate builds.
+SKETCHES_PER_PASS = 50
 # Search states up to this many rows, and this many characters of group keys in all, are broadcast
 # (about 60 bytes each besides the key); beyond either they are salted.
 BROADCAST_STATES = 100_000
@@ -99,7 +108,8 @@ def select_ranks(
 
     items: keys..., v (numeric, never null).  Where the only key is a column name, items may be a
     function of the names still searched, so that a round reads no other columns.
-    targets: keys..., n, rank (from 0), lo, hi where lo and hi are the bounds of the group's values.
+    targets: keys..., n, rank (from 0), lo, hi where lo and hi are the bounds of the group's values, or of a
+    range in it that holds the rank; then also below (values less than lo) and cnt (values in the range).
     Result: keys..., n, rank, v, below (rows less than v) and same (rows equal to v).
 
     The state of the search, one row per target, is kept between rounds: on the driver if there are
@@ -122,11 +132,9 @@ def select_ranks(
         small = seen["all"] <= BROADCAST_STATES and (seen["chars"] or 0) <= BROADCAST_KEY_CHARS
         return done, seen["open"], seen["unsettled"], small
 
-    state, still_open, unsettled, small = settle(
-        targets.select(
-            *keys, "n", "rank", F.lit(0).cast("bigint").alias("below"), F.col("n").alias("cnt"), "lo", "hi"
-        )
-    )
+    if "below" not in targets.columns:
+        targets = targets.withColumns({"below": F.lit(0).cast("bigint"), "cnt": F.col("n")})
+    state, still_open, unsettled, small = settle(targets.select(*keys, "n", "rank", "below", "cnt", "lo", "hi"))
 
     def items_of(cells: DataFrame) -> DataFrame:
         if not callable(items):
@@ -192,12 +200,102 @@ def group_quantiles(items: DataFrame, keys: Sequence[str], probs: Sequence[float
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """column_name, n, q for several numeric columns; a column without values has no row."""
-    def items(names: Sequence[str]) -> DataFrame:
-        wide = df.select(*[quoted(c).cast("double").alias(c) for c in names])
-        long = wide.unpivot([], [quoted(c) for c in names], "column_name", "v")
-        return present_values(long)
+    names = list(columns)
+    spark, schema = df.sparkSession, "column_name string, n bigint, q array<double>"
+    if not names:
+        return spark.createDataFrame([], schema)
+    values = {c: _number(df, c) for c in names}
+    ends = _sketched(df, {c: (v, [float(p) for p in probs]) for c, v in values.items()})
+    if max(e["n"] for e in ends.values()) <= DIRECT_VALUES:
+        def items(wanted: Sequence[str]) -> DataFrame:
+            wide = df.select(*[quoted(c).cast("double").alias(c) for c in wanted])
+            return present_values(wide.unpivot([], [quoted(c) for c in wanted], "column_name", "v"))
+
+        return items(names).groupBy("column_name").agg(
+            F.count(F.lit(1)).alias("n"), F.percentile("v", F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
+    wanted = {}
+    for c, e in ends.items():
+        if e["n"]:
+            for p, (lo, hi) in zip(probs, e["brackets"]):
+                at = math.floor(float(p) * (e["n"] - 1))
+                for rank in {at, min(at + 1, e["n"] - 1)}:
+                    wanted.setdefault((c, rank), (lo, hi))
+    held = _counted(df, {key: (values[key[0]], *bracket) for key, bracket in wanted.items()})
+    rows = []
+    for (c, rank), (lo, hi) in wanted.items():
+        below, cnt = held[c, rank]
+        e = ends[c]
+        sure = below <= rank < below + cnt  # else the sketch was off, and the search starts from the ends
+        rows.append((c, e["n"], rank, below, cnt, lo, hi) if sure else (c, e["n"], rank, 0, e["n"], e["lo"], e["hi"]))
+    bounds: dict[str, tuple[float, float]] = {}
+    for c, _, _, _, _, lo, hi in rows:
+        old = bounds.get(c, (lo, hi))
+        bounds[c] = (min(lo, old[0]), max(hi, old[1]))
+    reach = {c: [(lo, hi) for k, _, _, _, _, lo, hi in rows if k == c] for c in bounds}
+
+    def near(wanted: Sequence[str]) -> DataFrame:
+        """Long rows of the columns, none but those in a range that is searched."""
+        inside = {c: reduce(or_, [(values[c] >= F.lit(lo)) & (values[c] <= F.lit(hi)) for lo, hi in dict.fromkeys(reach[c])]) for c in wanted}
+        some = df.filter(reduce(or_, inside.values())) if wanted else df.limit(0)
+        wide = some.select(*[F.when(inside[c], values[c]).alias(c) for c in wanted])
+        return wide.unpivot([], [quoted(c) for c in wanted], "column_name", "v").filter(F.col("v").isNotNull())
+
+    targets = spark.createDataFrame(rows, "column_name string, n bigint, rank bigint, below bigint, cnt bigint, lo double, hi double")
+    return _interpolated(select_ranks(near, ["column_name"], targets, few=True), ["column_name"], probs)
+
+
+def _number(df: DataFrame, name: str) -> Column:
+    """A column as a double, NaN as null."""
+    v = quoted(name).cast("double")
+    return F.when(~F.isnan(v), v) if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)) else v
+
+
+def _sketched(df: DataFrame, wanted: dict) -> dict:
+    """{key: n, lo, hi, brackets} for {key: (value, shares)}, from one scan with mergeable quantile sketches.
+
+    A bracket (lo, hi) reaches as far beyond a share as the sketch may be off; who uses it counts what it holds.
+    """
+    if len(wanted) > SKETCHES_PER_PASS:
+        keys = list(wanted)
+        parts = [keys[i : i + SKETCHES_PER_PASS] for i in range(0, len(keys), SKETCHES_PER_PASS)]
+        return {key: e for part in parts for key, e in _sketched(df, {k: wanted[k] for k in part}).items()}
+    values = df.select(*[v.alias(f"v{k}") for k, (v, _) in enumerate(wanted.values())])
+    aggregates, places = [], {}
+    for k, (key, (_, shares)) in enumerate(wanted.items()):
+        asked = sorted({min(1.0, max(0.0, p + d)) for p in shares for d in (-BRACKET, BRACKET)})
+        places[key] = (k, asked)
+        v, at = F.col(f"v{k}"), F.array(*[F.lit(p) for p in asked])
+        kind = values.schema[f"v{k}"].dataType.typeName()
+        if kind in ("double", "long"):
+            kind = "bigint" if kind == "long" else kind
+            sketch = F.call_function(f"kll_sketch_agg_{kind}", v, F.lit(SKETCH))
+            quantiles = F.when(F.count(v) > 0, F.call_function(f"kll_sketch_get_quantile_{kind}", sketch, at))
+        else:
+            quantiles = F.percentile_approx(v, at, F.lit(2 * SKETCH))
+        aggregates += [F.count(v).alias(f"n{k}"), F.min(v).alias(f"lo{k}"), F.max(v).alias(f"hi{k}"), quantiles.alias(f"q{k}")]
+    row = values.agg(*aggregates).first()
+    out = {}
+    for key, (k, asked) in places.items():
+        found = dict(zip(asked, row[f"q{k}"] or []))
+        lo, hi = row[f"lo{k}"], row[f"hi{k}"]
+        ends = [(min(1.0, max(0.0, p - BRACKET)), min(1.0, max(0.0, p + BRACKET))) for p in wanted[key][1]]
+        brackets = [(lo if a == 0 else found[a], hi if b == 1 else found[b]) for a, b in ends] if found else []
+        out[key] = {"n": row[f"n{k}"], "lo": lo, "hi": hi, "brackets": brackets}
+    return out
 
-    return _quantiles(items(list(columns)), items, ["column_name"], probs, few=True)
+
+def _counted(df: DataFrame, wanted: dict) -> dict:
+    """{key: (values less than lo, values from lo to hi)} for {key: (value, lo, hi)}, a scan for RANGES_PER_PASS ranges."""
+    out, keys = {}, list(wanted)
+    for i in range(0, len(keys), RANGES_PER_PASS):
+        part = keys[i : i + RANGES_PER_PASS]
+        aggregates = []
+        for k, key in enumerate(part):
+            v, lo, hi = wanted[key]
+            aggregates += [F.count_if(v < F.lit(lo)).alias(f"b{k}"), F.count_if((v >= F.lit(lo)) & (v <= F.lit(hi))).alias(f"c{k}")]
+        row = df.agg(*aggregates).first()
+        out.update({key: (row[f"b{k}"], row[f"c{k}"]) for k, key in enumerate(part)})
+    return out
 
 
 def _quantiles(
@@ -370,6 +468,74 @@ def order_cuts(
     return n, [extend([], df, order_by, r, found[r]) for r in wanted]
 
 
+def grouped_cuts(
+    df: DataFrame, order_by: Sequence[str], groups: dict[str, Column], ranks: Callable[[int], Sequence[int]]
+) -> dict[str, list[list[Column]]]:
+    """For each group, a condition on rows, the order keys of the rows standing at `ranks(n)` of its n rows.
+
+    All groups and ranks are searched together, in rounds of three scans that read the order columns only: a
+    sketch of the column searched gives a range for each rank, counts verify it, and ranges of up to SMALL_CELL
+    rows are put in order.  A larger range is narrowed again, or where it is one value, that of the next order
+    column is.  Keys are as for `order_cuts`; rows without a leading order value stand nowhere.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+
+    def number(c: str) -> Column:
+        v = _as_number(quoted(c), types[c])
+        return v.cast("bigint") if isinstance(types[c], (T.ByteType, T.ShortType, T.IntegerType)) else v.cast("double") if isinstance(types[c], T.FloatType) else v
+
+    there = {g: condition & quoted(order_by[0]).isNotNull() for g, condition in groups.items()}
+    sizes = df.agg(*[F.count_if(c).alias(f"n{k}") for k, c in enumerate(there.values())]).first() if groups else []
+    out: dict[str, list[list[Column] | None]] = {}
+    open_ = []  # (group, place in its list, condition, rank, rows, order columns settled, key so far)
+    for (g, condition), n in zip(there.items(), sizes):
+        wanted = [int(r) for r in ranks(n)]
+        out[g] = [None] * len(wanted)
+        open_ += [(g, i, condition, r, n, 0, []) for i, r in enumerate(wanted)]
+    rounds = 0
+    while open_:
+        rounds += 1
+        if rounds > MOST_ROUNDS:
+            raise RuntimeError(f"the search for order cuts has not ended after {MOST_ROUNDS} rounds")
+        small = [t for t in open_ if t[4] <= SMALL_CELL or t[5] == len(order_by)]
+        for (g, i, _, _, _, _, key), row in zip(small, _standing_at(df, {c: number(c) for c in order_by}, small)):
+            out[g][i] = key + [_as_literal(row[c], types[c]) for c in order_by[len(key):]]
+        large = [t for t in open_ if not (t[4] <= SMALL_CELL or t[5] == len(order_by))]
+        if not large:
+            break
+        ends = _sketched(df, {k: (F.when(t[2], number(order_by[t[5]])), [t[3] / max(t[4] - 1, 1)]) for k, t in enumerate(large)})
+        # Rows are compared as they are, not as numbers: that is cheap, and reaches the files.
+        wanted = {k: tuple(_as_literal(v, types[order_by[t[5]]]) for v in ends[k]["brackets"][0]) for k, t in enumerate(large)}
+        held = _counted(df, {k: (F.when(t[2], quoted(order_by[t[5]])), *wanted[k]) for k, t in enumerate(large)})
+        open_ = []
+        for k, (g, i, condition, rank, n, settled, key) in enumerate(large):
+            (lo, hi), (below, cnt), c = wanted[k], held[k], order_by[settled]
+            if ends[k]["n"] < n:
+                raise ValueError(f"{c} has missing values, so {', '.join(order_by)} do not order the rows")
+            if rank < below:  # the sketch was off: go on with what lies on that side
+                open_.append((g, i, condition & (quoted(c) < lo), rank, below, settled, key))
+            elif rank >= below + cnt:
+                open_.append((g, i, condition & (quoted(c) > hi), rank - below - cnt, n - below - cnt, settled, key))
+            elif ends[k]["brackets"][0][0] == ends[k]["brackets"][0][1]:
+                open_.append((g, i, condition & (quoted(c) == lo), rank - below, cnt, settled + 1, [*key, lo]))
+            else:
+                open_.append((g, i, condition & (quoted(c) >= lo) & (quoted(c) <= hi), rank - below, cnt, settled, key))
+    return out
+
+
+def _standing_at(df: DataFrame, number: dict[str, Column], wanted: list[tuple]) -> list:
+    """The order values of the row at each rank among the rows of its condition; all from one scan."""
+    if not wanted:
+        return []
+    any_of = reduce(or_, [t[2] for t in wanted])
+    marks = F.array_compact(F.array(*[F.when(t[2], F.lit(k)) for k, t in enumerate(wanted)]))
+    rows = df.filter(any_of).select(F.explode(marks).alias("__t"), *[v.alias(c) for c, v in number.items()])
+    placed = rows.withColumn("__p", F.row_number().over(Window.partitionBy("__t").orderBy(*[quoted(c) for c in number])) - 1)
+    hit = reduce(or_, [(F.col("__t") == k) & (F.col("__p") == t[3]) for k, t in enumerate(wanted)])
+    found = {r["__t"]: r for r in placed.filter(hit).collect()}
+    return [found[k] for k in range(len(wanted))]
+
+
 def up_to(order_by: Sequence[str], key: Sequence[Column]) -> Column:
     """True for rows that stand at or before the row with this order key."""
     out: Column | None = None
