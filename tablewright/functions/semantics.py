@@ -27,7 +27,15 @@ TIMESTAMP_FORMATS = (
     (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
 )
 
-SHORTEST_DATE, LONGEST_DATE = 8, 19
+# The same with the day before the month, for columns that say so.
+DAY_FIRST_FORMATS = tuple((shape, "d/M/yyyy" if fmt == "M/d/yyyy" else fmt) for shape, fmt in TIMESTAMP_FORMATS)
+
+# A time of day after a date by year: minutes or seconds, perhaps a fraction, perhaps Z or an offset.
+TIMED_SHAPE = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)? ?(Z|[+-]\d{2}:?\d{2})?$"
+# A time of day after a date with slashes.
+SLASHED_SHAPE = r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}(:\d{2})?$"
+
+SHORTEST_DATE, LONGEST_DATE = 8, 36
 
 
 def kind_of(data_type: T.DataType) -> str:
@@ -67,11 +75,19 @@ def parse_number(c: Column) -> Column:
 
 
 def parse_timestamp(c: Column, formats: tuple[tuple[str, str], ...] = TIMESTAMP_FORMATS) -> Column:
-    """Text as a timestamp by the format whose shape it has, or null."""
+    """Text as a timestamp by the format whose shape it has, or null.
+
+    With DAY_FIRST_FORMATS dates with slashes have the day first.  A time without an offset is the session's.
+    """
     text = F.trim(c)
     out = F
     for shape, fmt in formats:
         out = out.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt)))
+    minutes = F.regexp_replace(F.replace(text, F.lit(","), F.lit(".")), r"^(\S{10}[ T]\d{2}:\d{2})(?![\d:])", "$1:00")
+    out = out.when(text.rlike(TIMED_SHAPE), F.regexp_replace(minutes, r" (Z|[+-])", "$1").try_cast("timestamp"))
+    slashed = "d/M/yyyy" if formats == DAY_FIRST_FORMATS else "M/d/yyyy"
+    timed = F.when(F.length(F.regexp_replace(text, "[^:]", "")) == 2, F.try_to_timestamp(text, F.lit(f"{slashed} H:mm:ss")))
+    out = out.when(text.rlike(SLASHED_SHAPE), timed.otherwise(F.try_to_timestamp(text, F.lit(f"{slashed} H:mm"))))
     return F.when(F.length(text).between(SHORTEST_DATE, LONGEST_DATE), out)
 
 

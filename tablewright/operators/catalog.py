@@ -7,12 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.semantics import kind_of, quoted
 from tablewright.plans.joins import attach_aggregates
-from tablewright.plans.stats import column_stats, distinct_counts
+from tablewright.plans.stats import COLUMNS_PER_PASS, column_stats, comparable, distinct_counts
+from tablewright.sources.commits import append_load
+
+#: Hash functions of a column's signature.
+SLOTS = 32
 
 # The stages a dataset passes, in order.
 STAGES = [
@@ -96,6 +100,44 @@ def rename_candidates(changes: DataFrame) -> DataFrame:
     return gone.join(come, "shared_type").select("old_name", "new_name", "shared_type")
 
 
+def column_signatures(df: DataFrame) -> DataFrame:
+    """column_name, data_type, signature: of each column the least hashes of its values under SLOTS hash functions.
+
+    Combinable, one scan of COLUMNS_PER_PASS columns at a time.  A column without values has no signature.
+    """
+    out = df.sparkSession.createDataFrame([], "column_name string, data_type string, signature array<bigint>")
+    fields = [f for f in df.schema.fields if kind_of(f.dataType) != "nested"]
+    for i in range(0, len(fields), COLUMNS_PER_PASS):
+        part = fields[i:i + COLUMNS_PER_PASS]
+        values = df.select(*[F.when(quoted(f.name).isNotNull(), F.xxhash64(comparable(f.name, f.dataType))).alias(f"h{k}") for k, f in enumerate(part)])
+        slots = lambda k: F.array(*[F.min(F.xxhash64(F.lit(s), F.col(f"h{k}"))) for s in range(SLOTS)])
+        rows = [
+            F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"),
+                     F.when(F.count(f"h{k}") > 0, slots(k)).alias("signature"))
+            for k, f in enumerate(part)
+        ]
+        out = out.unionByName(values.agg(F.array(*rows).alias("r")).select(F.inline("r")))
+    return out
+
+
+def matched_renames(old: DataFrame, new: DataFrame, least: float = 0.5) -> DataFrame:
+    """old_name, new_name, data_type, similarity: columns of two signature tables that are each other's best match.
+
+    Only names that one side lacks are looked at, and only pairs of a type that share a slot meet, so columns
+    that have nothing in common make no pair.  Similarity is the share of equal slots, at least `least`; ties go
+    to the first name.  Each column has at most one partner.
+    """
+    def slots(own: DataFrame, other: DataFrame, side: str) -> DataFrame:
+        gone = own.join(other.select("column_name"), "column_name", "left_anti").filter(F.col("signature").isNotNull())
+        return gone.select(F.col("column_name").alias(side), "data_type", F.posexplode("signature").alias("slot", "least"))
+
+    pairs = slots(old, new, "old_name").join(slots(new, old, "new_name"), ["data_type", "slot", "least"])
+    scored = pairs.groupBy("old_name", "new_name", "data_type").agg((F.count(F.lit(1)) / SLOTS).alias("similarity")).filter(F.col("similarity") >= least)
+    best = lambda side, other: F.row_number().over(Window.partitionBy(side).orderBy(F.desc("similarity"), other)) == 1
+    ranked = scored.withColumns({"a": best("old_name", "new_name"), "b": best("new_name", "old_name")})
+    return ranked.filter("a AND b").drop("a", "b")
+
+
 def change_summary(changes: DataFrame, renames: DataFrame) -> DataFrame:
     """One row: counts of added, removed and retyped columns, of rename candidates, and the ones that are not 0 as text."""
     counts = changes.agg(
@@ -180,9 +222,16 @@ def since_cleared(events: DataFrame, order_by: Sequence[str]) -> DataFrame:
 
 # ---- logs ------------------------------------------------------------------------------------
 
-def append_log(rows: DataFrame, path: str) -> None:
-    """Append rows with a `ts` column to a log, partitioned by day."""
-    rows.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+def append_log(rows: DataFrame, path: str, load: str | None = None) -> None:
+    """Append rows with a `ts` column to a log, partitioned by day.
+
+    With a `load` key the append can be repeated: see `sources.commits`, whose `read_loads` reads such a log.
+    """
+    rows = rows.withColumn("day", F.to_date("ts"))
+    if load is not None:
+        append_load(rows, path, load, ["day"])
+    else:
+        rows.write.mode("append").partitionBy("day").parquet(path)
 
 
 def recent(log: DataFrame, limit: int, order_by: Sequence[str], **equal: str) -> DataFrame:

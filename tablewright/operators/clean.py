@@ -17,6 +17,8 @@ from tablewright.functions.semantics import (
     columns_of,
     kind_of,
     parse_number,
+    DAY_FIRST_FORMATS,
+    TIMESTAMP_FORMATS,
     parse_timestamp,
     quoted,
 )
@@ -143,6 +145,8 @@ def fill_missing(df: DataFrame, order_by: Sequence[str] | None = None) -> tuple[
     if dates and order_by:
         out = forward_fill(out, dates, order_by)
         log.update({c: "forward fill" for c in dates})
+    else:
+        log.update({c: "left missing, as no order is given" for c in dates})
     return out, log
 
 
@@ -159,6 +163,8 @@ def normalize_types(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
             changed[c], log[c] = parse_number(quoted(c)), "text to number"
         elif n and r["n_date_text"] == n:
             changed[c], log[c] = parse_timestamp(quoted(c)), "text to timestamp"
+        elif n and r["n_day_first"] == n:  # a day above 12 says so, and nothing against it
+            changed[c], log[c] = parse_timestamp(quoted(c), DAY_FIRST_FORMATS), "text to timestamp, day first"
     return (df.withColumns(changed) if changed else df), log
 
 
@@ -167,17 +173,22 @@ def parse_dates(df: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, dict[
     texts = text_columns(df)
     if not texts:
         return df, {}
-    shares = {r["column_name"]: r["share"] for r in date_shares(df).collect() if r["share"] is not None}
-    hits = {c: s for c, s in shares.items() if s > threshold}
-    return (df.withColumns({c: parse_timestamp(quoted(c)) for c in hits}) if hits else df), hits
+    shares = {r["column_name"]: r for r in _date_shares(df).collect() if r["share"] is not None}
+    hits = {c: r["share"] for c, r in shares.items() if r["share"] > threshold}
+    formats = {c: DAY_FIRST_FORMATS if shares[c]["day_first"] else TIMESTAMP_FORMATS for c in hits}
+    return (df.withColumns({c: parse_timestamp(quoted(c), formats[c]) for c in hits}) if hits else df), hits
 
 
 def date_shares(df: DataFrame) -> DataFrame:
     """column_name, share of all rows whose text is a date (missing values count against it)."""
+    return _date_shares(df).drop("day_first")
+
+
+def _date_shares(df: DataFrame) -> DataFrame:
+    """column_name, share, day_first: whether more texts are dates with the day before the month than after it."""
     stats = column_stats(df, text_columns(df), moments=False, dates=True)
-    return stats.select(
-        "column_name", F.try_divide(F.col("n_date_text").cast("double"), F.col("n_rows")).alias("share")
-    )
+    share = F.try_divide(F.greatest("n_date_text", "n_day_first").cast("double"), F.col("n_rows"))
+    return stats.select("column_name", share.alias("share"), (F.col("n_day_first") > F.col("n_date_text")).alias("day_first"))
 
 
 def clean(

@@ -203,7 +203,8 @@ def fallback_insights(df: DataFrame) -> DataFrame:
             out.add("outliers", r["column_name"], "outliers", r["n_outliers"])
     for r in top_values(df, texts, 3).orderBy("column_name", "place").collect() if texts else []:
         out.add("top_values", f"{r['column_name']}={r['value']}", "share_pct", r["n"] / n * 100)
-    for r in strong_correlations(df, numbers).limit(1).collect() if len(numbers) >= 2 else []:
+    strongest = strong_correlations(df, numbers).orderBy(F.desc(F.abs("r")), "column_a", "column_b") if len(numbers) >= 2 else None
+    for r in strongest.limit(1).collect() if strongest is not None else []:
         out.add("correlation", f"{r['column_a']}, {r['column_b']}", "r", r["r"])
     return out.frame()
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.names import looks_like_id
-from tablewright.functions.semantics import INTEGRAL, kind_of, parse_timestamp, quoted
+from tablewright.functions.semantics import DAY_FIRST_FORMATS, INTEGRAL, kind_of, parse_timestamp, quoted
 from tablewright.plans.gaps import adjacent_gaps
 from tablewright.plans.stats import column_stats, distinct_counts, pin, text_columns
 
@@ -161,7 +161,8 @@ def date_like_text(df: DataFrame) -> DataFrame:
     facts = [
         F.struct(
             F.lit(c).alias("column_name"), F.count(quoted(c)).alias("n_checked"),
-            F.coalesce(F.bool_and(parse_timestamp(quoted(c)).isNotNull() | quoted(c).isNull()), F.lit(True)).alias("is_datetime"),
+            F.coalesce(F.bool_and(parse_timestamp(quoted(c)).isNotNull() | quoted(c).isNull())
+                       | F.bool_and(parse_timestamp(quoted(c), DAY_FIRST_FORMATS).isNotNull() | quoted(c).isNull()), F.lit(True)).alias("is_datetime"),
         )
         for c in columns
     ]

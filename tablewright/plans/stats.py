@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.semantics import (
+    DAY_FIRST_FORMATS,
+    FLOATING,
+    INTEGRAL,
     adjusted_skewness,
     columns_of,
     kind_of,
@@ -41,7 +44,8 @@ def column_stats(
 
     Columns: column_name, position, data_type, kind, n_rows, n_valid, n_missing; for numerics total,
     mean, std, minimum, maximum and n_negative (`moments`); for text mean_length and n_numeric_text
-    (`text`) and n_date_text (`dates`).
+    (`text`), n_date_text and n_day_first (`dates`: with the month first in dates with slashes, and the day).
+    NaN is missing.  Totals and extremes are doubles; `whole_numbers` has those of whole numbers exactly.
     """
     names = list(df.columns if columns is None else columns)
     fields = {f.name: f for f in df.schema.fields}
@@ -50,6 +54,8 @@ def column_stats(
     def row(name: str) -> Column:
         field, c = fields[name], quoted(name)
         kind = kind_of(field.dataType)
+        if isinstance(field.dataType, FLOATING):
+            c = F.when(~F.isnan(c), c)
         x = c.cast("double") if kind == "numeric" else None
         present = F.count(c)
         parts = [
@@ -77,9 +83,10 @@ def column_stats(
                 (F.count(parse_number(c)) if is_text else no_count).alias("n_numeric_text"),
             ]
         if dates:
-            parts.append(
-                (F.count(parse_timestamp(c)) if kind == "text" else no_count).alias("n_date_text")
-            )
+            parts += [
+                (F.count(parse_timestamp(c)) if kind == "text" else no_count).alias("n_date_text"),
+                (F.count(parse_timestamp(c, DAY_FIRST_FORMATS)) if kind == "text" else no_count).alias("n_day_first"),
+            ]
         return F.struct(*parts)
 
     out: DataFrame | None = None
@@ -90,6 +97,21 @@ def column_stats(
     return out
 
 
+def whole_numbers(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+    """column_name, n_valid, total, minimum, maximum of whole-number columns, exact at any size (total as a decimal)."""
+    whole = [f.name for f in df.schema.fields if isinstance(f.dataType, INTEGRAL)]
+    names = [c for c in (df.columns if columns is None else columns) if c in whole]
+    out = df.sparkSession.createDataFrame([], "column_name string, n_valid bigint, total decimal(38,0), minimum bigint, maximum bigint")
+    for i in range(0, len(names), COLUMNS_PER_PASS):
+        facts = [
+            F.struct(F.lit(c).alias("column_name"), F.count(quoted(c)).alias("n_valid"), F.sum(quoted(c).cast("decimal(20,0)")).cast("decimal(38,0)").alias("total"),
+                     F.min(quoted(c)).cast("bigint").alias("minimum"), F.max(quoted(c)).cast("bigint").alias("maximum"))
+            for c in names[i:i + COLUMNS_PER_PASS]
+        ]
+        out = out.unionByName(df.agg(F.array(*facts).alias("s")).select(F.inline("s")))
+    return out
+
+
 def skewness(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """column_name, n_valid, mean, std, skewness (bias-adjusted) of numeric columns.
 

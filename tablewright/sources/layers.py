@@ -15,16 +15,18 @@ def _now() -> datetime:
 def store_bronze(df: DataFrame, root: str, dataset: str, load_ts: datetime | None = None) -> str:
     """Store the rows as they came under a load time, and a line in the manifest.  Returns the load.
 
-    A load is its own folder, so doing it again after a failure replaces it.
+    A load is its own folder, named to the microsecond, so doing it again after a failure replaces it, and two
+    loads of one second both stay.
     """
     at = load_ts or _now()
-    load = at.strftime("%Y%m%d_%H%M%S")
+    load = at.strftime("%Y%m%d_%H%M%S") + (f"_{at.microsecond:06d}" if at.microsecond else "")
     path = f"{root}/bronze/{dataset}"
     df.write.mode("overwrite").parquet(f"{path}/load_ts={load}")
     written = df.sparkSession.read.parquet(f"{path}/load_ts={load}")
     line = written.agg(F.count(F.lit(1)).alias("row_count")).select(
         F.lit(dataset).alias("dataset"), F.lit(load).alias("load_ts"), "row_count",
         F.lit(len(df.columns)).alias("column_count"), F.lit(f"{path}/load_ts={load}").alias("path"),
+        F.current_timestamp().alias("written_at"),
     )
     line.coalesce(1).write.mode("append").parquet(f"{root}/manifest/bronze")
     return load
@@ -38,7 +40,9 @@ def load_bronze(spark: SparkSession, root: str, dataset: str, load: str | None =
 
 def list_bronze(spark: SparkSession, root: str) -> DataFrame:
     """The manifest, newest load first."""
-    lines = spark.read.parquet(f"{root}/manifest/bronze").dropDuplicates(["dataset", "load_ts"])
+    lines = spark.read.parquet(f"{root}/manifest/bronze")
+    last = F.max_by(F.struct("row_count", "column_count", "path"), F.struct("written_at", "row_count"))  # of a load done again
+    lines = lines.groupBy("dataset", "load_ts").agg(last.alias("line")).select("dataset", "load_ts", "line.*")
     return lines.orderBy(F.desc("load_ts"), "dataset")
 
 
