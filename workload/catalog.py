@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tablewright.operators import catalog as G
 from tablewright.operators import search as X
 from tablewright.plans.materialize import ensure_checkpoint_dir, materialize
+from tablewright.sources import commits
 from workload.common import rounded, table, view
 
 # Fixed in this module: which stage each kind of event stands for.
@@ -168,7 +169,38 @@ def keyword_search(spark, d):
     return X.keyword_search(table(spark, d, "documents"), "heoron Éaux", ["source", "lang", "text"], ["doc_id"]).select("doc_id", "source", "lang")
 
 
+# Two versions of orders whose columns have other names: four of the five hold the same values.
+_NAMED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice", "o_orderdate"]
+_RENAMED = ["o_orderkey AS order_no", "o_custkey AS buyer", "o_orderstatus AS state", "o_orderpriority AS urgency", "o_totalprice * 2 + 0.001 AS amount", "o_orderdate"]
+
+
+def schema_rename_matches(spark, d):
+    old, new = (G.column_signatures(view(spark, d, "orders", items)) for items in (_NAMED, _RENAMED))
+    return G.matched_renames(old, new)
+
+
+def log_loads(spark, d):
+    """Each kind of event as a load of its own; one is appended twice, one fails before it is listed."""
+    path = f"{ensure_checkpoint_dir(spark)}/log-{uuid.uuid4().hex}"
+    runs = view(spark, d, "events", _RUNS)
+    commits.write_attempt(runs.filter("dataset = 'view'").withColumn("day", F.to_date("ts")), path, "view", ["day"])
+    for kind in ("click", "view", "click", "error"):
+        G.append_log(runs.filter(F.col("dataset") == kind), path, kind)
+    return commits.read_loads(spark, path).groupBy("load", "day", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+_FEATURES = ["event_type AS dataset", "concat('f', CAST(user_id % 40 AS STRING)) AS name", "value AS version", "ts", "event_id"]
+
+
+def feature_registry(spark, d):
+    """The newest entry of each feature, which dataset and name tell apart."""
+    return G.latest_per_key(view(spark, d, "events", _FEATURES), ["dataset", "name"], ["ts", "event_id"])
+
+
 QUERIES = {
+    "schema_rename_matches": schema_rename_matches,
+    "log_loads": log_loads,
+    "feature_registry": feature_registry,
     "detect_schema": detect_schema,
     "schema_versions": schema_versions,
     "latest_schema": latest_schema,
@@ -227,7 +259,24 @@ _STAGE_ROWS = ", ".join(
     f"({i}, '{s}', '{label}', {repr(G.STAGES[i - 1][0]) if i else 'CAST(NULL AS STRING)'})" for i, (s, label) in enumerate(G.STAGES)
 )
 
+def _values_sql(items: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT DISTINCT '{_name(i)}' AS c, typeof({i.split(' AS ')[0]}) AS t, ({i.split(' AS ')[0]})::VARCHAR AS v FROM orders" for i in items[:-1])
+
+
 SQL = {
+    "schema_rename_matches": f"""
+WITH a AS ({_values_sql(_NAMED)}), b AS ({_values_sql(_RENAMED)}),
+ na AS (SELECT c, count(*) AS n FROM a GROUP BY 1), nb AS (SELECT c, count(*) AS n FROM b GROUP BY 1),
+ p AS (SELECT a.c AS old_name, b.c AS new_name, any_value(a.t) AS t, count(*) AS n FROM a JOIN b USING (t, v) GROUP BY 1, 2),
+ s AS (SELECT old_name, new_name, t, p.n / (na.n + nb.n - p.n) AS similarity FROM p JOIN na ON na.c = old_name JOIN nb ON nb.c = new_name),
+ r AS (SELECT *, row_number() OVER (PARTITION BY old_name ORDER BY similarity DESC, new_name) AS x, row_number() OVER (PARTITION BY new_name ORDER BY similarity DESC, old_name) AS y FROM s)
+SELECT old_name, new_name, CASE t WHEN 'BIGINT' THEN 'bigint' ELSE 'string' END AS data_type, similarity::DOUBLE AS similarity FROM r WHERE x = 1 AND y = 1 AND similarity >= 0.5""",
+    "log_loads": "SELECT event_type AS load, CAST(ts AS DATE) AS day, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status, count(*) AS n "
+                 "FROM events WHERE event_type IN ('click', 'view', 'error') GROUP BY ALL",
+    "feature_registry": f"""
+SELECT dataset, name, version, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY dataset, name ORDER BY ts DESC, event_id DESC) AS rn
+FROM (SELECT {', '.join(_FEATURES)} FROM events)) WHERE rn = 1""",
     "detect_schema": f"SELECT * EXCLUDE (version) FROM ({_schema_sql(9)})",
     "schema_versions": f"SELECT 'orders' AS dataset, version, count(*) AS column_count FROM ({_VERSIONS}) GROUP BY 1, 2",
     "latest_schema": f"SELECT version, column_name, data_type, unique_value_count FROM ({_schema_sql(10)})",

@@ -52,6 +52,34 @@ def normalize_types(spark, d):
     return out.withColumns({c: F.col(c).cast("date") for c in ("date_text", "some_dates")})
 
 
+_DAY = "CAST(CAST(o_orderdate AS DATE) AS STRING)"
+# Order dates as text: with times of several shapes, with the day first, and in the order nothing tells apart.
+_DATED = [
+    "o_orderkey",
+    f"CASE o_orderkey % 4 WHEN 0 THEN concat({_DAY}, 'T10:30:15.25') WHEN 1 THEN concat({_DAY}, ' 10:30') "
+    f"WHEN 2 THEN concat({_DAY}, 'T12:30:00+02:00') ELSE concat({_DAY}, 'T23:59:59Z') END AS stamped",
+    f"concat(substr({_DAY}, 9, 2), '/', substr({_DAY}, 6, 2), '/', substr({_DAY}, 1, 4)) AS day_first",
+    f"concat(substr({_DAY}, 6, 2), '/', substr({_DAY}, 9, 2), '/', substr({_DAY}, 1, 4), ' 7:05') AS month_first",
+    "concat('note ', o_orderpriority) AS words",
+]
+
+
+def mixed_dates(spark, d):
+    out, _ = C.normalize_types(view(spark, d, "orders", _DATED))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("stamped", "day_first", "month_first")})
+
+
+def mixed_dates_log(spark, d):
+    log = C.normalize_types(view(spark, d, "orders", _DATED))[1]
+    return spark.createDataFrame(sorted(log.items()), "column_name string, change string")
+
+
+def unfilled_dates(spark, d):
+    """What a fill without an order says of each column."""
+    log = C.fill_missing(view(spark, d, "lineitem", ["l_orderkey", "CASE WHEN l_linestatus = 'O' THEN l_shipdate END AS shipped"]))[1]
+    return spark.createDataFrame(sorted(log.items()), "column_name string, filled string")
+
+
 def drop_all_null(spark, d):
     return C.drop_all_null(view(spark, d, "lineitem", ["nullif(l_discount, 0) AS l_discount", "nullif(l_tax, 0) AS l_tax"]))
 
@@ -126,6 +154,9 @@ QUERIES = {
     "ffill": ffill,
     "derived_columns": derived_columns,
     "transform_metrics": transform_metrics,
+    "mixed_dates": mixed_dates,
+    "mixed_dates_log": mixed_dates_log,
+    "unfilled_dates": unfilled_dates,
     "dim_filter": dim_filter,
     "row_at_max": row_at_max,
     "row_at_min": row_at_min,
@@ -135,7 +166,16 @@ QUERIES = {
     "last_rows": last_rows,
 }
 
+_D = "CAST(o_orderdate AS DATE)"
 SQL = {
+    "mixed_dates": f"""
+SELECT o_orderkey, {_D} + CASE o_orderkey % 4 WHEN 0 THEN INTERVAL '10 hours 30 minutes 15.25 seconds' WHEN 3 THEN INTERVAL '23 hours 59 minutes 59 seconds'
+       ELSE INTERVAL '10 hours 30 minutes' END AS stamped, CAST({_D} AS TIMESTAMP) AS day_first,
+       {_D} + INTERVAL '7 hours 5 minutes' AS month_first, concat('note ', o_orderpriority) AS words FROM orders""",
+    "mixed_dates_log": f"""
+SELECT * FROM (VALUES ('day_first', 'text to timestamp, day first'), ('month_first', 'text to timestamp'), ('stamped', 'text to timestamp')) AS v(column_name, change)
+WHERE (SELECT max(day({_D})) > 12 FROM orders)""",
+    "unfilled_dates": "SELECT 'shipped' AS column_name, 'left missing, as no order is given' AS filled WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_linestatus <> 'O')",
     "std_names": "SELECT o_orderkey AS order_key, o_totalprice AS total_price, o_orderstatus AS status FROM orders",
     "dedup": f"SELECT DISTINCT {', '.join(REPEATED_LINEITEM)} FROM lineitem",
     "fill_missing": f"""

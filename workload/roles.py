@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tablewright.functions.names import ID_NAME
 from tablewright.operators import profile as P
 from tablewright.operators import roles as R
-from workload.common import TEXT_ORDERS, rounded, table
+from tablewright.plans.stats import whole_numbers as whole
+from workload.common import TEXT_ORDERS, rounded, table, view
 
 # What each table's columns are, for the SQL side.
 _SHAPES = {
@@ -147,7 +148,16 @@ def profile_types(spark, d):
     return P.profile_types(table(spark, d, "customer"))
 
 
+_WIDE = ["o_orderkey + 9007199254740993 AS beyond_doubles", "CASE WHEN o_orderstatus <> 'F' THEN o_custkey END AS o_custkey", "o_totalprice"]
+
+
+def whole_numbers(spark, d):
+    """Totals and extremes that doubles cannot hold."""
+    return whole(view(spark, d, "orders", _WIDE))
+
+
 QUERIES = {
+    "whole_numbers": whole_numbers,
     "column_roles": column_roles,
     "id_stats": id_stats,
     "adjacent_diff": adjacent_diff,
@@ -159,6 +169,9 @@ QUERIES = {
 }
 
 SQL = {
+    "whole_numbers": " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count({c}) AS n_valid, sum({c})::DECIMAL(38,0) AS total, min({c}) AS minimum, max({c}) AS maximum FROM (SELECT {', '.join(_WIDE)} FROM orders)"
+        for c in ("beyond_doubles", "o_custkey")),
     "column_roles": " UNION ALL ".join(_role_sql(t, c, s) for t, cols in _SHAPES.items() for c, s in cols.items()),
     "id_stats": " UNION ALL ".join(
         _id_sql(t, c) for t, c in (("orders", "o_orderkey"), ("orders", "o_custkey"), ("lineitem", "l_orderkey"))
