@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.semantics import quoted
+from tablewright.plans.stats import WORD, value_words
 
 # Values are cut into blocks of 2^BLOCK_BITS by their high bits, so a block has at most that many
 # distinct values however skewed the data; blocks are cut the same way into super-blocks.
@@ -38,20 +39,18 @@ def adjacent_gaps(df: DataFrame, column: str) -> DataFrame:
     ends = df.agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).first()
     n = ends["n"]
     mean = (ends["hi"] - ends["lo"]) / (n - 1) if n > 1 else 0.0
-    distinct = df.filter(v.isNotNull()).select(v.alias("v")).distinct()
-
-    inside = Window.partitionBy("block").orderBy("v")
-    level = (
-        distinct.withColumn("block", F.shiftright("v", BLOCK_BITS))
-        .withColumn("gap", _gap(F.col("v"), F.lag("v").over(inside)))
-        .groupBy("block")
-        .agg(
-            F.count(F.lit(1)).alias("d"), *_with_gap(F.lit(0), F.lit(0.0), mean),
-            F.min("v").alias("first"), F.max("v").alias("last"),
-        )
-    )
-    # Twice by the next BLOCK_BITS; what is left after that are the top 4 bits of a 64-bit number.
-    for upper in (F.shiftright("block", BLOCK_BITS), F.shiftright("block", BLOCK_BITS), F.lit(0)):
+    words = value_words(df.filter(v.isNotNull()).select(v.alias("v")))
+    bit = lambda i: F.call_function("shiftright", F.col("bits"), i).bitwiseAND(F.lit(1).cast("bigint")) == 1
+    places = words.withColumn("at", F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), bit))
+    off = lambda i: F.element_at("at", i + 1) - F.element_at("at", i) - F.lit(float(mean))
+    steps = F.when(F.size("at") > 1, F.sequence(F.lit(1), F.size("at") - 1)).otherwise(F.array().cast("array<int>"))
+    value = lambda i: F.col("word") * WORD + F.element_at("at", F.lit(i))
+    level = places.select(
+        F.col("word").alias("block"), F.size("at").cast("bigint").alias("d"),
+        F.bit_count(F.col("bits").bitwiseAND(F.call_function("shiftright", F.col("bits").bitwiseAND(F.lit(~1).cast("bigint")), F.lit(1)).bitwiseAND(F.lit((1 << 63) - 1)))).cast("bigint").alias("unit"),
+        F.aggregate(steps, F.lit(0.0), lambda s, i: s + off(i) * off(i)).alias("square"), value(1).alias("first"), value(-1).alias("last"))
+    # Words into blocks, then twice by the next BLOCK_BITS; what is left after that are the top 4 bits of a 64-bit number.
+    for upper in (F.shiftright("block", BLOCK_BITS - 6), F.shiftright("block", BLOCK_BITS), F.shiftright("block", BLOCK_BITS), F.lit(0)):
         beside = Window.partitionBy("upper").orderBy("block")
         level = (
             level.withColumn("upper", upper)

@@ -28,6 +28,8 @@ DIGEST_ABOVE = 64
 # Columns per aggregate: many more, and the generated code outgrows what the JVM compiles.  Each
 # aggregate reads only its own columns, so splitting does not add to what is read.
 COLUMNS_PER_PASS = 8
+# Neighbouring whole numbers that are kept as the bits of one number.
+WORD = 64
 # Candidate hashes of repeated rows up to this many (8 bytes each) are broadcast.
 BROADCAST_HASHES = 500_000
 
@@ -159,11 +161,23 @@ def frequencies(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return long.groupBy("column_name", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
+def value_words(values: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
+    """keys..., word, bits: the distinct values of the bigint column v, as sets of WORD neighbours.
+
+    Value word * WORD + i is there if bit i is; bits is 0 where all values are null.
+    """
+    v = F.col("v")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), v.bitwiseAND(F.lit(WORD - 1).cast("bigint")).cast("int"))
+    word = F.call_function("shiftright", v, F.lit(WORD.bit_length() - 1))
+    return values.groupBy(*keys, word.alias("word")).agg(F.coalesce(F.bit_or(bit), F.lit(0).cast("bigint")).alias("bits"))
+
+
 def distinct_counts(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """column_name, n_distinct (nulls not counted).
 
     Columns are counted together with those of like type, so that numbers stay numbers; each pass
-    reads only its own columns.
+    reads only its own columns.  Whole numbers are shuffled as sets of WORD neighbours, a bit each, which
+    tasks build first: at most a row a value, and for keys without gaps a row for every WORD of them.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     alike: dict[str, list[tuple[str, Column]]] = {}
@@ -176,10 +190,13 @@ def distinct_counts(df: DataFrame, columns: Iterable[str]) -> DataFrame:
         else:
             alike.setdefault("text", []).append((name, comparable(name, t)))
     out: DataFrame | None = None
-    for members in alike.values():
+    for kind, members in alike.items():
         values = df.select(*[c.alias(name) for name, c in members])
         long = values.unpivot([], [quoted(name) for name, _ in members], "column_name", "v")
-        part = long.distinct().groupBy("column_name").agg(F.count("v").alias("n_distinct"))
+        if kind == "whole":
+            part = value_words(long, ["column_name"]).groupBy("column_name").agg(F.sum(F.bit_count("bits")).alias("n_distinct"))
+        else:
+            part = long.distinct().groupBy("column_name").agg(F.count("v").alias("n_distinct"))
         out = part if out is None else out.unionByName(part)
     return out
 
