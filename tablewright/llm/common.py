@@ -69,8 +69,12 @@ def bounded_sample(labelled: DataFrame, key: str, label: str, per_label: int) ->
 
 
 def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, per_label: int) -> DataFrame:
-    """Texts and labels of a bounded sample of the rows that may be learnt from: (doc_id, text, label)."""
-    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(~held_out()).dropDuplicates(["doc_id"])
+    """Texts and labels of a bounded sample of the rows that may be learnt from: (doc_id, text, label).
+
+    Of the labels of one doc_id the largest counts.
+    """
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(~held_out())
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     wanted = bounded_sample(known, "doc_id", "label", per_label)
     texts = documents.select("doc_id", "text").filter(F.col("text").isNotNull())
     return texts.join(F.broadcast(wanted), "doc_id")

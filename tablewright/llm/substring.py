@@ -71,7 +71,7 @@ def _first_documents(rows: DataFrame, window: int, repeats) -> DataFrame:
 
 
 def _occurrences(rows: DataFrame, window: int, repeats) -> DataFrame:
-    """(h, key, at): places of the windows that may repeat."""
+    """(h, key, t1, at): places of the windows that may repeat."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: Repeats = repeats.value
@@ -79,12 +79,12 @@ def _occurrences(rows: DataFrame, window: int, repeats) -> DataFrame:
             own = _windows(batch["text"], window)
             lengths = [len(h) for h in own]
             hashes = np.concatenate(own)
-            docs = np.repeat(batch["key"].to_numpy(), lengths)
+            docs, texts = (np.repeat(batch[c].to_numpy(), lengths) for c in ("key", "t1"))
             at = np.arange(len(hashes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             keep = found(hashes)
-            yield pd.DataFrame({"h": hashes[keep].view(np.int64), "key": docs[keep], "at": at[keep].astype(np.int32)})
+            yield pd.DataFrame({"h": hashes[keep].view(np.int64), "key": docs[keep], "t1": texts[keep], "at": at[keep].astype(np.int32)})
 
-    return rows.mapInPandas(send, "h long, key long, at int")
+    return rows.mapInPandas(send, "h long, key long, t1 long, at int")
 
 
 def _merged(starts: np.ndarray, window: int) -> list[int]:
@@ -101,34 +101,33 @@ def _text_key() -> list[Column]:
 
 
 def _copies(rows: DataFrame) -> DataFrame:
-    """(key, n): how many rows of each key have a text that a smaller key has too, whole."""
+    """(key, t1): rows whose text a smaller key has too, whole."""
     own = rows.select("key", *_text_key())
     first = own.groupBy("t1", "t2").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last").drop("last")
-    return own.join(first, ["t1", "t2"]).filter("first < key").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return own.join(first, ["t1", "t2"]).filter("first < key").select("key", "t1").distinct()
 
 
 def repeated_ranges(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(key, ranges): for each document with such words, the ranges of words in windows that a smaller doc_id has."""
+    """(key, t1, ranges): for each row with such words, by its doc_id and the hash of its text, the ranges of words in
+    windows that a smaller doc_id has."""
     spark = documents.sparkSession
-    rows = documents.select(_key(doc_id).alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    rows = documents.select(_key(doc_id).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("t1")).filter(F.col("text").isNotNull())
     copies = stored(_copies(rows))
     apart = copies.count() <= BROADCAST_COPIES
     if apart:  # every window of a copy starts in its first copy, and adds nothing to other documents' answers
-        every = rows.select("key").join(F.broadcast(copies), "key").groupBy("key", "n").agg(F.count(F.lit(1)).alias("rows"))
-        copies = stored(every.filter("rows = n").select("key"))  # a key with another text too stays in the search
-        rows = rows.join(F.broadcast(copies), "key", "left_anti")
+        rows = rows.join(F.broadcast(copies), ["key", "t1"], "left_anti")
     words = rows.agg(F.sum(F.length("text"))).first()[0] or 0  # at six characters a word
     repeats = build_repeats(rows.select("text"), lambda b: np.concatenate(_windows(b["text"], window)), int(words) // 6)
     repeats = spark.sparkContext.broadcast(repeats)
     first = _first_documents(rows, window, repeats)
-    later = _occurrences(rows, window, repeats).join(first, "h").filter("first < key").select("key", "at")
+    later = _occurrences(rows, window, repeats).join(first, "h").filter("first < key").select("key", "t1", "at")
 
     @F.pandas_udf("array<int>")
     def merge(starts: pd.Series) -> pd.Series:
         return pd.Series([_merged(s, window) for s in starts])
 
-    ranges = later.groupBy("key").agg(F.collect_list("at").alias("at")).select("key", merge("at").alias("ranges"))
-    out = stored(ranges.union(copies.select("key", F.array(F.lit(0), F.lit(ALL)))) if apart else ranges)
+    ranges = later.groupBy("key", "t1").agg(F.collect_list("at").alias("at")).select("key", "t1", merge("at").alias("ranges"))
+    out = stored(ranges.union(copies.select("key", "t1", F.array(F.lit(0), F.lit(ALL)))) if apart else ranges)
     repeats.unpersist()  # workers that stay need not keep the sketch
     return out
 
@@ -139,13 +138,13 @@ def without_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     A word goes if a window of `window` words that covers it also starts in a document with a smaller doc_id;
     windows are judged on the input.  `kept` is the other words joined by one space.  Null and wordless texts
     have no word and an empty `kept`; a null doc_id comes before all others; equal rows do not remove each
-    other's words, and rows that share a doc_id share their ranges.  A column called `dedup` is replaced.
+    other's words, and of rows that share a doc_id each loses its own.  A column called `dedup` is replaced.
     Windows are told apart by 64-bit hashes.
     """
     small_batches(documents.sparkSession, BATCH)
     ranges = repeated_ranges(documents, doc_id, text, window)
     size = ranges.agg(F.sum(F.size("ranges") * 4 + 40)).first()[0] or 0
-    ranges = ranges.withColumnsRenamed({"key": "__dedup_key", "ranges": "__dedup_ranges"})
+    ranges = ranges.withColumnsRenamed({"key": "__dedup_key", "t1": "__dedup_text", "ranges": "__dedup_ranges"})
     if size <= BROADCAST_BYTES:
         ranges = F.broadcast(ranges)
 
@@ -165,8 +164,9 @@ def without_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
             out.append((len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
 
-    joined = documents.join(ranges, _key(doc_id) == F.col("__dedup_key"), "left")
-    return joined.withColumn("dedup", keep(F.col(text), F.col("__dedup_ranges"))).drop("__dedup_key", "__dedup_ranges")
+    same = (_key(doc_id) == F.col("__dedup_key")) & (F.xxhash64(text) == F.col("__dedup_text"))
+    joined = documents.join(ranges, same, "left")
+    return joined.withColumn("dedup", keep(F.col(text), F.col("__dedup_ranges"))).drop("__dedup_key", "__dedup_text", "__dedup_ranges")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

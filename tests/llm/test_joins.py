@@ -165,7 +165,16 @@ def test_a_row_beside_a_copy_of_its_id_keeps_its_words(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
     docs = spark.createDataFrame([(1, a), (2, a), (2, "more " * 5 + a + " " + b), (3, b), (4, a)], "doc_id long, text string")
     got = {(r.doc_id, r.dedup.n_words): r.dedup.n_removed for r in substring.without_repeats(docs).collect()}
-    assert got == {(1, 30): 0, (2, 30): 30, (2, 65): 35, (3, 30): 30, (4, 30): 30}
+    assert got == {(1, 30): 0, (2, 30): 30, (2, 65): 30, (3, 30): 30, (4, 30): 30}
+
+
+def test_rows_of_one_id_lose_their_own_words_only(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    docs = spark.createDataFrame([(1, a), (2, "x y z " + a), (2, b), (None, a), (None, b + " tail")], "doc_id long, text string")
+    got = {(r.doc_id, r.dedup.n_words): r.dedup.n_removed for r in substring.without_repeats(docs).collect()}
+    assert got == {(None, 60): 0, (None, 61): 0, (1, 60): 60, (2, 63): 60, (2, 60): 60}
+    unnamed = spark.createDataFrame([(1, a), (2, "x y z " + a), (2, b)], "doc_id long, text string")
+    assert {r.text: r.dedup.n_removed for r in substring.without_repeats(unnamed).collect()} == {a: 0, "x y z " + a: 60, b: 0}
 
 
 def test_ranges_merge():
