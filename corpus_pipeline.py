@@ -35,13 +35,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of similar ones.  Rows that share a doc_id count as one document."""
+    """The document of smallest doc_id of each group of similar ones; null ids come first, rows of one id by a hash of their text.
+
+    Where ids are missing or repeat, rows are told apart by id and text; of rows equal in both the least stays.
+    """
     own = docs.select(*COLUMNS)
-    found = stored(jaccard.similar_components(own))
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    kept = _without(own, found.filter(F.col("component_id") != key).select("doc_id").distinct(), ["doc_id"])
-    repeated = not found.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    if own.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
+        found = stored(jaccard.similar_components(own))
+        return _without(own, found.filter("component_id <> doc_id").select("doc_id"), ["doc_id"])
+    rest = F.struct("lang", "source", "n_chars", "text")
+    own = stored(own.groupBy("doc_id", F.xxhash64("text").alias("text_hash")).agg(F.min(rest).alias("row")).select("doc_id", "text_hash", "row.*"))
+    order = ["doc_id", "text_hash"]
+    placed = stored(own.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
+    found = stored(jaccard.similar_components(placed, "place"))
+    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("place"))
+    return _without(placed, gone, ["place"]).select(*COLUMNS)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
