@@ -284,10 +284,10 @@ class Segmenter:
             gap = np.minimum(gap, others[size].min(0))
         return taken, counts, total, np.maximum(gap, 0), (taken < 0).any(1)
 
-    def _forget(self) -> None:
-        """Start over, but for the half of the words that was asked for most often."""
+    def _forget(self, everything: bool = False) -> None:
+        """Start over, but for the half of the words that was asked for most often, or with nothing."""
         kept = np.zeros(0, np.int64)
-        if hasattr(self, "young"):
+        if hasattr(self, "young") and not everything:
             kept = np.sort(np.argsort(-self.uses[: len(self.young)], kind="stable")[: REMEMBERED // 2])
         words = list(self.young) if len(kept) else []
         fresh = {name: _Column(kind) for name, kind in (("ids", np.int32), ("start", np.int64), ("length", np.int64), ("score", float), ("gap", float), ("uses", np.int64))}
@@ -453,9 +453,7 @@ def encode_pieces(text: Column, model: bytes, n: int = N_BEST, check: bool = Fal
     struct also has round_trip, whether decoding gives the text back.
     """
 
-    @F.arrow_udf(ENCODED + (", round_trip boolean" if check else ""))
-    def run(texts: pa.Array) -> pa.Array:
-        own = segmenter(model)
+    def encoded(own: Segmenter, texts: pa.Array) -> pa.Array:
         ids, scores, changes, same = [], [], [], []
         rows = texts.to_pylist()
         for t, (path, s, c) in zip(rows, own.encode_rows(rows, n)):
@@ -469,6 +467,16 @@ def encode_pieces(text: Column, model: bytes, n: int = N_BEST, check: bool = Fal
                    pa.array(scores, pa.list_(pa.float64())), pa.array(changes, pa.list_(pa.list_(pa.int32())))]
         return pa.StructArray.from_arrays([*columns, pa.array(same, pa.bool_())][: 3 + check], ["ids", "scores", "changes", "round_trip"][: 3 + check])
 
+    @F.arrow_udf(ENCODED + (", round_trip boolean" if check else ""))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = segmenter(model)
+        try:
+            for texts in batches:
+                yield encoded(own, texts)
+        finally:  # a worker outlives its task
+            own._forget(everything=True)
+            own.paths.clear()
+
     return run(text)
 
 

@@ -107,15 +107,29 @@ def _copies(rows: DataFrame) -> DataFrame:
     return own.join(first, ["t1", "t2"]).filter("first < key").select("key", "t1").distinct()
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """`rows` with t1 0 wherever the key alone tells the text: a hash for each place of a window is a lot to shuffle.
+
+    Keys with several texts are looked up while they can be sent to every executor; beyond, all keep their hash.
+    """
+    twins = stored(rows.groupBy("key").agg(F.min("t1").alias("a"), F.max("t1").alias("b")).filter("a < b").select(F.col("key").alias("__twin")))
+    if twins.count() > BROADCAST_COPIES:
+        return rows
+    marked = rows.join(F.broadcast(twins), F.col("key") == F.col("__twin"), "left")
+    return marked.select("key", "text", F.when(F.col("__twin").isNotNull(), F.col("t1")).otherwise(0).alias("t1"))
+
+
 def repeated_ranges(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(key, t1, ranges): for each row with such words, by its doc_id and the hash of its text, the ranges of words in
-    windows that a smaller doc_id has."""
+    """(key, t1, ranges): for each row with such words, by its doc_id and the hash of its text (or 0, for all rows of the
+    id), the ranges of words in windows that a smaller doc_id has."""
     spark = documents.sparkSession
     rows = documents.select(_key(doc_id).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("t1")).filter(F.col("text").isNotNull())
+    rows = _told_apart(rows)
     copies = stored(_copies(rows))
     apart = copies.count() <= BROADCAST_COPIES
     if apart:  # every window of a copy starts in its first copy, and adds nothing to other documents' answers
-        rows = rows.join(F.broadcast(copies), ["key", "t1"], "left_anti")
+        same = copies.select(F.col("key").alias("__key"), F.col("t1").alias("__t1"))
+        rows = rows.join(F.broadcast(same), (F.col("key") == F.col("__key")) & (F.xxhash64("text") == F.col("__t1")), "left_anti")
     words = rows.agg(F.sum(F.length("text"))).first()[0] or 0  # at six characters a word
     repeats = build_repeats(rows.select("text"), lambda b: np.concatenate(_windows(b["text"], window)), int(words) // 6)
     repeats = spark.sparkContext.broadcast(repeats)
@@ -164,7 +178,7 @@ def without_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
             out.append((len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
 
-    same = (_key(doc_id) == F.col("__dedup_key")) & (F.xxhash64(text) == F.col("__dedup_text"))
+    same = (_key(doc_id) == F.col("__dedup_key")) & ((F.col("__dedup_text") == 0) | (F.xxhash64(text) == F.col("__dedup_text")))
     joined = documents.join(ranges, same, "left")
     return joined.withColumn("dedup", keep(F.col(text), F.col("__dedup_ranges"))).drop("__dedup_key", "__dedup_text", "__dedup_ranges")
 
