@@ -7,7 +7,8 @@ prefix shingles alone; the offset gives the only place where the window can lie,
 bounds it, and the words there are compared with the window's.
 
 Two scans of the documents: shingle counts (combined before the shuffle), and the join (verified before the
-shuffle).  Only occurrences of windows move, and a row for each document.
+shuffle).  Only occurrences of windows move, and a row for each document.  Where the windows are too many to
+be sent to every executor, the hashes of all places move instead, without words, and a third scan compares.
 """
 
 from __future__ import annotations
@@ -52,45 +53,76 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _positions(texts: DataFrame, sizes: list[int]) -> DataFrame:
+    """`texts` with a row for each place `pos` and size, with the hash `sh` that begins there; one, without, at the place past the last word.
+
+    The words of a text are cut once, whatever the number of sizes.
+    """
+    at = texts.select("*", F.explode(F.sequence(F.lit(0), F.size("ws"))).alias("pos"))
+    hashes = [_shingle(F.col("ws"), F.col("pos"), s) for s in sizes]
+    if len(hashes) == 1:
+        return at.withColumn("sh", hashes[0])
+    each = at.select("*", F.posexplode(F.array(*hashes)).alias("k", "sh"))
+    return each.filter(F.col("sh").isNotNull() | ((F.col("k") == 0) & (F.col("pos") == F.size("ws")))).drop("k")
+
+
+def _met_in_place(texts: DataFrame, prefix: DataFrame, sizes: list[int], with_documents: bool) -> DataFrame:
+    """Places of windows where `prefix` goes to every executor: words are compared where the text is."""
+    start = F.col("pos") - F.col("offset")
+    fits = (start >= 0) & (start + F.col("w") <= F.size("ws"))
+    found = fits & (F.slice("ws", F.greatest(start, F.lit(0)) + 1, F.col("w")) == F.col("win"))
+    if with_documents:
+        found = F.coalesce(found, F.lit(False)) | (F.col("pos") == F.size("ws"))
+    met = _positions(texts, sizes).join(F.broadcast(prefix), "sh", "left" if with_documents else "inner").filter(found)
+    return met.select("doc_id", "text_hash", F.size("ws").alias("n_words"), start.alias("start"), "w", "items")
+
+
+def _met_by_shuffle(texts: DataFrame, prefix: DataFrame, sizes: list[int], with_documents: bool) -> DataFrame:
+    """The same for any number of windows.  Hashes meet the prefixes without the words of their text; what fits goes
+    back to its text, once a document, and is compared there.  Texts of one id and hash share what fits, which the
+    comparison then tells apart."""
+    at = _positions(texts, sizes).filter(F.col("sh").isNotNull())
+    at = at.select("doc_id", "text_hash", F.size("ws").alias("n_words"), "pos", "sh")
+    met = at.join(prefix, "sh").withColumn("start", F.col("pos") - F.col("offset"))
+    met = met.filter((F.col("start") >= 0) & (F.col("start") + F.col("w") <= F.col("n_words")))
+    met = met.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set(F.struct("start", "w", "win", "items")).alias("met"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
+    own = texts.join(met, same, "left" if with_documents else "inner")
+    equal = F.filter("met", lambda m: F.slice("ws", m["start"] + 1, m["w"]) == m["win"])
+    places = F.transform(equal, lambda m: F.struct(m["start"].alias("start"), m["w"].alias("w"), m["items"].alias("items")))
+    if with_documents:
+        none = F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("w"), F.lit(None).cast("array<string>").alias("items"))
+        places = F.concat(F.array(none), F.coalesce(places, F.array().cast("array<struct<start:int,w:int,items:array<string>>>")))
+    each = own.select("doc_id", "text_hash", F.size("ws").alias("n_words"), F.explode(places).alias("p"))
+    return each.select("doc_id", "text_hash", "n_words", "p.start", "p.w", "p.items")
+
+
 def _placed(documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, window: int, shingle: int,
             with_documents: bool) -> DataFrame:
     """(doc_id, text_hash, n_words, start, w, items) for each place of a window; `with_documents` adds a row without
     start for each document row, so that one scan gives both."""
     texts = documents.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), words(F.col(text)).alias("ws"))
     known = stored(windows(items, item_id, item_text, window, shingle).withColumn("id", F.xxhash64("win")))
-    sizes = [r[0] for r in known.select("s").distinct().collect()]  # up to `shingle` values
+    sizes = [r[0] for r in known.select("s").distinct().collect()] or [shingle]  # up to `shingle` values
     places = known.select("win", "id", "w", "s", F.explode(F.sequence(F.lit(0), F.col("w") - F.col("s"))).alias("offset"))
     shingles = None
-    for s in sizes or [shingle]:
+    for s in sizes:
         own = places.filter(F.col("s") == s).select("id", "offset", _shingle(F.col("win"), F.col("offset"), s).alias("sh"))
         shingles = own if shingles is None else shingles.union(own)
     shingles = stored(shingles)
     n = shingles.count()
 
-    def positions() -> DataFrame:
-        """Each place of a document with the hash that begins there; none at the place past the last word."""
-        at = texts.select("doc_id", "text_hash", "ws", F.explode(F.sequence(F.lit(0), F.size("ws"))).alias("pos"))
-        out = None
-        for s in sizes or [shingle]:
-            own = at if out is None else at.filter(F.col("pos") < F.size("ws"))
-            own = own.select("doc_id", "text_hash", "ws", "pos", _shingle(F.col("ws"), F.col("pos"), s).alias("sh"))
-            out = own if out is None else out.union(own)
-        return out
-
-    counts = positions().join(_small(shingles.select("sh").distinct(), n), "sh").groupBy("sh").count()
+    wanted, hashes = shingles.select("sh").distinct(), _positions(texts, sizes).select("sh")
+    if n <= BROADCAST_ROWS:
+        counts = hashes.join(F.broadcast(wanted), "sh").groupBy("sh").count()
+    else:  # counted within each task first, so that no frequent shingle is a hot key of the join
+        counts = hashes.filter(F.col("sh").isNotNull()).groupBy("sh").count().join(wanted, "sh")
     # the rarest shingle of each window; a window with a shingle that no document has cannot occur
     ranked = shingles.join(_small(counts, n), "sh", "left").groupBy("id").agg(
         F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "sh", "offset")).alias("rarest"))
     prefix = stored(known.join(_small(ranked.filter("rarest.count > 0"), n), "id").select(
         F.col("rarest.sh").alias("sh"), F.col("rarest.offset").alias("offset"), "win", "w", "items"))
-    start = F.col("pos") - F.col("offset")
-    fits = (start >= 0) & (start + F.col("w") <= F.size("ws"))
-    equal = F.slice("ws", F.greatest(start, F.lit(0)) + 1, F.col("w")) == F.col("win")
-    found = fits & equal
-    if with_documents:
-        found = F.coalesce(found, F.lit(False)) | (F.col("pos") == F.size("ws"))
-    met = positions().join(_small(prefix, n), "sh", "left" if with_documents else "inner").filter(found)
-    return met.select("doc_id", "text_hash", F.size("ws").alias("n_words"), start.alias("start"), "w", "items")
+    return (_met_in_place if n <= BROADCAST_ROWS else _met_by_shuffle)(texts, prefix, sizes, with_documents)
 
 
 def occurrences(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright.llm import decontaminate, jaccard, substring, winnow
 from tablewright.llm.common import held_out  # noqa: F401
@@ -217,6 +218,33 @@ def test_contamination_equals_brute_force(spark, monkeypatch, limit):
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == brute_hits(text, ITEMS), r.doc_id
 
 
+def test_beyond_the_broadcast_no_words_of_a_text_are_shuffled_by_place(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    docs, items = spark.createDataFrame(TEXTS, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = decontaminate.contamination(docs, items)._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    by_hash = [plan[i + 1] for i, line in enumerate(plan) if "Exchange hashpartitioning(sh#" in line]
+    whole = re.compile(r"(?<![(\w])ws#\d+[,\]]")
+    assert len(by_hash) == 2 and any("pos#" in line for line in by_hash) and not any(map(whole.search, by_hash)), by_hash
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), decontaminate.words(F.col("text")).alias("ws"))
+    at = decontaminate._positions(texts, [1, 2, 3])
+    assert at.filter("sh IS NULL").count() == len(TEXTS)  # one place past the end for each text, whatever the sizes
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_ROWS, 0])
+def test_contamination_of_repeated_rows_and_ids(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
+    rows = [(1, "x alpha beta gamma"), (1, "x alpha beta gamma"), (1, "solo other"), (1, None), (None, None), (None, None), (None, "solo"), (None, "plain")]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = decontaminate.contamination(docs, items).collect()
+    tell = lambda values: Counter(values)
+    assert tell((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == tell((d, *brute_hits(t, ITEMS)) for d, t in rows)
+
+
 def test_contamination_of_edge_rows(spark, edge, none):
     items = spark.createDataFrame([(1, "two three four"), (2, "w5x5 w6x6 w7x7 w8x8")], "item_id long, text string")
     rows = decontaminate.contamination(edge, items).collect()
