@@ -24,6 +24,8 @@ SAMPLE = 1500
 DIMENSIONS, GRAM = 512, 3
 #: Characters of text bundled together: bounds the n-grams whose vectors are in memory at once.
 STEP_CHARS = 1 << 18
+#: A shorter text counts as so many of them, which bounds the texts; n-grams are multiplied BLOCK at a time.
+LEAST_CHARS, BLOCK = 256, 8192
 
 
 @dataclass
@@ -72,16 +74,19 @@ def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
 def bundle(texts: list[str | None], dimensions: int = DIMENSIONS) -> np.ndarray:
     """A vector per text: the sum over its n-grams.  Zero for a text without letters."""
     out = np.zeros((len(texts), dimensions), np.float32)
-    lengths = np.array([len(t) if isinstance(t, str) else 0 for t in texts])
+    lengths = np.array([max(len(t), LEAST_CHARS) if isinstance(t, str) else LEAST_CHARS for t in texts])
     for a, b in slices(lengths, STEP_CHARS):
         own = [_grams(t if isinstance(t, str) else "") for t in texts[a:b]]
         grams, at = np.unique(np.concatenate([g for g, _ in own]), return_inverse=True)
-        if not len(grams):
-            continue
-        counts = np.zeros((b - a, len(grams)), np.float32)
-        counts[np.repeat(np.arange(b - a), [len(g) for g, _ in own]), at] = np.concatenate([c for _, c in own])
-        for lo in range(0, len(grams), 8192):
-            out[a:b] += counts[:, lo : lo + 8192] @ _gram_vectors(grams[lo : lo + 8192], dimensions)
+        order = np.argsort(at, kind="stable")
+        rows = np.repeat(np.arange(b - a), [len(g) for g, _ in own])[order]
+        at, counts = at[order], np.concatenate([c for _, c in own])[order]
+        for lo in range(0, len(grams), BLOCK):
+            block = grams[lo : lo + BLOCK]
+            part = slice(*np.searchsorted(at, [lo, lo + BLOCK]))
+            dense = np.zeros((b - a, len(block)), np.float32)
+            dense[rows[part], at[part] - lo] = counts[part]
+            out[a:b] += dense @ _gram_vectors(block, dimensions)
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +77,35 @@ def test_language_on_held_out_documents(spark, edge, none):
     assert {r.p.lang_pred for r in edge.select(language.predict(F.col("text"), nothing).alias("p")).collect()} == {"und"}
 
 
+def test_bundles_of_many_short_texts_stay_small_and_equal_their_own():
+    rng = np.random.default_rng(6)
+    texts = ["".join(map(chr, row)) for row in rng.integers(0x4E00, 0x9FA5, (10_000, 20))]
+    language._letters()
+    tracemalloc.start()
+    found = language.bundle(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6, peak
+    for k in (0, 1023, 1024, 9_999):
+        grams, counts = language._grams(texts[k])
+        assert (found[k] == (counts[:, None] * language._gram_vectors(grams, language.DIMENSIONS)).sum(0)).all()
+
+
+def test_nearest_prototype_by_definition(spark):
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("der die das und", "de"), ("the and of a", "en"), ("el la los y", "es")] * 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    profiles = language.fit(docs)
+    learnt = docs.filter(~held_out()).collect()
+    unit = lambda v: v / np.linalg.norm(v)
+    prototypes = {lang: unit(sum(unit(language.bundle([r.text])[0].astype(float)) for r in learnt if r.lang == lang)) for lang in ("de", "en", "es")}
+    texts = ["die und", "of the", "los la", "x", ""]
+    langs, scores = language.classify(profiles, texts)
+    for t, lang, score in zip(texts[:4], langs, scores):
+        cosines = {k: float(unit(language.bundle([t])[0].astype(float)) @ v) for k, v in prototypes.items()}
+        assert cosines[lang] == max(cosines.values()) and abs(score - min(max(cosines[lang], 0), 1)) < 1e-5
+    assert langs[4] == "und" and scores[4] == 0
+
+
 def test_network_gradient_is_the_slope_of_the_loss():
     texts, labels = [b"some words here", b"x" * 700, b""], np.array([1, 0, 1], np.float32)
     net = quality_net.new_network(1)
