@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import table
 
 GRAM, WINDOW = 4, 8
+#: Ranges of ids for each task of the shuffle: many, so that the tasks come out alike.
+RANGES = 8
 #: Fixed value: words, and characters of scripts that put no space between words.
 TOKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|[^\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]+"
-#: Low bits of a packed hash, which hold the position counted from the right.
-PLACE_BITS = 24
+#: Low bits of a packed hash, which hold the position counted from the right: as many as an array can have places.
+PLACE_BITS = 31
 LAST_PLACE = (1 << PLACE_BITS) - 1
 
 
@@ -25,23 +27,23 @@ def with_fingerprint(df: DataFrame, text: str, name: str, gram: int = GRAM, wind
     """Add `name`, the fingerprint as 'position:hash' in order, and `name`_set, its distinct hashes.
 
     A text of fewer than `gram` words has one hash over all of them; fewer hashes than `window` are one
-    window; a text without words, null included, has the empty fingerprint.  Whole texts are used; beyond
-    2**24 words positions start again at 0.  Each step is a column of its own, so that it is computed once.
+    window; a text without words, null included, has the empty fingerprint.  Whole texts are used, however long.
+    Each step is a column of its own, so that it is computed once.
     """
     t, g, p, m = (f"{name}_{part}" for part in ("tokens", "grams", "packed", "kept"))
     out = df.withColumn(t, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0)))
     one = F.when(F.size(t) > 0, F.array(F.xxhash64(t))).otherwise(F.array().cast("array<bigint>"))
     many = F.transform(F.sequence(F.lit(0), F.size(t) - gram), lambda i: F.xxhash64(*[F.get(t, i + k) for k in range(gram)]))
     out = out.withColumn(g, F.when(F.size(t) < gram, one).otherwise(many))
-    # the upper 39 bits of a hash, then its place from the right: the minimum is the smallest hash, rightmost of equals
-    out = out.withColumn(p, F.transform(g, lambda h, i: F.shiftleft(F.shiftrightunsigned(h, PLACE_BITS + 1), PLACE_BITS).bitwiseOR(F.lit(LAST_PLACE).cast("long") - i.bitwiseAND(F.lit(LAST_PLACE)))))
+    # the upper 32 bits of a hash, then its place from the right: the minimum is the smallest hash, rightmost of equals
+    out = out.withColumn(p, F.transform(g, lambda h, i: F.shiftleft(F.shiftrightunsigned(h, PLACE_BITS + 1), PLACE_BITS).bitwiseOR(F.lit(LAST_PLACE).cast("long") - i)))
     few = F.when(F.size(p) > 0, F.array(F.array_min(p))).otherwise(F.array().cast("array<bigint>"))
     least = F.transform(F.sequence(F.lit(1), F.size(p) - window + 1), lambda i: F.array_min(F.slice(p, i, window)))
     out = out.withColumn(m, F.when(F.size(p) < window, few).otherwise(F.array_distinct(least)))
     place = lambda v: (F.lit(LAST_PLACE) - v.bitwiseAND(F.lit(LAST_PLACE).cast("long"))).cast("int")
     entry = lambda v: F.concat_ws(":", place(v), F.lower(F.hex(F.get(g, place(v)))))
     out = out.withColumn(name, F.concat_ws(" ", F.transform(m, entry)))
-    out = out.withColumn(f"{name}_set", F.array_distinct(F.transform(m, lambda v: F.shiftrightunsigned(v, PLACE_BITS))))
+    out = out.withColumn(f"{name}_set", F.array_distinct(F.transform(m, lambda v: F.get(g, place(v)))))
     return out.drop(t, g, p, m)
 
 
@@ -103,7 +105,7 @@ def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(table(spark, sf_dir, "documents"), parts=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return fingerprints(table(spark, sf_dir, "documents"), parts=RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 QUERIES = {"op8_fingerprints": op8_fingerprints}
