@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from tablewright.llm.common import small_batches, stored, table, utf8
+from tablewright.llm.common import lean, small_batches, stored, table, utf8
 from tablewright.llm.components import components
 from tablewright.llm.sketch import Repeats, build_repeats
 from tablewright.llm.wordhash import mix, run_hashes, word_hashes
@@ -72,7 +72,7 @@ def _prefixes(rows: DataFrame, size: int, similarity: int, repeats) -> DataFrame
                 out.append((key, n, xxh3_128_digest(own.tobytes()), single, own[order].view(np.int64)))
             yield pd.DataFrame(out, columns=["key", "n", "set_key", "single", "shingles"])
 
-    return rows.mapInPandas(run, "key long, n long, set_key binary, single int, shingles array<long>")
+    return rows.mapInPandas(lean(run), "key long, n long, set_key binary, single int, shingles array<long>")
 
 
 def _sets(rows: DataFrame, size: int) -> DataFrame:
@@ -80,7 +80,7 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"id": batch["key"], "set": [shingle_set(t, size).view(np.int64) for t in utf8(batch["text"])]})
 
-    return rows.mapInPandas(run, "id long, set array<long>")
+    return rows.mapInPandas(lean(run), "id long, set array<long>")
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:

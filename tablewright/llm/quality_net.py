@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import held_out, labelled_texts, slices, small_batches, table, utf8
+from tablewright.llm.common import give_back, held_out, labelled_texts, slices, small_batches, table, utf8
 
 #: Labelled documents per class that the network learns from, about.
 SAMPLE = 1000
@@ -177,6 +177,7 @@ def quality_score(text: Column, net: Network) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(scores(net, utf8(texts)))
+        give_back()
 
     return run(text)
 

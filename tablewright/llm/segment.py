@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import slices, small_batches, table
+from tablewright.llm.common import give_back, slices, small_batches, table
 from tablewright.llm.pieces import MODEL_PATH, SPACE, Vocabulary, fields, parse_model, read_model
 
 N_BEST = 4
@@ -476,6 +476,7 @@ def encode_pieces(text: Column, model: bytes, n: int = N_BEST, check: bool = Fal
         finally:  # a worker outlives its task
             own._forget(everything=True)
             own.paths.clear()
+            give_back()
 
     return run(text)
 

@@ -16,6 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.llm.common import give_back, lean
 from tablewright.llm.wordhash import mix
 
 DEPTH = 2
@@ -102,6 +103,7 @@ def build_repeats(rows: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray],
             if total >= FLUSH:
                 yield from _touched(np.concatenate(waiting), bits)
                 waiting, total = [], 0
+                give_back()
         if total:
             yield from _touched(np.concatenate(waiting), bits)
 
@@ -124,9 +126,9 @@ def build_repeats(rows: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray],
         if current is not None:
             yield merged()
 
-    touched = rows.mapInPandas(touch, "block long, cells binary, counts binary")
+    touched = rows.mapInPandas(lean(touch), "block long, cells binary, counts binary")
     blocks = min(DEPTH << (bits - BLOCK_BITS), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    merged = touched.repartition(blocks, F.col("block")).sortWithinPartitions("block").mapInPandas(merge, "block long, bits binary, hot binary, powers binary")
+    merged = touched.repartition(blocks, F.col("block")).sortWithinPartitions("block").mapInPandas(lean(merge), "block long, bits binary, hot binary, powers binary")
     out = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(DEPTH)]
     hot: list[list] = [[] for _ in range(DEPTH)]
     size = 1 << (BLOCK_BITS - 3)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import small_batches, stored, table, utf8
+from tablewright.llm.common import give_back, lean, small_batches, stored, table, utf8
 from tablewright.llm.sketch import FLUSH, Repeats, build_repeats
 from tablewright.llm.wordhash import run_hashes, word_hashes
 
@@ -62,10 +62,11 @@ def _first_documents(rows: DataFrame, window: int, repeats) -> DataFrame:
             if total >= FLUSH:
                 yield combined(*map(np.concatenate, zip(*waiting)))
                 waiting, total = [], 0
+                give_back()
         if total:
             yield combined(*map(np.concatenate, zip(*waiting)))
 
-    sent = rows.mapInPandas(send, "h long, lo long, more boolean")
+    sent = rows.mapInPandas(lean(send), "h long, lo long, more boolean")
     seen = sent.groupBy("h").agg(F.min("lo").alias("first"), F.max("lo").alias("last"), F.bool_or("more").alias("more"))
     return seen.filter("first < last or more").select("h", "first")
 
@@ -84,7 +85,7 @@ def _occurrences(rows: DataFrame, window: int, repeats) -> DataFrame:
             keep = found(hashes)
             yield pd.DataFrame({"h": hashes[keep].view(np.int64), "key": docs[keep], "t1": texts[keep], "at": at[keep].astype(np.int32)})
 
-    return rows.mapInPandas(send, "h long, key long, t1 long, at int")
+    return rows.mapInPandas(lean(send), "h long, key long, t1 long, at int")
 
 
 def _merged(starts: np.ndarray, window: int) -> list[int]:
