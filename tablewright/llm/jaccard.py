@@ -26,7 +26,7 @@ from xxhash import xxh3_128_digest
 
 from tablewright.llm.common import lean, small_batches, stored, table, utf8
 from tablewright.llm.components import components
-from tablewright.llm.sketch import Repeats, build_repeats
+from tablewright.llm.sketch import Repeats, build_repeats, fits, with_levels
 from tablewright.llm.wordhash import mix, run_hashes, word_hashes
 
 SHINGLE = 5
@@ -52,27 +52,41 @@ def _needed(n: Column, share: float) -> Column:
     return n - F.ceil(n * F.lit(share) - F.lit(1e-9)) + 1
 
 
+PREFIX = "key long, n long, set_key binary, single int, shingles array<long>"
+
+
+def _prefix(key: int, own: np.ndarray, level: np.ndarray, similarity: int) -> tuple:
+    """The set's size and digest, the number of its single shingles, and its prefix without them."""
+    n = len(own)
+    if not n:
+        return key, 0, None, 0, []
+    single = int(np.count_nonzero(level == 0))
+    prefix = n - -(-similarity * n // 100) + 1
+    order = np.lexsort((own, level))[single:prefix]
+    return key, n, xxh3_128_digest(own.tobytes()), single, own[order].view(np.int64)
+
+
 def _prefixes(rows: DataFrame, size: int, similarity: int, repeats) -> DataFrame:
-    """(key, n, set_key, single, shingles): the set's size and digest, and its prefix without its single shingles."""
+    """Rows of PREFIX, by a sketch that every worker gets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: Repeats = repeats.value
         for batch in batches:
-            out = []
-            for key, text in zip(batch["key"], utf8(batch["text"])):
-                own = shingle_set(text, size)
-                n = len(own)
-                if not n:
-                    out.append((key, 0, None, 0, []))
-                    continue
-                level = found.level(own)
-                single = int(np.count_nonzero(level == 0))
-                prefix = n - -(-similarity * n // 100) + 1
-                order = np.lexsort((own, level))[single:prefix]
-                out.append((key, n, xxh3_128_digest(own.tobytes()), single, own[order].view(np.int64)))
+            sets = (shingle_set(text, size) for text in utf8(batch["text"]))
+            out = [_prefix(key, own, found.level(own), similarity) for key, own in zip(batch["key"], sets)]
             yield pd.DataFrame(out, columns=["key", "n", "set_key", "single", "shingles"])
 
-    return rows.mapInPandas(lean(run), "key long, n long, set_key binary, single int, shingles array<long>")
+    return rows.mapInPandas(lean(run), PREFIX)
+
+
+def _answered_prefixes(rows: DataFrame, size: int, similarity: int, expected: int) -> DataFrame:
+    """Rows of PREFIX, by a sketch that is too large for a worker and answers instead."""
+
+    def use(batch: pd.DataFrame, sets: list[np.ndarray], levels: list[np.ndarray]) -> pd.DataFrame:
+        out = [_prefix(key, own, level, similarity) for key, own, level in zip(batch["key"], sets, levels)]
+        return pd.DataFrame(out, columns=["key", "n", "set_key", "single", "shingles"])
+
+    return with_levels(rows, lambda b: [shingle_set(t, size) for t in utf8(b["text"])], use, PREFIX, expected)
 
 
 def _sets(rows: DataFrame, size: int) -> DataFrame:
@@ -111,11 +125,14 @@ def similar_components(documents: DataFrame, doc_id: str = "doc_id", text: str =
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
     rows = documents.select(key.alias("key"), F.col(text).alias("text"))
     characters = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    repeats = build_repeats(rows.select("text"), lambda b: np.concatenate([shingle_set(t, size) for t in utf8(b["text"])]), int(characters) // 6)
-    repeats = spark.sparkContext.broadcast(repeats)
-
-    known = stored(_prefixes(rows, size, similarity, repeats))
-    repeats.unpersist()  # workers that stay need not keep the sketch
+    expected = int(characters) // 6
+    if fits(expected):
+        repeats = build_repeats(rows.select("text"), lambda b: np.concatenate([shingle_set(t, size) for t in utf8(b["text"])]), expected)
+        repeats = spark.sparkContext.broadcast(repeats)
+        known = stored(_prefixes(rows, size, similarity, repeats))
+        repeats.unpersist()  # workers that stay need not keep the sketch
+    else:
+        known = stored(_answered_prefixes(rows, size, similarity, expected))
     classes = stored(known.filter("n > 0").groupBy("set_key").agg(
         F.min("key").alias("id"), F.min("n").alias("n"), F.min("single").alias("single"), F.min("shingles").alias("shingles")))
     share = similarity / 100

@@ -1,7 +1,7 @@
 """Removal of passages that an earlier document has already, exact, behind a count-min prefilter.
 
 First pass: merged sketches of the hashes of all windows of WINDOW words; they never take a repeated
-window for a single one.  Second pass: windows that may repeat are grouped exactly, combined within each
+window for a single one, whether each worker gets the sketch or asks it.  Second pass: windows that may repeat are grouped exactly, combined within each
 task first, to the smallest doc_id that has them.  Third pass: the same windows meet that doc_id; those of
 later documents become ranges of words, which go back to the texts.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import give_back, lean, small_batches, stored, table, utf8
-from tablewright.llm.sketch import FLUSH, Repeats, build_repeats
+from tablewright.llm.sketch import FLUSH, Repeats, build_repeats, fits, with_levels
 from tablewright.llm.wordhash import run_hashes, word_hashes
 
 WINDOW = 13
@@ -88,6 +88,18 @@ def _occurrences(rows: DataFrame, window: int, repeats) -> DataFrame:
     return rows.mapInPandas(lean(send), "h long, key long, t1 long, at int")
 
 
+def _repeated_places(rows: DataFrame, window: int, expected: int) -> DataFrame:
+    """As `_occurrences`, with a sketch that is too large for a worker and answers instead."""
+
+    def keep(batch: pd.DataFrame, own: list[np.ndarray], levels: list[np.ndarray]) -> pd.DataFrame:
+        at = [np.flatnonzero(level) for level in levels]
+        docs, texts = (np.repeat(batch[c].to_numpy(), [len(a) for a in at]) for c in ("key", "t1"))
+        h = np.concatenate([hashes[a] for hashes, a in zip(own, at)]).view(np.int64)
+        return pd.DataFrame({"h": h, "key": docs, "t1": texts, "at": np.concatenate(at).astype(np.int32)})
+
+    return with_levels(rows, lambda b: _windows(b["text"], window), keep, "h long, key long, t1 long, at int", expected)
+
+
 def _merged(starts: np.ndarray, window: int) -> list[int]:
     """Disjoint ranges of words, as start, end, start, end, ..., that windows at `starts` cover."""
     starts = np.unique(starts)
@@ -132,10 +144,15 @@ def repeated_ranges(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
         same = copies.select(F.col("key").alias("__key"), F.col("t1").alias("__t1"))
         rows = rows.join(F.broadcast(same), (F.col("key") == F.col("__key")) & (F.xxhash64("text") == F.col("__t1")), "left_anti")
     words = rows.agg(F.sum(F.length("text"))).first()[0] or 0  # at six characters a word
-    repeats = build_repeats(rows.select("text"), lambda b: np.concatenate(_windows(b["text"], window)), int(words) // 6)
-    repeats = spark.sparkContext.broadcast(repeats)
-    first = _first_documents(rows, window, repeats)
-    later = _occurrences(rows, window, repeats).join(first, "h").filter("first < key").select("key", "t1", "at")
+    expected, repeats = int(words) // 6, None
+    if fits(expected):
+        repeats = build_repeats(rows.select("text"), lambda b: np.concatenate(_windows(b["text"], window)), expected)
+        repeats = spark.sparkContext.broadcast(repeats)
+        first, places = _first_documents(rows, window, repeats), _occurrences(rows, window, repeats)
+    else:
+        places = stored(_repeated_places(rows, window, expected))
+        first = places.groupBy("h").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last").select("h", "first")
+    later = places.join(first, "h").filter("first < key").select("key", "t1", "at")
 
     @F.pandas_udf("array<int>")
     def merge(starts: pd.Series) -> pd.Series:
@@ -143,7 +160,8 @@ def repeated_ranges(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     ranges = later.groupBy("key", "t1").agg(F.collect_list("at").alias("at")).select("key", "t1", merge("at").alias("ranges"))
     out = stored(ranges.union(copies.select("key", "t1", F.array(F.lit(0), F.lit(ALL)))) if apart else ranges)
-    repeats.unpersist()  # workers that stay need not keep the sketch
+    if repeats:
+        repeats.unpersist()  # workers that stay need not keep the sketch
     return out
 
 

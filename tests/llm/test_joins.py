@@ -7,13 +7,14 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tablewright.llm import decontaminate, jaccard, substring, winnow
 from tablewright.llm.common import held_out  # noqa: F401
 from tablewright.llm.components import components
-from tablewright.llm.sketch import Repeats, build_repeats
+from tablewright.llm.sketch import Repeats, build_repeats, with_levels
 
 RNG = np.random.default_rng(5)
 WORDS = [f"w{i}" for i in range(400)]
@@ -77,6 +78,37 @@ def test_components_equal_brute_force(spark, monkeypatch, known):
     assert len({c for _, c in want.values()}) < len(want) - 80
 
 
+def small_sketches(monkeypatch):
+    """Sketches that are asked, of many chunks and blocks."""
+    for name, value in {"BLOCK_BITS": 8, "CHUNK": 700, "WIDE_BLOCK_BITS": 9}.items():
+        monkeypatch.setattr(f"tablewright.llm.sketch.{name}", value)
+    for user in (jaccard, substring):
+        monkeypatch.setattr(user, "fits", lambda expected: False)
+
+
+def test_components_by_a_sketch_that_answers(spark, edge, monkeypatch):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(7)
+    order = ["doc_id", "n_shingles", "component_id"]
+    plain = [sorted(map(str, jaccard.similar_components(d).select(*order).collect())) for d in (docs, edge)]
+    small_sketches(monkeypatch)
+    assert [sorted(map(str, jaccard.similar_components(d).select(*order).collect())) for d in (docs, edge)] == plain
+
+
+def test_levels_by_answers_equal_counts(spark, monkeypatch):
+    small_sketches(monkeypatch)
+    values = np.concatenate([RNG.integers(0, 3000, 4000), np.full(1500, 7), RNG.integers(10**6, 10**9, 500)])
+    RNG.shuffle(values)
+    rows = spark.createDataFrame([(i, values[a : a + n].tolist()) for i, (a, n) in enumerate(zip(range(0, 6000, 50), [50] * 120))], "key long, v array<long>")
+    hashes = lambda b: [np.asarray(v, np.int64).astype(np.uint64) for v in b["v"]]
+    use = lambda b, own, levels: pd.DataFrame({"v": np.concatenate(own).astype(np.int64), "level": np.concatenate(levels).astype(np.int64)})
+    got = with_levels(rows, hashes, use, "v long, level long", 6000).collect()
+    counts = Counter(values.tolist())
+    assert Counter(r.v for r in got) == counts
+    level = {r.v: r.level for r in got}
+    assert len({(r.v, r.level) for r in got}) == len(level) and all(level[v] >= (n > 1) for v, n in counts.items())
+    assert level[7] == 10 and np.mean([level[v] == 0 for v, n in counts.items() if n == 1]) > 0.6
+
+
 def test_components_of_edge_rows(edge, none):
     rows = jaccard.similar_components(edge).collect()
     assert len(rows) == edge.count()
@@ -124,6 +156,14 @@ def brute_removal(rows, window=13):
     return out
 
 
+def test_removal_by_a_sketch_that_answers(spark, edge, none, monkeypatch):
+    small_sketches(monkeypatch)
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(7)
+    rows = substring.without_repeats(docs).select("doc_id", "dedup.*").collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in rows} == brute_removal(ROWS)
+    assert substring.without_repeats(edge).count() == edge.count() and substring.without_repeats(none).count() == 0
+
+
 @pytest.mark.parametrize("limit", [substring.BROADCAST_BYTES, 0])
 def test_removal_equals_brute_force(spark, monkeypatch, limit):
     monkeypatch.setattr(substring, "BROADCAST_BYTES", limit)
