@@ -1,9 +1,10 @@
 """Main text of web pages from flat text blocks.
 
 A page is read once into blocks, the text between block-level tags.  Each has its word count and link density
-(share of words inside links), those of the blocks before and after it, and where it stands: in an article,
-outside one, or in a part that the page marks as furniture.  A decision tree, grown on the small labelled
-table below, keeps or drops it.
+(share of words inside links), those of the neighbouring blocks, where it stands (in an article, outside one,
+on a page without any, or in a part that the page marks as furniture) and how much of the page stands there.
+A decision tree, grown on the small labelled table below, asks for the place first, then for counts and
+densities, and keeps or drops the block.  Class names mark a part as furniture only where it is no layout of the whole page.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ FURNITURE_NAMES = frozenset(
     "consent copyright disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices outbrain pager "
     "pagination popup promo promoted promotion related replies reply respond search share sharing sidebar signup social sponsor "
     "sponsored subscribe taboola tags toolbar topbar widget".split())
+LAYOUT_NAMES = frozenset("has with without no show hide".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s<>/"']*)((?:"[^"]*"|'[^']*'|[^<>"'])*+)>|<[!?][^<>]*>""", re.S)
@@ -43,38 +45,55 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 #: Places of a block.
 FURNITURE, OUTSIDE, OPEN, INSIDE = 0, 1, 2, 3
-FEATURES = ("place", "words", "links", "words_before", "links_before", "words_after", "links_after")
+FEATURES = ("place", "share", "words", "links", "words_before", "links_before", "words_after", "links_after")
 #: The labelled table: blocks of pages of common kinds, in the order of FEATURES, and 1 for main text.  OPEN
-#: blocks are those of pages without an article element.
+#: blocks are those of pages without an article element.  The share is that of the place among the page's words
+#: (for blocks outside furniture, among the words outside furniture); neighbours are of the same place.
 LABELLED = (
     # articles: headline, paragraphs long and short, list entries, quotes, captions, link-rich paragraphs
-    (INSIDE, 8, 0.0, 3, 1.0, 60, 0.0, 1), (INSIDE, 60, 0.05, 8, 0.0, 45, 0.0, 1), (INSIDE, 1, 0.0, 40, 0.0, 30, 0.0, 1),
-    (INSIDE, 3, 0.0, 0, 0.0, 4, 0.5, 1), (INSIDE, 12, 0.4, 50, 0.1, 33, 0.0, 1), (INSIDE, 2, 1.0, 20, 0.0, 25, 0.0, 1),
-    (INSIDE, 150, 0.0, 90, 0.1, 6, 0.2, 1), (INSIDE, 5, 0.0, 5, 0.0, 5, 0.0, 1), (INSIDE, 25, 0.9, 12, 0.3, 18, 0.0, 1),
-    (INSIDE, 4, 0.0, 30, 0.0, 2, 0.0, 1), (INSIDE, 2, 0.0, 1, 0.0, 0, 0.0, 1), (INSIDE, 1, 1.0, 3, 0.0, 1, 0.0, 1),
-    (INSIDE, 6, 0.0, 2, 1.0, 3, 1.0, 1), (INSIDE, 3, 0.7, 5, 0.0, 2, 1.0, 1), (INSIDE, 2, 0.0, 4, 1.0, 1, 0.0, 1),
-    (INSIDE, 7, 1.0, 1, 1.0, 1, 1.0, 1), (INSIDE, 5, 0.5, 8, 0.2, 3, 0.0, 1), (INSIDE, 1, 0.0, 2, 0.0, 2, 0.0, 1),
-    (INSIDE, 8, 0.0, 60, 0.0, 1, 1.0, 1), (INSIDE, 3, 0.0, 70, 0.0, 3, 0.0, 1), (INSIDE, 1, 1.0, 1, 1.0, 0, 0.0, 1),
+    (INSIDE, 1.0, 8, 0.0, 0, 0.0, 60, 0.0, 1), (INSIDE, 0.95, 60, 0.05, 8, 0.0, 45, 0.0, 1), (INSIDE, 0.9, 1, 0.0, 40, 0.0, 30, 0.0, 1),
+    (INSIDE, 1.0, 3, 0.0, 0, 0.0, 4, 0.5, 1), (INSIDE, 0.8, 12, 0.4, 50, 0.1, 33, 0.0, 1), (INSIDE, 1.0, 2, 1.0, 20, 0.0, 25, 0.0, 1),
+    (INSIDE, 0.6, 150, 0.0, 90, 0.1, 6, 0.2, 1), (INSIDE, 0.4, 5, 0.0, 5, 0.0, 5, 0.0, 1), (INSIDE, 1.0, 25, 0.9, 12, 0.3, 18, 0.0, 1),
+    (INSIDE, 0.9, 4, 0.0, 30, 0.0, 2, 0.0, 1), (INSIDE, 1.0, 2, 0.0, 1, 0.0, 0, 0.0, 1), (INSIDE, 1.0, 1, 1.0, 3, 0.0, 1, 0.0, 1),
+    (INSIDE, 0.7, 6, 0.0, 2, 1.0, 3, 1.0, 1), (INSIDE, 1.0, 3, 0.7, 5, 0.0, 2, 0.0, 1), (INSIDE, 0.9, 2, 0.0, 4, 1.0, 1, 0.0, 1),
+    (INSIDE, 1.0, 7, 1.0, 0, 0.0, 55, 0.0, 1), (INSIDE, 0.9, 5, 0.5, 8, 0.2, 3, 0.0, 1), (INSIDE, 1.0, 1, 0.0, 2, 0.0, 2, 0.0, 1),
+    (INSIDE, 0.9, 8, 0.0, 60, 0.0, 1, 1.0, 1), (INSIDE, 1.0, 3, 0.0, 70, 0.0, 3, 0.0, 1), (INSIDE, 1.0, 1, 0.0, 0, 0.0, 0, 0.0, 1),
+    (INSIDE, 0.2, 14, 0.1, 0, 0.0, 9, 0.0, 1), (INSIDE, 0.1, 22, 0.0, 5, 0.0, 0, 0.0, 1), (INSIDE, 1.0, 30, 0.0, 1, 1.0, 1, 1.0, 1),
+    (INSIDE, 1.0, 1, 0.0, 1, 1.0, 80, 0.0, 1), (INSIDE, 1.0, 40, 0.0, 0, 0.0, 0, 0.0, 1), (INSIDE, 0.9, 18, 0.85, 40, 0.0, 1, 1.0, 1),
+    # menus inside articles: contents, tags, related pages; their first and last entries border on text
+    (INSIDE, 1.0, 1, 1.0, 1, 1.0, 1, 1.0, 0), (INSIDE, 0.9, 4, 1.0, 2, 1.0, 5, 1.0, 0), (INSIDE, 1.0, 2, 1.0, 60, 0.0, 1, 1.0, 0),
+    (INSIDE, 0.8, 2, 1.0, 1, 1.0, 45, 0.0, 0), (INSIDE, 0.9, 7, 1.0, 6, 1.0, 4, 1.0, 0), (INSIDE, 1.0, 3, 1.0, 2, 1.0, 0, 0.0, 0),
+    (INSIDE, 0.1, 6, 1.0, 5, 1.0, 7, 1.0, 0), (INSIDE, 0.6, 3, 1.0, 8, 0.0, 4, 1.0, 0), (INSIDE, 1.0, 5, 0.9, 3, 1.0, 30, 0.0, 0),
     # marked furniture: menus, adverts, notices, forms, footers, comments
-    (FURNITURE, 1, 1.0, 1, 1.0, 1, 1.0, 0), (FURNITURE, 9, 0.0, 1, 1.0, 10, 0.0, 0), (FURNITURE, 40, 0.0, 12, 0.0, 55, 0.0, 0),
-    (FURNITURE, 7, 0.3, 80, 0.0, 0, 0.0, 0), (FURNITURE, 120, 0.0, 30, 0.0, 60, 0.0, 0), (FURNITURE, 3, 0.0, 2, 0.0, 1, 0.0, 0),
+    (FURNITURE, 0.1, 1, 1.0, 1, 1.0, 1, 1.0, 0), (FURNITURE, 0.3, 9, 0.0, 1, 1.0, 0, 0.0, 0), (FURNITURE, 0.6, 40, 0.0, 12, 0.0, 55, 0.0, 0),
+    (FURNITURE, 0.2, 7, 0.3, 8, 0.0, 0, 0.0, 0), (FURNITURE, 0.7, 120, 0.0, 30, 0.0, 60, 0.0, 0), (FURNITURE, 1.0, 3, 0.0, 2, 0.0, 1, 0.0, 0),
+    (FURNITURE, 0.4, 200, 0.0, 110, 0.0, 90, 0.0, 0), (FURNITURE, 0.9, 95, 0.0, 70, 0.0, 85, 0.0, 0), (FURNITURE, 1.0, 25, 0.0, 1, 1.0, 0, 0.0, 0),
+    (FURNITURE, 1.0, 45, 0.1, 20, 0.0, 6, 1.0, 0), (FURNITURE, 1.0, 2, 1.0, 1, 1.0, 90, 0.0, 0), (FURNITURE, 1.0, 110, 0.8, 3, 1.0, 4, 1.0, 0),
+    # pages that a form or another mark encloses whole: their paragraphs
+    (FURNITURE, 1.0, 80, 0.0, 60, 0.0, 95, 0.0, 1), (FURNITURE, 1.0, 130, 0.1, 9, 0.0, 75, 0.0, 1), (FURNITURE, 1.0, 100, 0.0, 85, 0.0, 1, 1.0, 1),
     # around an article: teasers, related headlines, legal lines
-    (OUTSIDE, 14, 0.0, 1, 1.0, 9, 0.0, 0), (OUTSIDE, 6, 1.0, 70, 0.0, 6, 1.0, 0), (OUTSIDE, 45, 0.0, 80, 0.0, 3, 0.5, 0),
-    (OUTSIDE, 2, 0.0, 40, 0.0, 4, 1.0, 0), (OUTSIDE, 30, 0.2, 5, 1.0, 28, 0.3, 0),
+    (OUTSIDE, 0.1, 14, 0.0, 1, 1.0, 9, 0.0, 0), (OUTSIDE, 0.2, 6, 1.0, 7, 0.0, 6, 1.0, 0), (OUTSIDE, 0.3, 45, 0.0, 8, 0.0, 3, 0.5, 0),
+    (OUTSIDE, 0.05, 2, 0.0, 4, 0.0, 4, 1.0, 0), (OUTSIDE, 0.4, 30, 0.2, 5, 1.0, 28, 0.3, 0), (OUTSIDE, 0.6, 90, 0.0, 40, 0.0, 75, 0.0, 0),
+    (OUTSIDE, 0.5, 60, 0.0, 0, 0.0, 50, 0.0, 0), (OUTSIDE, 0.02, 5, 0.0, 0, 0.0, 0, 0.0, 0),
+    # beside an article that is a teaser: the page's paragraphs and headings, against menus and other teasers' links
+    (OUTSIDE, 0.9, 70, 0.0, 6, 0.0, 55, 0.0, 1), (OUTSIDE, 0.85, 28, 0.1, 60, 0.0, 40, 0.0, 1), (OUTSIDE, 0.95, 12, 0.0, 0, 0.0, 65, 0.0, 1),
+    (OUTSIDE, 0.9, 5, 0.0, 0, 0.0, 48, 0.0, 1), (OUTSIDE, 0.9, 35, 0.0, 20, 0.0, 0, 0.0, 1), (OUTSIDE, 0.9, 1, 1.0, 1, 1.0, 1, 1.0, 0),
+    (OUTSIDE, 0.95, 6, 1.0, 5, 1.0, 4, 1.0, 0), (OUTSIDE, 0.85, 3, 1.0, 40, 0.0, 2, 1.0, 0), (OUTSIDE, 0.9, 8, 0.9, 1, 1.0, 0, 0.0, 0),
     # pages without an article element: paragraphs and their headings against menus, teasers and legal lines
-    (OPEN, 80, 0.0, 6, 0.0, 70, 0.0, 1), (OPEN, 35, 0.1, 60, 0.0, 3, 1.0, 1), (OPEN, 6, 0.0, 2, 1.0, 75, 0.0, 1),
-    (OPEN, 4, 0.0, 55, 0.0, 48, 0.0, 1), (OPEN, 20, 0.0, 7, 0.0, 22, 0.0, 1), (OPEN, 9, 0.0, 65, 0.0, 1, 1.0, 1),
-    (OPEN, 1, 1.0, 1, 1.0, 1, 1.0, 0), (OPEN, 3, 1.0, 30, 0.0, 2, 1.0, 0), (OPEN, 5, 0.6, 2, 1.0, 4, 0.8, 0),
-    (OPEN, 18, 0.8, 15, 0.9, 20, 0.7, 0), (OPEN, 4, 0.0, 1, 1.0, 1, 1.0, 0), (OPEN, 3, 0.0, 2, 1.0, 0, 0.0, 0),
-    (OPEN, 7, 0.0, 3, 1.0, 2, 1.0, 0), (OPEN, 28, 0.7, 6, 1.0, 40, 0.0, 0), (OPEN, 40, 0.0, 0, 0.0, 30, 0.0, 1),
-    (OPEN, 30, 0.0, 40, 0.0, 1, 1.0, 1), (OPEN, 110, 0.1, 12, 0.0, 0, 0.0, 1), (OPEN, 15, 0.0, 18, 0.1, 90, 0.0, 1),
-    (OPEN, 50, 0.2, 0, 0.0, 0, 0.0, 1), (OPEN, 22, 0.0, 1, 1.0, 2, 1.0, 1), (OPEN, 70, 0.0, 3, 1.0, 4, 1.0, 1),
-    (OPEN, 12, 0.0, 33, 0.0, 27, 0.0, 1), (OPEN, 5, 0.0, 45, 0.0, 38, 0.1, 1), (OPEN, 2, 0.0, 36, 0.0, 52, 0.0, 1),
-    (OPEN, 8, 1.0, 48, 0.0, 9, 1.0, 0), (OPEN, 12, 0.9, 5, 1.0, 66, 0.0, 0), (OPEN, 2, 1.0, 0, 0.0, 1, 1.0, 0),
-    (OPEN, 25, 0.6, 40, 0.1, 38, 0.0, 0), (OPEN, 5, 0.0, 0, 0.0, 1, 1.0, 0), (OPEN, 2, 0.0, 1, 1.0, 3, 0.6, 0),
-    (OPEN, 6, 0.2, 4, 1.0, 0, 0.0, 0), (OPEN, 60, 0.5, 6, 1.0, 5, 1.0, 0),
+    (OPEN, 1.0, 80, 0.0, 6, 0.0, 70, 0.0, 1), (OPEN, 1.0, 35, 0.1, 60, 0.0, 3, 1.0, 1), (OPEN, 1.0, 6, 0.0, 2, 1.0, 75, 0.0, 1),
+    (OPEN, 1.0, 4, 0.0, 55, 0.0, 48, 0.0, 1), (OPEN, 1.0, 20, 0.0, 7, 0.0, 22, 0.0, 1), (OPEN, 1.0, 9, 0.0, 65, 0.0, 1, 1.0, 1),
+    (OPEN, 1.0, 1, 1.0, 1, 1.0, 1, 1.0, 0), (OPEN, 1.0, 3, 1.0, 30, 0.0, 2, 1.0, 0), (OPEN, 1.0, 5, 0.6, 2, 1.0, 4, 0.8, 0),
+    (OPEN, 1.0, 18, 0.8, 15, 0.9, 20, 0.7, 0), (OPEN, 1.0, 4, 0.0, 1, 1.0, 1, 1.0, 0), (OPEN, 1.0, 3, 0.0, 2, 1.0, 0, 0.0, 0),
+    (OPEN, 1.0, 7, 0.0, 3, 1.0, 2, 1.0, 0), (OPEN, 1.0, 28, 0.7, 6, 1.0, 40, 0.0, 0), (OPEN, 1.0, 40, 0.0, 0, 0.0, 30, 0.0, 1),
+    (OPEN, 1.0, 30, 0.0, 40, 0.0, 1, 1.0, 1), (OPEN, 1.0, 110, 0.1, 12, 0.0, 0, 0.0, 1), (OPEN, 1.0, 15, 0.0, 18, 0.1, 90, 0.0, 1),
+    (OPEN, 1.0, 50, 0.2, 0, 0.0, 0, 0.0, 1), (OPEN, 1.0, 22, 0.0, 1, 1.0, 2, 1.0, 1), (OPEN, 1.0, 70, 0.0, 3, 1.0, 4, 1.0, 1),
+    (OPEN, 1.0, 12, 0.0, 33, 0.0, 27, 0.0, 1), (OPEN, 1.0, 5, 0.0, 45, 0.0, 38, 0.1, 1), (OPEN, 1.0, 2, 0.0, 36, 0.0, 52, 0.0, 1),
+    (OPEN, 1.0, 8, 1.0, 48, 0.0, 9, 1.0, 0), (OPEN, 1.0, 12, 0.9, 5, 1.0, 66, 0.0, 0), (OPEN, 1.0, 2, 1.0, 0, 0.0, 1, 1.0, 0),
+    (OPEN, 1.0, 25, 0.6, 40, 0.1, 38, 0.0, 0), (OPEN, 1.0, 5, 0.0, 0, 0.0, 1, 1.0, 0), (OPEN, 1.0, 2, 0.0, 1, 1.0, 3, 0.6, 0),
+    (OPEN, 1.0, 6, 0.2, 4, 1.0, 0, 0.0, 0), (OPEN, 1.0, 60, 0.5, 6, 1.0, 5, 1.0, 0), (OPEN, 1.0, 4, 0.0, 0, 0.0, 0, 0.0, 0),
 )
-DEPTH = 6
+#: Of each place's part of the tree; the least of those that leaving out a row of the table finds best.
+DEPTH = 3
 
 
 @dataclass
@@ -84,28 +103,35 @@ class Block:
     linked: int
     furniture: bool
     article: bool
+    named: tuple[int, ...] = ()
 
 
-def _furniture(tag: str, attributes: str, in_article: bool) -> bool:
+def _furniture(tag: str, attributes: str, in_article: bool) -> int:
+    """2 for what is furniture by its element, role or style, 1 by its class or id only, else 0."""
     if tag in FURNITURE_TAGS or (tag == "header" and not in_article):
-        return True
+        return 2
+    named = 0
     for found in _ATTRIBUTE.finditer(attributes):
         name, value = found[1].lower(), found[2] or found[3] or found[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
+            return 2
         if name == "role" and value.lower() in FURNITURE_ROLES:
-            return True
-        if name in ("class", "id") and any(w.lower() in FURNITURE_NAMES for w in _NAME.findall(value)):
-            return tag not in ("body", "html", "article", "main")
-    return False
+            return 2
+        if name in ("class", "id") and tag not in ("body", "html", "article", "main"):
+            for one in value.split():
+                words = [w.lower() for w in _NAME.findall(one)]
+                if words and words[0] not in LAYOUT_NAMES and not FURNITURE_NAMES.isdisjoint(words):
+                    named = 1
+    return named
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order.  Unclosed and stray tags are taken as browsers take them, as far as blocks need it."""
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # section, in furniture, in an article
-    links = at = 0
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # section, in furniture, in an article, in parts named as furniture
+    links = at = parts_named = 0
+    holds_article: set[int] = set()
 
     def close() -> None:
         if parts:
@@ -113,7 +139,8 @@ def blocks(page: str) -> list[Block]:
             words = text.split()
             if words:
                 linked = sum(len(unescape(p).split()) for p, a in parts if a)
-                out.append(Block(" ".join(words), len(words), min(linked, len(words)), bool(stack) and stack[-1][1], bool(stack) and stack[-1][2]))
+                _, furniture, article, named = stack[-1] if stack else ("", False, False, ())
+                out.append(Block(" ".join(words), len(words), min(linked, len(words)), furniture, article, named))
             parts.clear()
 
     while True:
@@ -141,10 +168,16 @@ def blocks(page: str) -> list[Block]:
             links = 0 if closing else 1
         if tag in SECTION_TAGS and tag not in RAW_TAGS:
             if not closing:
-                inside = stack[-1] if stack else ("", False, False)
+                inside = stack[-1] if stack else ("", False, False, ())
                 article = inside[2] or tag in ("article", "main")
+                if tag in ("article", "main"):
+                    holds_article.update(inside[3])
                 if not token[3].rstrip().endswith("/") or tag in ("div", "section"):
-                    stack.append((tag, inside[1] or _furniture(tag, token[3], inside[2]), article))
+                    marked, named = _furniture(tag, token[3], inside[2]), inside[3]
+                    if marked == 1 and not inside[1] and not named:
+                        named = (parts_named,)
+                        parts_named += 1
+                    stack.append((tag, inside[1] or marked == 2, article, named))
             else:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
@@ -154,16 +187,40 @@ def blocks(page: str) -> list[Block]:
             last = re.compile(rf"</{re.escape(tag)}\b[^>]*>|<(?:p|div|h[1-6]|/?article|/?main|/?section|/?body)\b", re.I).search(page, at)
             at = last.start() if last else len(page)
     close()
-    return out
+    return _settle_names(out, holds_article)
+
+
+def _settle_names(found: list[Block], holds_article: set[int]) -> list[Block]:
+    """Blocks of parts that only their names call furniture: they are, unless such a part holds an article, or
+    more than half of the words of a page without any."""
+    words: dict[int, int] = {}
+    total, articles = 0, False
+    for b in found:
+        if not b.furniture:
+            total += b.words
+            articles |= b.article
+            for part in b.named:
+                words[part] = words.get(part, 0) + b.words
+    for b in found:
+        b.furniture |= any(part not in holds_article and (articles or 2 * words.get(part, 0) <= total) for part in b.named)
+    return found
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """A row per block, in the order of FEATURES; nothing stands before the first and after the last block."""
+    """A row per block, in the order of FEATURES; a neighbour in another place counts as none."""
+    if not found:
+        return np.zeros((0, len(FEATURES)))
     has_article = any(b.article and not b.furniture for b in found)
-    words = np.array([0, *[b.words for b in found], 0], float)
-    links = np.array([0, *[b.linked / b.words for b in found], 0], float)
-    place = [FURNITURE if b.furniture else INSIDE if b.article else OUTSIDE if has_article else OPEN for b in found]
-    return np.stack([place, words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:]], 1) if found else np.zeros((0, len(FEATURES)))
+    place = np.array([FURNITURE if b.furniture else INSIDE if b.article else OUTSIDE if has_article else OPEN for b in found])
+    words = np.array([b.words for b in found], float)
+    links = np.array([b.linked for b in found]) / words
+    held = np.bincount(place, words, 4)
+    of = np.full(4, max(held[1:].sum(), 1.0))
+    of[FURNITURE] = words.sum()
+    same = place[1:] == place[:-1]
+    before, after = np.append(False, same), np.append(same, False)
+    row = [place, (held / of)[place], words, links, np.roll(words, 1) * before, np.roll(links, 1) * before, np.roll(words, -1) * after, np.roll(links, -1) * after]
+    return np.stack(row, 1)
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = DEPTH) -> tuple:
@@ -189,7 +246,16 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = DEPTH) -> tuple:
 @lru_cache(1)
 def default_tree() -> tuple:
     rows = np.array(LABELLED, float)
-    return grow(rows[:, :-1], rows[:, -1])
+    return by_place(rows[:, :-1], rows[:, -1])
+
+
+def by_place(x: np.ndarray, y: np.ndarray, depth: int = DEPTH) -> tuple:
+    """A tree that asks for the place first, and below for what the table's rows of that place tell apart."""
+    own = [grow(x[x[:, 0] == place], y[x[:, 0] == place], depth) for place in (FURNITURE, OUTSIDE, OPEN, INSIDE)]
+    tree = own[INSIDE]
+    for place in (OPEN, OUTSIDE, FURNITURE):
+        tree = (0, place + 0.5, own[place], tree)
+    return tree
 
 
 def decide(tree: tuple, row: np.ndarray) -> bool:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm import html_text
 
+LONG = "A sentence with enough words to be a paragraph of its own, as pages have them. "[:-1]
 PAGES = {
     "<p>Alone in a page with quite a few words that stand here and go on and on for long": "Alone in a page with quite a few words that stand here and go on and on for long",
     "<article><h1>A &amp; B</h1><p>x<br>y&nbsp;z<p>two <a href=/>links</a></article>": "A & B\n\nx y z\n\ntwo links",
@@ -22,6 +23,16 @@ PAGES = {
     "<header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>Body</p></article>": "Title\n\nBody",
     "<article><form><p>Mail</p><input></form><p>A<div hidden>secret</div></article>": "A",
     "<article><p class=ad>Buy</p><p>Real</p></article>": "Real",
+    # a layout's name is no mark; neither is that of a part which holds the article, or most of a page
+    f"<nav><a>Menu</a></nav><div class='content has-sidebar'><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>": "\n\n".join([LONG] * 3),
+    f"<div class=search-results><article><p>{LONG}</p></article></div>": LONG,
+    f"<div class=widget-content><p>{LONG}</p><p>{LONG}</p></div><div class=widget><p>{LONG}</p></div>": f"{LONG}\n\n{LONG}",
+    f"<article><p>Short</p></article><div class=comments>{f'<p>{LONG}</p>' * 5}</div>": "Short",
+    # an article that is a teaser, a menu in an article, a page inside a form, notices alone
+    f"<article><p>Read this as well</p></article><div>{f'<p>{LONG} {LONG}</p>' * 6}</div>": "\n\n".join(["Read this as well", *[f"{LONG} {LONG}"] * 6]),
+    f"<article><p>{LONG}</p><ul><li><a>One</a><li><a>Two</a><li><a>Three more</a></ul><p>{LONG}</p></article>": f"{LONG}\n\n{LONG}",
+    f"<form><p>{LONG * 5}</p><p>{LONG * 5}</p></form>": f"{LONG * 5}\n\n{LONG * 5}",
+    f"<form><p>{LONG}</p></form><nav><a>Menu</a></nav><article></article>": "",
     "": "", "   ": "", "<html><title>T</title></html>": "", "<a <a <a \"": "",
 }
 
@@ -38,6 +49,34 @@ def test_tree_learns_its_table():
     assert html_text.grow(rows[:3, :-1], np.ones(3)) == (1,)
 
 
+def places(tree, rows):
+    """Places in whose blocks the tree asks for more than the place on some way down."""
+    asked = set()
+    for row in rows:
+        node, own = tree, False
+        while len(node) == 4:
+            own |= html_text.FEATURES[node[0]] not in ("place", "share")
+            node = node[2] if row[node[0]] <= node[1] else node[3]
+        asked |= {int(row[0])} if own else set()
+    return asked
+
+
+def test_counts_and_densities_decide_in_every_place():
+    rows = np.array(html_text.LABELLED, float)
+    for place in range(4):
+        assert set(rows[rows[:, 0] == place, -1]) == {0, 1}
+    assert places(html_text.default_tree(), rows) == {0, 1, 2, 3}
+
+
+def test_depth_is_the_best_by_leaving_one_out():
+    rows = np.array(html_text.LABELLED, float)
+    x, y = rows[:, :-1], rows[:, -1]
+    right = {}
+    for depth in range(1, 7):
+        right[depth] = sum(html_text.decide(html_text.by_place(np.delete(x, i, 0), np.delete(y, i), depth), x[i]) == y[i] for i in range(len(y)))
+    assert html_text.DEPTH == max(right, key=lambda d: (right[d], -d)), right
+
+
 def test_given_pages_equal_their_articles(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html", html_text.extract(F.col("html")).alias("text"))
     for r in pages.collect():
