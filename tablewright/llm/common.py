@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,19 +32,27 @@ def small_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
 
 
 def give_back() -> None:
-    """Return memory that this process has freed to the system, where its C library can."""
+    """Return memory that this process no longer needs to the system, where its C library can."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
 
 
-def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """`run` over the batches of a task, with freed memory given back at its end: workers outlive tasks and stages."""
+def lean(run: Callable[[Iterator], Iterator], *shared: Broadcast) -> Callable[[Iterator], Iterator]:
+    """`run` over the batches of a task, with freed memory given back at its end: workers outlive tasks and stages.
+
+    What a worker has loaded of the `shared` broadcasts goes too; the next task in it loads them again.
+    """
 
     def wrapped(batches: Iterator) -> Iterator:
-        yield from run(batches)
-        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            for value in shared:
+                vars(value).pop("_value", None)
+            give_back()
 
     return wrapped
 

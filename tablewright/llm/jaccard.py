@@ -76,7 +76,7 @@ def _prefixes(rows: DataFrame, size: int, similarity: int, repeats) -> DataFrame
             out = [_prefix(key, own, found.level(own), similarity) for key, own in zip(batch["key"], sets)]
             yield pd.DataFrame(out, columns=["key", "n", "set_key", "single", "shingles"])
 
-    return rows.mapInPandas(lean(run), PREFIX)
+    return rows.mapInPandas(lean(run, repeats), PREFIX)
 
 
 def _answered_prefixes(rows: DataFrame, size: int, similarity: int, expected: int) -> DataFrame:

@@ -284,10 +284,10 @@ class Segmenter:
             gap = np.minimum(gap, others[size].min(0))
         return taken, counts, total, np.maximum(gap, 0), (taken < 0).any(1)
 
-    def _forget(self, everything: bool = False) -> None:
-        """Start over, but for the half of the words that was asked for most often, or with nothing."""
+    def _forget(self) -> None:
+        """Start over, but for the half of the words that was asked for most often."""
         kept = np.zeros(0, np.int64)
-        if hasattr(self, "young") and not everything:
+        if hasattr(self, "young"):
             kept = np.sort(np.argsort(-self.uses[: len(self.young)], kind="stable")[: REMEMBERED // 2])
         words = list(self.young) if len(kept) else []
         fresh = {name: _Column(kind) for name, kind in (("ids", np.int32), ("start", np.int64), ("length", np.int64), ("score", float), ("gap", float), ("uses", np.int64))}
@@ -434,6 +434,12 @@ def segmenter(model: bytes) -> Segmenter:
     return _SEGMENTERS[key]
 
 
+def let_go() -> None:
+    """Drop the tables that this process keeps of its model."""
+    _SEGMENTERS.clear()
+    give_back()
+
+
 def apply_changes(ids: list[int], changes: list[int]) -> list[int]:
     """A further path, from the best one and its changes."""
     out, at, k = [], 0, 0
@@ -473,10 +479,9 @@ def encode_pieces(text: Column, model: bytes, n: int = N_BEST, check: bool = Fal
         try:
             for texts in batches:
                 yield encoded(own, texts)
-        finally:  # a worker outlives its task
-            own._forget(everything=True)
-            own.paths.clear()
-            give_back()
+        finally:  # a worker outlives its task; the tables are made anew in a fraction of a second
+            own = None
+            let_go()
 
     return run(text)
 

@@ -66,7 +66,7 @@ def _first_documents(rows: DataFrame, window: int, repeats) -> DataFrame:
         if total:
             yield combined(*map(np.concatenate, zip(*waiting)))
 
-    sent = rows.mapInPandas(lean(send), "h long, lo long, more boolean")
+    sent = rows.mapInPandas(lean(send, repeats), "h long, lo long, more boolean")
     seen = sent.groupBy("h").agg(F.min("lo").alias("first"), F.max("lo").alias("last"), F.bool_or("more").alias("more"))
     return seen.filter("first < last or more").select("h", "first")
 
@@ -85,7 +85,7 @@ def _occurrences(rows: DataFrame, window: int, repeats) -> DataFrame:
             keep = found(hashes)
             yield pd.DataFrame({"h": hashes[keep].view(np.int64), "key": docs[keep], "t1": texts[keep], "at": at[keep].astype(np.int32)})
 
-    return rows.mapInPandas(lean(send), "h long, key long, t1 long, at int")
+    return rows.mapInPandas(lean(send, repeats), "h long, key long, t1 long, at int")
 
 
 def _repeated_places(rows: DataFrame, window: int, expected: int) -> DataFrame:
@@ -155,8 +155,8 @@ def repeated_ranges(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     later = places.join(first, "h").filter("first < key").select("key", "t1", "at")
 
     @F.pandas_udf("array<int>")
-    def merge(starts: pd.Series) -> pd.Series:
-        return pd.Series([_merged(s, window) for s in starts])
+    def merge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from lean(lambda own: (pd.Series([_merged(s, window) for s in starts]) for starts in own))(batches)
 
     ranges = later.groupBy("key", "t1").agg(F.collect_list("at").alias("at")).select("key", "t1", merge("at").alias("ranges"))
     out = stored(ranges.union(copies.select("key", "t1", F.array(F.lit(0), F.lit(ALL)))) if apart else ranges)
@@ -181,8 +181,7 @@ def without_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     if size <= BROADCAST_BYTES:
         ranges = F.broadcast(ranges)
 
-    @F.pandas_udf("n_words long, n_removed long, kept string")
-    def keep(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
+    def cut(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
         out = []
         for t, own in zip(utf8(texts), ranges):
             words = t.split()
@@ -197,6 +196,10 @@ def without_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
             out.append((len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
 
+    @F.pandas_udf("n_words long, n_removed long, kept string")
+    def keep(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        yield from lean(lambda own: (cut(texts, ranges) for texts, ranges in own))(batches)
+
     same = (_key(doc_id) == F.col("__dedup_key")) & ((F.col("__dedup_text") == 0) | (F.xxhash64(text) == F.col("__dedup_text")))
     joined = documents.join(ranges, same, "left")
     return joined.withColumn("dedup", keep(F.col(text), F.col("__dedup_ranges"))).drop("__dedup_key", "__dedup_text", "__dedup_ranges")
