@@ -14,8 +14,10 @@ from pyspark.sql import types as T
 from tablewright.functions.semantics import quoted
 
 
-#: Scores that a worker holds at once, and candidates that it gathers before it keeps the best of each query.
-SCORES, CANDIDATES = 1 << 21, 1 << 17
+#: Rows, and queries, whose scores a worker holds at once, and candidates that it gathers for such queries before it keeps the best of each.
+ROWS, QUERIES, CANDIDATES = 256, 1024, 1 << 14
+#: Best rows that one scan keeps in a worker; queries that together ask for more take further scans.
+KEPT = 1 << 20
 #: Bytes of query vectors that go to every executor at once; more queries take further scans.
 QUERY_BYTES = 32 << 20
 
@@ -39,8 +41,9 @@ def _best(pool: list[pd.DataFrame], k: int) -> pd.DataFrame:
 def vector_matches(df: DataFrame, vector: str, key: str, queries: Sequence[tuple[object, Sequence[float]]], k: int = 5) -> DataFrame:
     """query, place, key, score: for each query the k rows most similar to it by cosine, ties by key.
 
-    Exact: tasks multiply their rows, a block at a time, with all queries, and send their best k of each query
-    only.  `queries` are (name, vector) pairs of one length; those beyond QUERY_BYTES take further scans.
+    Exact: tasks multiply their rows, a block at a time, with the queries, a block at a time, and send their best
+    k of each query only.  `queries` are (name, vector) pairs of one length; those beyond QUERY_BYTES or KEPT take
+    further scans.  A worker holds one block of scores, and of each query the best and some candidates.
     Rows with a null key or vector, a vector of another length or with missing components match nothing (see
     `vector_lengths`); zero vectors score 0.
     """
@@ -52,7 +55,7 @@ def vector_matches(df: DataFrame, vector: str, key: str, queries: Sequence[tuple
     if any(len(v) != length for _, v in queries):
         raise ValueError("the vectors of the queries differ in length")
     rows = df.filter(quoted(key).isNotNull() & quoted(vector).isNotNull()).select(quoted(key).alias("key"), quoted(vector).alias("v"))
-    step = max(1, QUERY_BYTES // (8 * max(length, 1)))
+    step = max(1, min(QUERY_BYTES // (8 * max(length, 1)), KEPT // max(k, 1)))
     out: DataFrame | None = None
     for lo in range(0, len(queries), step):
         unit = np.array([v for _, v in queries[lo : lo + step]], np.float64).reshape(-1, length)
@@ -60,26 +63,43 @@ def vector_matches(df: DataFrame, vector: str, key: str, queries: Sequence[tuple
         shared = spark.sparkContext.broadcast(np.divide(unit, norms, out=np.zeros_like(unit), where=norms > 0))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared, lo=lo) -> Iterator[pa.RecordBatch]:
-            own, pool, waiting = shared.value, [], 0
+            own, starts = shared.value, range(0, len(shared.value), QUERIES)
             least = np.full(len(own), -np.inf)  # of the k best so far
+            pools: dict[int, list[pd.DataFrame]] = {q: [] for q in starts}
+            waiting, kept, key_type = dict.fromkeys(starts, 0), dict.fromkeys(starts, 0), None
             for batch in batches:
-                units, fits = _matrix(batch.column(1), length)
-                keys = batch.column(0).filter(pa.array(fits)).to_pandas()
-                block = max(1, SCORES // len(own))
-                for a in range(0, len(units), block):
-                    scores = units[a : a + block] @ own.T
-                    row, query = np.nonzero(scores >= least)
-                    pool.append(pd.DataFrame({"query": query.astype(np.int32) + lo, "key": keys.iloc[a + row].to_numpy(), "score": scores[row, query]}))
-                    waiting += len(row)
-                    if waiting > CANDIDATES:
-                        pool = [_best(pool, k)]
-                        waiting = len(pool[0])
-                        full = pool[0].groupby("query")["score"].agg(["size", "min"])
-                        full = full[full["size"] == k]
-                        least[full.index.to_numpy() - lo] = full["min"].to_numpy()
-            if pool:
-                best = _best(pool, k)
-                yield pa.RecordBatch.from_arrays([pa.array(best["query"], pa.int32()), pa.array(best["key"], batch.column(0).type), pa.array(best["score"])], ["query", "key", "score"])
+                key_type = batch.column(0).type
+                for a in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(a, ROWS)
+                    units, fits = _matrix(part.column(1), length)
+                    keys, n = part.column(0).filter(pa.array(fits)).to_pandas(), len(units)
+                    if not n:
+                        continue
+                    # Always as many rows: BLAS rounds those at a block's edge otherwise, and copies would not tie.
+                    units = np.concatenate([units, np.zeros((ROWS - n, length))])
+                    for q in starts:
+                        scores, bound = (own[q : q + QUERIES] @ units.T)[:, :n], least[q : q + QUERIES]
+                        hit = scores >= bound[:, None]
+                        if 0 < k < n and np.count_nonzero(hit) > 2 * k * len(bound):  # what the k best of this block exclude
+                            ranked = np.where(np.isnan(scores), -np.inf, scores)
+                            ranked.partition(n - k, axis=1)
+                            np.maximum(bound, ranked[:, n - k], out=bound)
+                            hit = scores >= bound[:, None]
+                        query, row = np.nonzero(hit)
+                        if not len(row):
+                            continue
+                        pools[q].append(pd.DataFrame({"query": (query + (q + lo)).astype(np.int32), "key": keys.iloc[row].to_numpy(), "score": scores[query, row]}))
+                        waiting[q] += len(row)
+                        if waiting[q] > CANDIDATES + kept[q]:
+                            best = _best(pools[q], k)
+                            pools[q], waiting[q], kept[q] = [best], 0, len(best)
+                            full = best.groupby("query")["score"].agg(["size", "min"])
+                            full = full[full["size"] == k]
+                            least[full.index.to_numpy() - lo] = full["min"].to_numpy()
+            for pool in pools.values():
+                if pool:
+                    best = _best(pool, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(best["query"], pa.int32()), pa.array(best["key"], key_type), pa.array(best["score"])], ["query", "key", "score"])
 
         found = rows.mapInArrow(search, schema)
         out = found if out is None else out.unionByName(found)

@@ -93,3 +93,59 @@ def test_sets_of_queries(spark, monkeypatch, limit):
     states = {r.state: r.n for r in X.vector_lengths(df, "e", 6).collect()}
     assert states == {"whole": 401, "null": 1, "other length": 2, "missing components": 1}
     assert X.vector_matches(df, "e", "name", [], 4).collect() == []
+
+
+def searched(monkeypatch, df, queries, batches, k=5):
+    """What a task of the search makes of these batches, run here, and the most bytes that it held."""
+    import tracemalloc
+
+    tasks = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: tasks.append(run) or df.sparkSession.createDataFrame([], schema))
+    X.vector_matches(df, "e", "k", queries, k)
+    tracemalloc.start()
+    found = [r for run in tasks for b in run(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return found, most
+
+
+def batches_of(vectors, size):
+    import pyarrow as pa
+
+    at = range(0, len(vectors), size)
+    return [pa.RecordBatch.from_arrays([pa.array(range(a, min(a + size, len(vectors)))), pa.array(list(vectors[a : a + size]))], ["key", "v"]) for a in at]
+
+
+def test_a_search_holds_a_block_of_scores(spark, monkeypatch):
+    vectors = RNG.normal(size=(3000, 8))
+    vectors[500:900] = vectors[0]  # copies tie
+    df = spark.createDataFrame([], "k long, e array<double>")
+    queries = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    found, most = searched(monkeypatch, df, queries, batches_of(vectors, 1000))
+    assert len(found) == 5 * len(queries) and most < 40e6
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    got = {}
+    for q, key, _ in found:
+        got.setdefault(q, []).append(key)
+    for q in (1, 499, 1023, 1024, 2999):
+        assert got[q] == sorted(range(3000), key=lambda i: (-round(float(unit[i] @ unit[q]), 12), i))[:5]
+    assert got[0] == got[700] == [0, 500, 501, 502, 503]
+
+
+def test_copies_tie_wherever_they_lie(spark, monkeypatch):
+    vectors = RNG.normal(size=(1100, 64))
+    vectors[::2] = vectors[0]
+    df = spark.createDataFrame([], "k long, e array<double>")
+    found, _ = searched(monkeypatch, df, [(i, v.tolist()) for i, v in enumerate(vectors[1:18:2])], batches_of(vectors, 55), k=600)
+    for q in range(9):
+        copies = [(key, score) for x, key, score in found if x == q and key % 2 == 0]
+        assert [key for key, _ in copies] == list(range(0, 1100, 2))[: len(copies)] and len({score for _, score in copies}) <= 1
+
+
+def test_a_row_or_query_that_is_no_number_matches_nothing(spark, monkeypatch):
+    vectors = RNG.normal(size=(900, 8))
+    vectors[10:500, 3] = np.inf
+    df = spark.createDataFrame([], "k long, e array<double>")
+    found, _ = searched(monkeypatch, df, [(i, vectors[i].tolist()) for i in (0, 10, 899)], batches_of(vectors, 400))
+    assert [(q, q != 1) for q, _, _ in found] == [(0, True)] * 5 + [(2, True)] * 5
+    assert {key for _, key, _ in found} <= {*range(10), *range(500, 900)}
