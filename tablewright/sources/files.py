@@ -111,19 +111,26 @@ def _streamed_hashes(spark: SparkSession, paths: list[str]) -> DataFrame:
     return found.select(path_of(F.col("uri")).alias("path"), "sha256")
 
 
-def file_encodings(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def file_encodings(spark: SparkSession, path: str | list[str], parts: bool = False) -> DataFrame:
     """path, encoding: by byte-order mark, else UTF-8 if the whole file is valid, else CP1252 or Latin-1.
 
     Whole contents are examined, in as many tasks as the files have splits.  Empty files have no row.
+    With `parts` a folder's files are parts of one text, as Spark writes them: its path and encoding, by
+    a byte-order mark if every part has it.
     """
+    facts = byte_facts(spark, path).withColumn("utf16", F.coalesce(F.col("head").isin("FFFE", "FEFF"), F.lit(False)))
+    if parts:
+        folder = F.regexp_replace("uri", "/[^/]*$", "").alias("uri")
+        facts = facts.groupBy(folder).agg(*[every(c).alias(c) for c, every in (
+            ("valid", F.bool_and), ("undefined", F.bool_or), ("marked", F.bool_and), ("utf16", F.bool_and))])
     encoding = (
         F.when(F.col("marked"), "utf-8-sig")
-        .when(F.col("head").isin("FFFE", "FEFF"), "utf-16")
+        .when(F.col("utf16"), "utf-16")
         .when(F.col("valid"), "utf-8")
         .when(~F.col("undefined"), "cp1252")
         .otherwise("latin-1")
     )
-    return byte_facts(spark, path).select(path_of(F.col("uri")).alias("path"), encoding.alias("encoding"))
+    return facts.select(path_of(F.col("uri")).alias("path"), encoding.alias("encoding"))
 
 
 # Names Spark's reader knows the encodings by.  It drops a UTF-8 byte-order mark by itself, and has no

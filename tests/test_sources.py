@@ -29,6 +29,42 @@ def test_late_bad_byte_is_seen(spark, tmp_path):
     assert files.file_encodings(spark, str(tmp_path)).first()["encoding"] == "cp1252"
 
 
+def test_parts_of_a_folder_are_one_text(spark, tmp_path):
+    mark, wide = b"\xef\xbb\xbf", "a\n".encode("utf-16")
+    folders = {
+        "plain": [b"a\n", "é\n".encode()], "west": [b"a\n", "é\n".encode(), b"\xe9\n"], "latin": [b"\xe9\n", "Á\n".encode()],
+        "marked": [mark + b"a\n", mark + b"b\n"], "once": [mark + b"a\n", b"b\n"], "wide": [wide, wide], "mixed": [wide, b"\xe9\n"], "a+b %20 c": [b"\xe9\n"],
+    }
+    for name, parts in folders.items():
+        (tmp_path / name).mkdir()
+        for i, body in enumerate(parts):
+            (tmp_path / name / f"part-{i}.csv").write_bytes(body)
+    got = {r["path"].rsplit("/", 1)[1]: r["encoding"] for r in files.file_encodings(spark, str(tmp_path), parts=True).collect()}
+    assert got == {"plain": "utf-8", "west": "cp1252", "latin": "latin-1", "marked": "utf-8-sig", "once": "utf-8", "wide": "utf-16", "mixed": "cp1252", "a+b %20 c": "cp1252"}
+
+
+def test_no_task_writes_all_of_a_language_or_status(spark, tmp_path):
+    from workload import sources
+
+    texts = [(["de", "en", "fr", None][i % 4], "plain" if i else "Stra\u00dfe \u4e2d") for i in range(400)]
+    spark.createDataFrame(texts, "lang string, text string").repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    keys = [(i, "OFP"[i % 3]) for i in range(300)]
+    spark.createDataFrame(keys, "o_orderkey long, o_orderstatus string").repartition(6).write.parquet(str(tmp_path / "orders.parquet"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in before:
+        spark.conf.set(k, "2000")
+    made: list[str] = []
+    try:
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(sources, "_scratch", lambda spark, name: made.append(str(tmp_path / name)) or made[-1])
+            assert sorted(map(tuple, sources.file_encodings(spark, str(tmp_path)).collect())) == [("de", "cp1252"), ("en", "utf-8"), ("fr", "utf-8")]
+            assert list(map(tuple, sources.file_manifest(spark, str(tmp_path)).collect())) == [(".csv", "ok", 3, sum(len(str(i)) + 1 for i, _ in keys))]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(made) == 2 and all(len(list((tmp_path / at).glob("*/part-*"))) > 3 for at in made)
+
+
 def test_every_file_is_read_in_its_own_encoding(spark, folder):
     df = files.read_csv_any_encoding(spark, str(folder), schema="name string, age long, salary long")
     assert {r["name"] for r in df.collect()} == {"Ann", "Bob", "Çem", "Dan", "José €“", "X\x81é", "Wide"}

@@ -45,21 +45,22 @@ def csv_any_encoding(spark, d):
 
 
 def file_encodings(spark, d):
-    """Texts of each language in files of their own, those of two languages as Latin-1."""
+    """Texts of each language in files of their own, those of two languages as Latin-1; each task writes its part of each."""
     path = _scratch(spark, "texts")
     docs = table(spark, d, "documents").select("lang", F.regexp_replace("text", "[^\\x{00}-\\x{7F}\\x{A0}-\\x{FF}]", "").alias("text"))
     for charset, own in (("ISO-8859-1", docs.filter("lang IN ('de', 'fr')")), ("UTF-8", docs.filter("lang NOT IN ('de', 'fr')"))):
-        own.repartition("lang").write.partitionBy("lang").mode("append").option("encoding", charset).csv(path)
-    found = files.file_encodings(spark, path)
-    return found.select(F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang"), "encoding").distinct()
+        own.write.partitionBy("lang").mode("append").option("encoding", charset).csv(path)
+    found = files.file_encodings(spark, path, parts=True)
+    return found.select(F.regexp_extract("path", "lang=([^/]+)$", 1).alias("lang"), "encoding")
 
 
 def file_manifest(spark, d):
+    """Keys of each status in files of their own; each task writes its part of each, and the parts of a status count once."""
     path = _scratch(spark, "csv")
     keys = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    keys.repartition("o_orderstatus").write.partitionBy("o_orderstatus").csv(path)
+    keys.write.partitionBy("o_orderstatus").csv(path)
     return files.file_manifest(spark, path).groupBy("extension", "status").agg(
-        F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("bytes")
+        F.count_distinct(F.regexp_extract("path", "(.*)/", 1)).alias("n_files"), F.sum("length").alias("bytes")
     )
 
 
